@@ -15,7 +15,7 @@ def _c(c) -> Column:
 
 def parse_date(c, fmt: str = ISO) -> Column:
     """Text -> date; a value in another format gives null (never raises)."""
-    return F.try_to_date(_c(c), F.lit(fmt)) if hasattr(F, "try_to_date") else F.expr(f"try_to_date({c}, '{fmt}')")
+    return F.try_to_date(_c(c), fmt)
 
 
 def parse_mixed_dates(c, formats=(ISO, US)) -> Column:
@@ -27,7 +27,7 @@ def parse_mixed_dates(c, formats=(ISO, US)) -> Column:
     shapes = {ISO: r"^\d{4}-\d{2}-\d{2}$", US: r"^\d{2}/\d{2}/\d{4}$"}
     out = None
     for fmt in formats:
-        parsed = F.try_to_date(col, F.lit(fmt))
+        parsed = F.try_to_date(col, fmt)
         if fmt in shapes:
             parsed = F.when(col.rlike(shapes[fmt]), parsed)
         out = parsed if out is None else F.coalesce(out, parsed)

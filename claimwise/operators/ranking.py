@@ -108,4 +108,5 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     lo = F.floor((F.col("_cnt") - 1) / 2)
     hi = F.ceil((F.col("_cnt") - 1) / 2)
     mids = pos.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mids.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(name))
+    # decimals stay exact: avg of one or two decimals is a decimal
+    return mids.groupBy(*keys).agg(F.avg(F.col(value)).alias(name))

@@ -344,4 +344,211 @@ def oracle_sql() -> dict[str, str]:
     out.update(business())
     out.update(exploratory())
     out.update(spreadsheet())
+    out.update(quality())
     return out
+
+
+# ---------------------------------------------------------------- raw exports, cleaning, checks
+
+def TITLE(x: str) -> str:
+    """Strip, then capitalise each space-separated word."""
+    return (f"array_to_string(list_transform(string_split(lower({STRIP(x)}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+def STRIP(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def MIXED(x: str) -> str:
+    t = f"trim({x})"
+    return (f"CASE WHEN regexp_full_match({t}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN CAST(try_strptime({t}, '%Y-%m-%d') AS DATE) "
+            f"WHEN regexp_full_match({t}, '\\d{{2}}/\\d{{2}}/\\d{{4}}') THEN CAST(try_strptime({t}, '%m/%d/%Y') AS DATE) END")
+
+
+RAW = """
+raw0 AS (
+  SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+                   CAST(l_suppkey AS VARCHAR), CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS claim_id,
+         o_custkey AS patient_id, l_suppkey AS provider_id,
+         CASE WHEN l_partkey % 20 = 0 THEN strftime(x.service_date, '%m/%d/%Y') ELSE strftime(x.service_date, '%Y-%m-%d') END AS service_date,
+         strftime(x.submission_date, '%Y-%m-%d') AS submission_date,
+         strftime(CASE WHEN x.claim_status <> 'Pending' THEN x.submission_date + CAST(l_partkey % 60 AS INTEGER) + 1 END, '%Y-%m-%d') AS processed_date,
+         pr.claim_type, p_type AS diagnosis_category, p_brand AS cpt_code,
+         CASE WHEN l_partkey % 400 = 7 THEN NULL WHEN l_partkey % 1000 = 11 THEN -x.billed_amount ELSE x.billed_amount END AS billed_amount,
+         x.allowed_amount,
+         CASE WHEN x.claim_status = 'Paid'
+              THEN CAST(ROUND(x.allowed_amount * (1 - CAST(l_tax AS DECIMAL(4,2))), 2) AS DECIMAL(18,2))
+              ELSE CAST(0 AS DECIMAL(18,2)) END AS paid_amount,
+         CASE WHEN l_linenumber = 3 THEN upper(x.claim_status)
+              WHEN l_linenumber = 5 THEN ' ' || lower(x.claim_status) || ' ' ELSE x.claim_status END AS claim_status,
+         CASE WHEN x.claim_status = 'Denied' THEN o_orderpriority END AS denial_reason,
+         l_suppkey AS _supp
+  FROM fact1 x JOIN part ON l_partkey = p_partkey LEFT JOIN providers_v pr ON l_suppkey = pr.provider_id),
+raw_claims AS (
+  SELECT * EXCLUDE (_supp) FROM raw0 UNION ALL SELECT * EXCLUDE (_supp) FROM raw0 WHERE _supp % 67 = 0),
+raw_patients AS (
+  SELECT c_custkey AS patient_id, ['F', 'M', 'Female', 'female', ' f', 'M '][CAST(c_custkey % 6 + 1 AS INTEGER)] AS gender,
+         strftime(DATE '1930-01-01' + CAST((c_custkey * 37) % 23000 AS INTEGER), '%Y-%m-%d') AS date_of_birth,
+         CASE WHEN c_custkey % 100 = 0 THEN NULL ELSE n_name END AS state, c_mktsegment AS plan_type,
+         strftime(DATE '2010-01-01' + CAST((c_custkey * 11) % 3650 AS INTEGER), '%Y-%m-%d') AS enrollment_date
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+raw_providers AS (
+  SELECT provider_id, provider_name,
+         CASE WHEN provider_id % 8 = 0 THEN ' ' || specialty || ' ' ELSE specialty END AS specialty, state, network_status
+  FROM providers_v)"""
+
+CLEAN = f"""
+clean_patients_v AS (
+  SELECT patient_id,
+         CASE upper(substr({STRIP('gender')}, 1, 1)) WHEN 'F' THEN 'Female' WHEN 'M' THEN 'Male' END AS gender,
+         CAST(try_strptime(date_of_birth, '%Y-%m-%d') AS DATE) AS date_of_birth, COALESCE(state, 'Unknown') AS state,
+         plan_type, CAST(try_strptime(enrollment_date, '%Y-%m-%d') AS DATE) AS enrollment_date
+  FROM raw_patients),
+clean_providers_v AS (
+  SELECT provider_id, provider_name, {TITLE('specialty')} AS specialty, state, network_status FROM raw_providers),
+dd AS (SELECT DISTINCT * FROM raw_claims),
+pc AS (
+  SELECT claim_id, patient_id, provider_id,
+         {MIXED('service_date')} AS service_date, {MIXED('submission_date')} AS submission_date,
+         {MIXED('processed_date')} AS processed_date,
+         (service_date IS NOT NULL AND {MIXED('service_date')} IS NULL)
+           OR (submission_date IS NOT NULL AND {MIXED('submission_date')} IS NULL)
+           OR (processed_date IS NOT NULL AND {MIXED('processed_date')} IS NULL) AS _bad,
+         claim_type, diagnosis_category, cpt_code, abs(billed_amount) AS billed_amount, allowed_amount, paid_amount,
+         {TITLE('claim_status')} AS claim_status, COALESCE(denial_reason, 'Not Applicable') AS denial_reason,
+         billed_amount IS NULL AS billed_imputed
+  FROM dd),
+med AS (
+  SELECT cpt_code, CASE WHEN COUNT(*) = 2 THEN CAST(SUM(billed_amount) AS DECIMAL(38,6)) * 0.5
+                        ELSE CAST(SUM(billed_amount) AS DECIMAL(38,6)) END AS med
+  FROM (SELECT cpt_code, billed_amount,
+               ROW_NUMBER() OVER (PARTITION BY cpt_code ORDER BY billed_amount) - 1 AS pos,
+               COUNT(*) OVER (PARTITION BY cpt_code) AS n
+        FROM pc WHERE billed_amount IS NOT NULL)
+  WHERE pos = (n - 1) // 2 OR pos = n // 2
+  GROUP BY cpt_code),
+clean_all AS (
+  SELECT pc.* EXCLUDE (billed_amount),
+         CAST(COALESCE(ROUND(pc.billed_amount, 2),
+                       CASE WHEN med.med IS NOT NULL THEN ROUND(GREATEST(med.med, pc.allowed_amount), 2) END)
+              AS DECIMAL(18,2)) AS billed_amount
+  FROM pc LEFT JOIN med ON pc.cpt_code IS NOT DISTINCT FROM med.cpt_code),
+clean_claims_v AS (SELECT * EXCLUDE (_bad) FROM clean_all WHERE NOT _bad),
+clean_wide AS (
+  SELECT c.*, pa.plan_type, pr.specialty, pr.network_status
+  FROM clean_claims_v c LEFT JOIN clean_patients_v pa ON c.patient_id = pa.patient_id
+  LEFT JOIN clean_providers_v pr ON c.provider_id = pr.provider_id)"""
+
+
+def qc(body: str, ctes: str = "") -> str:
+    """Query over the raw exports and the cleaned tables."""
+    extra = f",\n{ctes}" if ctes else ""
+    return q(body, RAW.strip() + "," + CLEAN + extra)
+
+
+RAW_CLAIM_COLS = ["claim_id", "patient_id", "provider_id", "service_date", "submission_date", "processed_date",
+                  "claim_type", "diagnosis_category", "cpt_code", "billed_amount", "allowed_amount", "paid_amount",
+                  "claim_status", "denial_reason"]
+RAW_CLAIM_TYPES = ["string", "bigint", "bigint", "string", "string", "string", "string", "string", "string",
+                   "decimal(18,2)", "decimal(18,2)", "decimal(18,2)", "string", "string"]
+
+
+def _checks_sql(table: str, checks: list[tuple[str, str]]) -> str:
+    parts = [f"SELECT '{n}' AS check_name, CAST({e} AS BIGINT) AS violations FROM {table}" for n, e in checks]
+    return "SELECT check_name, violations, violations = 0 AS passed FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+STATUS_DOMAIN = (
+    CNT("NOT COALESCE(claim_status IN ('Paid', 'Denied', 'Pending'), FALSE)") + " + "
+    + " + ".join("CASE WHEN " + CNT("claim_status = '" + v + "'") + " = 0 THEN 1 ELSE 0 END"
+                 for v in ("Paid", "Denied", "Pending"))
+)
+
+
+def quality() -> dict[str, str]:
+    s: dict[str, str] = {}
+    prof = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, {CNT(c + ' IS NULL')} AS nulls, "
+        f"{R(P(CNT(c + ' IS NULL'), 'COUNT(*)'), 2)} AS null_pct, COUNT(DISTINCT {c}) AS \"unique\" FROM raw_claims"
+        for i, (c, t) in enumerate(zip(RAW_CLAIM_COLS, RAW_CLAIM_TYPES))
+    )
+    s["profile_raw_claims"] = qc(f"SELECT CAST(position AS INTEGER) AS position, \"column\", dtype, nulls, null_pct, \"unique\" FROM ({prof})")
+    s["dup_rows"] = qc("SELECT CAST((SELECT COUNT(*) FROM raw_claims) - (SELECT COUNT(*) FROM dd) AS BIGINT) AS duplicate_rows")
+    s["dup_keys"] = qc("SELECT CAST(COUNT(*) - COUNT(DISTINCT claim_id) AS BIGINT) AS duplicate_keys FROM raw_claims")
+    s["value_counts_status"] = qc(
+        'SELECT claim_status, COUNT(*) AS "count" FROM raw_claims WHERE claim_status IS NOT NULL GROUP BY 1')
+    s["value_counts_gender"] = qc('SELECT gender, COUNT(*) AS "count" FROM raw_patients WHERE gender IS NOT NULL GROUP BY 1')
+    s["neg_count"] = qc(f"SELECT {CNT('billed_amount < 0')} AS negative_rows FROM raw_claims")
+    s["clean_patients"] = qc("SELECT * FROM clean_patients_v")
+    s["clean_providers"] = qc("SELECT * FROM clean_providers_v")
+    s["clean_claims"] = qc("SELECT * FROM clean_claims_v")
+    bad = " OR ".join(f"({c} IS NOT NULL AND {MIXED(c)} IS NULL)" for c in ("service_date", "submission_date", "processed_date"))
+    s["claim_rejects"] = qc(f"SELECT *, 'unparseable date' AS reject_reason FROM dd WHERE {bad}")
+    tol = "0.01"
+    s["chk_claims"] = qc(_checks_sql("clean_wide", [
+        ("chk_claim_id_unique", "COUNT(*) - COUNT(DISTINCT claim_id)"),
+        ("chk_billed_present", CNT("billed_amount IS NULL")),
+        ("chk_non_negative", CNT("NOT COALESCE(billed_amount >= 0 AND allowed_amount >= 0 AND paid_amount >= 0, FALSE)")),
+        ("chk_money_order", CNT(f"NOT COALESCE(paid_amount <= allowed_amount + {tol} AND allowed_amount <= billed_amount + {tol}, FALSE)")),
+        ("chk_submit_after_service", CNT("NOT COALESCE(date_diff('day', service_date, submission_date) >= 0, FALSE)")),
+        ("chk_status_domain", STATUS_DOMAIN),
+        ("chk_denied_reason", CNT("claim_status = 'Denied' AND denial_reason = 'Not Applicable'")),
+        ("chk_pending_no_date", CNT("claim_status = 'Pending' AND processed_date IS NOT NULL")),
+        ("chk_patient_match", CNT("plan_type IS NULL")),
+        ("chk_provider_match", CNT("specialty IS NULL")),
+    ]))
+    s["chk_patients"] = qc(_checks_sql("clean_patients_v", [
+        ("chk_gender_mapped", CNT("gender IS NULL")),
+        ("chk_patient_id_unique", "COUNT(*) - COUNT(DISTINCT patient_id)"),
+    ]))
+    s["chk_providers"] = qc(_checks_sql("clean_providers_v", [
+        ("chk_provider_id_unique", "COUNT(*) - COUNT(DISTINCT provider_id)"),
+    ]))
+    plans = ", ".join(f"'{p}'" for p in C.plan_order)
+    s["con_patients"] = qc(_checks_sql("clean_patients_v", [
+        ("con_primary_key.patient_id", f"COUNT(*) - COUNT(DISTINCT patient_id) + {CNT('patient_id IS NULL')}"),
+        *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in ("gender", "date_of_birth", "state", "plan_type", "enrollment_date")],
+        ("con_in_list.gender", CNT("gender IS NOT NULL AND gender NOT IN ('Female', 'Male')")),
+        ("con_in_list.plan_type", CNT(f"plan_type IS NOT NULL AND plan_type NOT IN ({plans})")),
+    ]))
+    s["con_providers"] = qc(_checks_sql("clean_providers_v", [
+        ("con_primary_key.provider_id", f"COUNT(*) - COUNT(DISTINCT provider_id) + {CNT('provider_id IS NULL')}"),
+        *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in ("provider_name", "specialty", "state", "network_status")],
+        ("con_in_list.network_status", CNT("network_status IS NOT NULL AND network_status NOT IN ('In-Network', 'Out-of-Network')")),
+    ]))
+    s["con_claims"] = qc(_checks_sql("clean_claims_v", [
+        ("con_primary_key.claim_id", f"COUNT(*) - COUNT(DISTINCT claim_id) + {CNT('claim_id IS NULL')}"),
+        *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in (
+            "patient_id", "provider_id", "service_date", "submission_date", "claim_type", "diagnosis_category",
+            "cpt_code", "billed_amount", "allowed_amount", "paid_amount", "claim_status", "denial_reason",
+            "billed_imputed")],
+        ("con_in_list.claim_status", CNT("claim_status IS NOT NULL AND claim_status NOT IN ('Paid', 'Denied', 'Pending')")),
+        *[(f"con_non_negative.{c}", CNT(f"{c} < 0")) for c in ("billed_amount", "allowed_amount", "paid_amount")],
+    ]))
+    s["con_foreign_keys"] = qc("""
+SELECT (SELECT COUNT(*) FROM clean_claims_v c WHERE NOT EXISTS (SELECT 1 FROM clean_patients_v p WHERE p.patient_id = c.patient_id)) AS claim_patient_fk,
+       (SELECT COUNT(*) FROM clean_claims_v c WHERE NOT EXISTS (SELECT 1 FROM clean_providers_v p WHERE p.provider_id = c.provider_id)) AS claim_provider_fk""")
+    s["dq1_row_counts"] = q("""
+SELECT 'patients' AS table_name, COUNT(*) AS row_count FROM patients_v
+UNION ALL SELECT 'providers', COUNT(*) FROM providers_v
+UNION ALL SELECT 'claims', COUNT(*) FROM claims_v""")
+    s["dq2_orphans"] = q(f"""
+SELECT {CNT('p.patient_id IS NULL')} AS orphan_patient_rows, {CNT('pr.provider_id IS NULL')} AS orphan_provider_rows
+FROM claims_v c LEFT JOIN patients_v p ON p.patient_id = c.patient_id
+LEFT JOIN providers_v pr ON pr.provider_id = c.provider_id""")
+    s["dq3_financial"] = q(f"""
+SELECT {CNT('paid_amount > allowed_amount + 0.01')} AS paid_gt_allowed,
+       {CNT('allowed_amount > billed_amount + 0.01')} AS allowed_gt_billed,
+       {CNT("claim_status = 'Denied' AND paid_amount > 0")} AS denied_but_paid FROM claims_v""")
+    s["dq4_dates"] = q(f"""
+SELECT {CNT('submission_date < service_date')} AS submitted_before_service,
+       {CNT('processed_date < submission_date')} AS processed_before_submitted,
+       {CNT("claim_status = 'Pending' AND processed_date IS NOT NULL")} AS pending_with_decision,
+       {CNT("claim_status <> 'Pending' AND processed_date IS NULL")} AS decided_without_date FROM claims_v""")
+    s["dq5_denied_no_reason"] = q(f"""
+SELECT {CNT("claim_status = 'Denied' AND denial_reason = 'Not Applicable'")} AS denied_without_reason FROM claims_v""")
+    s["dq6_imputed_share"] = qc(f"""
+SELECT CAST(SUM(CAST(billed_imputed AS INTEGER)) AS BIGINT) AS imputed_rows,
+       {R(P('SUM(CAST(billed_imputed AS INTEGER))', 'COUNT(*)'), 2)} AS imputed_pct FROM clean_claims_v""")
+    return s

@@ -84,4 +84,82 @@ def queries() -> dict[str, Query]:
     out.update(business())
     out.update(exploratory())
     out.update(spreadsheet())
+    out.update(quality())
     return out
+
+
+# ---------------------------------------------------------------- raw exports, cleaning, checks
+
+def _clean_star(spark, d):
+    from claimwise.operators import clean
+
+    raw = tpch.raw_claims(spark, d)
+    return (
+        clean.clean_claims(raw, C),
+        clean.clean_patients(tpch.raw_patients(spark, d), C),
+        clean.clean_providers(tpch.raw_providers(spark, d), C),
+    )
+
+
+def _clean_wide(spark, d):
+    from claimwise.operators.features import enrich_patients, enrich_providers
+
+    c, pa, pr = _clean_star(spark, d)
+    return enrich_providers(enrich_patients(c, pa, C), pr, C)
+
+
+def _dq_star(spark, d):
+    m = tpch.model(spark, d, with_providers=True)
+    return m.claims, m.patients, m.providers
+
+
+def _constraints(table, df):
+    from claimwise.operators import checks
+
+    in_list = dict(checks.IN_LIST.get(table, {}))
+    if "plan_type" in in_list:
+        in_list["plan_type"] = C.plan_order
+    return checks.run_checks(df, checks.constraint_checks(table, df.columns, in_list=in_list))
+
+
+def _fk(spark, d):
+    from pyspark.sql import functions as F
+
+    c, pa, pr = _clean_star(spark, d)
+    a = c.join(pa.select(F.col("patient_id").alias("_k")), F.col("patient_id") == F.col("_k"), "left_anti").agg(
+        F.count(F.lit(1)).alias("claim_patient_fk"))
+    b = c.join(pr.select(F.col("provider_id").alias("_k")), F.col("provider_id") == F.col("_k"), "left_anti").agg(
+        F.count(F.lit(1)).alias("claim_provider_fk"))
+    # two one-row aggregates side by side
+    return a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j").drop("_j")
+
+
+def quality() -> dict[str, Query]:
+    from claimwise.operators import checks, clean, profile
+
+    return {
+        "profile_raw_claims": lambda s, d: profile.profile(tpch.raw_claims(s, d)),
+        "dup_rows": lambda s, d: profile.count_duplicate_rows(tpch.raw_claims(s, d)),
+        "dup_keys": lambda s, d: profile.count_duplicate_keys(tpch.raw_claims(s, d), "claim_id"),
+        "value_counts_status": lambda s, d: profile.value_counts(tpch.raw_claims(s, d), "claim_status"),
+        "value_counts_gender": lambda s, d: profile.value_counts(tpch.raw_patients(s, d), "gender"),
+        "neg_count": lambda s, d: profile.count_negative(tpch.raw_claims(s, d), "billed_amount"),
+        "sample_values": lambda s, d: profile.sample_values(tpch.raw_claims(s, d), "service_date", 8, 1, key="claim_id"),
+        "clean_patients": lambda s, d: clean.clean_patients(tpch.raw_patients(s, d), C),
+        "clean_providers": lambda s, d: clean.clean_providers(tpch.raw_providers(s, d), C),
+        "clean_claims": lambda s, d: _clean_star(s, d)[0],
+        "claim_rejects": lambda s, d: clean.claim_rejects(tpch.raw_claims(s, d), C),
+        "chk_claims": lambda s, d: checks.run_checks(_clean_wide(s, d), checks.claim_checks(C)),
+        "chk_patients": lambda s, d: checks.run_checks(_clean_star(s, d)[1], checks.patient_checks(C)),
+        "chk_providers": lambda s, d: checks.run_checks(_clean_star(s, d)[2], checks.provider_checks(C)),
+        "con_patients": lambda s, d: _constraints("patients", _clean_star(s, d)[1]),
+        "con_providers": lambda s, d: _constraints("providers", _clean_star(s, d)[2]),
+        "con_claims": lambda s, d: _constraints("claims", _clean_star(s, d)[0]),
+        "con_foreign_keys": _fk,
+        "dq1_row_counts": lambda s, d: checks.dq_row_counts(*_dq_star(s, d)),
+        "dq2_orphans": lambda s, d: checks.dq_orphans(*_dq_star(s, d), C),
+        "dq3_financial": lambda s, d: checks.dq_financial(_dq_star(s, d)[0], C),
+        "dq4_dates": lambda s, d: checks.dq_dates(_dq_star(s, d)[0], C),
+        "dq5_denied_no_reason": lambda s, d: checks.dq_denied_without_reason(_dq_star(s, d)[0], C),
+        "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_clean_star(s, d)[0], C),
+    }

@@ -179,3 +179,78 @@ class Star:
         self.claims = claims
         self.patients = patients
         self.providers = providers
+
+
+# ---------------------------------------------------------------- raw (dirty) exports
+# A deterministic "messy export" of the same star, with the fault kinds of the
+# reference's raw files (FIXTURES.md section 4): mixed date spellings, status
+# casing, missing/negative billed amounts, blank reasons, exact duplicate rows,
+# coded genders, missing states and padded upper-case specialties. Dates are
+# text, as a CSV export would carry them.
+
+def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _raw_fact(spark, sf_dir, codes=True)
+    pr = providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type")
+    f = f.join(pr, f.l_suppkey == pr._pid, "left")
+    status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
+    service = F.col("o_orderdate").cast("date")
+    mult = F.when(F.col("l_linenumber") == 7, F.lit(3)).otherwise(F.lit(1))
+    submission = F.date_add(service, F.col("l_quantity").cast("int") * mult)
+    processed = F.when(status != "Pending", F.date_add(submission, (F.col("l_partkey") % 60).cast("int") + 1))
+    billed = F.col("l_extendedprice").cast(MONEY)
+    one = F.lit(1).cast(RATE)
+    zero = F.lit(0).cast(MONEY)
+    allowed = F.when(status == "Denied", zero).otherwise(F.round(billed * (one - F.col("l_discount").cast(RATE)), 2).cast(MONEY))
+    paid = F.when(status == "Paid", F.round(allowed * (one - F.col("l_tax").cast(RATE)), 2).cast(MONEY)).otherwise(zero)
+    pk = F.col("l_partkey")
+    raw_status = (
+        F.when(F.col("l_linenumber") == 3, F.upper(status))
+        .when(F.col("l_linenumber") == 5, F.concat(F.lit(" "), F.lower(status), F.lit(" ")))
+        .otherwise(status)
+    )
+    raw_service = F.when(pk % 20 == 0, F.date_format(service, "MM/dd/yyyy")).otherwise(F.date_format(service, "yyyy-MM-dd"))
+    raw_billed = F.when(pk % 400 == 7, F.lit(None).cast(MONEY)).when(pk % 1000 == 11, (-billed).cast(MONEY)).otherwise(billed)
+    out = f.select(
+        F.concat_ws(
+            "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+            F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+            F.col("l_shipdate").cast("date").cast("string"),
+        ).alias("claim_id"),
+        F.col("o_custkey").alias("patient_id"),
+        F.col("l_suppkey").alias("provider_id"),
+        raw_service.alias("service_date"),
+        F.date_format(submission, "yyyy-MM-dd").alias("submission_date"),
+        F.date_format(processed, "yyyy-MM-dd").alias("processed_date"),
+        F.col("claim_type"),
+        F.col("p_type").alias("diagnosis_category"),
+        F.col("p_brand").alias("cpt_code"),
+        raw_billed.alias("billed_amount"),
+        allowed.alias("allowed_amount"),
+        paid.alias("paid_amount"),
+        raw_status.alias("claim_status"),
+        F.when(status == "Denied", F.col("o_orderpriority")).alias("denial_reason"),
+        F.col("l_suppkey").alias("_supp"),
+    )
+    dupes = out.where(F.col("_supp") % 67 == 0)
+    return out.unionByName(dupes).drop("_supp")
+
+
+def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("c_custkey")
+    codes = F.array(*[F.lit(v) for v in ("F", "M", "Female", "female", " f", "M ")])
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        k.alias("patient_id"),
+        F.element_at(codes, (k % 6 + 1).cast("int")).alias("gender"),
+        F.date_format(F.date_add(F.lit(BIRTH_ORIGIN).cast("date"), ((k * 37) % 23000).cast("int")), "yyyy-MM-dd").alias("date_of_birth"),
+        F.when(k % 100 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("state"),
+        F.col("c_mktsegment").alias("plan_type"),
+        F.date_format(F.date_add(F.lit(ENROLL_ORIGIN).cast("date"), ((k * 11) % 3650).cast("int")), "yyyy-MM-dd").alias("enrollment_date"),
+    )
+
+
+def raw_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = providers(spark, sf_dir)
+    padded = F.when(F.col("provider_id") % 8 == 0, F.concat(F.lit(" "), F.col("specialty"), F.lit(" "))).otherwise(F.col("specialty"))
+    return p.select("provider_id", "provider_name", padded.alias("specialty"), "state", "network_status")
