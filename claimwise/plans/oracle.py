@@ -345,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(exploratory())
     out.update(spreadsheet())
     out.update(quality())
+    out.update(reports())
     return out
 
 
@@ -552,3 +553,144 @@ SELECT {CNT("claim_status = 'Denied' AND denial_reason = 'Not Applicable'")} AS
 SELECT CAST(SUM(CAST(billed_imputed AS INTEGER)) AS BIGINT) AS imputed_rows,
        {R(P('SUM(CAST(billed_imputed AS INTEGER))', 'COUNT(*)'), 2)} AS imputed_pct FROM clean_claims_v""")
     return s
+
+
+# ---------------------------------------------------------------- measure catalog and report visuals
+
+MODEL = """
+mw AS (
+  SELECT *, CAST(year(service_date) AS INTEGER) AS year,
+         CAST(year(service_date) * 10 + quarter(service_date) AS INTEGER) AS quarter_sort,
+         CAST(year(service_date) AS VARCHAR) || ' Q' || CAST(quarter(service_date) AS VARCHAR) AS quarter_label,
+         CAST(year(service_date) * 100 + month(service_date) AS INTEGER) AS month_sort,
+         strftime(service_date, '%b %Y') AS month
+  FROM wide_v)"""
+
+
+def CN(pred: str) -> str:
+    """Count that is NULL (blank) when no row qualifies."""
+    return f"CAST(SUM(CASE WHEN {pred} THEN 1 END) AS BIGINT)"
+
+
+def DIFF(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} IS NULL AND {b} IS NULL THEN NULL ELSE COALESCE({a}, 0) - COALESCE({b}, 0) END)"
+
+
+def PCTTXT(x: str, k: int) -> str:
+    return f"COALESCE(printf('%.{k}f', {R(f'{x} * 100.0', k)}) || '%', '')"
+
+
+def INTTXT(x: str) -> str:
+    return f"COALESCE(format('{{:,}}', {x}), '')"
+
+
+FOCUS = f"denial_reason = '{C.focus_reason}'"
+BEFORE = f"service_date < DATE '{C.cutoff_date}'"
+
+
+def qm(body: str, ctes: str = "") -> str:
+    return q(body, MODEL.strip() + ("," + ctes if ctes else ""))
+
+
+PROVIDER_EXCESS = f"""
+pv AS (
+  SELECT provider_name, {CN(DENIED)} AS den, {CN(DECIDED)} AS dec,
+         CASE WHEN MIN(claim_type) = MAX(claim_type) THEN MIN(claim_type) END AS t,
+         CASE WHEN MIN(network_status) = MAX(network_status) THEN MIN(network_status) END AS nw,
+         SUM(CASE WHEN {DENIED} THEN billed_amount END) AS den_billed,
+         {CN(DENIED + " AND denial_reason IN ('" + "', '".join(C.coding_reasons) + "')")} AS coding
+  FROM mw GROUP BY provider_name),
+peer AS (SELECT claim_type, network_status, {RATIO(CN(DENIED), CN(DECIDED))} AS peer FROM mw GROUP BY 1, 2),
+px AS (
+  SELECT pv.*, peer.peer, {RATIO('den', 'dec')} AS rate,
+         CASE WHEN {RATIO('den', 'dec')} IS NOT NULL THEN ({RATIO('den', 'dec')} - peer.peer) * 100.0 END AS excess
+  FROM pv LEFT JOIN peer ON pv.t IS NOT DISTINCT FROM peer.claim_type AND pv.nw IS NOT DISTINCT FROM peer.network_status)"""
+
+
+def reports() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["r01_quarterly_rate"] = qm(f"""
+SELECT * FROM (SELECT quarter_label, quarter_sort,
+       {R(RATIO(CN(DENIED + ' AND ' + BEFORE), CN(DECIDED + ' AND ' + BEFORE)), 4)} AS denial_rate_complete
+FROM mw GROUP BY 1, 2) WHERE denial_rate_complete IS NOT NULL""")
+    s["r02_reason_dollars"] = qm(f"""
+SELECT * FROM (SELECT denial_reason, {M(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 2)} AS denied_billed,
+       {FOCUS} AS is_focus_reason FROM mw GROUP BY 1) WHERE denied_billed IS NOT NULL""")
+    s["r03_status_share"] = qm(f"""
+SELECT claim_status, COUNT(*) AS total_claims, {R(RATIO('COUNT(*)', 'SUM(COUNT(*)) OVER ()'), 4)} AS share_of_total
+FROM mw GROUP BY 1""")
+    s["r04_prior_auth_quarters"] = qm(f"""
+SELECT * FROM (SELECT quarter_label, quarter_sort, {CN(DENIED + ' AND ' + FOCUS)} AS prior_auth_denials
+FROM mw GROUP BY 1, 2) WHERE prior_auth_denials IS NOT NULL""")
+    s["r05_plan_network_rate"] = qm(f"""
+SELECT * FROM (SELECT plan_type, network_status, {R(RATIO(CN(DENIED), CN(DECIDED)), 4)} AS denial_rate
+FROM mw GROUP BY 1, 2) WHERE denial_rate IS NOT NULL""")
+    table = f"""
+SELECT * FROM (SELECT m.denial_reason, y.a AS denials_base, y.b AS denials_compare,
+       {R(RATIO(DIFF('y.b', 'y.a'), 'y.a'), 4)} AS denials_yoy, {M('m.db', 2)} AS denied_billed
+FROM (SELECT denial_reason, SUM(CASE WHEN {DENIED} THEN billed_amount END) AS db FROM mw {{where}} GROUP BY 1) m
+LEFT JOIN (SELECT denial_reason, {CN(f'{DENIED} AND year = {A}')} AS a, {CN(f'{DENIED} AND year = {B}')} AS b
+           FROM mw GROUP BY 1) y ON m.denial_reason IS NOT DISTINCT FROM y.denial_reason)
+WHERE denials_base IS NOT NULL OR denials_compare IS NOT NULL OR denials_yoy IS NOT NULL OR denied_billed IS NOT NULL"""
+    s["r06_reason_table"] = qm(table.replace("{where}", ""))
+    s["r09_slicer"] = qm(table.replace("{where}", f"WHERE year = {B}"))
+    s["r07_top_providers"] = qm(f"""
+SELECT provider_name, CASE WHEN rnk <= 10 THEN {R('excess', 2)} END AS top10_excess_pts, excess >= {C.flag_pts} AS is_flagged
+FROM (SELECT *, RANK() OVER (ORDER BY COALESCE(excess, 0.0) DESC) AS rnk FROM px)
+WHERE rnk <= 10 AND excess IS NOT NULL""", PROVIDER_EXCESS)
+    s["r08_provider_table"] = qm(f"""
+SELECT * FROM (
+  SELECT provider_name, specialty, {R(RATIO(CN(DENIED), CN(DECIDED)), 4)} AS denial_rate,
+         {R('MIN(peer.peer)', 4)} AS peer_denial_rate,
+         {R(f"CASE WHEN {RATIO(CN(DENIED), CN(DECIDED))} IS NOT NULL THEN ({RATIO(CN(DENIED), CN(DECIDED))} - MIN(peer.peer)) * 100.0 END", 2)} AS excess_pts
+  FROM (SELECT mw.*, CASE WHEN MIN(claim_type) OVER w = MAX(claim_type) OVER w THEN MIN(claim_type) OVER w END AS t,
+               CASE WHEN MIN(network_status) OVER w = MAX(network_status) OVER w THEN MIN(network_status) OVER w END AS nw
+        FROM mw WINDOW w AS (PARTITION BY provider_name, specialty)) x
+  LEFT JOIN peer ON x.t IS NOT DISTINCT FROM peer.claim_type AND x.nw IS NOT DISTINCT FROM peer.network_status
+  GROUP BY provider_name, specialty)
+WHERE denial_rate IS NOT NULL OR peer_denial_rate IS NOT NULL OR excess_pts IS NOT NULL""",
+        f"peer AS (SELECT claim_type, network_status, {RATIO(CN(DENIED), CN(DECIDED))} AS peer FROM mw GROUP BY 1, 2)")
+    den_rate = RATIO(CN(DENIED), CN(DECIDED))
+    s["r10_kpi_overview"] = qm(f"""
+SELECT COUNT(*) AS total_claims, {M('SUM(paid_amount)', 2)} AS total_paid, {R(den_rate, 4)} AS denial_rate,
+       {M(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 2)} AS denied_billed,
+       {R(RATIO('SUM(days_to_process)', 'COUNT(days_to_process)'), 2)} AS avg_days_to_process,
+       {INTTXT('COUNT(DISTINCT patient_id)')} || ' patients' AS kpi_claims_context,
+       {PCTTXT(RATIO('SUM(paid_amount)', 'SUM(billed_amount)'), 0)} || ' of billed charges' AS kpi_paid_context,
+       {INTTXT(CN(DENIED))} || ' of ' || {INTTXT(CN(DECIDED))} || ' decided' AS kpi_denial_context,
+       {PCTTXT(RATIO(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 'SUM(billed_amount)'), 1)} || ' of all billed charges' AS kpi_denied_context,
+       'denied: ' || COALESCE(printf('%.0f', {R(AVG('days_to_process', DENIED), 0)}), '') || ' days  ·  paid: '
+         || COALESCE(printf('%.0f', {R(AVG('days_to_process', PAID), 0)}), '') AS kpi_days_context
+FROM mw""")
+    s["r10_kpi_denials"] = qm(f"""
+SELECT {CN(f'{DENIED} AND {FOCUS} AND year = {B}')} AS prior_auth_denials_compare,
+       {R(RATIO(DIFF(CN(f'{DENIED} AND {FOCUS} AND year = {B}'), CN(f'{DENIED} AND {FOCUS} AND year = {A}')), CN(f'{DENIED} AND {FOCUS} AND year = {A}')), 4)} AS prior_auth_yoy,
+       {R(RATIO(CN(f"{DENIED} AND network_status = 'Out-of-Network'"), CN(f"{DECIDED} AND network_status = 'Out-of-Network'")), 4)} AS out_network_denial_rate,
+       {M(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 2)} AS denied_billed,
+       'vs ' || {INTTXT(CN(f'{DENIED} AND {FOCUS} AND year = {A}'))} || ' in {A}' AS kpi_prior_auth_context,
+       'vs ' || {PCTTXT(RATIO(CN(f"{DENIED} AND network_status = 'In-Network'"), CN(f"{DECIDED} AND network_status = 'In-Network'")), 1)} || ' in-network' AS kpi_network_context,
+       {PCTTXT(RATIO(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 'SUM(billed_amount)'), 1)} || ' of all billed charges' AS kpi_denied_context
+FROM mw""")
+    s["r10_kpi_providers"] = qm(f"""
+SELECT NULLIF(COUNT(*), 0) AS flagged_providers, {M('SUM(den_billed)', 2)} AS flagged_denied_billed,
+       {R(RATIO('SUM(coding)', 'SUM(den)'), 4)} AS flagged_coding_share,
+       {PCTTXT(RATIO('SUM(den_billed)', f'(SELECT SUM(CASE WHEN {DENIED} THEN billed_amount END) FROM mw)'), 1)} || ' of all denied charges' AS kpi_flagged_context
+FROM px WHERE excess >= {C.flag_pts}""", PROVIDER_EXCESS)
+    s["m_plan_year"] = qm(f"""
+SELECT m.plan_type, m.total_claims, m.denial_rate, {M('y.ytd', 2)} AS paid_ytd, m.denial_rate_trend,
+       x.pa AS prior_auth_denials_base, x.inr AS in_network_denial_rate
+FROM (SELECT plan_type, COUNT(*) AS total_claims, {R(den_rate, 4)} AS denial_rate,
+             CASE WHEN DATE '{B}-12-31' < DATE '{C.cutoff_date}' THEN {R(den_rate, 4)} END AS denial_rate_trend
+      FROM mw WHERE year = {B} GROUP BY 1) m
+LEFT JOIN (SELECT plan_type, SUM(paid_amount) AS ytd FROM mw
+           WHERE service_date BETWEEN DATE '{B}-01-01' AND DATE '{B}-12-31' GROUP BY 1) y ON m.plan_type = y.plan_type
+LEFT JOIN (SELECT plan_type, {CN(f'{DENIED} AND {FOCUS} AND year = {A}')} AS pa FROM mw GROUP BY 1) x ON m.plan_type = x.plan_type
+LEFT JOIN (SELECT plan_type, {R(RATIO(CN(f"{DENIED} AND network_status = 'In-Network'"), CN(f"{DECIDED} AND network_status = 'In-Network'")), 4)} AS inr
+           FROM mw WHERE year = {B} GROUP BY 1) z ON m.plan_type = z.plan_type""".replace("x.inr", "z.inr"))
+    s["m_monthly_ytd"] = qm(f"""
+SELECT month_sort, month, {M('paid', 2)} AS total_paid,
+       {M('SUM(paid) OVER (PARTITION BY month_sort // 100 ORDER BY month_sort)', 2)} AS paid_ytd,
+       CASE WHEN last_day(make_date(CAST(month_sort // 100 AS INTEGER), CAST(month_sort % 100 AS INTEGER), 1)) < DATE '{C.cutoff_date}'
+            THEN {R('rate', 4)} END AS denial_rate_trend
+FROM (SELECT month_sort, month, SUM(paid_amount) AS paid, {den_rate} AS rate FROM mw GROUP BY 1, 2)""")
+    return s

@@ -85,6 +85,7 @@ def queries() -> dict[str, Query]:
     out.update(exploratory())
     out.update(spreadsheet())
     out.update(quality())
+    out.update(reports())
     return out
 
 
@@ -163,3 +164,37 @@ def quality() -> dict[str, Query]:
         "dq5_denied_no_reason": lambda s, d: checks.dq_denied_without_reason(_dq_star(s, d)[0], C),
         "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_clean_star(s, d)[0], C),
     }
+
+
+# ---------------------------------------------------------------- measure catalog and report visuals
+
+def _model(spark, d):
+    from claimwise.sources.calendar import with_calendar
+
+    return with_calendar(tpch.wide(spark, d, keep_name=True), "service_date")
+
+
+def reports() -> dict[str, Query]:
+    from claimwise.operators import reports as r
+    from claimwise.operators.measures import evaluate
+
+    year_slicer = [("year", [C.compare_year])]
+    return {
+        "r01_quarterly_rate": lambda s, d: r.quarterly_rate(_model(s, d), C),
+        "r02_reason_dollars": lambda s, d: r.reason_dollars(_model(s, d), C),
+        "r03_status_share": lambda s, d: r.status_share(_model(s, d), C),
+        "r04_prior_auth_quarters": lambda s, d: r.prior_auth_quarters(_model(s, d), C),
+        "r05_plan_network_rate": lambda s, d: r.plan_network_rate(_model(s, d), C),
+        "r06_reason_table": lambda s, d: r.reason_table(_model(s, d), C),
+        "r07_top_providers": lambda s, d: r.top_providers(_model(s, d), C),
+        "r08_provider_table": lambda s, d: r.provider_table(_model(s, d), C),
+        "r09_slicer": lambda s, d: r.reason_table(_model(s, d), C, filters=year_slicer),
+        "r10_kpi_overview": lambda s, d: r.kpi_cards(_model(s, d), "overview", C),
+        "r10_kpi_denials": lambda s, d: r.kpi_cards(_model(s, d), "denials", C),
+        "r10_kpi_providers": lambda s, d: r.kpi_cards(_model(s, d), "providers", C),
+        "m_plan_year": lambda s, d: evaluate(
+            _model(s, d), ["Total Claims", "Denial Rate", "Paid YTD", "Denial Rate (trend)", "Prior Auth Denials Base",
+                           "In-Network Denial Rate"], ["plan_type"], year_slicer, C),
+        "m_monthly_ytd": lambda s, d: evaluate(
+            _model(s, d), ["Total Paid", "Paid YTD", "Denial Rate (trend)"], ["month_sort", "month"], [], C),
+    }
