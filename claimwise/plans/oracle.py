@@ -346,6 +346,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(spreadsheet())
     out.update(quality())
     out.update(reports())
+    out.update(features())
     return out
 
 
@@ -694,3 +695,56 @@ SELECT month_sort, month, {M('paid', 2)} AS total_paid,
             THEN {R('rate', 4)} END AS denial_rate_trend
 FROM (SELECT month_sort, month, SUM(paid_amount) AS paid, {den_rate} AS rate FROM mw GROUP BY 1, 2)""")
     return s
+
+
+# ---------------------------------------------------------------- features, calendar, projections, extract
+
+WIDE_FULL = """
+wf AS (
+  SELECT c.claim_id, c.patient_id, c.provider_id, c.service_date, c.submission_date, c.processed_date,
+         c.billed_amount, c.allowed_amount, c.paid_amount, c.claim_status, c.denial_reason, c.billed_imputed,
+         pr.claim_type, pr.specialty, pr.network_status, pa.plan_type,
+         strftime(c.service_date, '%Y-%m') AS service_month, CAST(year(c.service_date) AS INTEGER) AS service_year,
+         CAST(date_diff('day', c.service_date, c.submission_date) AS INTEGER) AS days_to_submit,
+         CAST(date_diff('day', c.submission_date, c.processed_date) AS INTEGER) AS days_to_process,
+         CAST(CASE WHEN c.claim_status = 'Denied' THEN 1 ELSE 0 END AS INTEGER) AS is_denied,
+         CAST(CASE WHEN c.claim_status = 'Paid' THEN c.allowed_amount - c.paid_amount ELSE 0 END AS DECIMAL(18,2)) AS member_responsibility,
+         CAST(floor(date_diff('day', pa.date_of_birth, c.service_date) / 365.25) AS INTEGER) AS age_at_service,
+         p.p_type AS diagnosis_category, p.p_brand AS cpt_code, pr.provider_name
+  FROM claims_v c
+  JOIN part p ON c._partkey = p.p_partkey
+  LEFT JOIN providers_v pr ON c.provider_id = pr.provider_id
+  LEFT JOIN patients_v pa ON c.patient_id = pa.patient_id),
+wf2 AS (
+  SELECT *, CASE WHEN age_at_service BETWEEN 0 AND 200 THEN
+           CASE WHEN age_at_service < 18 THEN '0-17' WHEN age_at_service < 35 THEN '18-34' WHEN age_at_service < 50 THEN '35-49'
+                WHEN age_at_service < 65 THEN '50-64' ELSE '65+' END END AS age_group
+  FROM wf)"""
+
+
+def features() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["feat_wide_claims"] = q("SELECT * EXCLUDE (diagnosis_category, cpt_code, provider_name) FROM wf2", WIDE_FULL.strip())
+    s["dim_date"] = q("""
+SELECT date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month_number,
+       strftime(date, '%b %Y') AS month, CAST(year(date) * 100 + month(date) AS INTEGER) AS month_sort,
+       'Q' || CAST(quarter(date) AS VARCHAR) AS quarter,
+       CAST(year(date) AS VARCHAR) || ' Q' || CAST(quarter(date) AS VARCHAR) AS quarter_label,
+       CAST(year(date) * 10 + quarter(date) AS INTEGER) AS quarter_sort
+FROM (SELECT CAST(unnest(generate_series(make_date(CAST(year(MIN(service_date)) AS INTEGER), 1, 1),
+                                         make_date(CAST(year(MAX(service_date)) AS INTEGER), 12, 31), INTERVAL 1 DAY)) AS DATE) AS date
+      FROM claims_v)""")
+    s["fact_projection"] = q("""
+SELECT claim_id, patient_id, provider_id, service_date, submission_date, processed_date, claim_type,
+       diagnosis_category, cpt_code, billed_amount, allowed_amount, paid_amount, claim_status, denial_reason,
+       CAST(billed_imputed AS INTEGER) AS billed_imputed FROM wf2""", WIDE_FULL.strip())
+    s["model_projection"] = q("""
+SELECT * EXCLUDE (diagnosis_category, cpt_code, provider_name, service_month, service_year, plan_type, specialty, network_status)
+FROM wf2""", WIDE_FULL.strip())
+    s["sink_extract"] = q("""
+SELECT claim_id, CAST(year(service_date) * 100 + month(service_date) AS INTEGER) AS month_key, service_date, w.plan_type,
+       w.provider_id, p.provider_name, w.specialty, w.network_status, w.claim_type, diagnosis_category, billed_amount,
+       allowed_amount, paid_amount, claim_status, denial_reason, days_to_process, age_group
+FROM wf2 w JOIN providers_v p ON w.provider_id = p.provider_id
+ORDER BY service_date, claim_id""", WIDE_FULL.strip())
+    return s

@@ -86,6 +86,7 @@ def queries() -> dict[str, Query]:
     out.update(spreadsheet())
     out.update(quality())
     out.update(reports())
+    out.update(features())
     return out
 
 
@@ -198,3 +199,18 @@ def reports() -> dict[str, Query]:
         "m_monthly_ytd": lambda s, d: evaluate(
             _model(s, d), ["Total Paid", "Paid YTD", "Denial Rate (trend)"], ["month_sort", "month"], [], C),
     }
+
+
+# ---------------------------------------------------------------- features, calendar, projections, extract
+
+def features() -> dict[str, Query]:
+    from claimwise.sources import files
+    from claimwise.sources.calendar import dim_date_for
+
+    return {
+        "feat_wide_claims": lambda s, d: tpch.wide(s, d),
+        "dim_date": lambda s, d: dim_date_for(tpch.claims(s, d, claim_type=False), "service_date"),
+        "fact_projection": lambda s, d: files.fact_columns(tpch.wide(s, d, codes=True)),
+        "model_projection": lambda s, d: files.drop_convenience(tpch.wide(s, d)),
+        "sink_extract": lambda s, d: files.claims_extract(tpch.wide(s, d, codes=True), _prov(s, d)),
+    }

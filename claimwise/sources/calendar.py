@@ -37,3 +37,15 @@ def with_calendar(df: DataFrame, date_col: str) -> DataFrame:
     relationship to the date dimension, resolved without a join because
     every attribute is a function of the date)."""
     return df.withColumns(calendar_attrs(F.col(date_col)))
+
+
+def dim_date_for(df: DataFrame, date_col: str) -> DataFrame:
+    """Calendar covering whole years from the first to the last date of
+    ``date_col`` (one aggregate row, then a bounded sequence)."""
+    b = df.agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
+    days = b.select(
+        F.explode(
+            F.sequence(F.make_date(F.year("_lo"), F.lit(1), F.lit(1)), F.make_date(F.year("_hi"), F.lit(12), F.lit(31)))
+        ).alias("date")
+    )
+    return days.withColumns(calendar_attrs(F.col("date")))
