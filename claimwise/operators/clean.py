@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import normalise_code, parse_date, parse_mixed_dates, title_case
 from claimwise.operators.ranking import group_median
+from claimwise.session import materialize
 
 MONEY = "decimal(18,2)"
 
@@ -100,6 +101,8 @@ def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median:
     d = d.withColumn(cfg.status, title_case(cfg.status))
     d = fix_negative(d, cfg.billed)
     d = flag_missing(d, cfg.billed, cfg.billed_imputed)
+    # read twice below (median input and the rows to fill): compute it once
+    d = materialize(d)
     d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
     d = d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
     return d

@@ -39,24 +39,23 @@ def feature_age_group(age):
 
 
 def derive_features(df: DataFrame, cfg: ClaimsConfig = DEFAULT, has_patients: bool = True) -> DataFrame:
-    """service_month, service_year, age_at_service, age_group, days_to_submit,
-    days_to_process, is_denied, member_responsibility; then drop date_of_birth."""
-    out = df.withColumns(
-        {
-            "service_month": month_label(cfg.service_date),
-            "service_year": year_of(cfg.service_date),
-            "days_to_submit": days_between(cfg.submission_date, cfg.service_date),
-            "days_to_process": days_between(cfg.processed_date, cfg.submission_date),
-            "is_denied": is_denied(cfg),
-            "member_responsibility": member_responsibility(cfg),
-        }
-    )
+    """service_month, service_year, days_to_submit, days_to_process,
+    is_denied, member_responsibility (+ age_at_service, age_group with the
+    patient join), then drop date_of_birth - one projection."""
+    derived = {
+        "service_month": month_label(cfg.service_date),
+        "service_year": year_of(cfg.service_date),
+        "days_to_submit": days_between(cfg.submission_date, cfg.service_date),
+        "days_to_process": days_between(cfg.processed_date, cfg.submission_date),
+        "is_denied": is_denied(cfg),
+        "member_responsibility": member_responsibility(cfg),
+    }
     if has_patients:
         age = age_at(cfg.service_date, cfg.date_of_birth)
-        out = out.withColumn("age_at_service", age).withColumn(
-            "age_group", feature_age_group(F.col("age_at_service"))
-        ).drop(cfg.date_of_birth)
-    return out
+        derived["age_at_service"] = age
+        derived["age_group"] = feature_age_group(age)
+    keep = [c for c in df.columns if c not in derived and not (has_patients and c == cfg.date_of_birth)]
+    return df.select(*keep, *[v.alias(k) for k, v in derived.items()])
 
 
 def build_wide(claims: DataFrame, patients: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:

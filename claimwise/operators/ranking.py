@@ -7,8 +7,9 @@ its own duplicates), sorted inside each partition, and numbered locally
 with ``monotonically_increasing_id`` (partition id in the high bits, local
 position in the low 33 bits). A per-partition count table - one row per
 partition, so bounded by the partition count - gives each partition its
-offset through a running sum. Both branches read the same range exchange,
-which Spark reuses, so the partition boundaries are consistent.
+offset through a running sum. The numbered rows are checkpointed before
+the two branches (counts, rows) read them, so both see the same numbering
+and the numbering survives a recomputation after an executor loss.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimwise.session import materialize
+
 LOCAL_BITS = 33
 
 
@@ -34,11 +37,11 @@ def global_index(df: DataFrame, order: list[Column], name: str = "_idx", partiti
     n = _partitions(df, partitions)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("_mid", mid).select(
+    tagged = materialize(ranged.withColumn("_mid", mid).select(
         "*",
         F.shiftright(F.col("_mid"), LOCAL_BITS).alias("_part"),
         (F.col("_mid") - F.shiftleft(F.shiftright(F.col("_mid"), LOCAL_BITS), LOCAL_BITS)).alias("_local"),
-    )
+    ))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the window below runs over at most n rows
     offsets = counts.select(
@@ -89,9 +92,9 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     vals = df.select(*keys, value).where(F.col(value).isNotNull())
     order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()]
     ranged = vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
+    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
         "_part", F.shiftright(F.col("_mid"), LOCAL_BITS)
-    )
+    ))
     # position inside (partition, group): local id minus the group's first id there
     slices = tagged.groupBy("_part", *keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")

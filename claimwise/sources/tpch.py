@@ -4,9 +4,10 @@ The claims fact is ``lineitem JOIN orders`` (plus ``part`` for procedure and
 diagnosis codes when a query asks for them); patients come from
 ``customer``, providers from ``supplier -> nation -> region``. Every column
 is a deterministic built-in expression, so the same view is written in
-DuckDB SQL by ``claimwise.plans.oracle``. Joins carry no hints: Spark's
-size statistics and AQE decide between broadcast and shuffle joins at run
-time, which keeps the plan valid when the dimensions are themselves large.
+DuckDB SQL by ``claimwise.plans.oracle``. Fact joins carry no blind hints: AQE decides between broadcast and shuffle joins at run
+time, which keeps the plan valid when the dimensions are themselves large;
+dimensions are broadcast only after their row count has been checked
+(``claimwise.sources.joins``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimwise.sources.joins import checked_broadcast
+
 MONEY = "decimal(18,2)"
 RATE = "decimal(4,2)"
 
@@ -23,8 +26,17 @@ ENROLL_ORIGIN = "2010-01-01"
 NETWORK_ACCTBAL = 5000.0
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; the (immutable, lazy) scan is reused within a session
+    so the file listing and footer read happen once per table."""
+    key = (id(spark), sf_dir, name)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df
 
 
 def status_expr(returnflag, linestatus):
@@ -40,7 +52,8 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = n.join(r, n.n_regionkey == r.r_regionkey)
+    geo = n.join(checked_broadcast(r, f"{sf_dir}#region"), n.n_regionkey == r.r_regionkey)
+    geo = checked_broadcast(geo, f"{sf_dir}#geo")
     return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey").alias("provider_id"),
         F.col("s_name").alias("provider_name"),
@@ -58,6 +71,7 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
+    n = checked_broadcast(n, f"{sf_dir}#nation")
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         k.alias("patient_id"),
         F.when(k % 2 == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
@@ -76,16 +90,15 @@ def _raw_fact(spark: SparkSession, sf_dir: str, codes: bool) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     f = li.join(o, li.l_orderkey == o.o_orderkey)
     if codes:
-        p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+        p = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), f"{sf_dir}#part")
         f = f.join(p, f.l_partkey == p.p_partkey)
     return f
 
 
-def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True) -> DataFrame:
-    """The claims fact (15 columns of the reference's fact table, minus
-    ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
-    comes from the provider and needs the provider join)."""
-    f = _raw_fact(spark, sf_dir, codes)
+def fact_exprs(codes: bool) -> dict:
+    """The fact columns as expressions over lineitem x orders (x part): one
+    projection, no intermediate columns (Catalyst eliminates the repeated
+    sub-expressions)."""
     status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
     service = F.col("o_orderdate").cast("date")
     mult = F.when(F.col("l_linenumber") == 7, F.lit(3)).otherwise(F.lit(1))
@@ -93,55 +106,51 @@ def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bo
     billed = F.col("l_extendedprice").cast(MONEY)
     one = F.lit(1).cast(RATE)
     zero = F.lit(0).cast(MONEY)
-    f = f.select(
-        F.concat_ws(
-            "-",
-            F.col("l_orderkey").cast("string"),
-            F.col("l_linenumber").cast("string"),
-            F.col("l_partkey").cast("string"),
-            F.col("l_suppkey").cast("string"),
+    allowed = F.when(status == "Denied", zero).otherwise(
+        F.round(billed * (one - F.col("l_discount").cast(RATE)), 2).cast(MONEY))
+    paid = F.when(status == "Paid", F.round(allowed * (one - F.col("l_tax").cast(RATE)), 2).cast(MONEY)).otherwise(zero)
+    out = {
+        "claim_id": F.concat_ws(
+            "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+            F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
             F.col("l_shipdate").cast("date").cast("string"),
-        ).alias("claim_id"),
-        F.col("o_custkey").alias("patient_id"),
-        F.col("l_suppkey").alias("provider_id"),
-        service.alias("service_date"),
-        submission.alias("submission_date"),
-        status.alias("claim_status"),
-        F.col("o_orderpriority").alias("_priority"),
-        (F.col("l_partkey") % 60).cast("int").alias("_proc_days"),
-        billed.alias("billed_amount"),
-        F.col("l_discount").cast(RATE).alias("_disc"),
-        F.col("l_tax").cast(RATE).alias("_tax"),
-        *([F.col("p_brand").alias("cpt_code"), F.col("p_type").alias("diagnosis_category")] if codes else []),
-    )
-    allowed = F.when(F.col("claim_status") == "Denied", zero).otherwise(
-        F.round(F.col("billed_amount") * (one - F.col("_disc")), 2).cast(MONEY)
-    )
-    f = f.withColumn("allowed_amount", allowed)
-    f = f.withColumn(
-        "paid_amount",
-        F.when(
-            F.col("claim_status") == "Paid",
-            F.round(F.col("allowed_amount") * (one - F.col("_tax")), 2).cast(MONEY),
-        ).otherwise(zero),
-    )
-    f = f.withColumn(
-        "processed_date",
-        F.when(F.col("claim_status") != "Pending", F.date_add(F.col("submission_date"), F.col("_proc_days") + 1)),
-    ).withColumn(
-        "denial_reason",
-        F.when(F.col("claim_status") == "Denied", F.col("_priority")).otherwise(F.lit("Not Applicable")),
-    ).withColumn("billed_imputed", F.lit(False))
-    cols = ["claim_id", "patient_id", "provider_id", "service_date", "submission_date", "processed_date"]
-    if claim_type:
-        cols.append("claim_type")
+        ),
+        "patient_id": F.col("o_custkey"),
+        "provider_id": F.col("l_suppkey"),
+        "service_date": service,
+        "submission_date": submission,
+        "processed_date": F.when(status != "Pending", F.date_add(submission, (F.col("l_partkey") % 60).cast("int") + 1)),
+    }
     if codes:
-        cols += ["diagnosis_category", "cpt_code"]
-    cols += ["billed_amount", "allowed_amount", "paid_amount", "claim_status", "denial_reason", "billed_imputed"]
+        out["diagnosis_category"] = F.col("p_type")
+        out["cpt_code"] = F.col("p_brand")
+    out.update({
+        "billed_amount": billed,
+        "allowed_amount": allowed,
+        "paid_amount": paid,
+        "claim_status": status,
+        "denial_reason": F.when(status == "Denied", F.col("o_orderpriority")).otherwise(F.lit("Not Applicable")),
+        "billed_imputed": F.lit(False),
+    })
+    return out
+
+
+def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True) -> DataFrame:
+    """The claims fact (15 columns of the reference's fact table, minus
+    ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
+    comes from the provider and needs the provider join)."""
+    f = _raw_fact(spark, sf_dir, codes)
+    exprs = fact_exprs(codes)
     if claim_type:
-        pr = providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type")
-        f = f.join(pr, f.provider_id == pr._pid, "left")
-    return f.select(*cols)
+        pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
+                               f"{sf_dir}#providers")
+        f = f.join(pr, f.l_suppkey == pr._pid, "left")
+        exprs = {**{k: v for k, v in exprs.items() if k in ("claim_id", "patient_id", "provider_id", "service_date",
+                                                             "submission_date", "processed_date")},
+                 "claim_type": F.col("claim_type"),
+                 **{k: v for k, v in exprs.items() if k not in ("claim_id", "patient_id", "provider_id", "service_date",
+                                                                 "submission_date", "processed_date")}}
+    return f.select(*[v.alias(k) for k, v in exprs.items()])
 
 
 def model(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
@@ -162,10 +171,11 @@ def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: b
     if with_providers:
         pr = providers(spark, sf_dir)
         keep = ["claim_type", "specialty", "network_status"] + (["provider_name"] if keep_name else [])
-        pr = pr.select(F.col("provider_id").alias("_pid"), *keep)
+        pr = checked_broadcast(pr.select(F.col("provider_id").alias("_pid"), *keep), f"{sf_dir}#providers")
         f = f.join(pr, f.provider_id == pr._pid, "left").drop("_pid")
     if with_patients:
         pa = patients(spark, sf_dir).select(F.col("patient_id").alias("_cid"), "date_of_birth", "plan_type")
+        pa = checked_broadcast(pa, f"{sf_dir}#patients")
         f = f.join(pa, f.patient_id == pa._cid, "left").drop("_cid")
     from claimwise.operators.features import derive_features
 
@@ -190,7 +200,8 @@ class Star:
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _raw_fact(spark, sf_dir, codes=True)
-    pr = providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type")
+    pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
+                           f"{sf_dir}#providers")
     f = f.join(pr, f.l_suppkey == pr._pid, "left")
     status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
     service = F.col("o_orderdate").cast("date")
@@ -229,10 +240,10 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         paid.alias("paid_amount"),
         raw_status.alias("claim_status"),
         F.when(status == "Denied", F.col("o_orderpriority")).alias("denial_reason"),
-        F.col("l_suppkey").alias("_supp"),
+        # every row once, rows of every 67th supplier twice (exact duplicates)
+        F.explode(F.when(F.col("l_suppkey") % 67 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
     )
-    dupes = out.where(F.col("_supp") % 67 == 0)
-    return out.unionByName(dupes).drop("_supp")
+    return out.drop("_copy")
 
 
 def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +251,7 @@ def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
     codes = F.array(*[F.lit(v) for v in ("F", "M", "Female", "female", " f", "M ")])
+    n = checked_broadcast(n, f"{sf_dir}#nation")
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         k.alias("patient_id"),
         F.element_at(codes, (k % 6 + 1).cast("int")).alias("gender"),
