@@ -40,7 +40,7 @@ def flag_missing(df: DataFrame, col: str, flag: str) -> DataFrame:
 
 
 def impute_with_floor(df: DataFrame, col: str, by: str, floor: str, approx: bool = False,
-                      k: int = 2) -> DataFrame:
+                      k: int = 2, tiebreak: str | None = None) -> DataFrame:
     """Missing ``col`` -> max(median of ``col`` within ``by``, ``floor``),
     rounded to ``k`` dp; existing values are rounded as well. A group whose
     values are all missing stays null (NumPy max(NaN, x) is NaN), so a later
@@ -54,7 +54,7 @@ def impute_with_floor(df: DataFrame, col: str, by: str, floor: str, approx: bool
     if approx:
         med = df.groupBy(by).agg(F.percentile_approx(col, 0.5, 10000).alias("_med"))
     else:
-        med = group_median(df, [by], col, "_med")
+        med = group_median(df, [by], col, "_med", tiebreak=tiebreak)
     med = med.select(F.col(by).alias("_by"), "_med")
     j = df.join(med, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     imputed = F.when(F.col("_med").isNotNull(), F.round(F.greatest(F.col("_med"), F.col(floor)), k))
@@ -103,7 +103,7 @@ def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median:
     d = flag_missing(d, cfg.billed, cfg.billed_imputed)
     # read twice below (median input and the rows to fill): compute it once
     d = materialize(d)
-    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
+    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median, tiebreak=cfg.claim_id)
     d = d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
     return d
 

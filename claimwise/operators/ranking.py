@@ -80,17 +80,20 @@ def ntile(df: DataFrame, order: list[Column], buckets: int, name: str = "bucket"
 
 
 def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, tiebreak: str | None = None) -> DataFrame:
     """Exact interpolated median of ``value`` per ``keys`` (nulls skipped)
     without holding a group in one task: a distributed sort on
     (keys, value) numbers the rows of each group across partitions, then the
     one or two middle rows per group are averaged.
 
     Per-(partition, group) counts are small (at most partitions x groups),
-    and their running sum per group gives each slice its offset."""
+    and their running sum per group gives each slice its offset. A
+    ``tiebreak`` column (e.g. the row key) joins the sort key so that many
+    rows with one and the same value are still split across partitions."""
     n = _partitions(df, partitions)
-    vals = df.select(*keys, value).where(F.col(value).isNotNull())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()]
+    extra = [tiebreak] if tiebreak else []
+    vals = df.select(*keys, value, *extra).where(F.col(value).isNotNull())
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()] + [F.col(t).asc() for t in extra]
     ranged = vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
         "_part", F.shiftright(F.col("_mid"), LOCAL_BITS)
