@@ -106,16 +106,21 @@ def _cnt(pred: Column) -> Column:
     return F.sum(F.when(pred, F.lit(1))).cast("bigint")
 
 
-def _join_back(main: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def _join_back(main: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach a per-key aggregate (one row per key combination) to the
-    result rows; with no keys both sides are one row."""
+    result rows; with no keys both sides are one row. ``how="full"`` also
+    keeps key combinations that only ``other`` has (a measure whose filter
+    was replaced can be non-blank where the slicer leaves no rows)."""
     if keys:
         other = other.select(*[F.col(k).alias(f"_o_{k}") for k in keys], *[c for c in other.columns if c not in keys])
         cond = None
         for k in keys:
             c = main[k].eqNullSafe(other[f"_o_{k}"])
             cond = c if cond is None else cond & c
-        out = main.join(other, cond, "left")
+        out = main.join(other, cond, how)
+        if how == "full":
+            rest = [c for c in out.columns if c not in keys and not c.startswith("_o_")]
+            return out.select(*[F.coalesce(main[k], F.col(f"_o_{k}")).alias(k) for k in keys], *rest)
         return out.drop(*[f"_o_{k}" for k in keys])
     return main.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
 
@@ -277,7 +282,10 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
             extra.append((sep, [k for k in keys if k != cfg.network]))
     main = _grouped(ctx.apply(model), keys, *aggs)
     for sep, k in extra:
-        main = _join_back(main, sep, k)
+        # the replaced column was only filtered: rows seen only without the
+        # filter still belong to the result (full join); if it was grouped,
+        # its value is fixed by the row and the join stays a left join
+        main = _join_back(main, sep, k, "full" if len(k) == len(keys) else "left")
 
     peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
     if ms & peer_ms:

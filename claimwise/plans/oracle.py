@@ -627,10 +627,10 @@ FROM mw GROUP BY 1, 2) WHERE prior_auth_denials IS NOT NULL""")
 SELECT * FROM (SELECT plan_type, network_status, {R(RATIO(CN(DENIED), CN(DECIDED)), 4)} AS denial_rate
 FROM mw GROUP BY 1, 2) WHERE denial_rate IS NOT NULL""")
     table = f"""
-SELECT * FROM (SELECT m.denial_reason, y.a AS denials_base, y.b AS denials_compare,
+SELECT * FROM (SELECT COALESCE(m.denial_reason, y.denial_reason) AS denial_reason, y.a AS denials_base, y.b AS denials_compare,
        {R(RATIO(DIFF('y.b', 'y.a'), 'y.a'), 4)} AS denials_yoy, {M('m.db', 2)} AS denied_billed
 FROM (SELECT denial_reason, SUM(CASE WHEN {DENIED} THEN billed_amount END) AS db FROM mw {{where}} GROUP BY 1) m
-LEFT JOIN (SELECT denial_reason, {CN(f'{DENIED} AND year = {A}')} AS a, {CN(f'{DENIED} AND year = {B}')} AS b
+FULL JOIN (SELECT denial_reason, {CN(f'{DENIED} AND year = {A}')} AS a, {CN(f'{DENIED} AND year = {B}')} AS b
            FROM mw GROUP BY 1) y ON m.denial_reason IS NOT DISTINCT FROM y.denial_reason)
 WHERE denials_base IS NOT NULL OR denials_compare IS NOT NULL OR denials_yoy IS NOT NULL OR denied_billed IS NOT NULL"""
     s["r06_reason_table"] = qm(table.replace("{where}", ""))

@@ -198,3 +198,13 @@ def test_blank_group_vanishes(spark):
     m = with_calendar(claims(spark, rows).withColumn("provider_name", F.lit("n")), "service_date")
     out = evaluate(m, ["Denied Billed $"], ["denial_reason"], [], DEFAULT).collect()
     assert [r["denial_reason"] for r in out] == ["Coding error"]
+
+
+def test_replaced_measure_keeps_rows_outside_the_slicer(spark):
+    """A reason denied only in the base year still shows under a slicer on
+    the compare year (its base-year count is not blank)."""
+    rows = [("p", "Denied", D(2024, 5, 1), 0)] * 3 + [("p", "Paid", D(2025, 5, 1), 1)] * 2
+    m = with_calendar(claims(spark, rows).withColumn("provider_name", F.lit("n")), "service_date")
+    out = {r["denial_reason"]: r for r in evaluate(
+        m, ["Denials Base", "Denied Billed $"], ["denial_reason"], [("year", [2025])], DEFAULT).collect()}
+    assert out["Coding error"]["denials_base"] == 3 and out["Coding error"]["denied_billed"] is None
