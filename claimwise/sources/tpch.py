@@ -27,12 +27,29 @@ NETWORK_ACCTBAL = 5000.0
 
 
 _TABLES: dict = {}
+_VIEWS: dict = {}
+
+
+def _memo(fn):
+    """Views are immutable, lazy DataFrames: build (and analyze) each one
+    once per session and arguments, and let every query start from it."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (fn.__name__, spark, sf_dir, args, tuple(sorted(kwargs.items())))
+        df = _VIEWS.get(key)
+        if df is None:
+            df = _VIEWS[key] = fn(spark, sf_dir, *args, **kwargs)
+        return df
+
+    return wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table; the (immutable, lazy) scan is reused within a session
     so the file listing and footer read happen once per table."""
-    key = (id(spark), sf_dir, name)
+    key = (spark, sf_dir, name)
     df = _TABLES.get(key)
     if df is None:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +80,7 @@ def status_expr(returnflag, linestatus):
     )
 
 
+@_memo
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """provider_id, provider_name, specialty, state, network_status, claim_type."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
@@ -82,6 +100,7 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patient_id, gender, date_of_birth, state, plan_type, enrollment_date."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -151,6 +170,7 @@ def fact_exprs(codes: bool) -> dict:
     return out
 
 
+@_memo
 def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True) -> DataFrame:
     """The claims fact (15 columns of the reference's fact table, minus
     ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
@@ -178,6 +198,7 @@ def model(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients:
     )
 
 
+@_memo
 def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
          with_providers: bool = True, keep_name: bool = False) -> DataFrame:
     """Wide claims in one pass: the provider join that supplies ``claim_type``
@@ -214,6 +235,7 @@ class Star:
 # coded genders, missing states and padded upper-case specialties. Dates are
 # text, as a CSV export would carry them.
 
+@_memo
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _raw_fact(spark, sf_dir, codes=True)
     pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
@@ -262,6 +284,7 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("_copy")
 
 
+@_memo
 def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -278,6 +301,7 @@ def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def raw_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = providers(spark, sf_dir)
     padded = F.when(F.col("provider_id") % 8 == 0, F.concat(F.lit(" "), F.col("specialty"), F.lit(" "))).otherwise(F.col("specialty"))
