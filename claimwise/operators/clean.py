@@ -94,11 +94,17 @@ def parse_claim_dates(df: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
     return df.withColumn("_bad_date", bad).withColumns(cols)
 
 
-def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False) -> DataFrame:
-    """Every cleaning step; rows keep a ``_bad_date`` marker."""
-    d = raw.dropDuplicates()
+def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
+                     after_normalise: bool = False) -> DataFrame:
+    """Every cleaning step; rows keep a ``_bad_date`` marker. By default exact
+    duplicates are dropped before normalising (as the reference does), so a
+    copy written with another date spelling survives; ``after_normalise``
+    drops duplicates of the normalised rows instead."""
+    d = raw if after_normalise else raw.dropDuplicates()
     d = parse_claim_dates(d, cfg)
     d = d.withColumn(cfg.status, title_case(cfg.status))
+    if after_normalise:
+        d = d.dropDuplicates()
     d = fix_negative(d, cfg.billed)
     d = flag_missing(d, cfg.billed, cfg.billed_imputed)
     # read twice below (median input and the rows to fill): compute it once
@@ -108,10 +114,11 @@ def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median:
     return d
 
 
-def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False) -> DataFrame:
+def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
+                 after_normalise: bool = False) -> DataFrame:
     """Clean claims (rows with an unparseable date are left out; see
     ``claim_rejects``)."""
-    return clean_claims_all(raw, cfg, approx_median).where(~F.col("_bad_date")).drop("_bad_date")
+    return clean_claims_all(raw, cfg, approx_median, after_normalise).where(~F.col("_bad_date")).drop("_bad_date")
 
 
 def claim_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:

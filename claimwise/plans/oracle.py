@@ -688,6 +688,22 @@ LEFT JOIN (SELECT plan_type, SUM(paid_amount) AS ytd FROM mw
 LEFT JOIN (SELECT plan_type, {CN(f'{DENIED} AND {FOCUS} AND year = {A}')} AS pa FROM mw GROUP BY 1) x ON m.plan_type = x.plan_type
 LEFT JOIN (SELECT plan_type, {R(RATIO(CN(f"{DENIED} AND network_status = 'In-Network'"), CN(f"{DECIDED} AND network_status = 'In-Network'")), 4)} AS inr
            FROM mw WHERE year = {B} GROUP BY 1) z ON m.plan_type = z.plan_type""".replace("x.inr", "z.inr"))
+    s["m_provider_rank"] = qm(f"""
+SELECT provider_name, {R('excess', 2)} AS excess_pts,
+       CAST(RANK() OVER (ORDER BY COALESCE(excess, 0.0) DESC) AS BIGINT) AS excess_rank,
+       excess >= {C.flag_pts} AS is_flagged
+FROM px WHERE excess IS NOT NULL""", PROVIDER_EXCESS)
+    s["m_plan_cards"] = qm(f"""
+SELECT plan_type, {CN(DECIDED)} AS decided_claims, {CN(DENIED)} AS denied_claims,
+       COUNT(DISTINCT patient_id) AS unique_patients, {M('SUM(billed_amount)', 2)} AS total_billed,
+       {R(RATIO('SUM(paid_amount)', 'SUM(billed_amount)'), 4)} AS paid_to_billed,
+       {R(RATIO(f'SUM(CASE WHEN {DENIED} THEN billed_amount END)', 'SUM(billed_amount)'), 4)} AS denied_share_of_billed,
+       {R(RATIO('SUM(days_to_process)', 'COUNT(days_to_process)'), 2)} AS avg_days_to_process,
+       {CN(DENIED + ' AND ' + FOCUS)} AS prior_auth_denials,
+       {DIFF(CN(DENIED), CN(DENIED + ' AND ' + FOCUS))} AS other_denials,
+       {R(RATIO(CN(f"{DENIED} AND network_status = 'Out-of-Network'"), CN(f"{DECIDED} AND network_status = 'Out-of-Network'")), 4)} AS out_network_denial_rate,
+       {R(RATIO(CN(DENIED + ' AND ' + BEFORE), CN(DECIDED + ' AND ' + BEFORE)), 4)} AS denial_rate_complete
+FROM mw GROUP BY plan_type""")
     s["m_monthly_ytd"] = qm(f"""
 SELECT month_sort, month, {M('paid', 2)} AS total_paid,
        {M('SUM(paid) OVER (PARTITION BY month_sort // 100 ORDER BY month_sort)', 2)} AS paid_ytd,

@@ -198,6 +198,12 @@ def reports() -> dict[str, Query]:
                            "In-Network Denial Rate"], ["plan_type"], year_slicer, C),
         "m_monthly_ytd": lambda s, d: evaluate(
             _model(s, d), ["Total Paid", "Paid YTD", "Denial Rate (trend)"], ["month_sort", "month"], [], C),
+        "m_provider_rank": lambda s, d: evaluate(
+            _model(s, d), ["Excess Denial (pts)", "Excess Rank", "Excess Flag"], ["provider_name"], [], C),
+        "m_plan_cards": lambda s, d: evaluate(
+            _model(s, d), ["Decided Claims", "Denied Claims", "Unique Patients", "Total Billed", "Paid to Billed %",
+                           "Denied Share of Billed", "Avg Days to Process", "Prior Auth Denials", "Other Denials",
+                           "Out-of-Network Denial Rate", "Denial Rate (complete)"], ["plan_type"], [], C),
     }
 
 

@@ -151,6 +151,7 @@ def test_dedup_before_normalising(spark):
     assert c.count() == 2
     res = {r["check_name"]: r["violations"] for r in checks.run_checks(c, {"u": checks.claim_checks()["chk_claim_id_unique"]}).collect()}
     assert res["u"] == 1
+    assert clean.clean_claims(raw, DEFAULT, after_normalise=True).count() == 1
 
 
 def test_status_domain_requires_every_value(spark):
