@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import money, ratio, round_half_up
 from claimwise.operators.ranking import global_index
+from claimwise.session import materialize
 from claimwise.sources.calendar import DATE_COLS, dim_date
 
 PROVIDER_COLS = ("provider_id", "provider_name", "specialty", "network_status")
@@ -125,6 +126,16 @@ def _join_back(main: DataFrame, other: DataFrame, keys: list[str], how: str = "l
     return main.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
 
 
+def _named(pairs) -> dict[str, Column]:
+    """Aggregates given as (name, expression) pairs or already aliased via
+    ``_as`` - kept as a name -> column mapping so they can be rolled up."""
+    return dict(pairs)
+
+
+def _as(col: Column, name: str):
+    return name, col.alias(name)
+
+
 def _grouped(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
@@ -140,66 +151,71 @@ class _Compiler:
         self.before_cut = F.col(c.service_date) < F.lit(c.cutoff_date).cast("date")
 
     # base aggregates over the row context
-    def base_aggs(self, distinct: bool = False) -> list[Column]:
+    def base_aggs(self, distinct: bool = False) -> dict[str, Column]:
         """``distinct``: also count distinct patients (costs a distinct
         aggregation, so only when a measure needs it)."""
         c = self.cfg
-        return [
-            F.count(F.lit(1)).alias("_n"),
-            _cnt(self.decided).alias("_dec"),
-            _cnt(self.denied).alias("_den"),
-            (F.countDistinct(c.patient_id) if distinct else F.lit(None).cast("bigint")).alias("_pat"),
-            F.sum(c.billed).alias("_billed"),
-            F.sum(c.paid).alias("_paid"),
-            F.sum(F.when(self.denied, F.col(c.billed))).alias("_den_billed"),
-            F.sum("days_to_process").alias("_days_sum"),
-            F.count("days_to_process").alias("_days_n"),
-            F.sum(F.when(self.denied, F.col("days_to_process"))).alias("_days_den_sum"),
-            F.count(F.when(self.denied, F.col("days_to_process"))).alias("_days_den_n"),
-            F.sum(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))).alias("_days_paid_sum"),
-            F.count(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))).alias("_days_paid_n"),
-            _cnt(self.denied & self.focus).alias("_pa"),
-            _cnt(self.denied & self.before_cut).alias("_den_cut"),
-            _cnt(self.decided & self.before_cut).alias("_dec_cut"),
-            F.when(F.min(c.claim_type) == F.max(c.claim_type), F.min(c.claim_type)).alias("_type"),
-            F.when(F.min(c.network) == F.max(c.network), F.min(c.network)).alias("_net"),
-        ]
-
-    def replaced(self, column: str, aggs: list[Column]) -> tuple[DataFrame | None, list[Column]]:
+        return _named([
+            _as(F.count(F.lit(1)), "_n"),
+            _as(_cnt(self.decided), "_dec"),
+            _as(_cnt(self.denied), "_den"),
+            _as((F.countDistinct(c.patient_id) if distinct else F.lit(None).cast("bigint")), "_pat"),
+            _as(F.sum(c.billed), "_billed"),
+            _as(F.sum(c.paid), "_paid"),
+            _as(F.sum(F.when(self.denied, F.col(c.billed))), "_den_billed"),
+            _as(F.sum("days_to_process"), "_days_sum"),
+            _as(F.count("days_to_process"), "_days_n"),
+            _as(F.sum(F.when(self.denied, F.col("days_to_process"))), "_days_den_sum"),
+            _as(F.count(F.when(self.denied, F.col("days_to_process"))), "_days_den_n"),
+            _as(F.sum(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))), "_days_paid_sum"),
+            _as(F.count(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))), "_days_paid_n"),
+            _as(_cnt(self.denied & self.focus), "_pa"),
+            _as(_cnt(self.denied & self.before_cut), "_den_cut"),
+            _as(_cnt(self.decided & self.before_cut), "_dec_cut"),
+            _as(F.when(F.min(c.claim_type) == F.max(c.claim_type), F.min(c.claim_type)), "_type"),
+            _as(F.when(F.min(c.network) == F.max(c.network), F.min(c.network)), "_net"),
+        ])
+
+    def replaced(self, column: str, aggs: dict[str, Column]) -> tuple[DataFrame | None, dict[str, Column]]:
         """Aggregates that replace the filter on ``column``: folded into the
         main aggregate when the column is free, else a separate aggregate."""
         if column not in self.ctx.group_by and all(f[0] != column for f in self.ctx.filters):
             return None, aggs
         sub = self.ctx.without([column])
-        return _grouped(sub.apply(self.model), list(sub.group_by), *aggs), []
+        return _grouped(sub.apply(self.model), list(sub.group_by), *aggs.values()), {}
 
-    def year_aggs(self) -> list[Column]:
+    def year_aggs(self) -> dict[str, Column]:
         c, y = self.cfg, F.col("year")
         a, b = F.lit(self.cfg.base_year), F.lit(self.cfg.compare_year)
-        return [
-            _cnt(self.denied & self.focus & (y == a)).alias("_pa_a"),
-            _cnt(self.denied & self.focus & (y == b)).alias("_pa_b"),
-            _cnt(self.denied & (y == a)).alias("_den_a"),
-            _cnt(self.denied & (y == b)).alias("_den_b"),
-        ]
-
-    def network_aggs(self) -> list[Column]:
+        return _named([
+            _as(_cnt(self.denied & self.focus & (y == a)), "_pa_a"),
+            _as(_cnt(self.denied & self.focus & (y == b)), "_pa_b"),
+            _as(_cnt(self.denied & (y == a)), "_den_a"),
+            _as(_cnt(self.denied & (y == b)), "_den_b"),
+        ])
+
+    def network_aggs(self) -> dict[str, Column]:
         c = self.cfg
         inn = F.col(c.network) == F.lit(c.in_network)
         out = F.col(c.network) == F.lit(c.out_network)
-        return [
-            _cnt(self.denied & inn).alias("_den_in"), _cnt(self.decided & inn).alias("_dec_in"),
-            _cnt(self.denied & out).alias("_den_out"), _cnt(self.decided & out).alias("_dec_out"),
-        ]
+        return _named([
+            _as(_cnt(self.denied & inn), "_den_in"), _as(_cnt(self.decided & inn), "_dec_in"),
+            _as(_cnt(self.denied & out), "_den_out"), _as(_cnt(self.decided & out), "_dec_out"),
+        ])
 
-    def peer(self, main: DataFrame) -> DataFrame:
+    def peer(self, main: DataFrame, fine: DataFrame | None = None) -> DataFrame:
         """Denial rate of every provider sharing the row's claim type and
-        network, under the context without provider filters."""
+        network, under the context without provider filters. ``fine`` (the
+        context aggregated by keys, claim type and network, when no provider
+        filter is in force) is rolled up instead of scanning the fact again."""
         c = self.cfg
         sub = self.ctx.without(PROVIDER_COLS + (c.claim_type,))
         keys = list(sub.group_by)
-        p = _grouped(sub.apply(self.model), keys + [c.claim_type, c.network],
-                     _cnt(self.denied).alias("_pd"), _cnt(self.decided).alias("_pn"))
+        if fine is not None:
+            p = fine.groupBy(*keys, c.claim_type, c.network).agg(F.sum("_den").alias("_pd"), F.sum("_dec").alias("_pn"))
+        else:
+            p = _grouped(sub.apply(self.model), keys + [c.claim_type, c.network],
+                         _cnt(self.denied).alias("_pd"), _cnt(self.decided).alias("_pn"))
         p = p.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(c.claim_type).alias("_p_type"),
                      F.col(c.network).alias("_p_net"), ratio("_pd", "_pn").alias("_peer"))
         cond = main["_type"].eqNullSafe(p["_p_type"]) & main["_net"].eqNullSafe(p["_p_net"])
@@ -241,9 +257,20 @@ class _Compiler:
         pk = self.keys + [c.provider_name]
         sub = Context(tuple(pk), self.ctx.filters)
         inner = _Compiler(self.model, sub, c)
-        prov = _grouped(sub.apply(self.model), pk, *inner.base_aggs(),
-                        _cnt(self.denied & F.col(c.reason).isin(*c.coding_reasons)).alias("_coding"))
-        prov = inner.peer(prov)
+        aggs = inner.base_aggs()
+        aggs["_coding"] = _cnt(self.denied & F.col(c.reason).isin(*c.coding_reasons)).alias("_coding")
+        if any(f[0] in PROVIDER_COLS + (c.claim_type,) for f in self.ctx.filters):
+            prov = inner.peer(_grouped(sub.apply(self.model), pk, *aggs.values()))
+        else:
+            # one pass at (keys, provider, claim type, network), rolled up twice
+            additive = {n: a for n, a in aggs.items() if n not in ("_type", "_net", "_pat")}
+            fine_keys = pk + [k for k in (c.claim_type, c.network) if k not in pk]
+            fine = materialize(_grouped(sub.apply(self.model), fine_keys, *additive.values()))
+            prov = fine.groupBy(*pk).agg(
+                *[F.sum(n).alias(n) for n in additive],
+                F.when(F.min(c.claim_type) == F.max(c.claim_type), F.min(c.claim_type)).alias("_type"),
+                F.when(F.min(c.network) == F.max(c.network), F.min(c.network)).alias("_net"))
+            prov = inner.peer(prov, fine)
         rate = ratio("_den", "_dec")
         ex = F.when(rate.isNotNull(), (rate - F.col("_peer")) * F.lit(100.0))
         fl = prov.where(ex >= F.lit(flag_pts))
@@ -264,7 +291,7 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     comp = _Compiler(model, ctx, cfg)
     ms = set(measures)
     keys = list(group_by)
-    aggs = comp.base_aggs(distinct=bool(ms & {"Unique Patients", "KPI Claims Context"}))
+    aggs = comp.base_aggs(distinct=bool(ms & {"Unique Patients", "KPI Claims Context"}))  # name -> column
 
     year_ms = {"Prior Auth Denials Base", "Prior Auth Denials Compare", "Prior Auth YoY %", "Denials Base",
                "Denials Compare", "Denials YoY %", "KPI Prior Auth Context"}
@@ -272,24 +299,42 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     extra = []
     if ms & year_ms:
         sep, folded = comp.replaced("year", comp.year_aggs())
-        aggs += folded
+        aggs.update(folded)
         if sep is not None:
             extra.append((sep, [k for k in keys if k != "year"]))
     if ms & net_ms:
         sep, folded = comp.replaced(cfg.network, comp.network_aggs())
-        aggs += folded
+        aggs.update(folded)
         if sep is not None:
             extra.append((sep, [k for k in keys if k != cfg.network]))
-    main = _grouped(ctx.apply(model), keys, *aggs)
+    peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
+    distinct = bool(ms & {"Unique Patients", "KPI Claims Context"})
+    provider_filtered = any(f[0] in PROVIDER_COLS + (cfg.claim_type,) for f in ctx.filters)
+    fine = None
+    if ms & peer_ms and not distinct and not provider_filtered:
+        # one pass over the fact at grain (keys, claim type, network); the
+        # rows and the peer rates are both roll-ups of it (additive measures)
+        fine_keys = keys + [k for k in (cfg.claim_type, cfg.network) if k not in keys]
+        additive = {n: a for n, a in aggs.items() if n not in ("_type", "_net", "_pat")}
+        # small (keys x type x network) and read by two roll-ups with different
+        # projections, which column pruning would otherwise turn into two
+        # separate passes over the fact
+        fine = materialize(_grouped(ctx.apply(model), fine_keys, *additive.values()))
+        rolled = [F.sum(n).alias(n) for n in additive]
+        main = _grouped(fine, keys, *rolled,
+                        F.lit(None).cast("bigint").alias("_pat"),
+                        F.when(F.min(cfg.claim_type) == F.max(cfg.claim_type), F.min(cfg.claim_type)).alias("_type"),
+                        F.when(F.min(cfg.network) == F.max(cfg.network), F.min(cfg.network)).alias("_net"))
+    else:
+        main = _grouped(ctx.apply(model), keys, *aggs.values())
     for sep, k in extra:
         # the replaced column was only filtered: rows seen only without the
         # filter still belong to the result (full join); if it was grouped,
         # its value is fixed by the row and the join stays a left join
         main = _join_back(main, sep, k, "full" if len(k) == len(keys) else "left")
 
-    peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
     if ms & peer_ms:
-        main = comp.peer(main)
+        main = comp.peer(main, fine)
     if ms & {"Paid YTD", "Denial Rate (trend)"}:
         main = comp.last_dates(main)
     if "Paid YTD" in ms:
