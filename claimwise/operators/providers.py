@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import count_if, money, pct, ratio, round_half_up, safe_avg, sum_if
 from claimwise.operators.kpis import decided, denied, paid_status
+from claimwise.session import materialize
 
 
 def provider_stats(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
@@ -36,6 +37,9 @@ def provider_stats(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAU
     )
     names = providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.provider_name)
     g = g.join(names, g[cfg.provider_id] == names["_pk"], "left").drop("_pk")
+    # one row per provider, read by the peer roll-up and by the result:
+    # written once so the fact is aggregated in a single pass
+    g = materialize(g)
     peers = g.groupBy(cfg.claim_type, cfg.network).agg(
         F.sum("denials").alias("_peer_denials"), F.sum("decided_claims").alias("_peer_decided")
     )
