@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import age_at, age_band, days_between, month_label, year_of
+from claimwise.sources.joins import checked_broadcast
 
 
 def enrich_patients(claims: DataFrame, patients: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
     """Left join date_of_birth and plan_type on patient_id."""
-    p = patients.select(F.col(cfg.patient_id).alias("_pk"), cfg.date_of_birth, cfg.plan_type)
+    p = checked_broadcast(patients.select(F.col(cfg.patient_id).alias("_pk"), cfg.date_of_birth, cfg.plan_type))
     return claims.join(p, claims[cfg.patient_id] == p["_pk"], "left").drop("_pk")
 
 
 def enrich_providers(claims: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
     """Left join specialty and network_status on provider_id."""
-    p = providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.specialty, cfg.network)
+    p = checked_broadcast(providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.specialty, cfg.network))
     return claims.join(p, claims[cfg.provider_id] == p["_pk"], "left").drop("_pk")
 
 

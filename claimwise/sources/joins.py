@@ -23,12 +23,14 @@ def max_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("claimwise.broadcastMaxRows", str(DEFAULT_MAX_ROWS)))
 
 
-def checked_broadcast(dim: DataFrame, key: str) -> DataFrame:
+def checked_broadcast(dim: DataFrame, key: str | None = None) -> DataFrame:
     """``broadcast(dim)`` if its measured row count is within the bound,
-    else ``dim`` unchanged. ``key`` identifies the dimension (e.g. path and
-    name) so the count runs once per session."""
-    n = _ROWS.get(key)
+    else ``dim`` unchanged. ``key`` identifies a base dimension (e.g. path
+    and name) so the count runs once per session; a derived dimension
+    (``key=None``) is counted each time."""
+    n = _ROWS.get(key) if key else None
     if n is None:
         n = dim.count()
-        _ROWS[key] = n
+        if key:
+            _ROWS[key] = n
     return F.broadcast(dim) if n <= max_rows(dim) else dim
