@@ -141,39 +141,53 @@ def _grouped(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 
 class _Compiler:
-    def __init__(self, model: DataFrame, ctx: Context, cfg: ClaimsConfig):
-        self.model, self.ctx, self.cfg = model, ctx, cfg
+    """``scope``: a slicer folded into the aggregates as a predicate (the
+    rows outside it still reach the grouping, for measures that replace that
+    slicer), instead of a filter on the input."""
+
+    def __init__(self, model: DataFrame, ctx: Context, cfg: ClaimsConfig, scope: Column | None = None):
+        self.model, self.ctx, self.cfg, self.scope = model, ctx, cfg, scope
         self.keys = list(ctx.group_by)
         c = cfg
-        self.denied = F.col(c.status) == F.lit(c.status_denied)
-        self.decided = F.col(c.status) != F.lit(c.status_pending)
+        self.denied = self._s(F.col(c.status) == F.lit(c.status_denied))
+        self.decided = self._s(F.col(c.status) != F.lit(c.status_pending))
         self.focus = F.col(c.reason) == F.lit(c.focus_reason)
         self.before_cut = F.col(c.service_date) < F.lit(c.cutoff_date).cast("date")
 
+    def _s(self, pred: Column) -> Column:
+        return pred if self.scope is None else self.scope & pred
+
+    def _w(self, x) -> Column:
+        x = F.col(x) if isinstance(x, str) else x
+        return x if self.scope is None else F.when(self.scope, x)
+
     # base aggregates over the row context
     def base_aggs(self, distinct: bool = False) -> dict[str, Column]:
         """``distinct``: also count distinct patients (costs a distinct
         aggregation, so only when a measure needs it)."""
         c = self.cfg
+        w = self._w
+        rows = F.count(F.lit(1)) if self.scope is None else _cnt(self.scope)
+        paid_status = F.col(c.status) == F.lit(c.status_paid)
         return _named([
-            _as(F.count(F.lit(1)), "_n"),
+            _as(rows, "_n"),
             _as(_cnt(self.decided), "_dec"),
             _as(_cnt(self.denied), "_den"),
-            _as((F.countDistinct(c.patient_id) if distinct else F.lit(None).cast("bigint")), "_pat"),
-            _as(F.sum(c.billed), "_billed"),
-            _as(F.sum(c.paid), "_paid"),
+            _as((F.countDistinct(w(c.patient_id)) if distinct else F.lit(None).cast("bigint")), "_pat"),
+            _as(F.sum(w(c.billed)), "_billed"),
+            _as(F.sum(w(c.paid)), "_paid"),
             _as(F.sum(F.when(self.denied, F.col(c.billed))), "_den_billed"),
-            _as(F.sum("days_to_process"), "_days_sum"),
-            _as(F.count("days_to_process"), "_days_n"),
+            _as(F.sum(w("days_to_process")), "_days_sum"),
+            _as(F.count(w("days_to_process")), "_days_n"),
             _as(F.sum(F.when(self.denied, F.col("days_to_process"))), "_days_den_sum"),
             _as(F.count(F.when(self.denied, F.col("days_to_process"))), "_days_den_n"),
-            _as(F.sum(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))), "_days_paid_sum"),
-            _as(F.count(F.when(F.col(c.status) == F.lit(c.status_paid), F.col("days_to_process"))), "_days_paid_n"),
+            _as(F.sum(F.when(self._s(paid_status), F.col("days_to_process"))), "_days_paid_sum"),
+            _as(F.count(F.when(self._s(paid_status), F.col("days_to_process"))), "_days_paid_n"),
             _as(_cnt(self.denied & self.focus), "_pa"),
             _as(_cnt(self.denied & self.before_cut), "_den_cut"),
             _as(_cnt(self.decided & self.before_cut), "_dec_cut"),
-            _as(F.when(F.min(c.claim_type) == F.max(c.claim_type), F.min(c.claim_type)), "_type"),
-            _as(F.when(F.min(c.network) == F.max(c.network), F.min(c.network)), "_net"),
+            _as(F.when(F.min(w(c.claim_type)) == F.max(w(c.claim_type)), F.min(w(c.claim_type))), "_type"),
+            _as(F.when(F.min(w(c.network)) == F.max(w(c.network)), F.min(w(c.network))), "_net"),
         ])
 
     def replaced(self, column: str, aggs: dict[str, Column]) -> tuple[DataFrame | None, dict[str, Column]]:
@@ -291,18 +305,37 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     comp = _Compiler(model, ctx, cfg)
     ms = set(measures)
     keys = list(group_by)
-    aggs = comp.base_aggs(distinct=bool(ms & {"Unique Patients", "KPI Claims Context"}))  # name -> column
-
     year_ms = {"Prior Auth Denials Base", "Prior Auth Denials Compare", "Prior Auth YoY %", "Denials Base",
                "Denials Compare", "Denials YoY %", "KPI Prior Auth Context"}
     net_ms = {"In-Network Denial Rate", "Out-of-Network Denial Rate", "KPI Network Context"}
+    # a slicer on a column that some requested measure replaces, and that is
+    # not grouped: fold it into the other aggregates as a predicate, so one
+    # pass over the unsliced context serves both kinds of measure
+    replaced_cols = [col for col, fam in (("year", year_ms), (cfg.network, net_ms)) if ms & fam]
+    fold = [col for col in replaced_cols if col not in keys and any(f[0] == col for f in ctx.filters)]
+
+    def scope(exclude=None):
+        pred = None
+        for col, values in ctx.filters:
+            if col in fold and col != exclude:
+                p = F.col(col).isin(*values)
+                pred = p if pred is None else pred & p
+        return pred
+
+    base_ctx = ctx.without(fold)
+    if fold:
+        comp = _Compiler(model, ctx, cfg, scope=scope())
+    aggs = comp.base_aggs(distinct=bool(ms & {"Unique Patients", "KPI Claims Context"}))  # name -> column
+    for col, fam, builder in (("year", year_ms, "year_aggs"), (cfg.network, net_ms, "network_aggs")):
+        if col in fold:
+            aggs.update(getattr(_Compiler(model, ctx, cfg, scope=scope(exclude=col)), builder)())
     extra = []
-    if ms & year_ms:
+    if ms & year_ms and "year" not in fold:
         sep, folded = comp.replaced("year", comp.year_aggs())
         aggs.update(folded)
         if sep is not None:
             extra.append((sep, [k for k in keys if k != "year"]))
-    if ms & net_ms:
+    if ms & net_ms and cfg.network not in fold:
         sep, folded = comp.replaced(cfg.network, comp.network_aggs())
         aggs.update(folded)
         if sep is not None:
@@ -319,14 +352,14 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
         # small (keys x type x network) and read by two roll-ups with different
         # projections, which column pruning would otherwise turn into two
         # separate passes over the fact
-        fine = materialize(_grouped(ctx.apply(model), fine_keys, *additive.values()))
+        fine = materialize(_grouped(base_ctx.apply(model), fine_keys, *additive.values()))
         rolled = [F.sum(n).alias(n) for n in additive]
         main = _grouped(fine, keys, *rolled,
                         F.lit(None).cast("bigint").alias("_pat"),
                         F.when(F.min(cfg.claim_type) == F.max(cfg.claim_type), F.min(cfg.claim_type)).alias("_type"),
                         F.when(F.min(cfg.network) == F.max(cfg.network), F.min(cfg.network)).alias("_net"))
     else:
-        main = _grouped(ctx.apply(model), keys, *aggs.values())
+        main = _grouped(base_ctx.apply(model), keys, *aggs.values())
     for sep, k in extra:
         # the replaced column was only filtered: rows seen only without the
         # filter still belong to the result (full join); if it was grouped,
@@ -338,7 +371,8 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     if ms & {"Paid YTD", "Denial Rate (trend)"}:
         main = comp.last_dates(main)
     if "Paid YTD" in ms:
-        main = comp.ytd(main)
+        # the grouped rows (one per result row) are read twice by the YTD join
+        main = comp.ytd(materialize(main))
     if ms & {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}:
         main = comp.flagged(main, flag_pts)
 
