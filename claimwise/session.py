@@ -44,15 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``
-    (shared storage on a cluster): an intermediate read by several
-    branches is computed once, and its content no longer depends on a
-    recomputation after an executor is lost."""
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    # persisted first so that writing the checkpoint does not recompute it
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    """Cut lineage by writing ``df`` as a Parquet table under
+    ``spark.checkpoint.dir`` (shared storage on a cluster) and reading it
+    back: an intermediate read by several branches is computed once, its
+    content no longer depends on a recomputation after an executor is lost,
+    and later reads get column pruning and filter pushdown (which an RDD
+    checkpoint cannot offer). One job; the table lives under the
+    checkpoint folder, which the cluster's housekeeping owns."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/claimwise-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
