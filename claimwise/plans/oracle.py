@@ -677,17 +677,22 @@ SELECT NULLIF(COUNT(*), 0) AS flagged_providers, {M('SUM(den_billed)', 2)} AS fl
        {R(RATIO('SUM(coding)', 'SUM(den)'), 4)} AS flagged_coding_share,
        {PCTTXT(RATIO('SUM(den_billed)', f'(SELECT SUM(CASE WHEN {DENIED} THEN billed_amount END) FROM mw)'), 1)} || ' of all denied charges' AS kpi_flagged_context
 FROM px WHERE excess >= {C.flag_pts}""", PROVIDER_EXCESS)
+    yb = f"year = {B}"
     s["m_plan_year"] = qm(f"""
-SELECT m.plan_type, m.total_claims, m.denial_rate, {M('y.ytd', 2)} AS paid_ytd, m.denial_rate_trend,
-       x.pa AS prior_auth_denials_base, x.inr AS in_network_denial_rate
-FROM (SELECT plan_type, COUNT(*) AS total_claims, {R(den_rate, 4)} AS denial_rate,
-             CASE WHEN DATE '{B}-12-31' < DATE '{C.cutoff_date}' THEN {R(den_rate, 4)} END AS denial_rate_trend
-      FROM mw WHERE year = {B} GROUP BY 1) m
-LEFT JOIN (SELECT plan_type, SUM(paid_amount) AS ytd FROM mw
-           WHERE service_date BETWEEN DATE '{B}-01-01' AND DATE '{B}-12-31' GROUP BY 1) y ON m.plan_type = y.plan_type
-LEFT JOIN (SELECT plan_type, {CN(f'{DENIED} AND {FOCUS} AND year = {A}')} AS pa FROM mw GROUP BY 1) x ON m.plan_type = x.plan_type
-LEFT JOIN (SELECT plan_type, {R(RATIO(CN(f"{DENIED} AND network_status = 'In-Network'"), CN(f"{DECIDED} AND network_status = 'In-Network'")), 4)} AS inr
-           FROM mw WHERE year = {B} GROUP BY 1) z ON m.plan_type = z.plan_type""".replace("x.inr", "z.inr"))
+SELECT * FROM (
+  SELECT a.plan_type, {CN(yb)} AS total_claims,
+         {R(RATIO(CN(f'{DENIED} AND {yb}'), CN(f'{DECIDED} AND {yb}')), 4)} AS denial_rate,
+         {M('MIN(y.ytd)', 2)} AS paid_ytd,
+         CASE WHEN DATE '{B}-12-31' < DATE '{C.cutoff_date}'
+              THEN {R(RATIO(CN(f'{DENIED} AND {yb}'), CN(f'{DECIDED} AND {yb}')), 4)} END AS denial_rate_trend,
+         {CN(f'{DENIED} AND {FOCUS} AND year = {A}')} AS prior_auth_denials_base,
+         {R(RATIO(CN(f"{DENIED} AND network_status = 'In-Network' AND {yb}"), CN(f"{DECIDED} AND network_status = 'In-Network' AND {yb}")), 4)} AS in_network_denial_rate
+  FROM mw a
+  LEFT JOIN (SELECT plan_type, SUM(paid_amount) AS ytd FROM mw
+             WHERE service_date BETWEEN DATE '{B}-01-01' AND DATE '{B}-12-31' GROUP BY 1) y ON a.plan_type = y.plan_type
+  GROUP BY a.plan_type)
+WHERE total_claims IS NOT NULL OR denial_rate IS NOT NULL OR paid_ytd IS NOT NULL OR denial_rate_trend IS NOT NULL
+   OR prior_auth_denials_base IS NOT NULL OR in_network_denial_rate IS NOT NULL""")
     s["m_provider_rank"] = qm(f"""
 SELECT provider_name, {R('excess', 2)} AS excess_pts,
        CAST(RANK() OVER (ORDER BY COALESCE(excess, 0.0) DESC) AS BIGINT) AS excess_rank,
