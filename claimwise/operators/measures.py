@@ -37,9 +37,10 @@ from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import money, ratio, round_half_up
 from claimwise.operators.ranking import global_index
 from claimwise.session import materialize
-from claimwise.sources.calendar import DATE_COLS, dim_date
+from claimwise.sources.calendar import DATE_COLS, calendar_attrs, dim_date
 
 PROVIDER_COLS = ("provider_id", "provider_name", "specialty", "network_status")
+FLAGGED_MS = {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}
 
 # The catalog's measure names and their output columns.
 MEASURES = {
@@ -249,13 +250,15 @@ class _Compiler:
         lastd = _grouped(cal, dkeys, F.max("date").alias("_last"))
         return _join_back(main, lastd, dkeys)
 
-    def ytd(self, main: DataFrame) -> DataFrame:
+    def ytd(self, main: DataFrame, per_day: DataFrame | None = None) -> DataFrame:
         """TOTALYTD(Total Paid): paid from 1 January of the year of the
-        context's last date up to that date; date filters are replaced."""
+        context's last date up to that date; date filters are replaced.
+        ``per_day`` (non-date keys, service date, paid) may be supplied."""
         c = self.cfg
         sub = self.ctx.without(DATE_COLS)
         nkeys = list(sub.group_by)
-        per_day = _grouped(sub.apply(self.model), nkeys + [c.service_date], F.sum(c.paid).alias("_dp"))
+        if per_day is None:
+            per_day = _grouped(sub.apply(self.model), nkeys + [c.service_date], F.sum(c.paid).alias("_dp"))
         rows = main.select(*self.keys, "_last").distinct()
         per_day = per_day.select(*[F.col(k).alias(f"_y_{k}") for k in nkeys], F.col(c.service_date).alias("_d"), "_dp")
         cond = (F.year("_d") == F.year("_last")) & (F.col("_d") <= F.col("_last"))
@@ -330,20 +333,23 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
         if col in fold:
             aggs.update(getattr(_Compiler(model, ctx, cfg, scope=scope(exclude=col)), builder)())
     extra = []
+    separate = set()
     if ms & year_ms and "year" not in fold:
         sep, folded = comp.replaced("year", comp.year_aggs())
         aggs.update(folded)
         if sep is not None:
             extra.append((sep, [k for k in keys if k != "year"]))
+            separate.add("year")
     if ms & net_ms and cfg.network not in fold:
         sep, folded = comp.replaced(cfg.network, comp.network_aggs())
         aggs.update(folded)
         if sep is not None:
             extra.append((sep, [k for k in keys if k != cfg.network]))
+            separate.add(cfg.network)
     peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
     distinct = bool(ms & {"Unique Patients", "KPI Claims Context"})
     provider_filtered = any(f[0] in PROVIDER_COLS + (cfg.claim_type,) for f in ctx.filters)
-    fine = None
+    fine = per_day = None
     if ms & peer_ms and not distinct and not provider_filtered:
         # one pass over the fact at grain (keys, claim type, network); the
         # rows and the peer rates are both roll-ups of it (additive measures)
@@ -358,6 +364,38 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
                         F.lit(None).cast("bigint").alias("_pat"),
                         F.when(F.min(cfg.claim_type) == F.max(cfg.claim_type), F.min(cfg.claim_type)).alias("_type"),
                         F.when(F.min(cfg.network) == F.max(cfg.network), F.min(cfg.network)).alias("_net"))
+    elif "Paid YTD" in ms and not distinct and not ms & FLAGGED_MS:
+        # one pass at (non-date keys, service day): date slicers become
+        # predicates inside the row measures, the year-to-date sums read the
+        # same small table, and date group keys are calendar attributes of
+        # the day - instead of a second pass over the fact for the YTD
+        day_fold = fold + [f[0] for f in ctx.filters if f[0] in DATE_COLS and f[0] not in fold]
+
+        def dscope(exclude=None, only=None):
+            pred = None
+            for col, values in ctx.filters:
+                if col in day_fold and col != exclude and (only is None or only(col)):
+                    p = F.col(col).isin(*values)
+                    pred = p if pred is None else pred & p
+            return pred
+
+        nkeys = [k for k in keys if k not in DATE_COLS]
+        daggs = {n: a for n, a in _Compiler(model, ctx, cfg, scope=dscope()).base_aggs().items()
+                 if n not in ("_type", "_net", "_pat")}
+        for col, fam, builder in (("year", year_ms, "year_aggs"), (cfg.network, net_ms, "network_aggs")):
+            if ms & fam and col not in separate:
+                sc = dscope(exclude=col) if col in fold else dscope()
+                daggs.update(getattr(_Compiler(model, ctx, cfg, scope=sc), builder)())
+        non_date = dscope(only=lambda col: col not in DATE_COLS)
+        paid = F.col(cfg.paid) if non_date is None else F.when(non_date, F.col(cfg.paid))
+        daggs["_dp"] = F.sum(paid).alias("_dp")
+        day = materialize(_grouped(ctx.without(day_fold).apply(model), nkeys + [cfg.service_date], *daggs.values()))
+        attrs = calendar_attrs(F.col(cfg.service_date))
+        rolled = day.withColumns({k: attrs[k] for k in keys if k in attrs})
+        main = _grouped(rolled, keys, *[F.sum(n).alias(n) for n in daggs if n != "_dp"],
+                        *[F.lit(None).cast("string").alias(n) for n in ("_type", "_net")],
+                        F.lit(None).cast("bigint").alias("_pat"))
+        per_day = day.select(*nkeys, cfg.service_date, "_dp")
     else:
         main = _grouped(base_ctx.apply(model), keys, *aggs.values())
     for sep, k in extra:
@@ -371,8 +409,11 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     if ms & {"Paid YTD", "Denial Rate (trend)"}:
         main = comp.last_dates(main)
     if "Paid YTD" in ms:
-        # the grouped rows (one per result row) are read twice by the YTD join
-        main = comp.ytd(materialize(main))
+        if per_day is not None:
+            main = comp.ytd(main, per_day)
+        else:
+            # the grouped rows (one per result row) are read twice by the YTD join
+            main = comp.ytd(materialize(main))
     if ms & {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}:
         main = comp.flagged(main, flag_pts)
 

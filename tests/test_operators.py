@@ -209,3 +209,15 @@ def test_replaced_measure_keeps_rows_outside_the_slicer(spark):
     out = {r["denial_reason"]: r for r in evaluate(
         m, ["Denials Base", "Denied Billed $"], ["denial_reason"], [("year", [2025])], DEFAULT).collect()}
     assert out["Coding error"]["denials_base"] == 3 and out["Coding error"]["denied_billed"] is None
+
+
+def test_ytd_under_quarter_slicer(spark):
+    """Paid YTD replaces the date slicer (Jan 1 .. end of the sliced quarter);
+    Total Paid respects it; a network slicer stays in force for both."""
+    cfg = DEFAULT.with_(calendar_start="2024-01-01", calendar_end="2024-12-31")
+    rows = [("p", "Paid", D(2024, 2, 1), 10), ("p", "Paid", D(2024, 5, 1), 20), ("p", "Paid", D(2024, 8, 1), 40)]
+    m = with_calendar(claims(spark, rows).withColumn("provider_name", F.lit("n")), "service_date")
+    r = evaluate(m, ["Paid YTD", "Total Paid"], [], [("quarter_label", ["2024 Q2"])], cfg).first()
+    assert (r["paid_ytd"], r["total_paid"]) == (30.0, 20.0)
+    out = evaluate(m, ["Paid YTD", "Total Paid"], [], [("quarter_label", ["2024 Q2"]), ("network_status", ["Out-of-Network"])], cfg)
+    assert out.count() == 0   # every claim is in network: all measures blank
