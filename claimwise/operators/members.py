@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
-from claimwise.functions import age_band, count_if, money, pct, ratio, round_half_up
+from claimwise.functions import age_band, count_if, money, pct, round_half_up
 from claimwise.functions.numeric import safe_avg
 from claimwise.operators.kpis import decided, denied, paid_status
 from claimwise.operators.ranking import ntile
@@ -53,7 +53,3 @@ def age_groups(w: DataFrame, cfg: ClaimsConfig = DEFAULT, edges: tuple = (18, 35
         "age_group", "claims", pct("_denied", "_decided").alias("denial_rate_pct"),
         round_half_up("_avg_paid", 0).alias("avg_paid"),
     ).orderBy("age_group")
-
-
-def _unused(*_):  # keep imports referenced for linters
-    return ratio
