@@ -51,3 +51,16 @@ def test_checks_pass_on_clean_tables(spark, q):
             assert all(r["passed"] for r in df.collect()), key
         else:
             assert all(v == 0 for v in df.first()), key
+
+
+def test_sample_values_reproducible_and_drawn_from_column(spark):
+    from claimwise.operators.profile import sample_values
+    from claimwise.sources import tpch
+
+    raw = tpch.raw_claims(spark, SF_SMALL)
+    a = [r[0] for r in sample_values(raw, "service_date", 8, 1, key="claim_id").collect()]
+    b = [r[0] for r in sample_values(raw, "service_date", 8, 1, key="claim_id").collect()]
+    c = [r[0] for r in sample_values(raw, "service_date", 8, 2, key="claim_id").collect()]
+    assert a == b and len(a) == 8 and a != c
+    values = {r[0] for r in raw.select("service_date").distinct().collect()}
+    assert set(a) <= values
