@@ -127,11 +127,11 @@ def _constraints(table, df):
 def _fk(spark, d):
     from pyspark.sql import functions as F
 
+    from claimwise.operators.checks import foreign_key_violations
+
     c, pa, pr = _clean_star(spark, d)
-    a = c.join(pa.select(F.col("patient_id").alias("_k")), F.col("patient_id") == F.col("_k"), "left_anti").agg(
-        F.count(F.lit(1)).alias("claim_patient_fk"))
-    b = c.join(pr.select(F.col("provider_id").alias("_k")), F.col("provider_id") == F.col("_k"), "left_anti").agg(
-        F.count(F.lit(1)).alias("claim_provider_fk"))
+    a = foreign_key_violations(c, pa, "patient_id", "patient_id", "claim_patient_fk")
+    b = foreign_key_violations(c, pr, "provider_id", "provider_id", "claim_provider_fk")
     # two one-row aggregates side by side
     return a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j").drop("_j")
 

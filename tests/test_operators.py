@@ -221,3 +221,8 @@ def test_ytd_under_quarter_slicer(spark):
     assert (r["paid_ytd"], r["total_paid"]) == (30.0, 20.0)
     out = evaluate(m, ["Paid YTD", "Total Paid"], [], [("quarter_label", ["2024 Q2"]), ("network_status", ["Out-of-Network"])], cfg)
     assert out.count() == 0   # every claim is in network: all measures blank
+
+
+def test_default_clause(spark):
+    df = spark.createDataFrame([(1,), (None,)], "billed_imputed int")
+    assert [r[0] for r in checks.with_default(df, "billed_imputed", 0).collect()] == [1, 0]
