@@ -20,21 +20,43 @@ from claimwise.operators.kpis import decided, denied, paid_status
 from claimwise.session import materialize
 
 
-def provider_stats(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
+def _provider_aggs(cfg: ClaimsConfig, scope=None) -> list:
+    """Per-provider figures; ``scope`` restricts every figure to the rows
+    where it holds (e.g. decided claims only)."""
+    def w(col):
+        return F.col(col) if scope is None else F.when(scope, F.col(col))
+
+    def s(pred):
+        return pred if scope is None else scope & pred
+
+    return [
+        count_if(s(decided(cfg))).alias("decided_claims"),
+        count_if(s(denied(cfg))).alias("denials"),
+        F.coalesce(sum_if(cfg.billed, s(denied(cfg))), F.lit(0).cast("decimal(18,2)")).alias("denied_billed"),
+        F.sum(w(cfg.paid)).alias("paid"),
+        (F.count(F.lit(1)) if scope is None else count_if(scope)).alias("claims"),
+        F.min(w(cfg.claim_type)).alias(cfg.claim_type),
+        F.min(w(cfg.network)).alias(cfg.network),
+        F.min(w(cfg.specialty)).alias(cfg.specialty),
+    ]
+
+
+def _roll_up_providers(fine: DataFrame, cfg: ClaimsConfig) -> DataFrame:
+    """Per-provider figures from a finer (provider, ...) aggregate."""
+    return fine.groupBy(cfg.provider_id).agg(
+        *[F.sum(c).alias(c) for c in ("decided_claims", "denials", "denied_billed", "paid", "claims")],
+        *[F.min(c).alias(c) for c in (cfg.claim_type, cfg.network, cfg.specialty)],
+    )
+
+
+def provider_stats(w: DataFrame | None, providers: DataFrame, cfg: ClaimsConfig = DEFAULT,
+                   per_provider: DataFrame | None = None) -> DataFrame:
     """One row per provider with claims: decided, denials, denied billed,
     paid (all statuses), claims, type/network/specialty, name, rate, peer
     rate (sum of denials / sum of decided over the provider's claim type and
-    network) and excess in points. Rates are unrounded doubles."""
-    g = w.groupBy(cfg.provider_id).agg(
-        count_if(decided(cfg)).alias("decided_claims"),
-        count_if(denied(cfg)).alias("denials"),
-        F.coalesce(sum_if(cfg.billed, denied(cfg)), F.lit(0).cast("decimal(18,2)")).alias("denied_billed"),
-        F.sum(cfg.paid).alias("paid"),
-        F.count(F.lit(1)).alias("claims"),
-        F.min(cfg.claim_type).alias(cfg.claim_type),
-        F.min(cfg.network).alias(cfg.network),
-        F.min(cfg.specialty).alias(cfg.specialty),
-    )
+    network) and excess in points. Rates are unrounded doubles.
+    ``per_provider`` supplies the per-provider figures already aggregated."""
+    g = per_provider if per_provider is not None else w.groupBy(cfg.provider_id).agg(*_provider_aggs(cfg))
     names = providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.provider_name)
     g = g.join(names, g[cfg.provider_id] == names["_pk"], "left").drop("_pk")
     # one row per provider, read by the peer roll-up and by the result:
@@ -56,12 +78,14 @@ def provider_stats(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAU
 
 
 def provider_outliers(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT,
-                      min_decided: int | None = None, k: int | None = None) -> DataFrame:
+                      min_decided: int | None = None, k: int | None = None,
+                      stats: DataFrame | None = None) -> DataFrame:
     """q06: providers with at least ``min_decided`` decided claims, ordered
-    by rounded excess over peers (ties by provider id), top ``k``."""
+    by rounded excess over peers (ties by provider id), top ``k``.
+    ``stats``: ``provider_stats`` over decided claims, if already built."""
     min_decided = cfg.min_decided if min_decided is None else min_decided
     k = k or cfg.top_k
-    s = provider_stats(w.where(decided(cfg)), providers, cfg)
+    s = stats if stats is not None else provider_stats(w.where(decided(cfg)), providers, cfg)
     s = s.where(F.col("decided_claims") >= F.lit(min_decided)).select(
         cfg.provider_id,
         cfg.provider_name,
@@ -82,8 +106,16 @@ def top_reasons_flagged(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig =
     DataFrame of names, or None = the 3 worst providers of ``provider_outliers``."""
     if names is None and cfg.flagged_providers:
         names = list(cfg.flagged_providers)
+    per_reason = None
     if names is None:
-        names_df = provider_outliers(w, providers, cfg, k=3).select(cfg.provider_name)
+        # one pass over the fact at (provider, reason): the outlier ranking
+        # (decided claims only) and the reason counts both roll up from it
+        per_reason = materialize(
+            w.groupBy(cfg.provider_id, cfg.reason).agg(*_provider_aggs(cfg, scope=decided(cfg)))
+        )
+        per_provider = _roll_up_providers(per_reason, cfg).where(F.col("decided_claims") > 0)
+        stats = provider_stats(None, providers, cfg, per_provider=per_provider)
+        names_df = provider_outliers(w, providers, cfg, k=3, stats=stats).select(cfg.provider_name)
     elif isinstance(names, DataFrame):
         names_df = names.select(cfg.provider_name)
     else:
@@ -92,8 +124,12 @@ def top_reasons_flagged(w: DataFrame, providers: DataFrame, cfg: ClaimsConfig =
     flagged = providers.join(names_df.distinct(), cfg.provider_name, "left_semi").select(
         F.col(cfg.provider_id).alias("_pk"), cfg.provider_name
     )
-    d = w.where(denied(cfg)).join(flagged, F.col(cfg.provider_id) == F.col("_pk"))
-    g = d.groupBy(cfg.provider_name, cfg.reason).agg(F.count(F.lit(1)).alias("denials"))
+    if per_reason is not None:
+        d = per_reason.where(F.col("denials") > 0).join(flagged, F.col(cfg.provider_id) == F.col("_pk"))
+        g = d.groupBy(cfg.provider_name, cfg.reason).agg(F.sum("denials").alias("denials"))
+    else:
+        d = w.where(denied(cfg)).join(flagged, F.col(cfg.provider_id) == F.col("_pk"))
+        g = d.groupBy(cfg.provider_name, cfg.reason).agg(F.count(F.lit(1)).alias("denials"))
     rn = F.row_number().over(
         Window.partitionBy(cfg.provider_name).orderBy(F.col("denials").desc(), F.col(cfg.reason))
     )
