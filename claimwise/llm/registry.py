@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimwise.llm import packing
+from claimwise.llm import mixing, packing, token_files, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,77 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(_read(spark, sf_dir, "documents")))
+
+
+# Target weights of the mixing query; other values weigh 1.
+DOMAINS = ["web", "news", "books", "forum"]  # by the number in the source's name
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 4, "news": 3, "books": 2, "forum": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
+
+
+def domain(source: str) -> Column:
+    number = F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)")
+    return F.get(F.array(*map(F.lit, DOMAINS)), F.coalesce(number % len(DOMAINS), F.lit(0)).cast("int"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("domain", domain("source"))
+    small, plan = mixing.plan_mix(docs, MIX_LEVELS, MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    rows = mixing.select_mix(small, plan, MIX_LEVELS, seed=MIX_SEED)
+    return rows.select("doc_id", *MIX_LEVELS, "epoch", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op4_url_filters": op4_url_filters,
+        "op6_token_files": op6_token_files,
+        "op8_mixing": op8_mixing,
     }
 
 
+def _mix_sql() -> str:
+    pick = lambda n: "CASE " + " ".join(f"WHEN {n} = '{v}' THEN {k}" for v, k in MIX_WEIGHTS.get(n, {}).items()) + " ELSE 1 END" if n in MIX_WEIGHTS else "1"
+    steps, up = [], []
+    for i, n in enumerate(MIX_LEVELS):
+        own = MIX_LEVELS[: i + 1]
+        part = f"PARTITION BY {', '.join(up)}" if up else ""
+        on = " AND ".join(f"c.{x} IS NOT DISTINCT FROM p.{x}" for x in up) or "true"
+        steps.append(f"""
+n{i} AS (SELECT c.*, p.given FROM (SELECT {', '.join(own)}, sum(cap)::BIGINT AS cap, {pick(n)} AS weight FROM leaves GROUP BY {', '.join(own)}) c JOIN g{i} p ON {on}),
+l{i} AS (SELECT *, (given - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS lvl
+  FROM n{i} WINDOW w AS ({part} ORDER BY cap::DOUBLE / weight, {n} NULLS FIRST)),
+g{i + 1} AS (SELECT {', '.join(own)}, CASE WHEN cap <= lvl * weight THEN cap::DOUBLE
+    ELSE greatest(0::DOUBLE, max(CASE WHEN NOT cap <= lvl * weight THEN lvl END) OVER ({part})) * weight END AS given FROM l{i})""")
+        up.append(n)
+    lv = ", ".join(MIX_LEVELS)
+    on = " AND ".join(f"d.{x} IS NOT DISTINCT FROM b.{x}" for x in MIX_LEVELS)
+    number = "try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, {DOMAINS!r}[coalesce({number} % {len(DOMAINS)}, 0) + 1] AS domain,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+leaves AS (SELECT {lv}, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {MIX_EPOCHS} AS cap FROM d GROUP BY {lv}),
+g0 AS (SELECT floor(sum(tokens)::DOUBLE * {MIX_SHARE}::DOUBLE) AS given FROM leaves),{','.join(steps)},
+b AS (SELECT l.*, floor(g.given)::BIGINT AS budget, CASE WHEN tokens > 0 THEN floor(floor(g.given) / tokens)::BIGINT ELSE 0 END AS epochs
+  FROM leaves l JOIN g{len(MIX_LEVELS)} g ON {" AND ".join(f"l.{x} IS NOT DISTINCT FROM g.{x}" for x in MIX_LEVELS)}),
+e AS (SELECT d.*, b.budget - b.epochs * b.tokens AS remaining, b.epochs, unnest(range(0, b.epochs + 1)) AS epoch FROM d JOIN b ON {on}),
+o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {lv}, epoch ORDER BY md5('{MIX_SEED}-' || epoch || '-' || coalesce(doc_id::VARCHAR, 'null'))) AS upto FROM e)
+SELECT doc_id, {lv}, epoch::BIGINT AS epoch, n_tokens::BIGINT AS n_tokens FROM o WHERE epoch < epochs OR (remaining > 0 AND upto <= remaining)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filters": urls.judge_sql(URL_RULES),
+        "op8_mixing": _mix_sql(),
+    }
