@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.llm import mixing, packing, token_files, urls
+from claimwise.llm import mixing, packing, substrings, token_files, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"), texts=False)
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -52,6 +56,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_url_filters": op4_url_filters,
         "op6_token_files": op6_token_files,
         "op8_mixing": op8_mixing,
@@ -88,8 +93,28 @@ o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {lv}, epoch ORDER BY md5('{MIX_
 SELECT doc_id, {lv}, epoch::BIGINT AS epoch, n_tokens::BIGINT AS n_tokens FROM o WHERE epoch < epochs OR (remaining > 0 AND upto <= remaining)"""
 
 
+REPEATS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+g AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER v AS seq, count(*) OVER v AS n
+  FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY md5(seq), n ORDER BY doc_id, pos) > 1 AS repeat FROM g),
+c AS (
+  SELECT doc_id, pos, word, bool_or(repeat) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM f),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+  FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),
         "op8_mixing": _mix_sql(),
     }
