@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.llm import mixing, packing, substrings, token_files, urls
+from claimwise.llm import jaccard, mixing, packing, substrings, token_files, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *MIX_LEVELS, "epoch", "n_tokens")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", "copy_of", "n_links", "n_grams")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": op4_url_filters,
         "op6_token_files": op6_token_files,
         "op8_mixing": op8_mixing,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -112,8 +118,25 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN k USING (doc_id)"""
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '' ORDER BY gram)) AS same FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE common >= 0.8 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node AS doc_id, min(root) AS class_id FROM r GROUP BY node),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, CASE WHEN n.n IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY same) END AS copy_of,
+  coalesce(n_links, 0) AS n_links, coalesce(n.n, 0) AS n_grams
+FROM c LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_jaccard_join": JACCARD_SQL,
         "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),
         "op8_mixing": _mix_sql(),
