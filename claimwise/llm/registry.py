@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.llm import jaccard, mixing, packing, substrings, token_files, urls
+from claimwise.llm import jaccard, line_rules, mixing, packing, substrings, token_files, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.quality_rules(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *line_rules.COUNTS, "n_frequent_words", "base_failed", "kept")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(_read(spark, sf_dir, "documents")))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_url_filters": op4_url_filters,
+        "op5_line_rules": op5_line_rules,
         "op6_token_files": op6_token_files,
         "op8_mixing": op8_mixing,
         "op10_jaccard_join": op10_jaccard_join,
@@ -134,8 +140,33 @@ SELECT doc_id, class_id, CASE WHEN n.n IS NULL THEN doc_id ELSE min(doc_id) OVER
 FROM c LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+LINES_SQL = rf"""
+WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, host, text, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t)),
+q AS (SELECT doc_id, host, text, len(lw) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+    translate(array_to_string(lw, ' '), '{urls.UPPER}', '{urls.LOWER}') AS norm FROM l WHERE len(lw) > 0),
+h AS (SELECT host, count(DISTINCT text) AS docs FROM t GROUP BY host),
+f AS (SELECT q.host, norm FROM q JOIN h ON q.host IS NOT DISTINCT FROM h.host GROUP BY q.host, norm, docs
+  HAVING count(DISTINCT text) > {line_rules.MIN_DOCS} AND count(DISTINCT text) > docs * {line_rules.SHARE}::DOUBLE),
+d AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (f.norm IS NOT NULL), 0)::BIGINT AS n_frequent_words
+  FROM q LEFT JOIN f ON q.norm = f.norm AND q.host IS NOT DISTINCT FROM f.host GROUP BY doc_id),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1 AND i <= len(ws) - 2 AS twice
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+r AS (SELECT doc_id, count(*) FILTER (hit) AS n_repeat_words
+  FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM g) GROUP BY doc_id),
+a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^{line_rules.SYMBOLS}]+', '', 'g')) AS n_symbols FROM t),
+b AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_frequent_words, 0) AS n_frequent_words FROM a LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.MOST_REPEATED} * n_words)
+    AND n_frequent_words <= n_words * {line_rules.DEPLETED}::DOUBLE AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_line_rules": LINES_SQL,
         "op10_jaccard_join": JACCARD_SQL,
         "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),
