@@ -240,3 +240,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
                       F.when(alone, F.col(key)).otherwise(F.col("copy_of")).alias("copy_of"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams", "text_hash",
                       (alone | (F.col("node") == F.col("lead"))).alias("keep"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD,
+                recall: float = RECALL) -> DataFrame:
+    """The documents with all their columns, one of each class: the one with the
+    smallest key. Rows with equal key and text count as one."""
+    judged = jaccard_join(docs, key, text, n, threshold, recall).where("keep")
+    use = judged.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+    met = docs.withColumn("_own", F.xxhash64(text)).join(use, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    return met.dropDuplicates([key, "_own"]).drop("_own")

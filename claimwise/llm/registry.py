@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.llm import jaccard, line_rules, mixing, packing, substrings, token_files, urls
+from claimwise.llm import classifier, jaccard, language_model, line_rules, mixing, neighbours, packing, substrings, token_files, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents"), texts=False)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -39,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(_read(spark, sf_dir, "documents")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 # Target weights of the mixing query; other values weigh 1.
 DOMAINS = ["web", "news", "books", "forum"]  # by the number in the source's name
 MIX_LEVELS = ["domain", "lang", "source"]
@@ -58,6 +66,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *MIX_LEVELS, "epoch", "n_tokens")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(_read(spark, sf_dir, "documents")).drop("perplexity")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id", "copy_of", "n_links", "n_grams")
@@ -67,10 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_neighbours": op3_neighbours,
         "op4_url_filters": op4_url_filters,
         "op5_line_rules": op5_line_rules,
         "op6_token_files": op6_token_files,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_mixing": op8_mixing,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
@@ -167,6 +182,7 @@ SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rul
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_rules": LINES_SQL,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_jaccard_join": JACCARD_SQL,
         "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),

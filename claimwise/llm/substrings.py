@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimwise.llm import arrow, words
+from claimwise.llm.cells import CELL, by_part, cells, merge, ranged, split
 from claimwise.llm.ship import ship
 from claimwise.session import materialize
 
@@ -50,7 +51,6 @@ ANCHOR = WINDOW - PERIOD + 1
 SECOND = 0xD6E8FEB86659FD93  # another odd multiplier, for the windows' second hash
 CHUNK_BYTES = 4 << 20  # text per chunk
 CHUNK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("more", T.BinaryType())])
-CELL = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("cell", T.BinaryType())])
 KINDS = {"long": pa.int64(), "string": pa.string()}
 SIDE = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("cell", T.BinaryType())])
 
@@ -101,15 +101,6 @@ def _ipc(b: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _cells(chunk: int, parts: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys cut into ``parts`` even ranges, one packed cell for each."""
-    bounds = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
-    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-    full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-    cells = [arrow.pack_sorted(keys[cuts[p] : cuts[p + 1]], *(c[cuts[p] : cuts[p + 1]] for c in columns)) for p in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(cells, pa.binary())], names=CELL.names)
-
-
 def _cover(w: words.Words) -> np.ndarray:
     """Whether each word is at a cover position of its document."""
     place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], np.diff(w.first))) % PERIOD
@@ -156,20 +147,19 @@ def find_repeats(table: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 h, n = np.unique(_anchors(Chunk(r["docs"]).words, anchor)[0], return_counts=True)
-                yield _cells(r["chunk"], parts, h, np.minimum(n, 2).astype(np.uint8))
+                yield cells(r["chunk"], parts, h, np.minimum(n, 2).astype(np.uint8))
 
     def shared_anchors(batches):
-        rows = _by_part(batches)
-        for group in rows:
-            keys, n, owner = _merge(group)
+        for _, group in by_part(batches):
+            keys, n, owner = merge(group)
             u, start = np.unique(keys, return_index=True)
             twice = np.add.reduceat(n[:, 0].astype(np.int64), start) >= 2 if len(u) else np.zeros(0, bool)
             hit = np.repeat(twice, np.diff(start, append=len(keys)))
-            for chunk, mine in _split(owner[hit], keys[hit]):
+            for chunk, mine in split(owner[hit], keys[hit]):
                 yield _side(group[chunk][0], arrow.pack_sorted(mine))
 
-    cells = table.mapInArrow(anchor_cells, CELL)
-    shared = materialize(_ranged(cells, parts).mapInArrow(shared_anchors, SIDE))
+    sent = table.select("chunk", "docs").mapInArrow(anchor_cells, CELL)
+    shared = materialize(ranged(sent, parts).mapInArrow(shared_anchors, SIDE))
 
     def window_cells(batches):
         for b in batches:
@@ -182,11 +172,11 @@ def find_repeats(table: DataFrame, window: int = WINDOW) -> DataFrame:
                 one = one[np.argsort(h[one], kind="stable")]
                 doc = np.searchsorted(w.words.first, one, "right") - 1
                 key = np.where(w.nulls[doc], np.iinfo(np.int64).min, w.keys[doc])
-                yield _cells(r["chunk"], parts, h[one], (g[one] >> np.uint64(32)).astype(np.uint32), one.astype(np.uint32), key.astype(np.int64))
+                yield cells(r["chunk"], parts, h[one], (g[one] >> np.uint64(32)).astype(np.uint32), one.astype(np.uint32), key.astype(np.int64))
 
     def later_windows(batches):
-        for group in _by_part(batches):
-            keys, cols, owner = _merge(group)
+        for _, group in by_part(batches):
+            keys, cols, owner = merge(group)
             check, at, doc = cols[:, 0], cols[:, 1], cols[:, 2]
             chunk = np.array([c for c, _ in group])[owner]
             order = np.lexsort((at, chunk, doc, check, keys))
@@ -194,48 +184,11 @@ def find_repeats(table: DataFrame, window: int = WINDOW) -> DataFrame:
             a, b = order[1:], order[:-1]
             same[1:] = (keys[a] == keys[b]) & (check[a] == check[b])
             later = order[same]
-            for k, mine in _split(owner[later], at[later]):
+            for k, mine in split(owner[later], at[later]):
                 yield _side(group[k][0], arrow.pack_sorted(np.sort(mine).astype(np.uint64)))
 
     met = table.select("chunk", "docs").join(_gather(shared), "chunk")
-    return _gather(_ranged(met.mapInArrow(window_cells, CELL), parts).mapInArrow(later_windows, SIDE))
-
-
-def _ranged(cells: DataFrame, parts: int) -> DataFrame:
-    """Cells of a range next to each other in one task."""
-    return cells.repartition(parts, "part").sortWithinPartitions("part", "chunk")
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[np.ndarray]]]]:
-    """[(chunk, arrays)] of one hash range after another."""
-    part, group = None, []
-    for b in batches:
-        for p, c, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if p != part and group:
-                yield group
-                group = []
-            part = p
-            group.append((c, arrow.unpack_sorted(cell)))
-    if group:
-        yield group
-
-
-def _merge(group: list[tuple[int, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a range by hash: keys, columns, and the place in
-    ``group`` of the chunk that each comes from."""
-    keys = np.concatenate([a[0] for _, a in group])
-    owner = np.repeat(np.arange(len(group), dtype=np.int32), [len(a[0]) for _, a in group])
-    cols = np.stack([np.concatenate([a[i] for _, a in group]).astype(np.int64) for i in range(1, len(group[0][1]))], axis=1)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], cols[order], owner[order]
-
-
-def _split(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    u, start = np.unique(owner, return_index=True)
-    for k, a, b in zip(u.tolist(), start.tolist(), [*start[1:].tolist(), len(owner)]):
-        yield k, values[a:b]
+    return _gather(ranged(met.mapInArrow(window_cells, CELL), parts).mapInArrow(later_windows, SIDE))
 
 
 def _side(chunk: int, cell: bytes) -> pa.RecordBatch:

@@ -35,6 +35,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """Inverse of :func:`mix`."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64, copy=True)
+        x ^= (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+        x *= np.uint64(pow(MIX_2, -1, 2**64))
+        x ^= (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+        x *= np.uint64(pow(MIX_1, -1, 2**64))
+        x ^= (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    return x
+
+
 _powers: list[np.ndarray] = []
 
 

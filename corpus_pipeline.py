@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage but the last returns the columns of ``documents``. It has no SQL
+twin, since the classifier is a trained model; tests/llm/test_pipeline.py holds
+each stage against a brute-force version of it.
+
+Nulls, empty and repeated rows are handled as each operator's docstring says. A
+document is dropped if the classifier rejects it, if another document of its
+similarity class stays, if all its words are repeats of earlier ones, or if it
+lies beyond its leaf's token-prefix in the mix."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimwise.llm import classifier, jaccard, mixing, packing, registry, substrings
 from claimwise.session import materialize
 
-STAGES: list = []
+#: The mix takes this share of all words, each document at most once.
+SHARE, EPOCHS = 0.8, 1
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicate(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(docs, carry=("lang", "source"))
+    rows = rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    levels = registry.MIX_LEVELS
+    rows = docs.withColumn("domain", registry.domain("source"))
+    _, plan = mixing.plan_mix(rows, levels, registry.MIX_WEIGHTS, share=SHARE, max_epochs=EPOCHS, seed=registry.MIX_SEED)
+    return mixing.select_mix(rows, plan, levels, seed=registry.MIX_SEED).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
