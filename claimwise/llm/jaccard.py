@@ -217,7 +217,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     comps = materialize(comps.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
     texts = docs.select(F.col(key).alias("rep_key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    with_text = texts.alias("d").join(comps.alias("c"), F.col("d.rep_key").eqNullSafe(F.col("c.rep_key")) & (F.col("d.text_hash") == F.col("c.text_hash")))
+    # always by shuffle, so that texts move alike at every size
+    with_text = texts.alias("d").join(comps.hint("merge").alias("c"), F.col("d.rep_key").eqNullSafe(F.col("c.rep_key")) & (F.col("d.text_hash") == F.col("c.text_hash")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     dealt = with_text.select("comp", "node", "block", "copies", "copy_key", (F.col("blocks") == 1).alias("whole"), "text", pair.alias("p"))
     dealt = dealt.select("comp", "p.i", "p.j", "node", "block", "copies", "copy_key", "whole", "text")
@@ -247,6 +248,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """The documents with all their columns, one of each class: the one with the
     smallest key. Rows with equal key and text count as one."""
     judged = jaccard_join(docs, key, text, n, threshold, recall).where("keep")
-    use = judged.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+    use = judged.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).hint("merge")
     met = docs.withColumn("_own", F.xxhash64(text)).join(use, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
     return met.dropDuplicates([key, "_own"]).drop("_own")
