@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimwise.functions.text import strip_ws
+
 ISO = "yyyy-MM-dd"
 US = "MM/dd/yyyy"
 
@@ -23,7 +25,7 @@ def parse_mixed_dates(c, formats=(ISO, US)) -> Column:
     parses wins. A non-null text that matches none yields null (the caller
     routes such rows to the reject table). Only exact shapes are accepted
     (``05-03-2024`` is rejected, not guessed)."""
-    col = F.trim(_c(c))
+    col = strip_ws(_c(c))
     shapes = {ISO: r"^\d{4}-\d{2}-\d{2}$", US: r"^\d{2}/\d{2}/\d{4}$"}
     out = None
     for fmt in formats:

@@ -11,6 +11,8 @@ denied-reason check.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ class CheckFailed(AssertionError):
     pass
 
 
+@dataclass(frozen=True)
+class Unique:
+    """Violations: rows beyond the first of each ``key``, and rows without."""
+
+    key: str
+
+
+Check = Column | Unique
+
+
 def _not(pred: Column) -> Column:
     """Violation when ``pred`` is not true (null counts as a violation)."""
     return ~F.coalesce(pred, F.lit(False))
@@ -41,12 +53,12 @@ def domain_violations(col: str, domain: tuple) -> Column:
     return (outside + missing).cast("bigint")
 
 
-def claim_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Column]:
+def claim_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
     b, a, p = F.col(cfg.billed), F.col(cfg.allowed), F.col(cfg.paid)
     tol = F.lit(MONEY_TOLERANCE)
     is_denied = F.col(cfg.status) == F.lit(cfg.status_denied)
     return {
-        "chk_claim_id_unique": (F.count(F.lit(1)) - F.countDistinct(cfg.claim_id)).cast("bigint"),
+        "chk_claim_id_unique": Unique(cfg.claim_id),
         "chk_billed_present": count_if(b.isNull()),
         "chk_non_negative": count_if(_not((b >= 0) & (a >= 0) & (p >= 0))),
         "chk_money_order": count_if(_not((p <= a + tol) & (a <= b + tol))),
@@ -59,21 +71,30 @@ def claim_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Column]:
     }
 
 
-def patient_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Column]:
+def patient_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
     return {
         "chk_gender_mapped": count_if(F.col(cfg.gender).isNull()),
-        "chk_patient_id_unique": (F.count(F.lit(1)) - F.countDistinct(cfg.patient_id)).cast("bigint"),
+        "chk_patient_id_unique": Unique(cfg.patient_id),
     }
 
 
-def provider_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Column]:
-    return {"chk_provider_id_unique": (F.count(F.lit(1)) - F.countDistinct(cfg.provider_id)).cast("bigint")}
+def provider_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
+    return {"chk_provider_id_unique": Unique(cfg.provider_id)}
 
 
-def run_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Evaluate every check in one aggregate -> (check_name, violations, passed)."""
+def run_checks(df: DataFrame, checks: dict[str, Check]) -> DataFrame:
+    """Evaluate a suite -> (check_name, violations, passed). All counters come
+    from one plain aggregate; each uniqueness check counts its key alone, so
+    counters do not travel with the keys. The one-row results are joined."""
     names = list(checks)
-    a = df.agg(*[checks[n].cast("bigint").alias(f"_c{i}") for i, n in enumerate(names)])
+    plain = {n: c for n, c in checks.items() if not isinstance(c, Unique)}
+    a = df.agg(F.count(F.lit(1)).alias("_rows"), *[c.cast("bigint").alias(f"_c{names.index(n)}") for n, c in plain.items()])
+    for n, c in checks.items():
+        if isinstance(c, Unique):
+            sizes = df.groupBy(F.col(c.key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+            extra = F.col("_n") - F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.lit(1))
+            one = sizes.agg(F.coalesce(F.sum(extra), F.lit(0)).cast("bigint").alias(f"_c{names.index(n)}"))
+            a = a.crossJoin(F.broadcast(one))  # one row each
     rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"_c{i}").alias("violations")) for i, n in enumerate(names)])
     out = a.select(F.inline(rows))
     return out.withColumn("passed", F.col("violations") == 0)
@@ -124,18 +145,16 @@ NON_NEGATIVE = {"claims": ("billed_amount", "allowed_amount", "paid_amount")}
 
 
 def constraint_checks(table: str, columns: list[str], not_null=None, in_list=None, pk=None,
-                      non_negative=None) -> dict[str, Column]:
+                      non_negative=None) -> dict[str, Check]:
     """Violations of the declared constraints of ``table`` (only for the
     columns present). A CHECK passes on null (caught by NOT NULL instead)."""
     not_null = NOT_NULL.get(table, ()) if not_null is None else not_null
     in_list = IN_LIST.get(table, {}) if in_list is None else in_list
     pk = PRIMARY_KEY.get(table) if pk is None else pk
     non_negative = NON_NEGATIVE.get(table, ()) if non_negative is None else non_negative
-    out: dict[str, Column] = {}
+    out: dict[str, Check] = {}
     if pk and pk in columns:
-        out[f"con_primary_key.{pk}"] = (
-            F.count(F.lit(1)) - F.countDistinct(pk) + count_if(F.col(pk).isNull())
-        ).cast("bigint")
+        out[f"con_primary_key.{pk}"] = Unique(pk)
     for c in not_null:
         if c in columns:
             out[f"con_not_null.{c}"] = count_if(F.col(c).isNull())
@@ -154,9 +173,11 @@ def with_default(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def foreign_key_violations(fact: DataFrame, dim: DataFrame, fk: str, pk: str, name: str) -> DataFrame:
-    """Fact rows whose key has no match in the dimension (anti join)."""
-    keys = dim.select(F.col(pk).alias("_pk"))
-    return fact.join(keys, F.col(fk) == F.col("_pk"), "left_anti").agg(F.count(F.lit(1)).alias(name))
+    """Fact rows whose key has no match in the dimension. The fact is counted
+    per key before the join, so a hot key is one row there."""
+    keys = fact.groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("_n"))
+    lost = keys.join(dim.select(F.col(pk).alias("_pk")), F.col("_fk") == F.col("_pk"), "left_anti")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(name))
 
 
 # ---------------------------------------------------------------- dq1-dq6
@@ -171,16 +192,10 @@ def dq_row_counts(claims: DataFrame, patients: DataFrame, providers: DataFrame)
 
 
 def dq_orphans(claims: DataFrame, patients: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """dq2: claims pointing at a missing patient / provider. Only the key
-    columns travel through the two left joins."""
-    pk = patients.select(F.col(cfg.patient_id).alias("_pa"))
-    pr = providers.select(F.col(cfg.provider_id).alias("_pr"))
-    c = claims.select(cfg.patient_id, cfg.provider_id)
-    j = c.join(pk, F.col(cfg.patient_id) == F.col("_pa"), "left").join(pr, F.col(cfg.provider_id) == F.col("_pr"), "left")
-    return j.agg(
-        count_if(F.col("_pa").isNull()).alias("orphan_patient_rows"),
-        count_if(F.col("_pr").isNull()).alias("orphan_provider_rows"),
-    )
+    """dq2: claims pointing at a missing patient / provider."""
+    pa = foreign_key_violations(claims, patients, cfg.patient_id, cfg.patient_id, "orphan_patient_rows")
+    pr = foreign_key_violations(claims, providers, cfg.provider_id, cfg.provider_id, "orphan_provider_rows")
+    return pa.crossJoin(F.broadcast(pr))  # one row each
 
 
 def dq_financial(claims: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:

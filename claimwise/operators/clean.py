@@ -4,32 +4,28 @@ Order of the claims steps follows the reference: exact duplicates are
 removed *before* normalising (so rows written differently survive), dates
 are parsed per value, status is title-cased, negative billed amounts flipped,
 missing billed amounts imputed from the CPT median (floored at the allowed
-amount) and blank reasons filled. Unparseable dates never raise: the rows
-go to a reject table.
+amount) and blank reasons filled. Amounts may come as text. Unparseable dates
+and amounts never raise: the rows go to a reject table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
-from claimwise.functions import normalise_code, parse_date, parse_mixed_dates, title_case
+from claimwise.functions import normalise_code, parse_date, parse_mixed_dates, strip_ws, title_case
 from claimwise.operators.ranking import group_median
 from claimwise.session import materialize
 
 MONEY = "decimal(18,2)"
+CLAIM_MONEY = ("billed_amount", "allowed_amount", "paid_amount")
 
 # The reference's code map for gender and its fill values.
 GENDER_MAP = {"F": "Female", "M": "Male"}
 UNKNOWN_STATE = "Unknown"
 
 
-def fill_missing(df: DataFrame, values: dict) -> DataFrame:
-    """Replace nulls column by column."""
-    return df.fillna(values)
-
-
 def fix_negative(df: DataFrame, col: str) -> DataFrame:
     """Negative amounts are sign errors: take the absolute value."""
     return df.withColumn(col, F.abs(F.col(col)))
@@ -40,39 +36,54 @@ def flag_missing(df: DataFrame, col: str, flag: str) -> DataFrame:
 
 
 def impute_with_floor(df: DataFrame, col: str, by: str, floor: str, approx: bool = False,
-                      k: int = 2, tiebreak: str | None = None) -> DataFrame:
+                      k: int = 2) -> DataFrame:
     """Missing ``col`` -> max(median of ``col`` within ``by``, ``floor``),
     rounded to ``k`` dp; existing values are rounded as well. A group whose
     values are all missing stays null (NumPy max(NaN, x) is NaN), so a later
     presence check fails instead of silently imputing the floor.
 
-    The exact median comes from a distributed sort (``group_median``), so a
-    CPT code holding a third of all claims is split across tasks; the
-    per-code result (one row per code) is joined back. ``approx=True`` uses
+    The exact median comes from counts per amount (``group_median``), so a
+    CPT code holding a third of all claims is combined before it is shuffled;
+    the per-code result (one row per code) is joined back. ``approx=True`` uses
     ``percentile_approx`` instead (bounded memory per group, 1/10000 rank
     error)."""
     if approx:
         med = df.groupBy(by).agg(F.percentile_approx(col, 0.5, 10000).alias("_med"))
     else:
-        med = group_median(df, [by], col, "_med", tiebreak=tiebreak)
+        med = group_median(df, [by], col, "_med")
     med = med.select(F.col(by).alias("_by"), "_med")
     j = df.join(med, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     imputed = F.when(F.col("_med").isNotNull(), F.round(F.greatest(F.col("_med"), F.col(floor)), k))
     return j.withColumn(col, F.coalesce(F.round(F.col(col), k), imputed).cast(MONEY)).drop("_med")
 
 
+def _patient_dates(raw: DataFrame, cfg: ClaimsConfig) -> tuple[dict, Column]:
+    dates = {c: parse_date(c) for c in (cfg.date_of_birth, cfg.enrollment_date)}
+    bad = F.lit(False)
+    for c, parsed in dates.items():
+        bad = bad | (F.col(c).isNotNull() & parsed.isNull())
+    return dates, bad
+
+
 def clean_patients(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """gender coded to Female/Male, missing state -> Unknown, ISO dates."""
-    return raw.withColumns(
+    """gender coded to Female/Male, missing state -> Unknown, ISO dates; rows
+    with a date that does not parse are left out (``patient_rejects``)."""
+    dates, bad = _patient_dates(raw, cfg)
+    return raw.where(~bad).withColumns(
         {
             cfg.gender: normalise_code(cfg.gender, GENDER_MAP),
             cfg.state: F.coalesce(F.col(cfg.state), F.lit(UNKNOWN_STATE)),
-            cfg.date_of_birth: parse_date(cfg.date_of_birth),
-            cfg.enrollment_date: parse_date(cfg.enrollment_date),
+            **dates,
         }
     )
 
 
+def patient_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
+    """Raw patients with a date that does not parse."""
+    _, bad = _patient_dates(raw, cfg)
+    return raw.where(bad).withColumn("reject_reason", F.lit("unparseable date"))
+
+
 def clean_providers(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
     """Strip and title-case the specialty."""
     return raw.withColumn(cfg.specialty, title_case(cfg.specialty))
@@ -82,26 +93,29 @@ def _date_cols(cfg: ClaimsConfig) -> list[str]:
     return [cfg.service_date, cfg.submission_date, cfg.processed_date]
 
 
-def parse_claim_dates(df: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """Parse the three date columns; add ``_bad_date`` = a non-null text
-    that matches neither accepted spelling."""
-    bad = F.lit(False)
-    cols = {}
+def _parsed(df: DataFrame, cfg: ClaimsConfig) -> tuple[dict, Column, Column]:
+    """(typed dates and amounts, bad date, bad amount): bad is a non-null text
+    that is neither accepted date spelling, or no number."""
+    cols, bad_date, bad_money = {}, F.lit(False), F.lit(False)
     for c in _date_cols(cfg):
-        parsed = parse_mixed_dates(c)
-        bad = bad | (F.col(c).isNotNull() & parsed.isNull())
-        cols[c] = parsed
-    return df.withColumn("_bad_date", bad).withColumns(cols)
+        cols[c] = parse_mixed_dates(c)
+        bad_date = bad_date | (F.col(c).isNotNull() & cols[c].isNull())
+    for c in (cfg.billed, cfg.allowed, cfg.paid):
+        if df.schema[c].dataType.typeName() == "string":
+            cols[c] = strip_ws(c).try_cast(MONEY)
+            bad_money = bad_money | (F.col(c).isNotNull() & cols[c].isNull())
+    return cols, bad_date, bad_money
 
 
 def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
                      after_normalise: bool = False) -> DataFrame:
-    """Every cleaning step; rows keep a ``_bad_date`` marker. By default exact
-    duplicates are dropped before normalising (as the reference does), so a
+    """Every cleaning step; rows that do not parse are left out. By default
+    exact duplicates are dropped before normalising (as the reference does), so a
     copy written with another date spelling survives; ``after_normalise``
     drops duplicates of the normalised rows instead."""
-    d = raw if after_normalise else raw.dropDuplicates()
-    d = parse_claim_dates(d, cfg)
+    cols, bad_date, bad_money = _parsed(raw, cfg)
+    d = raw.where(~(bad_date | bad_money))
+    d = (d if after_normalise else d.dropDuplicates()).withColumns(cols)
     d = d.withColumn(cfg.status, title_case(cfg.status))
     if after_normalise:
         d = d.dropDuplicates()
@@ -109,22 +123,20 @@ def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median:
     d = flag_missing(d, cfg.billed, cfg.billed_imputed)
     # read twice below (median input and the rows to fill): compute it once
     d = materialize(d)
-    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median, tiebreak=cfg.claim_id)
+    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
     d = d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
     return d
 
 
 def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
                  after_normalise: bool = False) -> DataFrame:
-    """Clean claims (rows with an unparseable date are left out; see
-    ``claim_rejects``)."""
-    return clean_claims_all(raw, cfg, approx_median, after_normalise).where(~F.col("_bad_date")).drop("_bad_date")
+    """Clean claims (see ``claim_rejects`` for the rows left out)."""
+    return clean_claims_all(raw, cfg, approx_median, after_normalise)
 
 
 def claim_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """Raw rows whose dates match no accepted spelling, with the reason."""
-    d = parse_claim_dates(raw.dropDuplicates().select(*raw.columns, *[F.col(c).alias(f"_raw_{c}") for c in _date_cols(cfg)]), cfg)
-    d = d.where(F.col("_bad_date"))
-    for c in _date_cols(cfg):
-        d = d.withColumn(c, F.col(f"_raw_{c}")).drop(f"_raw_{c}")
-    return d.drop("_bad_date").withColumn("reject_reason", F.lit("unparseable date"))
+    """Distinct raw rows with a date of no accepted spelling or an amount
+    that is no number, and which it is. Only these are de-duplicated."""
+    _, bad_date, bad_money = _parsed(raw, cfg)
+    reason = F.when(bad_date, F.lit("unparseable date")).otherwise(F.lit("unparseable amount"))
+    return raw.where(bad_date | bad_money).dropDuplicates().withColumn("reject_reason", reason)

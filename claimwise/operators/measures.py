@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import money, ratio, round_half_up
-from claimwise.operators.ranking import global_index
+from claimwise.operators.ranking import global_index, same_keys
 from claimwise.session import materialize
 from claimwise.sources.calendar import DATE_COLS, calendar_attrs, dim_date
 
@@ -420,7 +420,7 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     rate = ratio("_den", "_dec")
     excess = F.when(rate.isNotNull(), (rate - F.col("_peer")) * F.lit(100.0))
     if ms & {"Excess Rank", "Top 10 Excess (pts)"}:
-        main = _rank(main.withColumn("_excess", excess), cfg, one_provider=cfg.provider_name in keys)
+        main = _rank(main.withColumn("_excess", excess), cfg, keys)
 
     def diff(a, b):
         return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(None)).otherwise(
@@ -516,14 +516,19 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
     return out
 
 
-def _rank(main: DataFrame, cfg: ClaimsConfig, one_provider: bool) -> DataFrame:
-    """RANKX over the selected providers by excess desc (blank = 0), ties
-    share a rank and the next rank is skipped. Distributed: a global sort
-    gives positions; the rank of a value is the first position of that
-    value + 1. Without a single provider per row the rank is blank."""
-    if not one_provider:
+def _rank(main: DataFrame, cfg: ClaimsConfig, keys: list[str]) -> DataFrame:
+    """RANKX over the providers by excess desc (blank = 0) within the rest of
+    the row's context, so ranks start anew for each value of the other keys;
+    ties share a rank and the next rank is skipped. Distributed: a global
+    sort gives positions; a value's rank is its first position less the
+    first of its context. Without a provider per row the rank is blank."""
+    if cfg.provider_name not in keys:
         return main.withColumn("_rank", F.lit(None).cast("bigint"))
-    v = F.coalesce(F.col("_excess"), F.lit(0.0))
-    ranked = global_index(main.withColumn("_rv", v), [F.col("_rv").desc(), F.col(cfg.provider_name).asc()], "_pos")
-    first = ranked.groupBy("_rv").agg((F.min("_pos") + 1).alias("_rank")).withColumnRenamed("_rv", "_rv2")
-    return ranked.join(first, ranked["_rv"] == first["_rv2"]).drop("_rv", "_rv2", "_pos")
+    other = [k for k in keys if k != cfg.provider_name]
+    main = main.withColumn("_rv", F.coalesce(F.col("_excess"), F.lit(0.0)))
+    order = [*(F.col(k).asc_nulls_first() for k in other), F.col("_rv").desc(), F.col(cfg.provider_name).asc()]
+    ranked = global_index(main, order, "_pos")
+    first = ranked.groupBy(*other, "_rv").agg(F.min("_pos").alias("_first"))
+    start = first.groupBy(*other).agg(F.min("_first").alias("_start"))
+    out = same_keys(same_keys(ranked, first, [*other, "_rv"]), start, other)
+    return out.withColumn("_rank", F.col("_first") - F.col("_start") + 1).drop("_rv", "_pos", "_first", "_start")

@@ -11,16 +11,20 @@ from claimwise.functions import count_if, round_half_up
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: column, dtype, nulls, null_pct (2 dp), unique
-    (distinct non-null values). All columns are measured in one aggregate;
-    ``approx=True`` swaps the exact distinct counts for HyperLogLog
-    sketches (``approx_count_distinct``), which need no shuffle of values."""
+    (distinct non-null values). The counters come from one plain aggregate;
+    each column's distincts from a key-only aggregate of its own, so rows are
+    not multiplied by the number of columns. ``approx=True`` counts with
+    HyperLogLog sketches (``approx_count_distinct``), which shuffle no values."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         aggs.append(count_if(F.col(c).isNull()).alias(f"_n{i}"))
-        distinct = F.approx_count_distinct(c) if approx else F.countDistinct(c)
-        aggs.append(distinct.cast("bigint").alias(f"_u{i}"))
+        if approx:
+            aggs.append(F.approx_count_distinct(c).cast("bigint").alias(f"_u{i}"))
     a = df.agg(*aggs)
+    for i, c in enumerate(() if approx else cols):
+        one = df.groupBy(F.col(c).alias("_v")).agg(F.lit(1)).agg(F.count("_v").cast("bigint").alias(f"_u{i}"))
+        a = a.crossJoin(F.broadcast(one))  # one row each
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = F.array(
         *[
@@ -74,8 +78,9 @@ def count_negative(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_values(df: DataFrame, col: str, n: int = 8, seed: int = 1, key: str | None = None) -> DataFrame:
-    """A reproducible sample of ``n`` values: rows ordered by a seeded hash
-    of ``key`` (default: the column itself) and cut at ``n`` - a top-n, so
-    Spark keeps only n rows per task before the final merge."""
+    """A reproducible sample of ``n`` values: rows ordered by the md5 of
+    ``key`` (default: the column itself) and the seed, cut at ``n`` - a top-n,
+    so Spark keeps only n rows per task before the final merge."""
     k = F.col(key) if key else F.col(col)
-    return df.select(col, F.xxhash64(k, F.lit(seed)).alias("_h")).orderBy("_h", col).limit(n).drop("_h")
+    order = F.md5(F.concat_ws("-", k.cast("string"), F.lit(str(seed))))
+    return df.select(col, order.alias("_h")).orderBy("_h", col).limit(n).drop("_h")

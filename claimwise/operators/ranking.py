@@ -79,40 +79,41 @@ def ntile(df: DataFrame, order: list[Column], buckets: int, name: str = "bucket"
     )
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
-                 partitions: int | None = None, tiebreak: str | None = None) -> DataFrame:
-    """Exact interpolated median of ``value`` per ``keys`` (nulls skipped)
-    without holding a group in one task: a distributed sort on
-    (keys, value) numbers the rows of each group across partitions, then the
-    one or two middle rows per group are averaged.
-
-    Per-(partition, group) counts are small (at most partitions x groups),
-    and their running sum per group gives each slice its offset. A
-    ``tiebreak`` column (e.g. the row key) joins the sort key so that many
-    rows with one and the same value are still split across partitions."""
-    n = _partitions(df, partitions)
-    extra = [tiebreak] if tiebreak else []
-    vals = df.select(*keys, value, *extra).where(F.col(value).isNotNull())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(value).asc()] + [F.col(t).asc() for t in extra]
-    ranged = vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright(F.col("_mid"), LOCAL_BITS)
-    ))
-    # position inside (partition, group): local id minus the group's first id there
-    slices = tagged.groupBy("_part", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")
-    )
-    w = Window.partitionBy(*keys).orderBy("_part")
-    slices = slices.select(
-        "_part", *keys, "_first",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_cnt"),
-    )
-    pos = tagged.join(slices, ["_part", *keys]).withColumn(
-        "_pos", F.col("_off") + F.col("_mid") - F.col("_first")
-    )
-    lo = F.floor((F.col("_cnt") - 1) / 2)
-    hi = F.ceil((F.col("_cnt") - 1) / 2)
-    mids = pos.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
+MEDIAN_BINS = 1024
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact interpolated median of ``value`` per ``keys`` (nulls skipped).
+
+    Rows are first counted per (keys, value), which a hot group combines in
+    each task, and only these counts are kept as a table. Each group's range is
+    cut into MEDIAN_BINS bins; their counts say which bins hold the one or
+    two middle positions, and only the values in those bins are ordered."""
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    spans = counts.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("_all"))
+    at = F.try_divide((F.col(value) - F.col("_min")).cast("double") * F.lit(float(MEDIAN_BINS)), (F.col("_max") - F.col("_min")).cast("double"))
+    binned = same_keys(counts, spans, keys).withColumn("_bin", F.floor(F.coalesce(at, F.lit(0.0))))
+    bins = binned.groupBy(*keys, "_all", "_bin").agg(F.sum("_n").alias("_here"))
+    bins = bins.withColumn("_upto", F.sum("_here").over(Window.partitionBy(*keys).orderBy("_bin")))
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # 0-based middle positions
+    before = F.col("_upto") - F.col("_here")
+    holds = ((lo >= before) & (lo < F.col("_upto"))) | ((hi >= before) & (hi < F.col("_upto")))
+    middle = bins.where(holds).select(*keys, "_bin", before.alias("_before"))
+    rows = same_keys(binned, middle, [*keys, "_bin"])
+    run = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy(value))
+    rows = rows.withColumn("_end", run).withColumn("_start", F.col("_end") - F.col("_n"))
+    some = rows.where(((lo >= F.col("_start")) & (lo < F.col("_end"))) | ((hi >= F.col("_start")) & (hi < F.col("_end"))))
     # decimals stay exact: avg of one or two decimals is a decimal
-    return mids.groupBy(*keys).agg(F.avg(F.col(value)).alias(name))
+    return some.groupBy(*keys).agg(F.avg(F.col(value)).alias(name))
+
+
+def same_keys(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Null-safe inner join on ``keys``, kept once; without keys ``few`` has
+    one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(few))
+    other = few.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(other[f"_r_{k}"])
+    return rows.join(other, on).drop(*(f"_r_{k}" for k in keys))

@@ -54,11 +54,15 @@ def monthly_volume(w: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
 
 def trend_by_type(w: DataFrame, cfg: ClaimsConfig = DEFAULT, types: list[str] | None = None) -> DataFrame:
     """e03: decided claims before the cut-off; monthly denial rate with one
-    column per claim type (a month without that type -> null). The types
-    are a parameter so the output schema does not depend on the data."""
+    column per claim type (a month without that type -> null). ``types`` fixes
+    the columns; a row of another type raises instead of being left out.
+    Without ``types`` they are the distinct types of the data (one job)."""
     d = w.where(decided(cfg) & (F.col(cfg.service_date) < F.lit(cfg.cutoff_date).cast("date")))
-    types = list(types) if types else []
-    aggs = []
+    if types is None:
+        types = sorted(r[0] for r in d.select(cfg.claim_type).distinct().collect() if r[0] is not None)
+    known = F.col(cfg.claim_type).isNull() | F.col(cfg.claim_type).isin(list(types))
+    d = d.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("claim type without a column: "), F.col(cfg.claim_type)))))
+    aggs = [] if types else [F.count(F.lit(1)).alias("claims")]
     for t in types:
         is_t = F.col(cfg.claim_type) == F.lit(t)
         aggs.append(

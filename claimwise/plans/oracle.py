@@ -347,6 +347,8 @@ def oracle_sql() -> dict[str, str]:
     out.update(quality())
     out.update(reports())
     out.update(features())
+    out.update(faulty())
+    out.update(exports())
     return out
 
 
@@ -482,6 +484,7 @@ def quality() -> dict[str, str]:
         'SELECT claim_status, COUNT(*) AS "count" FROM raw_claims WHERE claim_status IS NOT NULL GROUP BY 1')
     s["value_counts_gender"] = qc('SELECT gender, COUNT(*) AS "count" FROM raw_patients WHERE gender IS NOT NULL GROUP BY 1')
     s["neg_count"] = qc(f"SELECT {CNT('billed_amount < 0')} AS negative_rows FROM raw_claims")
+    s["sample_values"] = qc("SELECT service_date FROM raw_claims ORDER BY md5(claim_id || '-1'), service_date LIMIT 8")
     s["clean_patients"] = qc("SELECT * FROM clean_patients_v")
     s["clean_providers"] = qc("SELECT * FROM clean_providers_v")
     s["clean_claims"] = qc("SELECT * FROM clean_claims_v")
@@ -509,18 +512,18 @@ def quality() -> dict[str, str]:
     ]))
     plans = ", ".join(f"'{p}'" for p in C.plan_order)
     s["con_patients"] = qc(_checks_sql("clean_patients_v", [
-        ("con_primary_key.patient_id", f"COUNT(*) - COUNT(DISTINCT patient_id) + {CNT('patient_id IS NULL')}"),
+        ("con_primary_key.patient_id", "COUNT(*) - COUNT(DISTINCT patient_id)"),
         *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in ("gender", "date_of_birth", "state", "plan_type", "enrollment_date")],
         ("con_in_list.gender", CNT("gender IS NOT NULL AND gender NOT IN ('Female', 'Male')")),
         ("con_in_list.plan_type", CNT(f"plan_type IS NOT NULL AND plan_type NOT IN ({plans})")),
     ]))
     s["con_providers"] = qc(_checks_sql("clean_providers_v", [
-        ("con_primary_key.provider_id", f"COUNT(*) - COUNT(DISTINCT provider_id) + {CNT('provider_id IS NULL')}"),
+        ("con_primary_key.provider_id", "COUNT(*) - COUNT(DISTINCT provider_id)"),
         *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in ("provider_name", "specialty", "state", "network_status")],
         ("con_in_list.network_status", CNT("network_status IS NOT NULL AND network_status NOT IN ('In-Network', 'Out-of-Network')")),
     ]))
     s["con_claims"] = qc(_checks_sql("clean_claims_v", [
-        ("con_primary_key.claim_id", f"COUNT(*) - COUNT(DISTINCT claim_id) + {CNT('claim_id IS NULL')}"),
+        ("con_primary_key.claim_id", "COUNT(*) - COUNT(DISTINCT claim_id)"),
         *[(f"con_not_null.{c}", CNT(f"{c} IS NULL")) for c in (
             "patient_id", "provider_id", "service_date", "submission_date", "claim_type", "diagnosis_category",
             "cpt_code", "billed_amount", "allowed_amount", "paid_amount", "claim_status", "denial_reason",
@@ -535,10 +538,9 @@ SELECT (SELECT COUNT(*) FROM clean_claims_v c WHERE NOT EXISTS (SELECT 1 FROM cl
 SELECT 'patients' AS table_name, COUNT(*) AS row_count FROM patients_v
 UNION ALL SELECT 'providers', COUNT(*) FROM providers_v
 UNION ALL SELECT 'claims', COUNT(*) FROM claims_v""")
-    s["dq2_orphans"] = q(f"""
-SELECT {CNT('p.patient_id IS NULL')} AS orphan_patient_rows, {CNT('pr.provider_id IS NULL')} AS orphan_provider_rows
-FROM claims_v c LEFT JOIN patients_v p ON p.patient_id = c.patient_id
-LEFT JOIN providers_v pr ON pr.provider_id = c.provider_id""")
+    s["dq2_orphans"] = q("""
+SELECT (SELECT COUNT(*) FROM claims_v c WHERE c.patient_id IS NULL OR c.patient_id NOT IN (SELECT patient_id FROM patients_v WHERE patient_id IS NOT NULL)) AS orphan_patient_rows,
+       (SELECT COUNT(*) FROM claims_v c WHERE c.provider_id IS NULL OR c.provider_id NOT IN (SELECT provider_id FROM providers_v WHERE provider_id IS NOT NULL)) AS orphan_provider_rows""")
     s["dq3_financial"] = q(f"""
 SELECT {CNT('paid_amount > allowed_amount + 0.01')} AS paid_gt_allowed,
        {CNT('allowed_amount > billed_amount + 0.01')} AS allowed_gt_billed,
@@ -698,6 +700,20 @@ SELECT provider_name, {R('excess', 2)} AS excess_pts,
        CAST(RANK() OVER (ORDER BY COALESCE(excess, 0.0) DESC) AS BIGINT) AS excess_rank,
        excess >= {C.flag_pts} AS is_flagged
 FROM px WHERE excess IS NOT NULL""", PROVIDER_EXCESS)
+    excess_by_year = (PROVIDER_EXCESS.replace("SELECT provider_name,", "SELECT year, provider_name,")
+                      .replace("GROUP BY provider_name", "GROUP BY year, provider_name")
+                      .replace("SELECT claim_type, network_status,", "SELECT year, claim_type, network_status,")
+                      .replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
+                      .replace("LEFT JOIN peer ON", "LEFT JOIN peer ON pv.year = peer.year AND"))
+    s["m_rank_by_year"] = qm(f"""
+SELECT year, provider_name, {R('excess', 2)} AS excess_pts,
+       CAST(RANK() OVER (PARTITION BY year ORDER BY COALESCE(excess, 0.0) DESC) AS BIGINT) AS excess_rank
+FROM px""", excess_by_year)
+    sliced = f"""FROM (SELECT * FROM mw WHERE year IN ({A}, {B}) AND plan_type IN ('{"', '".join(C.plan_order[:2])}')) mw"""
+    for key, base in (("r01_sliced", "r01_quarterly_rate"), ("r05_sliced", "r05_plan_network_rate"), ("r10_sliced", "r10_kpi_overview")):
+        head, body = s[base].rsplit("FROM mw", 1)
+        s[key] = head + sliced + body
+    s["r05_sliced_to_nothing"] = s["r05_plan_network_rate"].replace("FROM mw\nGROUP", "FROM mw WHERE plan_type = 'NONE'\nGROUP").replace("FROM mw GROUP", "FROM mw WHERE plan_type = 'NONE' GROUP")
     s["m_plan_cards"] = qm(f"""
 SELECT plan_type, {CN(DECIDED)} AS decided_claims, {CN(DENIED)} AS denied_claims,
        COUNT(DISTINCT patient_id) AS unique_patients, {M('SUM(billed_amount)', 2)} AS total_billed,
@@ -769,3 +785,81 @@ SELECT claim_id, CAST(year(service_date) * 100 + month(service_date) AS INTEGER)
 FROM wf2 w JOIN providers_v p ON w.provider_id = p.provider_id
 ORDER BY service_date, claim_id""", WIDE_FULL.strip())
     return s
+
+
+# ---------------------------------------------------------------- faulty star, CSV exports
+
+def _fault_ctes() -> str:
+    from claimwise.sources import faults as f
+
+    def view(name, columns, rules, source, fault, twice):
+        items = ", ".join(f.projection(columns, rules))
+        return (f"{name}_f AS (SELECT *, {fault} AS f FROM {source}),\n"
+                f"{name} AS (SELECT {items} FROM {name}_f UNION ALL SELECT {items} FROM {name}_f WHERE f = {twice})")
+
+    pa = ["patient_id", "gender", "date_of_birth", "state", "plan_type", "enrollment_date"]
+    pr = ["provider_id", "provider_name", "specialty", "state", "network_status"]
+    coded = "(SELECT c.*, p_type AS diagnosis_category, p_brand AS cpt_code FROM claims_v c JOIN part ON _partkey = p_partkey)"
+    return ",\n".join([
+        view("faulty_claims", f.CLAIM_COLUMNS, f.CLAIM_RULES, coded, f.CLAIM_FAULT, 1),
+        view("faulty_patients", pa, f.PATIENT_RULES, "patients_v", "patient_id % 101", 2),
+        view("faulty_providers", pr, f.PROVIDER_RULES, "providers_v", "provider_id % 13", 1),
+        """faulty_wide AS (
+  SELECT c.*, pa.plan_type, pr.specialty, pr.network_status FROM faulty_claims c
+  LEFT JOIN faulty_patients pa ON c.patient_id = pa.patient_id LEFT JOIN faulty_providers pr ON c.provider_id = pr.provider_id)""",
+    ])
+
+
+def faulty() -> dict[str, str]:
+    """The statements of the same checks, reading the faulty views."""
+    from claimwise.sources import faults as f
+
+    ctes = _fault_ctes()
+    names = [("clean_wide", "faulty_wide"), ("clean_claims_v", "faulty_claims"), ("clean_patients_v", "faulty_patients"),
+             ("clean_providers_v", "faulty_providers"), ("claims_v", "faulty_claims"), ("patients_v", "faulty_patients"),
+             ("providers_v", "faulty_providers")]
+    out: dict[str, str] = {}
+    for key, sql in quality().items():
+        if key.split("_")[0] in ("chk", "con", "dq1", "dq2", "dq3", "dq4", "dq5"):
+            body = sql[len(qc("")):] if sql.startswith(qc("")) else sql[len(q("")):]
+            for a, b in names:
+                body = body.replace(a, b)
+            out[f"faulty_{key}"] = q(body, ctes)
+    num = f.CLAIM_FAULT
+    typed = RAW.strip() + f""",
+csv_good AS (
+  SELECT * REPLACE (CASE WHEN {num} = 31 THEN NULL ELSE billed_amount END AS billed_amount)
+  FROM raw_claims WHERE {num} NOT IN (30, 32, 33)),""" + CLEAN.replace("raw_claims", "csv_good")
+    out["csv_clean_claims"] = q("SELECT * FROM clean_claims_v", typed)
+    out["csv_claim_rejects"] = q(f"""
+SELECT DISTINCT claim_id, CASE WHEN f = 30 THEN '05-03-2024' ELSE service_date END AS service_date,
+       CASE f WHEN 31 THEN NULL WHEN 32 THEN '12,50 USD' ELSE CAST(billed_amount AS VARCHAR) END AS billed_amount,
+       CASE f WHEN 33 THEN 'abc' ELSE CAST(allowed_amount AS VARCHAR) END AS allowed_amount,
+       CASE WHEN f = 30 THEN 'unparseable date' ELSE 'unparseable amount' END AS reject_reason
+FROM (SELECT *, {num} AS f FROM raw_claims) WHERE f IN (30, 32, 33)""", RAW.strip())
+    return out
+
+
+def exports() -> dict[str, str]:
+    counts = q("""
+SELECT 'claims' AS table_name, COUNT(*) AS row_count FROM claims_v UNION ALL SELECT 'patients', COUNT(*) FROM patients_v
+UNION ALL SELECT 'providers', COUNT(*) FROM providers_v""")
+    inner = business()
+    return {
+        "src_csv_raw": qc("SELECT CAST(provider_id AS VARCHAR) AS provider_id, provider_name, specialty, state, network_status FROM raw_providers"),
+        "src_csv_typed": qc("SELECT * REPLACE (CAST(provider_id AS VARCHAR) AS provider_id) FROM clean_providers_v"),
+        "src_csv_dates": qc("SELECT * REPLACE (CAST(patient_id AS VARCHAR) AS patient_id) FROM clean_patients_v"),
+        "sink_clean": counts,
+        "sink_star": counts,
+        "sink_query_results": f"""
+SELECT 'q01_headline_kpis' AS query, COUNT(*) AS row_count FROM ({inner['q01_headline_kpis']})
+UNION ALL SELECT 'q13_age_group', COUNT(*) FROM ({inner['q13_age_group']}) UNION ALL SELECT 'dq1_row_counts', 3""",
+        "con_default": qc("SELECT patient_id, COALESCE(state, 'Unknown') AS state FROM raw_patients"),
+        "x06_ifs": q(f"""
+SELECT network_status, {CNT(DENIED + ' AND billed_amount > 20000')} AS denied_large,
+       CAST(COALESCE(SUM(CASE WHEN {DENIED} AND billed_amount > 20000 THEN billed_amount END), 0) AS DECIMAL(38,2)) AS denied_large_billed,
+       MAX(CASE WHEN NOT {DENIED} THEN paid_amount END) AS largest_paid,
+       ROUND({AVG('billed_amount', 'billed_amount > 20000')}, 4) AS large_mean
+FROM wide_v GROUP BY network_status"""),
+        "build_wide": features()["feat_wide_claims"],
+    }

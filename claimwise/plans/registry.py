@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimwise.config import DRIVER as C
 from claimwise.operators import kpis, members, providers, reasons, timing, trends
@@ -87,26 +88,34 @@ def queries() -> dict[str, Query]:
     out.update(quality())
     out.update(reports())
     out.update(features())
+    out.update(faulty())
+    out.update(exports())
     return out
 
 
 # ---------------------------------------------------------------- raw exports, cleaning, checks
 
-def _clean_star(spark, d):
+def _claims(spark, d):
     from claimwise.operators import clean
 
-    raw = tpch.raw_claims(spark, d)
-    return (
-        clean.clean_claims(raw, C),
-        clean.clean_patients(tpch.raw_patients(spark, d), C),
-        clean.clean_providers(tpch.raw_providers(spark, d), C),
-    )
+    return clean.clean_claims(tpch.raw_claims(spark, d), C)
 
 
-def _clean_wide(spark, d):
+def _patients(spark, d):
+    from claimwise.operators import clean
+
+    return clean.clean_patients(tpch.raw_patients(spark, d), C)
+
+
+def _providers(spark, d):
+    from claimwise.operators import clean
+
+    return clean.clean_providers(tpch.raw_providers(spark, d), C)
+
+
+def _enriched(c, pa, pr):
     from claimwise.operators.features import enrich_patients, enrich_providers
 
-    c, pa, pr = _clean_star(spark, d)
     return enrich_providers(enrich_patients(c, pa, C), pr, C)
 
 
@@ -124,16 +133,12 @@ def _constraints(table, df):
     return checks.run_checks(df, checks.constraint_checks(table, df.columns, in_list=in_list))
 
 
-def _fk(spark, d):
-    from pyspark.sql import functions as F
-
+def _fk(c, pa, pr):
     from claimwise.operators.checks import foreign_key_violations
 
-    c, pa, pr = _clean_star(spark, d)
     a = foreign_key_violations(c, pa, "patient_id", "patient_id", "claim_patient_fk")
     b = foreign_key_violations(c, pr, "provider_id", "provider_id", "claim_provider_fk")
-    # two one-row aggregates side by side
-    return a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return a.crossJoin(F.broadcast(b))  # one row each
 
 
 def quality() -> dict[str, Query]:
@@ -149,21 +154,21 @@ def quality() -> dict[str, Query]:
         "sample_values": lambda s, d: profile.sample_values(tpch.raw_claims(s, d), "service_date", 8, 1, key="claim_id"),
         "clean_patients": lambda s, d: clean.clean_patients(tpch.raw_patients(s, d), C),
         "clean_providers": lambda s, d: clean.clean_providers(tpch.raw_providers(s, d), C),
-        "clean_claims": lambda s, d: _clean_star(s, d)[0],
+        "clean_claims": _claims,
         "claim_rejects": lambda s, d: clean.claim_rejects(tpch.raw_claims(s, d), C),
-        "chk_claims": lambda s, d: checks.run_checks(_clean_wide(s, d), checks.claim_checks(C)),
-        "chk_patients": lambda s, d: checks.run_checks(_clean_star(s, d)[1], checks.patient_checks(C)),
-        "chk_providers": lambda s, d: checks.run_checks(_clean_star(s, d)[2], checks.provider_checks(C)),
-        "con_patients": lambda s, d: _constraints("patients", _clean_star(s, d)[1]),
-        "con_providers": lambda s, d: _constraints("providers", _clean_star(s, d)[2]),
-        "con_claims": lambda s, d: _constraints("claims", _clean_star(s, d)[0]),
-        "con_foreign_keys": _fk,
+        "chk_claims": lambda s, d: checks.run_checks(_enriched(_claims(s, d), _patients(s, d), _providers(s, d)), checks.claim_checks(C)),
+        "chk_patients": lambda s, d: checks.run_checks(_patients(s, d), checks.patient_checks(C)),
+        "chk_providers": lambda s, d: checks.run_checks(_providers(s, d), checks.provider_checks(C)),
+        "con_patients": lambda s, d: _constraints("patients", _patients(s, d)),
+        "con_providers": lambda s, d: _constraints("providers", _providers(s, d)),
+        "con_claims": lambda s, d: _constraints("claims", _claims(s, d)),
+        "con_foreign_keys": lambda s, d: _fk(_claims(s, d), _patients(s, d), _providers(s, d)),
         "dq1_row_counts": lambda s, d: checks.dq_row_counts(*_dq_star(s, d)),
         "dq2_orphans": lambda s, d: checks.dq_orphans(*_dq_star(s, d), C),
         "dq3_financial": lambda s, d: checks.dq_financial(_dq_star(s, d)[0], C),
         "dq4_dates": lambda s, d: checks.dq_dates(_dq_star(s, d)[0], C),
         "dq5_denied_no_reason": lambda s, d: checks.dq_denied_without_reason(_dq_star(s, d)[0], C),
-        "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_clean_star(s, d)[0], C),
+        "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_claims(s, d), C),
     }
 
 
@@ -180,6 +185,7 @@ def reports() -> dict[str, Query]:
     from claimwise.operators.measures import evaluate
 
     year_slicer = [("year", [C.compare_year])]
+    both = [("year", [C.base_year, C.compare_year]), ("plan_type", list(C.plan_order[:2]))]
     return {
         "r01_quarterly_rate": lambda s, d: r.quarterly_rate(_model(s, d), C),
         "r02_reason_dollars": lambda s, d: r.reason_dollars(_model(s, d), C),
@@ -190,6 +196,12 @@ def reports() -> dict[str, Query]:
         "r07_top_providers": lambda s, d: r.top_providers(_model(s, d), C),
         "r08_provider_table": lambda s, d: r.provider_table(_model(s, d), C),
         "r09_slicer": lambda s, d: r.reason_table(_model(s, d), C, filters=year_slicer),
+        "r01_sliced": lambda s, d: r.quarterly_rate(_model(s, d), C, filters=both),
+        "r05_sliced": lambda s, d: r.plan_network_rate(_model(s, d), C, filters=both),
+        "r10_sliced": lambda s, d: r.kpi_cards(_model(s, d), "overview", C, filters=both),
+        "r05_sliced_to_nothing": lambda s, d: r.plan_network_rate(_model(s, d), C, filters=[("plan_type", ["NONE"])]),
+        "m_rank_by_year": lambda s, d: evaluate(
+            _model(s, d), ["Excess Denial (pts)", "Excess Rank"], ["year", "provider_name"], [], C),
         "r10_kpi_overview": lambda s, d: r.kpi_cards(_model(s, d), "overview", C),
         "r10_kpi_denials": lambda s, d: r.kpi_cards(_model(s, d), "denials", C),
         "r10_kpi_providers": lambda s, d: r.kpi_cards(_model(s, d), "providers", C),
@@ -220,3 +232,97 @@ def features() -> dict[str, Query]:
         "model_projection": lambda s, d: files.drop_convenience(tpch.wide(s, d)),
         "sink_extract": lambda s, d: files.claims_extract(tpch.wide(s, d, codes=True), _prov(s, d)),
     }
+
+
+# ---------------------------------------------------------------- the same checks over a faulty star
+
+def faulty() -> dict[str, Query]:
+    from claimwise.operators import checks, clean
+    from claimwise.sources import faults as f
+
+    def star(s, d):
+        return f.claims(s, d), f.patients(s, d), f.providers(s, d)
+
+    return {
+        "faulty_chk_claims": lambda s, d: checks.run_checks(_enriched(*star(s, d)), checks.claim_checks(C)),
+        "faulty_chk_patients": lambda s, d: checks.run_checks(f.patients(s, d), checks.patient_checks(C)),
+        "faulty_chk_providers": lambda s, d: checks.run_checks(f.providers(s, d), checks.provider_checks(C)),
+        "faulty_con_patients": lambda s, d: _constraints("patients", f.patients(s, d)),
+        "faulty_con_providers": lambda s, d: _constraints("providers", f.providers(s, d)),
+        "faulty_con_claims": lambda s, d: _constraints("claims", f.claims(s, d)),
+        "faulty_con_foreign_keys": lambda s, d: _fk(*star(s, d)),
+        "faulty_dq1_row_counts": lambda s, d: checks.dq_row_counts(*star(s, d)),
+        "faulty_dq2_orphans": lambda s, d: checks.dq_orphans(*star(s, d), C),
+        "faulty_dq3_financial": lambda s, d: checks.dq_financial(f.claims(s, d), C),
+        "faulty_dq4_dates": lambda s, d: checks.dq_dates(f.claims(s, d), C),
+        "faulty_dq5_denied_no_reason": lambda s, d: checks.dq_denied_without_reason(f.claims(s, d), C),
+        "csv_clean_claims": lambda s, d: f.typed(clean.clean_claims(f.claims_csv(s, d), C)),
+        "csv_claim_rejects": lambda s, d: clean.claim_rejects(f.claims_csv(s, d), C).select("claim_id", "service_date", "billed_amount", "allowed_amount", "reject_reason"),
+    }
+
+
+# ---------------------------------------------------------------- readers, writers and helpers, through files
+
+def exports() -> dict[str, Query]:
+    """Each writes below the scratch folder and returns what it reads back."""
+    from claimwise.functions import agg_if
+    from claimwise.operators import checks
+    from claimwise.operators.features import build_wide
+    from claimwise.schema import PATIENTS, PROVIDERS, RAW_PROVIDERS
+    from claimwise.sources import files
+    from claimwise.sources.faults import scratch
+
+    def raw_csv(s, d):
+        path = scratch(s, "raw")
+        text = tpch.raw_providers(s, d).select(*[F.col(c).cast("string").alias(c) for c in RAW_PROVIDERS.names])
+        text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return files.split_corrupt(files.read_raw(s, path, RAW_PROVIDERS))[0]
+
+    def typed_csv(s, d, name, table, schema):
+        path = scratch(s, "typed")
+        files.write_clean({name: table(s, d)}, path, fmt="csv")
+        return files.read_clean(s, f"{path}/{name}", schema)
+
+    def sink_clean(s, d):
+        path, m = scratch(s, "clean"), tpch.model(s, d)
+        files.write_clean({"claims": m.claims, "patients": m.patients, "providers": m.providers}, path)
+        back = {n: s.read.parquet(f"{path}/{n}") for n in ("claims", "patients", "providers")}
+        return checks.dq_row_counts(back["claims"], back["patients"], back["providers"])
+
+    def sink_star(s, d):
+        path, m = scratch(s, "star"), tpch.model(s, d)
+        tag = path.rsplit("-", 1)[1]
+        tables = {f"star_{tag}_{n}": t for n, t in (("claims", m.claims), ("patients", m.patients), ("providers", m.providers))}
+        counts = files.load_star(s, tables, path=path)
+        return counts.withColumn("table_name", F.element_at(F.split("table_name", "_"), -1))
+
+    def sink_results(s, d):
+        path, names = scratch(s, "results"), ["q01_headline_kpis", "q13_age_group", "dq1_row_counts"]
+        files.run_all(s, {n: queries()[n] for n in names}, d, path)
+        parts = [s.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("query"), "row_count") for n in names]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def sheet_ifs(s, d):
+        is_denied, large = F.col(C.status) == C.status_denied, F.col(C.billed) > 20000
+        return _wp(s, d).groupBy(C.network).agg(
+            agg_if("count", C.billed, is_denied, large).alias("denied_large"),
+            agg_if("sum", C.billed, is_denied, large).cast("decimal(38,2)").alias("denied_large_billed"),
+            agg_if("max", C.paid, ~is_denied).alias("largest_paid"),
+            F.round(agg_if("avg", C.billed, large), 4).alias("large_mean"),
+        )
+
+    def wide_claims(s, d):
+        m = tpch.model(s, d)
+        return build_wide(m.claims, m.patients, m.providers, C)
+
+    return {
+        "src_csv_raw": raw_csv,
+        "src_csv_typed": lambda s, d: typed_csv(s, d, "providers", _providers, PROVIDERS),
+        "src_csv_dates": lambda s, d: typed_csv(s, d, "patients", _patients, PATIENTS),
+        "sink_clean": sink_clean,
+        "sink_star": sink_star,
+        "sink_query_results": sink_results,
+        "con_default": lambda s, d: checks.with_default(tpch.raw_patients(s, d), "state", "Unknown").select("patient_id", "state"),
+        "x06_ifs": sheet_ifs,
+        "build_wide": wide_claims,
+    }

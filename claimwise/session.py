@@ -53,11 +53,28 @@ def materialize(df):
     content no longer depends on a recomputation after an executor is lost,
     and later reads get column pruning and filter pushdown (which an RDD
     checkpoint cannot offer). One job; the table lives under the
-    checkpoint folder, which the cluster's housekeeping owns."""
+    checkpoint folder until ``release`` or the cluster's housekeeping deletes it."""
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/claimwise-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
+
+
+_written: list[str] = []
+
+
+def release() -> int:
+    """Delete the tables that ``materialize`` has written in this process; call
+    it when their readers are done (the end of a job). Returns how many."""
+    from pyarrow import fs
+
+    done = len(_written)
+    while _written:
+        path = _written.pop()
+        system, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        system.delete_dir(name)
+    return done

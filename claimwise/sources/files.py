@@ -11,16 +11,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimwise.schema import CONVENIENCE, FACT_COLUMNS
 
 
-def read_raw(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Raw export with header, every column as text (no inference)."""
-    return (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("encoding", "UTF-8").option("quote", '"').csv(path)
+# Texts that stand for a missing value in the exports.
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+CORRUPT = "_corrupt_record"
+
+
+def read_raw(spark: SparkSession, path: str, schema, missing: tuple = MISSING_TOKENS) -> DataFrame:
+    """Raw export with header, every column as text (no inference); a
+    missing-value token becomes null. A row with too many or too few fields
+    keeps its whole line in ``_corrupt_record`` (null for good rows): see
+    ``split_corrupt``."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = (
+        spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", "UTF-8").option("quote", '"')
+        .option("escape", '"').csv(path)
     )
+    return rows.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in schema.names], CORRUPT)
+
+
+def split_corrupt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, lines that do not) of a raw export. Spark
+    does not read the corrupt column alone, so both also ask for the others."""
+    all_read = F.length(F.concat_ws("", *[c for c in raw.columns if c != CORRUPT])) >= 0
+    good = raw.where(F.col(CORRUPT).isNull() & all_read).drop(CORRUPT)
+    return good, raw.where(F.col(CORRUPT).isNotNull() & all_read).select(F.col(CORRUPT).alias("line"))
 
 
 def read_clean(spark: SparkSession, path: str, schema, fmt: str = "csv") -> DataFrame:
@@ -58,9 +81,9 @@ def drop_convenience(wide: DataFrame) -> DataFrame:
 
 
 def load_star(spark: SparkSession, tables: dict[str, DataFrame], database: str | None = None,
-              partition_by: dict[str, list[str]] | None = None) -> DataFrame:
-    """Replace and load the star tables as managed tables, then report
-    (table_name, row_count) read back from the stored tables."""
+              partition_by: dict[str, list[str]] | None = None, path: str | None = None) -> DataFrame:
+    """Replace and load the star tables as tables (managed, or below
+    ``path``), then report (table_name, row_count) read back from them."""
     partition_by = partition_by or {}
     counts = None
     for name, df in tables.items():
@@ -68,6 +91,8 @@ def load_star(spark: SparkSession, tables: dict[str, DataFrame], database: str |
         w = df.write.mode("overwrite")
         if name in partition_by:
             w = w.partitionBy(*partition_by[name])
+        if path:
+            w = w.option("path", f"{path}/{name}")
         w.saveAsTable(full)
         c = spark.table(full).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         counts = c if counts is None else counts.unionByName(c)

@@ -1,13 +1,12 @@
-"""Dimension joins with a checked broadcast.
+"""Dimension joins with a broadcast checked by size.
 
 Spark's static size estimate of a join is the product of its inputs, so a
 small dimension built from a join chain (supplier -> nation -> region) looks
-huge and the fact gets shuffled for a sort-merge join. Here the dimension's
-row count is measured once per session and dimension (a cheap scan of the
-dimension, not of the fact); below ``claimwise.broadcastMaxRows`` (default
-2,000,000 rows) it is broadcast, above it the join is left to Spark's
-shuffle join (with AQE skew handling), so a billion-row dimension is never
-shipped to every executor.
+huge and the fact gets shuffled for a sort-merge join. Such a dimension has
+as many rows as the table it starts from, so that table's estimated bytes
+(from its files, no job) decide: within ``claimwise.broadcastMaxBytes`` the
+dimension is broadcast, above it the join is left to Spark, which may still
+convert it at run time. The size is read anew for every plan.
 """
 
 from __future__ import annotations
@@ -15,22 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 2_000_000
-_ROWS: dict[str, int] = {}
+DEFAULT_MAX_BYTES = 64 << 20
 
 
-def max_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("claimwise.broadcastMaxRows", str(DEFAULT_MAX_ROWS)))
+def max_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("claimwise.broadcastMaxBytes", str(DEFAULT_MAX_BYTES)))
 
 
-def checked_broadcast(dim: DataFrame, key: str | None = None) -> DataFrame:
-    """``broadcast(dim)`` if its measured row count is within the bound,
-    else ``dim`` unchanged. ``key`` identifies a base dimension (e.g. path
-    and name) so the count runs once per session; a derived dimension
-    (``key=None``) is counted each time."""
-    n = _ROWS.get(key) if key else None
-    if n is None:
-        n = dim.count()
-        if key:
-            _ROWS[key] = n
-    return F.broadcast(dim) if n <= max_rows(dim) else dim
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan, as EXPLAIN COST shows it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def checked_broadcast(dim: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``broadcast(dim)`` if ``base`` (default: ``dim`` itself), the table
+    whose rows it looks up values for, is within the bound; else ``dim``."""
+    return F.broadcast(dim) if estimated_bytes(dim if base is None else base) <= max_bytes(dim) else dim

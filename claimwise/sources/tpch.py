@@ -6,7 +6,7 @@ diagnosis codes when a query asks for them); patients come from
 is a deterministic built-in expression, so the same view is written in
 DuckDB SQL by ``claimwise.plans.oracle``. Fact joins carry no blind hints: AQE decides between broadcast and shuffle joins at run
 time, which keeps the plan valid when the dimensions are themselves large;
-dimensions are broadcast only after their row count has been checked
+dimensions are broadcast only if their files are small enough
 (``claimwise.sources.joins``).
 """
 
@@ -26,50 +26,10 @@ ENROLL_ORIGIN = "2010-01-01"
 NETWORK_ACCTBAL = 5000.0
 
 
-_TABLES: dict = {}
-_VIEWS: dict = {}
-
-
-def _memo(fn):
-    """Views are immutable, lazy DataFrames: build (and analyze) each one
-    once per session and arguments, and let every query start from it."""
-    import functools
-
-    @functools.wraps(fn)
-    def wrapper(spark, sf_dir, *args, **kwargs):
-        key = (fn.__name__, spark, sf_dir, args, tuple(sorted(kwargs.items())))
-        df = _VIEWS.get(key)
-        if df is None:
-            df = _VIEWS[key] = fn(spark, sf_dir, *args, **kwargs)
-        return df
-
-    return wrapper
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; the (immutable, lazy) scan is reused within a session
-    so the file listing and footer read happen once per table."""
-    key = (spark, sf_dir, name)
-    df = _TABLES.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name in FACT_TABLES:
-            df = with_min_parallelism(df)
-        _TABLES[key] = df
-    return df
-
-
-FACT_TABLES = ("lineitem", "orders")
-
-
-def with_min_parallelism(df: DataFrame) -> DataFrame:
-    """A fact scan that yields fewer input splits than the cluster has
-    cores (a file written as one row group) is spread round-robin over the
-    default parallelism, so the projection/join work before the first
-    shuffle is not single-threaded. A normally laid-out large table has far
-    more splits than cores and is left untouched (no extra shuffle)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """A base table; every call lists its files anew, so rows that were added
+    are seen."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def status_expr(returnflag, linestatus):
@@ -80,14 +40,13 @@ def status_expr(returnflag, linestatus):
     )
 
 
-@_memo
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """provider_id, provider_name, specialty, state, network_status, claim_type."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = n.join(checked_broadcast(r, f"{sf_dir}#region"), n.n_regionkey == r.r_regionkey)
-    geo = checked_broadcast(geo, f"{sf_dir}#geo")
+    geo = n.join(checked_broadcast(r), n.n_regionkey == r.r_regionkey)
+    geo = checked_broadcast(geo, n)
     return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey").alias("provider_id"),
         F.col("s_name").alias("provider_name"),
@@ -100,13 +59,12 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patient_id, gender, date_of_birth, state, plan_type, enrollment_date."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
-    n = checked_broadcast(n, f"{sf_dir}#nation")
+    n = checked_broadcast(n)
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         k.alias("patient_id"),
         F.when(k % 2 == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
@@ -125,7 +83,7 @@ def _raw_fact(spark: SparkSession, sf_dir: str, codes: bool) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     f = li.join(o, li.l_orderkey == o.o_orderkey)
     if codes:
-        p = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), f"{sf_dir}#part")
+        p = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"))
         f = f.join(p, f.l_partkey == p.p_partkey)
     return f
 
@@ -170,7 +128,6 @@ def fact_exprs(codes: bool) -> dict:
     return out
 
 
-@_memo
 def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True) -> DataFrame:
     """The claims fact (15 columns of the reference's fact table, minus
     ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
@@ -179,7 +136,7 @@ def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bo
     exprs = fact_exprs(codes)
     if claim_type:
         pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
-                               f"{sf_dir}#providers")
+                               table(spark, sf_dir, "supplier"))
         f = f.join(pr, f.l_suppkey == pr._pid, "left")
         exprs = {**{k: v for k, v in exprs.items() if k in ("claim_id", "patient_id", "provider_id", "service_date",
                                                              "submission_date", "processed_date")},
@@ -198,7 +155,6 @@ def model(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients:
     )
 
 
-@_memo
 def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
          with_providers: bool = True, keep_name: bool = False) -> DataFrame:
     """Wide claims in one pass: the provider join that supplies ``claim_type``
@@ -208,11 +164,11 @@ def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: b
     if with_providers:
         pr = providers(spark, sf_dir)
         keep = ["claim_type", "specialty", "network_status"] + (["provider_name"] if keep_name else [])
-        pr = checked_broadcast(pr.select(F.col("provider_id").alias("_pid"), *keep), f"{sf_dir}#providers")
+        pr = checked_broadcast(pr.select(F.col("provider_id").alias("_pid"), *keep), table(spark, sf_dir, "supplier"))
         f = f.join(pr, f.provider_id == pr._pid, "left").drop("_pid")
     if with_patients:
         pa = patients(spark, sf_dir).select(F.col("patient_id").alias("_cid"), "date_of_birth", "plan_type")
-        pa = checked_broadcast(pa, f"{sf_dir}#patients")
+        pa = checked_broadcast(pa, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
         f = f.join(pa, f.patient_id == pa._cid, "left").drop("_cid")
     from claimwise.operators.features import derive_features
 
@@ -235,11 +191,10 @@ class Star:
 # coded genders, missing states and padded upper-case specialties. Dates are
 # text, as a CSV export would carry them.
 
-@_memo
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _raw_fact(spark, sf_dir, codes=True)
     pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
-                           f"{sf_dir}#providers")
+                               table(spark, sf_dir, "supplier"))
     f = f.join(pr, f.l_suppkey == pr._pid, "left")
     status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
     service = F.col("o_orderdate").cast("date")
@@ -284,13 +239,12 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("_copy")
 
 
-@_memo
 def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
     codes = F.array(*[F.lit(v) for v in ("F", "M", "Female", "female", " f", "M ")])
-    n = checked_broadcast(n, f"{sf_dir}#nation")
+    n = checked_broadcast(n)
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         k.alias("patient_id"),
         F.element_at(codes, (k % 6 + 1).cast("int")).alias("gender"),
@@ -301,7 +255,6 @@ def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def raw_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = providers(spark, sf_dir)
     padded = F.when(F.col("provider_id") % 8 == 0, F.concat(F.lit(" "), F.col("specialty"), F.lit(" "))).otherwise(F.col("specialty"))

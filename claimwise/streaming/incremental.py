@@ -3,10 +3,11 @@
 The reference is batch only; this module shows that the same operator
 (``trends``-style monthly aggregate) runs unchanged on a streaming
 DataFrame: claim files landing in a folder are read with ``readStream``,
-aggregated per service month with a watermark on the service date (late
-claims older than the watermark no longer change closed months), and the
-running totals are written to any sink (memory in tests, a table or files
-in production via ``foreachBatch``).
+aggregated per service day, and the running totals are written to any sink
+(memory in tests, a table or files in production via ``foreachBatch``). There
+is no watermark: claims are submitted 90 days and more after the service, and
+each one counts however late it comes. The state is one row per service day,
+so it is bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -27,14 +28,11 @@ def read_claims_stream(spark: SparkSession, path: str, schema, fmt: str = "parqu
     return r.load(path)
 
 
-def monthly_totals(claims: DataFrame, cfg: ClaimsConfig = DEFAULT, watermark: str = "90 days") -> DataFrame:
+def monthly_totals(claims: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
     """Claims, decided, denied, billed and paid per service day (with its
-    month); works on a batch or a streaming DataFrame. On a stream the state
-    is one row per open service day and the watermark closes old days; a
-    sink upserts rows by ``service_day`` and months are a rollup of it."""
+    month); works on a batch or a streaming DataFrame. A sink upserts rows by
+    ``service_day`` and months are a rollup of it."""
     d = claims.withColumn("service_day", F.col(cfg.service_date).cast("timestamp"))
-    if claims.isStreaming:
-        d = d.withWatermark("service_day", watermark)
     return d.groupBy("service_day", F.date_format("service_day", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("claims"),
         count_if(decided(cfg)).alias("decided"),
@@ -44,13 +42,10 @@ def monthly_totals(claims: DataFrame, cfg: ClaimsConfig = DEFAULT, watermark: st
     )
 
 
-def start_monthly(stream: DataFrame, sink, checkpoint: str, cfg: ClaimsConfig = DEFAULT, trigger_once: bool = True,
-                  watermark: str = "90 days"):
+def start_monthly(stream: DataFrame, sink, checkpoint: str, cfg: ClaimsConfig = DEFAULT, trigger_once: bool = True):
     """Start the monthly aggregate; ``sink(batch_df, epoch_id)`` receives
-    each micro-batch's updated rows (``foreachBatch``: idempotent upserts).
-    Claims whose service date is older than the watermark when they arrive
-    are late and no longer counted."""
-    q = monthly_totals(stream, cfg, watermark).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    each micro-batch's updated rows (``foreachBatch``: idempotent upserts)."""
+    q = monthly_totals(stream, cfg).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     q = q.foreachBatch(sink)
     if trigger_once:
         q = q.trigger(availableNow=True)

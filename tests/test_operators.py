@@ -78,13 +78,13 @@ def test_ntile_matches_window_ntile(spark):
 def test_group_median_exact_and_interpolated(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("a", 10), ("b", 1), ("b", 2), ("b", 4), ("c", None)],
                                "g string, v int")
-    out = dict(ranking.group_median(df, ["g"], "v", "m", partitions=3).collect())
+    out = dict(ranking.group_median(df, ["g"], "v", "m").collect())
     assert out == {"a": 3.0, "b": 2.0}
 
 
-def test_group_median_hot_group_split_across_partitions(spark):
+def test_group_median_hot_group(spark):
     df = spark.range(10001).select(F.lit("hot").alias("g"), F.col("id").alias("v"))
-    out = ranking.group_median(df, ["g"], "v", "m", partitions=8).collect()
+    out = ranking.group_median(df, ["g"], "v", "m").collect()
     assert out[0]["m"] == 5000.0
 
 
@@ -226,3 +226,26 @@ def test_ytd_under_quarter_slicer(spark):
 def test_default_clause(spark):
     df = spark.createDataFrame([(1,), (None,)], "billed_imputed int")
     assert [r[0] for r in checks.with_default(df, "billed_imputed", 0).collect()] == [1, 0]
+
+
+def test_group_median_null_key_and_one_value(spark):
+    df = spark.createDataFrame([(None, 5), (None, 7), ("x", 3), ("x", 3), ("x", 3)], "g string, v int")
+    assert dict(ranking.group_median(df, ["g"], "v", "m").collect()) == {None: 6.0, "x": 3.0}
+
+
+def test_types_without_a_column_raise(spark):
+    rows = [("p", "Paid", D(2024, 1, 5), 10)]
+    c = claims(spark, rows).withColumn("claim_type", F.lit("Dental"))
+    assert trends.trend_by_type(c, DEFAULT).columns == ["month", "dental"]
+    with pytest.raises(Exception, match="Dental"):
+        trends.trend_by_type(c, DEFAULT, ["Outpatient"]).collect()
+
+
+def test_rank_keeps_the_other_keys(spark):
+    """Ranks start anew in each context; ties share a rank."""
+    from claimwise.operators.measures import _rank
+
+    rows = [(1, "a", 5.0), (1, "b", 5.0), (1, "c", 1.0), (2, "a", None), (2, "b", -1.0), (2, "c", 9.0), (None, "a", 1.0)]
+    df = spark.createDataFrame(rows, "year int, provider_name string, _excess double")
+    got = {(r.year, r.provider_name): r._rank for r in _rank(df, DEFAULT, ["year", "provider_name"]).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 1, (1, "c"): 3, (2, "a"): 2, (2, "b"): 3, (2, "c"): 1, (None, "a"): 1}
