@@ -35,7 +35,7 @@ def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(1, 200)]
     rows += [(i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(200, 300)]  # one hot vector, many ties
-    rows += [(300, None), (320, [0.0] * 6), (340, [1.0, None, 0, 0, 0, 0]), (360, [float("nan")] * 6), (380, [float("inf")] * 6), (400, [1.0]), (None, [1.0] * 6)]
+    rows += [(300, None), (320, [0.0] * 6), (340, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (360, [float("nan")] * 6), (380, [float("inf")] * 6), (400, [1.0]), (None, [1.0] * 6)]
     rows += [rows[5]]
     got = found(neighbours.search(table(spark, rows), F.col("vec_id") % 20 == 0))
     want = nearest([r for r in rows[:-1] if r[0] != 400], 20)
