@@ -57,8 +57,6 @@ class ClaimsConfig:
     min_decided: int = 100              # volume floor of the SQL/pandas outlier lists
     top_k: int = 10
     flag_pts: float = 10.0              # excess points that flag a provider
-    calendar_start: str = "2024-01-01"
-    calendar_end: str = "2025-12-31"
     flagged_providers: tuple = field(default=("Silver Partners", "Unity Clinic", "Pinecrest Group"))
 
     def with_(self, **kw) -> "ClaimsConfig":
@@ -81,7 +79,5 @@ DRIVER = DEFAULT.with_(
     compare_year=2000,
     cutoff_date="2001-08-01",
     flag_pts=1.0,
-    calendar_start="1995-01-01",
-    calendar_end="2001-12-31",
     flagged_providers=(),
 )

@@ -30,16 +30,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import money, ratio, round_half_up
 from claimwise.operators.ranking import global_index, same_keys
 from claimwise.session import materialize
-from claimwise.sources.calendar import DATE_COLS, calendar_attrs, dim_date
+from claimwise.sources.calendar import DATE_COLS, calendar_attrs, dim_date_for
+
+
+def provider_cols(cfg: ClaimsConfig) -> tuple[str, ...]:
+    """The provider dimension's columns in the model; removing its filters
+    drops them all. Its state is there only under a name of its own, as
+    ``state`` is a column of patients too."""
+    return (cfg.provider_id, cfg.provider_name, cfg.specialty, cfg.network, f"provider_{cfg.state}")
+
 
-PROVIDER_COLS = ("provider_id", "provider_name", "specialty", "network_status")
 FLAGGED_MS = {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}
 
 # The catalog's measure names and their output columns.
@@ -224,7 +231,7 @@ class _Compiler:
         context aggregated by keys, claim type and network, when no provider
         filter is in force) is rolled up instead of scanning the fact again."""
         c = self.cfg
-        sub = self.ctx.without(PROVIDER_COLS + (c.claim_type,))
+        sub = self.ctx.without(provider_cols(c) + (c.claim_type,))
         keys = list(sub.group_by)
         if fine is not None:
             p = fine.groupBy(*keys, c.claim_type, c.network).agg(F.sum("_den").alias("_pd"), F.sum("_dec").alias("_pn"))
@@ -242,7 +249,7 @@ class _Compiler:
         """Last calendar date of each row's context (date filters and date
         group keys applied to the date dimension)."""
         c = self.cfg
-        cal = dim_date(self.model.sparkSession, c.calendar_start, c.calendar_end)
+        cal = dim_date_for(self.model, c.service_date)  # every claim's year is in it
         for col, values in self.ctx.filters:
             if col in DATE_COLS:
                 cal = cal.where(F.col(col).isin(*values))
@@ -259,13 +266,12 @@ class _Compiler:
         nkeys = list(sub.group_by)
         if per_day is None:
             per_day = _grouped(sub.apply(self.model), nkeys + [c.service_date], F.sum(c.paid).alias("_dp"))
-        rows = main.select(*self.keys, "_last").distinct()
-        per_day = per_day.select(*[F.col(k).alias(f"_y_{k}") for k in nkeys], F.col(c.service_date).alias("_d"), "_dp")
-        cond = (F.year("_d") == F.year("_last")) & (F.col("_d") <= F.col("_last"))
-        for k in nkeys:
-            cond = cond & rows[k].eqNullSafe(per_day[f"_y_{k}"])
-        ytd = rows.join(per_day, cond, "left").groupBy(*self.keys, "_last").agg(F.sum("_dp").alias("_ytd"))
-        return _join_back(main, ytd.drop("_last"), self.keys)
+        # days and rows in one running sum per (keys, year): at most 366 days each
+        days = per_day.select(*nkeys, F.col(c.service_date).alias("_d"), "_dp", F.lit(False).alias("_row"))
+        rows = main.select(*self.keys, F.col("_last").alias("_d"), F.lit(True).alias("_row")).distinct()
+        upto = Window.partitionBy(*nkeys, F.year("_d")).orderBy("_d")
+        ytd = days.unionByName(rows, allowMissingColumns=True).withColumn("_ytd", F.sum("_dp").over(upto))
+        return _join_back(main, ytd.where("_row").select(*self.keys, "_ytd"), self.keys)
 
     def flagged(self, main: DataFrame, flag_pts: float) -> DataFrame:
         """Providers (by name) in each row's context whose excess over peers
@@ -276,7 +282,7 @@ class _Compiler:
         inner = _Compiler(self.model, sub, c)
         aggs = inner.base_aggs()
         aggs["_coding"] = _cnt(self.denied & F.col(c.reason).isin(*c.coding_reasons)).alias("_coding")
-        if any(f[0] in PROVIDER_COLS + (c.claim_type,) for f in self.ctx.filters):
+        if any(f[0] in provider_cols(c) + (c.claim_type,) for f in self.ctx.filters):
             prov = inner.peer(_grouped(sub.apply(self.model), pk, *aggs.values()))
         else:
             # one pass at (keys, provider, claim type, network), rolled up twice
@@ -348,7 +354,7 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
             separate.add(cfg.network)
     peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
     distinct = bool(ms & {"Unique Patients", "KPI Claims Context"})
-    provider_filtered = any(f[0] in PROVIDER_COLS + (cfg.claim_type,) for f in ctx.filters)
+    provider_filtered = any(f[0] in provider_cols(cfg) + (cfg.claim_type,) for f in ctx.filters)
     fine = per_day = None
     if ms & peer_ms and not distinct and not provider_filtered:
         # one pass over the fact at grain (keys, claim type, network); the

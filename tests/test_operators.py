@@ -214,7 +214,7 @@ def test_replaced_measure_keeps_rows_outside_the_slicer(spark):
 def test_ytd_under_quarter_slicer(spark):
     """Paid YTD replaces the date slicer (Jan 1 .. end of the sliced quarter);
     Total Paid respects it; a network slicer stays in force for both."""
-    cfg = DEFAULT.with_(calendar_start="2024-01-01", calendar_end="2024-12-31")
+    cfg = DEFAULT
     rows = [("p", "Paid", D(2024, 2, 1), 10), ("p", "Paid", D(2024, 5, 1), 20), ("p", "Paid", D(2024, 8, 1), 40)]
     m = with_calendar(claims(spark, rows).withColumn("provider_name", F.lit("n")), "service_date")
     r = evaluate(m, ["Paid YTD", "Total Paid"], [], [("quarter_label", ["2024 Q2"])], cfg).first()
