@@ -141,16 +141,15 @@ def pool(offsets: np.ndarray, raw: np.ndarray, vectors: np.ndarray) -> np.ndarra
 
 
 def features(docs: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and features (array of float)."""
+    """key and features (FEATURES little-endian floats in a binary cell)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # 4 MB
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("features", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow.slices(batches, text):
             x = pool(*arrow.buffers(b.column(text)), shared.value)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(key), cells], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -219,12 +218,16 @@ def fold(key: str, of: int):
 
 
 def train(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> Network:
-    """Fit on documents with a label whose fold (of 3) is not 1."""
+    """Fit on documents with a label whose fold (of 3) is not 1. Rows are chosen
+    by key alone, and only the chosen ones' features move."""
     marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-    rows = table.where(fold(key, 3) != 1).join(marked, F.col(key) == F.col("_key"))
-    rows = rows.select(F.col(key).cast("string").alias("k"), F.col("_label").cast("double").alias("y"), "features")
-    rows = rows.orderBy(F.xxhash64("k"), "k").limit(max_rows).collect()  # bounded: max_rows
-    x = np.array([r.features for r in rows], np.float32).reshape(len(rows), FEATURES)
+    named = table.select(key).where(fold(key, 3) != 1).distinct().join(marked, F.col(key) == F.col("_key"))
+    named = named.select("_key", F.col(key).cast("string").alias("k"), F.col("_label").cast("double").alias("y"))
+    chosen = named.orderBy(F.xxhash64("k"), "k").limit(max_rows)
+    rows = table.join(F.broadcast(chosen), F.col(key) == F.col("_key")).dropDuplicates(["k"])  # bounded: max_rows
+    rows = rows.select("k", "y", "features").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.k.encode()), r.k))
+    x = np.frombuffer(b"".join(r.features for r in rows), "<f4").reshape(len(rows), FEATURES)
     y = np.array([r.y for r in rows]) > 0
     held = np.array([zlib.crc32(r.k.encode()) // 3 % 5 == 0 for r in rows], bool)
     return fit(x, y, held)
@@ -236,7 +239,8 @@ def score(table: DataFrame, net: Network, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = net.score(b.column("features").flatten().to_numpy().reshape(b.num_rows, FEATURES))
+            _, raw = arrow.buffers(b.column("features"))
+            p = net.score(np.frombuffer(raw.tobytes(), "<f4").reshape(b.num_rows, FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
     rows = table.select(key, F.coalesce(fold(key, 3) == 1, F.lit(False)).alias("held_out"), "features")
