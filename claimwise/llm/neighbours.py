@@ -217,9 +217,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     rows = rows.where(F.col("id").isNotNull() & _valid(F.col("vector")))
     size = rows.agg(F.mode(F.size("vector"))).first()[0] or 1
     rows = rows.where(F.size("vector") == size).withColumn("h", F.xxhash64("vector"))
-    # the smallest ids of each class: cut in each task before the shuffle
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "vector").orderBy("id"))).where(F.col("r") <= 2 * k + 2)
-    classes = top.groupBy("h", "vector").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
+    # the smallest ids of each class, repeated rows counting once: both steps cut in each task before their shuffle
+    once = rows.select("id", "h", "vector").distinct()
+    top = once.withColumn("r", F.row_number().over(Window.partitionBy("h", "vector").orderBy("id"))).where(F.col("r") <= k + 1)
+    classes = top.groupBy("h", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = classes.withColumn("low", F.element_at("ids", 1))
     points = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     asked = rows.where("query").select("id", "h", "vector").distinct()

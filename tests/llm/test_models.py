@@ -45,6 +45,18 @@ def test_neighbours_of_odd_vectors(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12)
 
 
+@pytest.mark.parametrize("repeats", [3, 50])
+def test_repeated_rows_of_a_hot_vector_count_once(spark, repeats):
+    """The class keeps its k + 1 smallest ids however often their rows repeat."""
+    rng = np.random.default_rng(4)
+    hot = [(i, [1.0, 2.0, 0.0, 1.0]) for i in range(1, 41)]
+    rows = [(i, rng.integers(-2, 2, 4).astype(float).tolist()) for i in range(41, 120)]
+    got = found(neighbours.search(table(spark, hot * repeats + hot[:1] * 500 + rows).repartition(7), F.col("vec_id") % 20 == 0))
+    want = nearest(hot + rows, 20)
+    assert set(got) == set(want) and [i for i, _ in want[20]][:20] == [*range(1, 20), 21]
+    assert {q: [i for i, _ in got[q]] for q in want} == {q: [i for i, _ in want[q]] for q in want}
+
+
 def test_neighbours_over_segments(spark):
     """Small segments and a narrow window still reach the recall."""
     rng = np.random.default_rng(2)
