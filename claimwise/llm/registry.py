@@ -182,7 +182,6 @@ SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rul
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_rules": LINES_SQL,
-        "op9_lm_scoring": op9_lm_scoring,
         "op10_jaccard_join": JACCARD_SQL,
         "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),

@@ -27,3 +27,7 @@ def test_query_matches_sql(spark, duck, name):
     columns = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == rows(columns, cur.fetchall())
+
+
+def test_oracle_is_sql_text():
+    assert {k: v for k, v in E.oracle_sql().items() if not isinstance(v, str)} == {}
