@@ -3,9 +3,10 @@
 A line's normal form is its words in lower case (A-Z), so white space and case
 do not tell lines apart; its hash is taken. For each host the distinct documents
 that hold a line are counted, equal texts of a host as one document (copies
-are for deduplication to judge). A line above its host's limit, the larger of
-``min_docs`` and ``share`` of the host's distinct documents, is removed; a document
-that loses more than ``depleted`` of its words is rejected.
+are for deduplication to judge) unless ``copies`` counts each of them. A line above
+its host's limit is removed: the larger of ``min_docs`` and ``share`` of the host's
+distinct documents, the share being at most ``max_docs`` if that is given. A
+document that loses more than ``depleted`` of its words is rejected.
 
 A hot host or line is counted in parts before it is shuffled; the lines above
 limits are few (each needs more than ``min_docs`` documents), and are broadcast only
@@ -118,24 +119,26 @@ def measured(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()))
 
 
-def frequent_lines(table: DataFrame, min_docs: int, share: float) -> DataFrame:
+def frequent_lines(table: DataFrame, min_docs: int, share: float, max_docs: int | None = None, copies: bool = False, key: str = "doc_id") -> DataFrame:
     """(host, line) above the host's limit."""
-    one = table.groupBy("host", "text_hash").agg(F.min("node").alias("node"))
+    one = table.groupBy("host", "text_hash", *([key] if copies else [])).agg(F.min("node").alias("node"))
     size = one.groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "_host")
     lines = table.join(one.select("node"), "node", "left_semi").select("host", F.explode("lines").alias("line"))
     held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     met = held.join(size, F.col("host").eqNullSafe(F.col("_host")))
-    return materialize(met.where(F.col("n") > F.col("docs") * F.lit(share)).select("host", "line", F.col("n").alias("line_docs")))
+    limit = F.col("docs") * F.lit(share)
+    limit = limit if max_docs is None else F.least(limit, F.lit(float(max_docs)))
+    return materialize(met.where(F.col("n") > limit).select("host", "line", F.col("n").alias("line_docs")))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = MIN_DOCS,
-                  share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+                  share: float = SHARE, depleted: float = DEPLETED, max_docs: int | None = None, copies: bool = False) -> DataFrame:
     """Per document: key, the counts, n_frequent_words (words of its lines above
     limits), base_failed, kept, text_hash and frequent (hashes of those lines,
     for :func:`remove_lines`)."""
     ship(docs.sparkSession)
     table = measured(docs, key, host, text)
-    bad = frequent_lines(table, min_docs, share).withColumnsRenamed({"host": "_host", "line": "_line"})
+    bad = frequent_lines(table, min_docs, share, max_docs, copies, key).withColumnsRenamed({"host": "_host", "line": "_line"})
     few = bad.count() <= BROADCAST_LINES
     lines = table.select("node", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     lines = lines.select("node", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))

@@ -65,6 +65,23 @@ def test_copies_count_as_one_document_and_lines_are_removed(spark):
     assert len(left) == 38 and left[101].endswith("59") and left[3] == rows[3][1]
 
 
+def test_limit_of_a_large_host_and_copies(spark):
+    body = lambda k: " ".join(f"v{k}_{i}" for i in range(60))
+    rows = [(k, body(k) + ("\nFooter text" if k < 20 else ""), "a") for k in range(100)]
+    rows += [(100 + k, body("copy") + "\nonly copies", "a") for k in range(12)] * 2
+    docs = spark.createDataFrame(rows, "id long, text string, source string")
+
+    def lost(**how):
+        judged = line_rules.quality_rules(docs, key="id", min_docs=5, share=0.25, **how).collect()
+        return {r.id: r.n_frequent_words for r in judged if r.n_frequent_words}
+
+    footer = dict.fromkeys(range(20), 2)
+    assert lost() == {}  # 20 of 101 texts
+    assert lost(max_docs=19) == footer and lost(max_docs=20) == {}
+    assert lost(max_docs=11, copies=True) == footer | dict.fromkeys(range(100, 112), 62)
+    assert lost(max_docs=12, copies=True) == footer  # repeated rows are one document
+
+
 def test_line_rules_empty(spark, make_docs):
     assert line_rules.quality_rules(make_docs([])).count() == 0
 
