@@ -13,14 +13,16 @@ curves: several Hilbert orderings of projected vectors.
    true neighbours (searched exhaustively); it is measured anew on each table. On
    vectors without structure it comes near the whole table, as it must.
 
-Vectors that are null, zero, of another than the commonest length, or hold null
-or non-finite components take no part, nor do rows with a null id. Rows that repeat
-an id and vector count once. With fewer candidates all are returned. An empty table
-gives an empty result. Other columns are ignored."""
+Vectors that are null, zero, or hold null or non-finite components take no part,
+nor do rows with a null id. Vectors of each length are searched among themselves,
+one length after another. Rows that repeat an id and vector count once. With fewer
+candidates all are returned. An empty table gives an empty result. Other columns are
+ignored."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,12 +213,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     each row with ``is_query`` (a condition on the input's columns), itself excepted."""
     spark = vectors.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = vectors.schema[vector].dataType
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = rows.where(F.col("id").isNotNull() & _valid(F.col("vector")))
-    size = rows.agg(F.mode(F.size("vector"))).first()[0] or 1
-    rows = rows.where(F.size("vector") == size).withColumn("h", F.xxhash64("vector"))
+    rows = rows.where(F.col("id").isNotNull() & _valid(F.col("vector"))).withColumn("size", F.size("vector"))
+    sizes = rows.groupBy("size").agg(F.max("query").alias("asked")).where("asked").orderBy("size").collect()  # one row per length
+    if not sizes:
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    pairs = reduce(DataFrame.union, [_pairs(rows.where(F.col("size") == r.size).drop("size"), r.size, k, curves, dims, bits, target, segment) for r in sizes])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return pairs.select("query_id", rank.alias("rank"), F.col("id").alias(key), "score").where(F.col("rank") <= k)
+
+
+def _pairs(rows: DataFrame, size: int, k: int, curves: int, dims: int, bits: int, target: float, segment: int) -> DataFrame:
+    """query_id, score and id of at least the ``k`` nearest found, for vectors of one length."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["vector"].dataType
+    rows = rows.withColumn("h", F.xxhash64("vector"))
     # the smallest ids of each class, repeated rows counting once: both steps cut in each task before their shuffle
     once = rows.select("id", "h", "vector").distinct()
     top = once.withColumn("r", F.row_number().over(Window.partitionBy("h", "vector").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -229,9 +241,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
     largest = points.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()[0]
     sample = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_POINTS).select("vector").collect()  # bounded
-    if not sample:
-        schema = f"query_id long, rank int, {key} long, score double"
-        return spark.createDataFrame([], schema)
     shape = Curves(np.array([r.vector for r in sample], np.float64), largest, curves, dims, bits)
     keyed = T.StructType([T.StructField("node", T.LongType()), T.StructField("low", T.LongType()), T.StructField("vector", kind), T.StructField("query", T.BooleanType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
@@ -263,6 +272,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     nearest = found.mapInArrow(lambda it: _merge(it, k + 1, FOUND.names), FOUND)
     nearest = nearest.select("q", F.explode(F.arrays_zip("nodes", "scores")).alias("f")).select("q", F.col("f.nodes").alias("node"), F.col("f.scores").alias("score"))
     named = nearest.join(points.select("node", F.explode("ids").alias("id")), "node").drop("node")
-    pairs = asked.select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(named, "q").where("id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.select("query_id", rank.alias("rank"), F.col("id").alias(key), "score").where(F.col("rank") <= k)
+    return asked.select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(named, "q").where("id <> query_id").select("query_id", "id", "score")

@@ -57,6 +57,15 @@ def test_repeated_rows_of_a_hot_vector_count_once(spark, repeats):
     assert {q: [i for i, _ in got[q]] for q in want} == {q: [i for i, _ in want[q]] for q in want}
 
 
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(6)
+    make = lambda ids, n: [(i, rng.integers(-4, 5, n).astype(float).tolist()) for i in ids]
+    short, long = make(range(1, 60), 3), make(range(60, 130), 5)
+    got = found(neighbours.search(table(spark, short + long + [(200, [1.0])]), F.col("vec_id") % 20 == 0))
+    want = nearest(short, 20) | nearest(long, 20)
+    assert {q: [i for i, _ in got[q]] for q in got} == {q: [i for i, _ in want[q]] for q in want}
+
+
 def test_neighbours_over_segments(spark):
     """Small segments and a narrow window still reach the recall."""
     rng = np.random.default_rng(2)
