@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.llm import classifier, jaccard, language_model, line_rules, mixing, neighbours, packing, substrings, token_files, urls
+from claimwise.llm import classifier, jaccard, language_model, lexical, line_rules, merkle, mixing, neighbours, packing, substrings, token_files, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", "copy_of", "n_links", "n_grams")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(warc.write_warc(_read(spark, sf_dir, "pages")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents")).drop("n_levels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -87,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_warc": op12_warc,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -179,6 +194,64 @@ SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rul
     AND n_frequent_words <= n_words * {line_rules.DEPLETED}::DOUBLE AS kept FROM b"""
 
 
+LEXICAL_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM t) GROUP BY ALL),
+d AS (SELECT r, doc_id, len(ws) AS n FROM t WHERE len(ws) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+x AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term),
+s AS (SELECT q.item_id, f.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN x USING (term) JOIN f USING (term) JOIN d USING (r), g GROUP BY q.item_id, f.r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 10"""
+
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+
+def _merkle_sql() -> str:
+    field = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v}::VARCHAR END"
+    own = " || ".join(field(c, c) for c in merkle.FIELDS)
+    other = " || ".join(field(c, f"translate(text, '{urls.UPPER}', '{urls.LOWER}')" if c == "text" else c) for c in merkle.FIELDS)
+    table = [_crc_entry(i) for i in range(256)]
+    k = merkle.FANOUT
+    return f"""
+WITH RECURSIVE
+b AS (SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NULL THEN false ELSE
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: xor(a >> 8, {table}[(xor(a, c) & 255) + 1])), 4294967295::BIGINT) % 5 = 0 END AS picked FROM documents),
+l AS (SELECT r, doc_id, source, sha256({own}) AS leaf, CASE WHEN picked THEN sha256({other}) END AS changed FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM l),
+t AS (SELECT g, 0 AS lv, pos, n, leaf AS h FROM p
+  UNION ALL SELECT g, lv + 1, pos // {k}, (max(n) + {k - 1}) // {k}, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, lv, pos // {k}),
+s AS (SELECT g, h FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, g AS pos, (SELECT count(*) FROM s) AS n, h FROM s
+  UNION ALL SELECT lv + 1, pos // {k}, (max(n) + {k - 1}) // {k}, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lv, pos // {k}),
+a AS (SELECT g, lv, pos // {k} AS up, n, list(h ORDER BY pos) AS run FROM t WHERE n > 1 GROUP BY g, lv, pos // {k}, n
+  UNION ALL SELECT -1, lv, pos // {k}, n, list(h ORDER BY pos) FROM u WHERE n > 1 GROUP BY lv, pos // {k}, n),
+w AS (SELECT r, g, g AS home, 0 AS lv, pos, n, coalesce(changed, leaf) AS cur, '' AS proof FROM p
+  UNION ALL
+  SELECT r, CASE WHEN w.n > 1 THEN w.g ELSE -1 END, home, CASE WHEN w.n > 1 THEN w.lv + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.pos // {k} ELSE home END,
+    CASE WHEN w.n > 1 THEN (w.n + {k - 1}) // {k} ELSE (SELECT count(*) FROM s) END,
+    CASE WHEN w.n > 1 THEN sha256(array_to_string(run[:w.pos % {k}], '') || cur || array_to_string(run[w.pos % {k} + 2:], '')) ELSE cur END,
+    CASE WHEN w.n > 1 THEN proof || array_to_string(run[:w.pos % {k}], '') || array_to_string(run[w.pos % {k} + 2:], '') ELSE proof END
+  FROM w LEFT JOIN a ON a.g = w.g AND a.lv = w.lv AND a.up = w.pos // {k} WHERE w.n > 1 OR w.g >= 0)
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.h AS verified
+FROM p JOIN w USING (r) JOIN s ON s.g = p.g JOIN u ON u.n = 1 WHERE w.g = -1 AND w.n = 1"""
+
+
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_rules": LINES_SQL,
@@ -186,4 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": REPEATS_SQL,
         "op4_url_filters": urls.judge_sql(URL_RULES),
         "op8_mixing": _mix_sql(),
+        "op11_lexical_search": LEXICAL_SQL,
+        "op12_warc": WARC_SQL,
+        "op13_merkle_manifest": _merkle_sql(),
     }

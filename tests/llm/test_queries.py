@@ -6,7 +6,7 @@ import __spark_entry__ as E
 
 from .conftest import SF
 
-SQL = ["op2_substring_dedup", "op4_url_filters", "op5_line_rules", "op8_mixing", "op10_jaccard_join"]
+SQL = ["op2_substring_dedup", "op4_url_filters", "op5_line_rules", "op8_mixing", "op10_jaccard_join", "op11_lexical_search", "op12_warc", "op13_merkle_manifest"]
 
 
 def rows(columns, data):
@@ -16,7 +16,7 @@ def rows(columns, data):
 
 def test_names():
     names = [k for k in E.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(SQL) <= set(E.oracle_sql())
 
 
