@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from claimwise.llm import arrow, words
 from claimwise.llm.components import connected
+from claimwise.llm.mixing import free
 from claimwise.llm.ship import ship
 from claimwise.session import materialize
 
@@ -248,6 +249,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """The documents with all their columns, one of each class: the one with the
     smallest key. Rows with equal key and text count as one."""
     judged = jaccard_join(docs, key, text, n, threshold, recall).where("keep")
-    use = judged.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).hint("merge")
-    met = docs.withColumn("_own", F.xxhash64(text)).join(use, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return met.dropDuplicates([key, "_own"]).drop("_own")
+    own, held, known = (free(c, docs) for c in ("_own", "_key", "_hash"))
+    use = judged.select(F.col(key).alias(held), F.col("text_hash").alias(known)).hint("merge")
+    met = docs.withColumn(own, F.xxhash64(text)).join(use, F.col(key).eqNullSafe(F.col(held)) & (F.col(own) == F.col(known)), "left_semi")
+    return met.dropDuplicates([key, own]).drop(own)

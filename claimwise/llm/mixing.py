@@ -18,7 +18,9 @@ the cut is sorted. No task sees a whole leaf.
 Nulls: a null in a level is a value of its own; a null key orders by its text
 'null'; a null text has no tokens and comes with any prefix that reaches it.
 Rows with equal keys go together. An empty table, or a budget of 0, gives leaves
-without documents. A node without a weight has weight 1; weight 0 excludes it."""
+without documents. A node without a weight has weight 1; weight 0 excludes it. Texts
+of any length are counted whole. Columns of any name go along unchanged; helper
+columns take names that the rows do not have."""
 
 from __future__ import annotations
 
@@ -91,13 +93,30 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     return _join(leaves, shares, levels, "left").fillna({"budget": 0})
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``frames`` has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plan_mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float | None = None,
              tokens: int | None = None, max_epochs: int = 4, seed: int = 1, key: str = "doc_id",
              text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: key, levels, n_tokens; leaves: levels, tokens, budget, whole
-    epochs, and the cut of the next one, null if nothing more is taken). The
-    budget is ``tokens``, or ``share`` of all tokens. Tokens are words."""
-    small = materialize(docs.select(key, *levels, n_words(text).alias("n_tokens")))
+    """(documents: key, levels, n_tokens; leaves: level0, level1, ... in the order of
+    ``levels``, tokens, budget, whole epochs, and the cut of the next one, null if
+    nothing more is taken). The budget is ``tokens``, or ``share`` of all tokens.
+    Tokens are words. Levels may have any names but those of the key and n_tokens."""
+    own = [f"level{i}" for i in range(len(levels))]
+    rows = docs.select(F.col(key).alias("_key"), *[F.col(n).alias(o) for n, o in zip(levels, own)], n_words(text).alias("n_tokens"))
+    small, plan = _plan(rows, own, {o: weights.get(n, {}) for n, o in zip(levels, own)}, share, tokens, max_epochs, seed)
+    return small.select(F.col("_key").alias(key), *[F.col(o).alias(n) for n, o in zip(levels, own)], "n_tokens"), plan
+
+
+def _plan(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float | None, tokens: int | None,
+          max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    small = materialize(rows)
     leaves = small.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))
     budget = total.select((F.lit(tokens) if tokens is not None else F.floor(F.col("all") * F.lit(share))).alias("given"))
@@ -106,7 +125,7 @@ def plan_mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, in
     plan = plan.withColumn("epochs", times.cast("long")).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens"))
     plan = materialize(plan)
     # rows of the epoch that is cut, by key; equal keys together
-    keyed = _meet(small, plan.where(F.col("left") > 0), levels).withColumn("k", order_key(key, seed, F.col("epochs")))
+    keyed = _meet(small, plan.where(F.col("left") > 0), levels).withColumn("k", order_key("_key", seed, F.col("epochs")))
     keyed = materialize(keyed.groupBy(*levels, "left", "k").agg(F.sum("n_tokens").alias("n")))
     slot = F.substring("k", 1, SLOT_DIGITS).alias("slot")
     slots = keyed.groupBy(*levels, "left", slot).agg(F.sum("n").alias("n"))
@@ -129,9 +148,18 @@ def _meet(rows: DataFrame, plan: DataFrame, levels: list[str]) -> DataFrame:
     return _join(rows, F.broadcast(plan) if few else plan, levels)
 
 
-def select_mix(rows: DataFrame, plan: DataFrame, levels: list[str], seed: int = 1, key: str = "doc_id") -> DataFrame:
-    """The rows of each epoch that the plan takes, with ``epoch`` (from 0)."""
-    met = _meet(rows, plan.select(*levels, F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut")), levels)
-    met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
-    whole = F.col("epoch") < F.col("_epochs")
-    return met.where(whole | (order_key(key, seed, F.col("epoch")) <= F.col("_cut"))).drop("_epochs", "_cut")
+def select_mix(rows: DataFrame, plan: DataFrame, levels: list[str], seed: int = 1, key: str = "doc_id", epoch: str = "epoch") -> DataFrame:
+    """The rows of each epoch that the plan takes, with all their columns and the
+    epoch (from 0) in a new column, whose name ``rows`` must not have yet."""
+    if epoch.lower() in {c.lower() for c in rows.columns}:
+        raise ValueError(f"there is a column {epoch} already")
+    names = {c: free(f"_{c}", rows) for c in ("epochs", "cut")} | {f"level{i}": free(f"_level{i}", rows) for i in range(len(levels))}
+    leaves = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
+    leaves = F.broadcast(leaves) if plan.count() <= BROADCAST_LEAVES else leaves  # one row per leaf
+    on = F.lit(True)
+    for i, n in enumerate(levels):
+        on = on & F.col(n).eqNullSafe(F.col(names[f"level{i}"]))
+    met = rows.join(leaves, on)
+    met = met.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(names["epochs"]))))
+    whole = F.col(epoch) < F.col(names["epochs"])
+    return met.where(whole | (order_key(key, seed, F.col(epoch)) <= F.col(names["cut"]))).select(*rows.columns, epoch)

@@ -60,7 +60,7 @@ def domain(source: str) -> Column:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").withColumn("domain", domain("source"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", domain("source").alias("domain"))
     small, plan = mixing.plan_mix(docs, MIX_LEVELS, MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
     rows = mixing.select_mix(small, plan, MIX_LEVELS, seed=MIX_SEED)
     return rows.select("doc_id", *MIX_LEVELS, "epoch", "n_tokens")

@@ -233,6 +233,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     fields = [T.StructField(key, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField(text, T.StringType())] if texts else []
     own = [f.name for f in fields]
+    if twice := set(own) & set(carry):
+        raise ValueError(f"columns to carry have names of the result: {sorted(twice)}")
     schema = T.StructType(fields + [docs.schema[c] for c in carry])
 
     def run(batches):

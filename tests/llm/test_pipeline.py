@@ -54,3 +54,24 @@ def test_run_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+#: Names that operators and stages give to columns of their own, or gave.
+ODD = ["extra", "domain", "epoch", "chunk", "key", "_own", "_key", "_hash", "n_words", "n_removed", "kept_sha256", "more", "cells", "docs", "cap", "weight", "tokens",
+       "left", "k", "n", "slot", "budget", "level", "given", "epochs", "before", "level0", "_level0", "_epochs", "_cut", "cut", "score", "label", "copy_key", "keep"]
+
+
+def test_every_column_goes_through(spark):
+    """Each stage keeps all columns of the rows it keeps, names of helpers too."""
+    from claimwise.session import materialize
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    own = F.concat_ws("-", F.col("doc_id"), F.lit("x"))
+    docs = materialize(docs.withColumns({c: F.concat(own, F.lit(c)) for c in ODD}).withColumn("list", F.array("doc_id")).withColumn("number", F.col("doc_id") * 1.5))
+    for _, stage in P.STAGES[:-1]:
+        after = materialize(stage(spark, docs, SF))
+        assert after.schema.names == docs.schema.names and after.count() > 0
+        kept = after.select("doc_id", "lang", "source", *ODD, F.col("list")[0].alias("one"), "number")
+        assert kept.exceptAll(docs.select("doc_id", "lang", "source", *ODD, F.col("list")[0].alias("one"), "number")).count() == 0
+        docs = after
+    P.STAGES[-1][1](spark, docs, SF).collect()

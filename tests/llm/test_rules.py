@@ -184,3 +184,20 @@ def test_prefix_of_each_epoch(spark, monkeypatch, share, digits):
 def test_mix_empty(spark, make_docs):
     small, plan = mixing.plan_mix(make_docs([]), ["source"], {}, share=0.5)
     assert mixing.select_mix(small, plan, ["source"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cap", "weight", "tokens", "left", "k", "n", "slot", "budget", "level", "given", "epochs", "before", "level0", "cut", "_epochs"])
+def test_mix_levels_of_any_name(spark, make_docs, name):
+    rows = [(k, "w " * (k % 7 + 1)) for k in range(60)]
+    docs = make_docs(rows, ("epoch_", "cut_")).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    take = lambda d, level: Counter((r.doc_id, r.epoch) for r in mixing.select_mix(d, mixing.plan_mix(d, [level], {level: {"s0": 2}}, share=0.6, max_epochs=2, seed=9)[1], [level], seed=9).collect())
+    assert take(docs.withColumnRenamed("source", name), name) == take(docs, "source")
+
+
+def test_mix_keeps_columns_and_refuses_a_second_epoch(spark, make_docs):
+    docs = make_docs([(k, "a b") for k in range(9)], ("_epochs", "_cut", "_level0"))
+    _, plan = mixing.plan_mix(docs, ["source"], {}, share=0.5)
+    got = mixing.select_mix(docs, plan, ["source"])
+    assert got.columns == [*docs.columns, "epoch"] and {r._epochs for r in got.collect()} == {"x"}
+    with pytest.raises(ValueError):
+        mixing.select_mix(docs.withColumn("epoch", F.lit("mine")), plan, ["source"])
