@@ -1,23 +1,30 @@
 """Validation: the post-clean check suite, declared constraints, quarantine
 and the six data-quality queries (dq1-dq6).
 
-A check is a named ``Column`` that counts violations; a suite evaluates all
-of its checks in ONE aggregate over the table and unpivots the result to
-rows ``(check_name, violations, passed)``. Null handling follows the
-reference's pandas checks: a null compares as False, so nulls fail the
-non-negative, money-order and submit-after-service checks but pass the
-denied-reason check.
+A rule says of a row whether it is a violation; a check counts violations, of a
+rule or of the table as a whole. A suite evaluates all of its checks in ONE
+aggregate over the table and unpivots the result to rows ``(check_name,
+violations, passed)``. Null handling follows the reference's pandas checks: a null
+compares as False, so nulls fail the non-negative, money-order and
+submit-after-service checks but pass the denied-reason check.
+
+``quarantine`` reads a table once: each row is tagged with all the rules it breaks,
+the rows are written apart by whether there are any, and the counters are
+observed while they are written.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import count_if, round_half_up
+from claimwise.session import ensure_checkpoint_dir, materialize
+from claimwise.sources.joins import checked_broadcast
 
 MONEY_TOLERANCE = 0.01
 
@@ -53,24 +60,35 @@ def domain_violations(col: str, domain: tuple) -> Column:
     return (outside + missing).cast("bigint")
 
 
-def claim_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
+def claim_rules(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
+    """What is wrong with a single claim, by check."""
     b, a, p = F.col(cfg.billed), F.col(cfg.allowed), F.col(cfg.paid)
     tol = F.lit(MONEY_TOLERANCE)
     is_denied = F.col(cfg.status) == F.lit(cfg.status_denied)
     return {
         "chk_claim_id_unique": Unique(cfg.claim_id),
-        "chk_billed_present": count_if(b.isNull()),
-        "chk_non_negative": count_if(_not((b >= 0) & (a >= 0) & (p >= 0))),
-        "chk_money_order": count_if(_not((p <= a + tol) & (a <= b + tol))),
-        "chk_submit_after_service": count_if(_not(F.datediff(F.col(cfg.submission_date), F.col(cfg.service_date)) >= 0)),
-        "chk_status_domain": domain_violations(cfg.status, cfg.statuses),
-        "chk_denied_reason": count_if(is_denied & (F.col(cfg.reason) == F.lit(cfg.no_reason))),
-        "chk_pending_no_date": count_if((F.col(cfg.status) == F.lit(cfg.status_pending)) & F.col(cfg.processed_date).isNotNull()),
-        "chk_patient_match": count_if(F.col(cfg.plan_type).isNull()),
-        "chk_provider_match": count_if(F.col(cfg.specialty).isNull()),
+        "chk_billed_present": b.isNull(),
+        "chk_non_negative": _not((b >= 0) & (a >= 0) & (p >= 0)),
+        "chk_money_order": _not((p <= a + tol) & (a <= b + tol)),
+        "chk_submit_after_service": _not(F.datediff(F.col(cfg.submission_date), F.col(cfg.service_date)) >= 0),
+        "chk_status_domain": _not(F.col(cfg.status).isin(*cfg.statuses)),
+        "chk_denied_reason": is_denied & (F.col(cfg.reason) == F.lit(cfg.no_reason)),
+        "chk_pending_no_date": (F.col(cfg.status) == F.lit(cfg.status_pending)) & F.col(cfg.processed_date).isNotNull(),
+        "chk_patient_match": F.col(cfg.plan_type).isNull(),
+        "chk_provider_match": F.col(cfg.specialty).isNull(),
     }
 
 
+def as_checks(rules: dict[str, Check]) -> dict[str, Check]:
+    """Rules as counters of the rows that break them."""
+    return {n: r if isinstance(r, Unique) else count_if(r) for n, r in rules.items()}
+
+
+def claim_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
+    """The rules as counters; the status check also asks that each status occurs."""
+    return as_checks(claim_rules(cfg)) | {"chk_status_domain": domain_violations(cfg.status, cfg.statuses)}
+
+
 def patient_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
     return {
         "chk_gender_mapped": count_if(F.col(cfg.gender).isNull()),
@@ -82,22 +100,33 @@ def provider_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
     return {"chk_provider_id_unique": Unique(cfg.provider_id)}
 
 
-def run_checks(df: DataFrame, checks: dict[str, Check]) -> DataFrame:
+def _extra_rows(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: how many rows are beyond the first of their key, or without one."""
+    sizes = keys.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    extra = F.col("_n") - F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.lit(1))
+    return sizes.agg(F.coalesce(F.sum(extra), F.lit(0)).cast("bigint").alias(name))
+
+
+def _results(counts: DataFrame, names: list[str]) -> DataFrame:
+    """One row with counters ``_c0`` ... -> (check_name, violations, passed)."""
+    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"_c{i}").alias("violations")) for i, n in enumerate(names)])
+    return counts.select(F.inline(rows)).withColumn("passed", F.col("violations") == 0)
+
+
+def run_checks(df: DataFrame, checks: dict[str, Check], keys: DataFrame | None = None) -> DataFrame:
     """Evaluate a suite -> (check_name, violations, passed). All counters come
     from one plain aggregate; each uniqueness check counts its key alone, so
-    counters do not travel with the keys. The one-row results are joined."""
+    counters do not travel with the keys. The one-row results are joined.
+    ``keys``: a table with the same rows that uniqueness may read instead, where
+    ``df`` has joins that a key does not need."""
     names = list(checks)
     plain = {n: c for n, c in checks.items() if not isinstance(c, Unique)}
     a = df.agg(F.count(F.lit(1)).alias("_rows"), *[c.cast("bigint").alias(f"_c{names.index(n)}") for n, c in plain.items()])
     for n, c in checks.items():
         if isinstance(c, Unique):
-            sizes = df.groupBy(F.col(c.key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-            extra = F.col("_n") - F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.lit(1))
-            one = sizes.agg(F.coalesce(F.sum(extra), F.lit(0)).cast("bigint").alias(f"_c{names.index(n)}"))
+            one = _extra_rows(df if keys is None else keys, c.key, f"_c{names.index(n)}")
             a = a.crossJoin(F.broadcast(one))  # one row each
-    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"_c{i}").alias("violations")) for i, n in enumerate(names)])
-    out = a.select(F.inline(rows))
-    return out.withColumn("passed", F.col("violations") == 0)
+    return _results(a, names)
 
 
 def assert_checks(result: DataFrame) -> DataFrame:
@@ -108,18 +137,58 @@ def assert_checks(result: DataFrame) -> DataFrame:
     return result
 
 
-def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Split rows into (good, rejected): a row is rejected when any rule's
-    predicate is true; ``reject_reason`` names the first such rule."""
-    reason = None
-    for name, pred in rules.items():
-        reason = F.when(F.coalesce(pred, F.lit(False)), F.lit(name)) if reason is None else reason.when(
-            F.coalesce(pred, F.lit(False)), F.lit(name)
-        )
-    tagged = df.withColumn("reject_reason", reason)
-    return tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"), tagged.where(
-        F.col("reject_reason").isNotNull()
-    )
+@dataclass(frozen=True)
+class Quarantine:
+    """``good``: rows that break no rule, as they came. ``rejected``: the others with
+    ``reject_reasons``, all rules they break in the order of the rules. ``counts``:
+    rows that break each rule (check_name, violations, passed)."""
+
+    good: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+    rows: int
+    rejected_rows: int
+
+
+def _repeated(df: DataFrame, key: str) -> DataFrame:
+    """Keys of several rows, a table of its own."""
+    return materialize(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
+
+
+def tagged(df: DataFrame, rules: dict[str, Check], name: str = "reject_reasons", keys: DataFrame | None = None) -> DataFrame:
+    """Every row with the names of the rules it breaks (an array, in their order).
+    Of rows that share a ``Unique`` key none can be trusted, so all are tagged, and
+    so are rows without a key; the keys of several rows come from a count of the key
+    alone (of ``keys`` where given)."""
+    predicates = {}
+    for i, (n, rule) in enumerate(rules.items()):
+        if isinstance(rule, Unique):
+            again = checked_broadcast(_repeated(df if keys is None else keys, rule.key).select(F.col("_k").alias(f"_k{i}")))
+            df = df.join(again, F.col(rule.key) == F.col(f"_k{i}"), "left")
+            predicates[n] = F.col(rule.key).isNull() | F.col(f"_k{i}").isNotNull()
+        else:
+            predicates[n] = rule
+    reasons = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))
+    return df.withColumn(name, reasons).drop(*[f"_k{i}" for i in range(len(rules))])
+
+
+def quarantine(df: DataFrame, rules: dict[str, Check], path: str | None = None, keys: DataFrame | None = None) -> Quarantine:
+    """Write ``df`` once, good and rejected rows apart, and count violations on the
+    way (``observe`` in the writing stage, whose tasks count once each). Both parts
+    are read back from ``path`` (default: a folder below the checkpoint folder)."""
+    spark = df.sparkSession
+    names, reasons, apart = list(rules), "reject_reasons", "_rejected"
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise-quarantine-{uuid.uuid4().hex}"
+    rows = tagged(df, rules, reasons, keys).withColumn(apart, F.size(reasons) > 0)
+    seen = Observation()
+    counts = [count_if(F.array_contains(reasons, n)).alias(f"_c{i}") for i, n in enumerate(names)]
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), count_if(F.col(apart)).alias("rejected"), *counts)
+    rows.write.partitionBy(apart).parquet(path)
+    got = seen.get
+    schema = ", ".join(f"_c{i} long" for i in range(len(names)))
+    table = _results(spark.createDataFrame([tuple(got[f"_c{i}"] for i in range(len(names)))], schema), names)
+    back = spark.read.schema(rows.schema).parquet(path)
+    return Quarantine(back.where(f"NOT {apart}").drop(apart, reasons), back.where(apart).drop(apart), table, got["rows"], got["rejected"])
 
 
 # ---------------------------------------------------------------- declared constraints

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import normalise_code, parse_date, parse_mixed_dates, strip_ws, title_case
+from claimwise.operators.dedup import drop_exact_duplicates
 from claimwise.operators.ranking import group_median
 from claimwise.session import materialize
+from claimwise.sources.joins import checked_broadcast
 
 MONEY = "decimal(18,2)"
 CLAIM_MONEY = ("billed_amount", "allowed_amount", "paid_amount")
@@ -43,15 +45,16 @@ def impute_with_floor(df: DataFrame, col: str, by: str, floor: str, approx: bool
     presence check fails instead of silently imputing the floor.
 
     The exact median comes from counts per amount (``group_median``), so a
-    CPT code holding a third of all claims is combined before it is shuffled;
-    the per-code result (one row per code) is joined back. ``approx=True`` uses
-    ``percentile_approx`` instead (bounded memory per group, 1/10000 rank
-    error)."""
+    CPT code holding a third of all claims is combined before it is shuffled.
+    The per-code result is a table of one row a code, which its size says whether
+    to broadcast, so that the claims need not be dealt out by code.
+    ``approx=True`` uses ``percentile_approx`` instead (bounded memory per group,
+    1/10000 rank error)."""
     if approx:
         med = df.groupBy(by).agg(F.percentile_approx(col, 0.5, 10000).alias("_med"))
     else:
         med = group_median(df, [by], col, "_med")
-    med = med.select(F.col(by).alias("_by"), "_med")
+    med = checked_broadcast(materialize(med.select(F.col(by).alias("_by"), "_med")))
     j = df.join(med, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     imputed = F.when(F.col("_med").isNotNull(), F.round(F.greatest(F.col("_med"), F.col(floor)), k))
     return j.withColumn(col, F.coalesce(F.round(F.col(col), k), imputed).cast(MONEY)).drop("_med")
@@ -107,31 +110,33 @@ def _parsed(df: DataFrame, cfg: ClaimsConfig) -> tuple[dict, Column, Column]:
     return cols, bad_date, bad_money
 
 
-def clean_claims_all(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
-                     after_normalise: bool = False) -> DataFrame:
-    """Every cleaning step; rows that do not parse are left out. By default
-    exact duplicates are dropped before normalising (as the reference does), so a
-    copy written with another date spelling survives; ``after_normalise``
-    drops duplicates of the normalised rows instead."""
+def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: bool = False) -> DataFrame:
+    """Claims that parse, each once, with typed columns, a normal status, billed
+    amounts of the right sign and a flag on the missing ones; nothing is filled yet,
+    so keys and flags can be counted without the medians. By default exact
+    duplicates are dropped before normalising (as the reference does), so a copy
+    written with another date spelling survives; ``after_normalise`` drops
+    duplicates of the normalised rows instead."""
     cols, bad_date, bad_money = _parsed(raw, cfg)
     d = raw.where(~(bad_date | bad_money))
-    d = (d if after_normalise else d.dropDuplicates()).withColumns(cols)
-    d = d.withColumn(cfg.status, title_case(cfg.status))
-    if after_normalise:
-        d = d.dropDuplicates()
+
+    def normalised(d: DataFrame) -> DataFrame:
+        d = d.withColumns(cols)
+        return d.withColumn(cfg.status, title_case(cfg.status))
+
+    d = drop_exact_duplicates(normalised(d)) if after_normalise else normalised(drop_exact_duplicates(d))
     d = fix_negative(d, cfg.billed)
-    d = flag_missing(d, cfg.billed, cfg.billed_imputed)
-    # read twice below (median input and the rows to fill): compute it once
-    d = materialize(d)
-    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
-    d = d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
-    return d
+    return flag_missing(d, cfg.billed, cfg.billed_imputed)
 
 
 def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
                  after_normalise: bool = False) -> DataFrame:
-    """Clean claims (see ``claim_rejects`` for the rows left out)."""
-    return clean_claims_all(raw, cfg, approx_median, after_normalise)
+    """Clean claims: ``typed_claims`` with missing billed amounts and blank reasons
+    filled (see ``claim_rejects`` for the rows left out). The medians and the rows to
+    fill both read the table that the removal of duplicates leaves."""
+    d = typed_claims(raw, cfg, after_normalise)
+    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
+    return d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
 
 
 def claim_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:

@@ -11,15 +11,16 @@ from claimwise.functions import age_at, age_band, days_between, month_label, yea
 from claimwise.sources.joins import checked_broadcast
 
 
-def enrich_patients(claims: DataFrame, patients: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """Left join date_of_birth and plan_type on patient_id."""
-    p = checked_broadcast(patients.select(F.col(cfg.patient_id).alias("_pk"), cfg.date_of_birth, cfg.plan_type))
+def enrich_patients(claims: DataFrame, patients: DataFrame, cfg: ClaimsConfig = DEFAULT, base: DataFrame | None = None) -> DataFrame:
+    """Left join date_of_birth and plan_type on patient_id. ``base``: the table that
+    a dimension made by joins starts from, whose size then decides on the broadcast."""
+    p = checked_broadcast(patients.select(F.col(cfg.patient_id).alias("_pk"), cfg.date_of_birth, cfg.plan_type), base)
     return claims.join(p, claims[cfg.patient_id] == p["_pk"], "left").drop("_pk")
 
 
-def enrich_providers(claims: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
-    """Left join specialty and network_status on provider_id."""
-    p = checked_broadcast(providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.specialty, cfg.network))
+def enrich_providers(claims: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT, base: DataFrame | None = None) -> DataFrame:
+    """Left join specialty and network_status on provider_id (``base`` as above)."""
+    p = checked_broadcast(providers.select(F.col(cfg.provider_id).alias("_pk"), cfg.specialty, cfg.network), base)
     return claims.join(p, claims[cfg.provider_id] == p["_pk"], "left").drop("_pk")
 
 
@@ -59,7 +60,8 @@ def derive_features(df: DataFrame, cfg: ClaimsConfig = DEFAULT, has_patients: bo
     return df.select(*keep, *[v.alias(k) for k, v in derived.items()])
 
 
-def build_wide(claims: DataFrame, patients: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
+def build_wide(claims: DataFrame, patients: DataFrame, providers: DataFrame, cfg: ClaimsConfig = DEFAULT,
+               patients_base: DataFrame | None = None, providers_base: DataFrame | None = None) -> DataFrame:
     """Wide claims = claims + patient and provider attributes + features."""
-    w = enrich_providers(enrich_patients(claims, patients, cfg), providers, cfg)
+    w = enrich_providers(enrich_patients(claims, patients, cfg, patients_base), providers, cfg, providers_base)
     return derive_features(w, cfg)

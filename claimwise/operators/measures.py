@@ -22,6 +22,13 @@ operators:
 * year-to-date and the trend cut-off read the last calendar date of each
   row's context from the date dimension (bounded by the calendar span).
 
+Measures that need different grains (peers: claim type and network; flagged
+providers: the provider; year-to-date: the day; unique patients: the patient), and
+subtotals and totals (``totals``), come from ONE scan of the model: ``GROUPING
+SETS`` aggregate it at every grain needed, the result is written once as a table,
+and all rows are rolled up from that. Unique patients roll up through bitmaps of
+patient numbers, which can be merged where counts cannot.
+
 A blank measure (aggregate over no rows) is null; rows whose measures are
 all null vanish, as in a report visual.
 """
@@ -32,12 +39,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import money, ratio, round_half_up
 from claimwise.operators.ranking import global_index, same_keys
 from claimwise.session import materialize
-from claimwise.sources.calendar import DATE_COLS, calendar_attrs, dim_date_for
+from claimwise.sources.calendar import DATE_COLS, dim_date_for
 
 
 def provider_cols(cfg: ClaimsConfig) -> tuple[str, ...]:
@@ -48,6 +56,12 @@ def provider_cols(cfg: ClaimsConfig) -> tuple[str, ...]:
 
 
 FLAGGED_MS = {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}
+YEAR_MS = {"Prior Auth Denials Base", "Prior Auth Denials Compare", "Prior Auth YoY %", "Denials Base",
+           "Denials Compare", "Denials YoY %", "KPI Prior Auth Context"}
+NETWORK_MS = {"In-Network Denial Rate", "Out-of-Network Denial Rate", "KPI Network Context"}
+RANK_MS = {"Excess Rank", "Top 10 Excess (pts)"}
+PEER_MS = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Flag"} | RANK_MS
+PATIENT_MS = {"Unique Patients", "KPI Claims Context"}
 
 # The catalog's measure names and their output columns.
 MEASURES = {
@@ -245,11 +259,12 @@ class _Compiler:
             cond = cond & main[k].eqNullSafe(p[f"_p_{k}"])
         return main.join(p, cond, "left").drop("_p_type", "_p_net", *[f"_p_{k}" for k in keys])
 
-    def last_dates(self, main: DataFrame) -> DataFrame:
+    def last_dates(self, main: DataFrame, days: DataFrame | None = None) -> DataFrame:
         """Last calendar date of each row's context (date filters and date
-        group keys applied to the date dimension)."""
+        group keys applied to the date dimension). ``days``: the service dates of all
+        claims, if some aggregate has them already."""
         c = self.cfg
-        cal = dim_date_for(self.model, c.service_date)  # every claim's year is in it
+        cal = dim_date_for(self.model if days is None else days, c.service_date)  # every claim's year is in it
         for col, values in self.ctx.filters:
             if col in DATE_COLS:
                 cal = cal.where(F.col(col).isin(*values))
@@ -273,27 +288,23 @@ class _Compiler:
         ytd = days.unionByName(rows, allowMissingColumns=True).withColumn("_ytd", F.sum("_dp").over(upto))
         return _join_back(main, ytd.where("_row").select(*self.keys, "_ytd"), self.keys)
 
-    def flagged(self, main: DataFrame, flag_pts: float) -> DataFrame:
+    def coding(self) -> Column:
+        c = self.cfg
+        return _cnt(self.denied & F.col(c.reason).isin(*c.coding_reasons)).alias("_coding")
+
+    def flagged(self, main: DataFrame, flag_pts: float, fine: DataFrame | None = None) -> DataFrame:
         """Providers (by name) in each row's context whose excess over peers
-        is >= ``flag_pts``: count, their denied billed, coding share."""
+        is >= ``flag_pts``: count, their denied billed, coding share. ``fine`` (the
+        context by keys, provider, claim type and network) is rolled up twice; where a
+        provider filter is in force, peers need a pass without it."""
         c = self.cfg
         pk = self.keys + [c.provider_name]
         sub = Context(tuple(pk), self.ctx.filters)
         inner = _Compiler(self.model, sub, c)
-        aggs = inner.base_aggs()
-        aggs["_coding"] = _cnt(self.denied & F.col(c.reason).isin(*c.coding_reasons)).alias("_coding")
-        if any(f[0] in provider_cols(c) + (c.claim_type,) for f in self.ctx.filters):
-            prov = inner.peer(_grouped(sub.apply(self.model), pk, *aggs.values()))
+        if fine is None:
+            prov = inner.peer(_grouped(sub.apply(self.model), pk, *{**inner.base_aggs(), "_coding": inner.coding()}.values()))
         else:
-            # one pass at (keys, provider, claim type, network), rolled up twice
-            additive = {n: a for n, a in aggs.items() if n not in ("_type", "_net", "_pat")}
-            fine_keys = pk + [k for k in (c.claim_type, c.network) if k not in pk]
-            fine = materialize(_grouped(sub.apply(self.model), fine_keys, *additive.values()))
-            prov = fine.groupBy(*pk).agg(
-                *[F.sum(n).alias(n) for n in additive],
-                F.when(F.min(c.claim_type) == F.max(c.claim_type), F.min(c.claim_type)).alias("_type"),
-                F.when(F.min(c.network) == F.max(c.network), F.min(c.network)).alias("_net"))
-            prov = inner.peer(prov, fine)
+            prov = inner.peer(_rolled(fine, pk, ["_den", "_dec", "_den_billed", "_coding"], c), fine)
         rate = ratio("_den", "_dec")
         ex = F.when(rate.isNotNull(), (rate - F.col("_peer")) * F.lit(100.0))
         fl = prov.where(ex >= F.lit(flag_pts))
@@ -302,26 +313,177 @@ class _Compiler:
         return _join_back(main, agg, self.keys)
 
 
+def _rolled(fine: DataFrame, keys: list[str], sums: list[str], cfg: ClaimsConfig) -> DataFrame:
+    """Additive columns of a finer aggregate rolled up to ``keys``; claim type and
+    network of the row where it has just one."""
+    one = [F.when(F.min(c) == F.max(c), F.min(c)).alias(n) if c in fine.columns else F.lit(None).cast("string").alias(n)
+           for c, n in ((cfg.claim_type, "_type"), (cfg.network, "_net"))]
+    return _grouped(fine, keys, *[F.sum(n).alias(n) for n in sums], *one)
+
+
+class _Scan:
+    """One pass over the model at every grain that the measures need.
+
+    ``rows``: group keys (with claim type and network for peers, and the provider for
+    flags); ``days``: keys that are no dates, and the service day; ``members``: keys and
+    patient. A slicer that some measure replaces is a predicate inside the
+    aggregates of the others instead of a filter; so are date slicers if the
+    year-to-date is asked for. ``names``: the additive columns of ``rows``."""
+
+    def __init__(self, model: DataFrame, ctx: Context, ms: set[str], cfg: ClaimsConfig):
+        self.ctx, self.ms, self.cfg = ctx, ms, cfg
+        self.families = [(col, fam, builder) for col, fam, builder in (("year", YEAR_MS, "year_aggs"), (cfg.network, NETWORK_MS, "network_aggs")) if ms & fam]
+        replaced = {col for col, _, _ in self.families} | (set(DATE_COLS) if "Paid YTD" in ms else set())
+        self.fold = [col for col, _ in ctx.filters if col in replaced]
+        compiled = lambda scope: _Compiler(model, ctx, cfg, scope=scope)
+        own = compiled(self._scope())
+        aggs = {n: a for n, a in own.base_aggs().items() if n not in ("_type", "_net", "_pat")}
+        self.of_family = {}
+        for col, _, builder in self.families:
+            more = getattr(compiled(self._scope(lambda c, col=col: c != col)), builder)()
+            self.of_family[col] = list(more)
+            aggs |= more
+        keys = list(ctx.group_by)
+        grain = keys + [k for k in (cfg.claim_type, cfg.network) if ms & (PEER_MS | FLAGGED_MS) and k not in keys]
+        if ms & FLAGGED_MS:
+            aggs["_coding"] = own.coding()
+            grain += [cfg.provider_name] if cfg.provider_name not in grain else []
+        self.names = list(aggs)
+        sets = {"rows": grain}
+        if "Paid YTD" in ms:
+            sets["days"] = [k for k in keys if k not in DATE_COLS] + [cfg.service_date]
+            other = self._scope(lambda c: c not in DATE_COLS)
+            aggs["_dp"] = F.sum(F.col(cfg.paid) if other is None else F.when(other, F.col(cfg.paid))).alias("_dp")
+        if ms & PATIENT_MS:
+            sets["members"] = keys + [cfg.patient_id]
+        got = self._aggregate(ctx.without(self.fold).apply(model), sets, list(aggs.values()))
+        self.rows = got["rows"].select(*sets["rows"], *self.names)
+        self.days = got["days"].select(*sets["days"], "_dp") if "days" in got else None
+        self.members = None
+        if "members" in got:
+            seen = got["members"].where(F.col(cfg.patient_id).isNotNull() & (F.col("_n") > 0))
+            self.members = seen.select(*sets["members"])
+        self.bits: DataFrame | None = None
+
+    def _scope(self, keep=lambda col: True) -> Column | None:
+        pred = None
+        for col, values in self.ctx.filters:
+            if col in self.fold and keep(col):
+                p = F.col(col).isin(*values)
+                pred = p if pred is None else pred & p
+        return pred
+
+    @staticmethod
+    def _aggregate(rows: DataFrame, sets: dict[str, list[str]], aggs: list[Column]) -> dict[str, DataFrame]:
+        """Each grain's rows of one table. A grain's id has a bit for each column
+        that it leaves out, the first column's bit the highest."""
+        columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+        if len(sets) == 1:
+            return {n: materialize(_grouped(rows, keys, *aggs)) for n, keys in sets.items()}
+        table = materialize(rows.groupingSets(list(sets.values()), *columns).agg(F.grouping_id().alias("_grain"), *aggs))
+        return {n: table.where(F.col("_grain") == _level(columns, keys)) for n, keys in sets.items()}
+
+    def main(self, keys: list[str]) -> DataFrame:
+        """The rows of one set of keys."""
+        main = _rolled(self.rows, keys, self.names, self.cfg)
+        for col, values in self.ctx.filters:
+            if col in self.fold and col in keys:  # rows of values beyond the slicer
+                main = main.where(F.col(col).isin(*values))
+        for col, names in self.of_family.items():
+            if col in keys:  # the measure replaces the row's own value
+                others = [k for k in keys if k != col]
+                main = _join_back(main.drop(*names), _grouped(self.rows, others, *[F.sum(n).alias(n) for n in names]), others)
+        main = main.withColumn("_pat", F.lit(None).cast("bigint")) if self.members is None else self._with_patients(main, keys)
+        return main
+
+    def _with_patients(self, main: DataFrame, keys: list[str]) -> DataFrame:
+        if keys == list(self.ctx.group_by):
+            return _join_back(main, _grouped(self.members, keys, F.count(F.lit(1)).alias("_pat")), keys)
+        if self.bits is None:
+            self.bits = patient_bitmaps(self.members, list(self.ctx.group_by), self.cfg.patient_id)
+        merged = self.bits.groupBy(*keys, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_pat"))
+        return _join_back(main, _grouped(merged, keys, F.sum("_pat").alias("_pat")), keys)
+
+    def all_days(self) -> DataFrame | None:
+        """The service dates of all claims, if no filter has left out any."""
+        return self.days if all(col in self.fold for col, _ in self.ctx.filters) else None
+
+    def per_day(self, keys: list[str]) -> DataFrame | None:
+        return None if self.days is None else _grouped(self.days, [k for k in keys if k not in DATE_COLS] + [self.cfg.service_date], F.sum("_dp").alias("_dp"))
+
+
+def _level(columns: list[str], keys) -> int:
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
+
+
+DENSE = 64  # numbers a bitmap spans for each member in it, at most
+
+
+def patient_bitmaps(members: DataFrame, keys: list[str], patient: str) -> DataFrame:
+    """Distinct (keys, patient) as mergeable sets: keys, ``_bucket`` and a bitmap of the
+    patient numbers in it. Integer ids that lie close together are their own numbers;
+    other ids (texts, or integers far apart) are numbered by a dictionary of the
+    distinct ids, so each bitmap of 4 KB is well filled."""
+    integral = isinstance(members.schema[patient].dataType, T.IntegralType)
+    span = None
+    if integral:
+        low, high, n = members.agg(F.min(patient), F.max(patient), F.count(F.lit(1))).first()
+        span = int(high) - int(low) if n else 0
+    if span is not None and span <= DENSE * max(n, 1):
+        numbered = members.withColumn("_number", F.col(patient).cast("long"))
+    else:
+        ids = global_index(members.select(F.col(patient).alias("_id")).distinct(), [F.asc("_id")], "_number")
+        numbered = members.join(ids, members[patient] == ids["_id"]).drop("_id")
+    bucket = F.bitmap_bucket_number("_number").alias("_bucket")
+    return materialize(numbered.groupBy(*keys, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("_bits")))
+
+
 def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple = (),
              filters: list | tuple = (), cfg: ClaimsConfig = DEFAULT, drop_blank: bool = True,
-             flag_pts: float | None = None) -> DataFrame:
-    """Evaluate named measures per group under the slicer ``filters``."""
+             flag_pts: float | None = None, totals: list | None = None) -> DataFrame:
+    """Evaluate named measures per group under the slicer ``filters``.
+
+    ``totals``: the sets of group keys to give rows for, such as ``[("a", "b"),
+    ("a",), ()]`` for rows, subtotals by ``a`` and the grand total. A key that a row's set
+    leaves out is null there, and ``level`` is its ``grouping_id`` (a bit for each
+    key left out, the first key's the highest). Each row is what ``evaluate`` gives for
+    those keys alone; a peer rate is blank where a row spans several peer groups."""
     unknown = [m for m in measures if m not in MEASURES]
     if unknown:
         raise KeyError(f"unknown measures: {unknown}")
     flag_pts = cfg.flag_pts if flag_pts is None else flag_pts
     ctx = Context(tuple(group_by), tuple((col, tuple(v)) for col, v in filters))
-    comp = _Compiler(model, ctx, cfg)
     ms = set(measures)
-    keys = list(group_by)
-    year_ms = {"Prior Auth Denials Base", "Prior Auth Denials Compare", "Prior Auth YoY %", "Denials Base",
-               "Denials Compare", "Denials YoY %", "KPI Prior Auth Context"}
-    net_ms = {"In-Network Denial Rate", "Out-of-Network Denial Rate", "KPI Network Context"}
+    provider_filtered = any(f[0] in provider_cols(cfg) + (cfg.claim_type,) for f in ctx.filters)
+    if totals is None and "Paid YTD" not in ms and (provider_filtered or not ms & (PEER_MS | FLAGGED_MS)):
+        main, comp = _one_grain(model, ctx, ms, cfg)
+        return _finish(main, comp, measures, cfg, drop_blank, flag_pts)
+    scan = _Scan(model, ctx, ms, cfg)
+    fine = None if provider_filtered else scan.rows
+    if totals is None:
+        comp = _Compiler(model, ctx, cfg)
+        return _finish(scan.main(comp.keys), comp, measures, cfg, drop_blank, flag_pts, fine, scan)
+    out = None
+    for keys in totals:
+        if not set(keys) <= set(group_by):
+            raise ValueError(f"{keys} has keys that are not grouped by")
+        comp = _Compiler(model, Context(tuple(k for k in group_by if k in keys), ctx.filters), cfg)
+        part = _finish(scan.main(comp.keys), comp, measures, cfg, drop_blank, flag_pts, fine, scan)
+        given = [F.col(k) if k in comp.keys else F.lit(None).cast(model.schema[k].dataType).alias(k) for k in group_by]
+        part = part.select(*given, F.lit(_level(list(group_by), comp.keys)).cast("bigint").alias("level"), *[c for c in part.columns if c not in group_by])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _one_grain(model: DataFrame, ctx: Context, ms: set[str], cfg: ClaimsConfig) -> tuple[DataFrame, _Compiler]:
+    """Measures that all live at the grain of the keys: one plain aggregate, and one
+    more for each grouped column that a measure replaces."""
+    keys = list(ctx.group_by)
     # a slicer on a column that some requested measure replaces, and that is
     # not grouped: fold it into the other aggregates as a predicate, so one
     # pass over the unsliced context serves both kinds of measure
-    replaced_cols = [col for col, fam in (("year", year_ms), (cfg.network, net_ms)) if ms & fam]
-    fold = [col for col in replaced_cols if col not in keys and any(f[0] == col for f in ctx.filters)]
+    families = [(col, builder) for col, fam, builder in (("year", YEAR_MS, "year_aggs"), (cfg.network, NETWORK_MS, "network_aggs")) if ms & fam]
+    fold = [col for col, _ in families if col not in keys and any(f[0] == col for f in ctx.filters)]
 
     def scope(exclude=None):
         pred = None
@@ -331,101 +493,41 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
                 pred = p if pred is None else pred & p
         return pred
 
-    base_ctx = ctx.without(fold)
-    if fold:
-        comp = _Compiler(model, ctx, cfg, scope=scope())
-    aggs = comp.base_aggs(distinct=bool(ms & {"Unique Patients", "KPI Claims Context"}))  # name -> column
-    for col, fam, builder in (("year", year_ms, "year_aggs"), (cfg.network, net_ms, "network_aggs")):
+    comp = _Compiler(model, ctx, cfg, scope=scope())
+    aggs = comp.base_aggs(distinct=bool(ms & PATIENT_MS))  # name -> column
+    extra = []
+    for col, builder in families:
         if col in fold:
             aggs.update(getattr(_Compiler(model, ctx, cfg, scope=scope(exclude=col)), builder)())
-    extra = []
-    separate = set()
-    if ms & year_ms and "year" not in fold:
-        sep, folded = comp.replaced("year", comp.year_aggs())
-        aggs.update(folded)
-        if sep is not None:
-            extra.append((sep, [k for k in keys if k != "year"]))
-            separate.add("year")
-    if ms & net_ms and cfg.network not in fold:
-        sep, folded = comp.replaced(cfg.network, comp.network_aggs())
-        aggs.update(folded)
-        if sep is not None:
-            extra.append((sep, [k for k in keys if k != cfg.network]))
-            separate.add(cfg.network)
-    peer_ms = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Rank", "Top 10 Excess (pts)", "Excess Flag"}
-    distinct = bool(ms & {"Unique Patients", "KPI Claims Context"})
-    provider_filtered = any(f[0] in provider_cols(cfg) + (cfg.claim_type,) for f in ctx.filters)
-    fine = per_day = None
-    if ms & peer_ms and not distinct and not provider_filtered:
-        # one pass over the fact at grain (keys, claim type, network); the
-        # rows and the peer rates are both roll-ups of it (additive measures)
-        fine_keys = keys + [k for k in (cfg.claim_type, cfg.network) if k not in keys]
-        additive = {n: a for n, a in aggs.items() if n not in ("_type", "_net", "_pat")}
-        # small (keys x type x network) and read by two roll-ups with different
-        # projections, which column pruning would otherwise turn into two
-        # separate passes over the fact
-        fine = materialize(_grouped(base_ctx.apply(model), fine_keys, *additive.values()))
-        rolled = [F.sum(n).alias(n) for n in additive]
-        main = _grouped(fine, keys, *rolled,
-                        F.lit(None).cast("bigint").alias("_pat"),
-                        F.when(F.min(cfg.claim_type) == F.max(cfg.claim_type), F.min(cfg.claim_type)).alias("_type"),
-                        F.when(F.min(cfg.network) == F.max(cfg.network), F.min(cfg.network)).alias("_net"))
-    elif "Paid YTD" in ms and not distinct and not ms & FLAGGED_MS:
-        # one pass at (non-date keys, service day): date slicers become
-        # predicates inside the row measures, the year-to-date sums read the
-        # same small table, and date group keys are calendar attributes of
-        # the day - instead of a second pass over the fact for the YTD
-        day_fold = fold + [f[0] for f in ctx.filters if f[0] in DATE_COLS and f[0] not in fold]
-
-        def dscope(exclude=None, only=None):
-            pred = None
-            for col, values in ctx.filters:
-                if col in day_fold and col != exclude and (only is None or only(col)):
-                    p = F.col(col).isin(*values)
-                    pred = p if pred is None else pred & p
-            return pred
-
-        nkeys = [k for k in keys if k not in DATE_COLS]
-        daggs = {n: a for n, a in _Compiler(model, ctx, cfg, scope=dscope()).base_aggs().items()
-                 if n not in ("_type", "_net", "_pat")}
-        for col, fam, builder in (("year", year_ms, "year_aggs"), (cfg.network, net_ms, "network_aggs")):
-            if ms & fam and col not in separate:
-                sc = dscope(exclude=col) if col in fold else dscope()
-                daggs.update(getattr(_Compiler(model, ctx, cfg, scope=sc), builder)())
-        non_date = dscope(only=lambda col: col not in DATE_COLS)
-        paid = F.col(cfg.paid) if non_date is None else F.when(non_date, F.col(cfg.paid))
-        daggs["_dp"] = F.sum(paid).alias("_dp")
-        day = materialize(_grouped(ctx.without(day_fold).apply(model), nkeys + [cfg.service_date], *daggs.values()))
-        attrs = calendar_attrs(F.col(cfg.service_date))
-        rolled = day.withColumns({k: attrs[k] for k in keys if k in attrs})
-        main = _grouped(rolled, keys, *[F.sum(n).alias(n) for n in daggs if n != "_dp"],
-                        *[F.lit(None).cast("string").alias(n) for n in ("_type", "_net")],
-                        F.lit(None).cast("bigint").alias("_pat"))
-        per_day = day.select(*nkeys, cfg.service_date, "_dp")
-    else:
-        main = _grouped(base_ctx.apply(model), keys, *aggs.values())
+        else:
+            sep, folded = comp.replaced(col, getattr(comp, builder)())
+            aggs.update(folded)
+            if sep is not None:
+                extra.append((sep, [k for k in keys if k != col]))
+    main = _grouped(ctx.without(fold).apply(model), keys, *aggs.values())
     for sep, k in extra:
-        # the replaced column was only filtered: rows seen only without the
-        # filter still belong to the result (full join); if it was grouped,
-        # its value is fixed by the row and the join stays a left join
+        # the replaced column is grouped, so its value is fixed by the row
         main = _join_back(main, sep, k, "full" if len(k) == len(keys) else "left")
+    return main, comp
+
 
-    if ms & peer_ms:
+def _finish(main: DataFrame, comp: _Compiler, measures: list[str], cfg: ClaimsConfig, drop_blank: bool, flag_pts: float,
+            fine: DataFrame | None = None, scan: _Scan | None = None) -> DataFrame:
+    """The measures of aggregated rows; ``fine`` and ``scan`` are what peers, flags and
+    dates may be rolled up from."""
+    ms, keys = set(measures), comp.keys
+    if ms & PEER_MS:
         main = comp.peer(main, fine)
     if ms & {"Paid YTD", "Denial Rate (trend)"}:
-        main = comp.last_dates(main)
+        main = comp.last_dates(main, scan and scan.all_days())
     if "Paid YTD" in ms:
-        if per_day is not None:
-            main = comp.ytd(main, per_day)
-        else:
-            # the grouped rows (one per result row) are read twice by the YTD join
-            main = comp.ytd(materialize(main))
-    if ms & {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}:
-        main = comp.flagged(main, flag_pts)
+        main = comp.ytd(main, scan and scan.per_day(comp.keys))
+    if ms & FLAGGED_MS:
+        main = comp.flagged(main, flag_pts, fine)
 
     rate = ratio("_den", "_dec")
     excess = F.when(rate.isNotNull(), (rate - F.col("_peer")) * F.lit(100.0))
-    if ms & {"Excess Rank", "Top 10 Excess (pts)"}:
+    if ms & RANK_MS:
         main = _rank(main.withColumn("_excess", excess), cfg, keys)
 
     def diff(a, b):
@@ -441,8 +543,8 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
         return F.coalesce(F.format_number(x, 0), F.lit(""))
 
     days = lambda s, n: ratio(s, n)
-    yoy_pa = ratio(diff("_pa_b", "_pa_a"), "_pa_a") if ms & year_ms else None
-    yoy_den = ratio(diff("_den_b", "_den_a"), "_den_a") if ms & year_ms else None
+    yoy_pa = ratio(diff("_pa_b", "_pa_a"), "_pa_a") if ms & YEAR_MS else None
+    yoy_den = ratio(diff("_den_b", "_den_a"), "_den_a") if ms & YEAR_MS else None
     exprs = {
         "Total Claims": F.col("_n"),
         "Decided Claims": F.col("_dec"),
@@ -468,7 +570,7 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
             F.coalesce(F.format_string("%.0f", round_half_up(days("_days_paid_sum", "_days_paid_n"), 0)), F.lit("")),
         ),
     }
-    if ms & year_ms:
+    if ms & YEAR_MS:
         exprs.update({
             "Prior Auth Denials Base": F.col("_pa_a"),
             "Prior Auth Denials Compare": F.col("_pa_b"),
@@ -478,19 +580,19 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
             "Denials YoY %": round_half_up(yoy_den, 4),
             "KPI Prior Auth Context": F.concat(F.lit("vs "), int_text(F.col("_pa_a")), F.lit(f" in {cfg.base_year}")),
         })
-    if ms & net_ms:
+    if ms & NETWORK_MS:
         exprs.update({
             "In-Network Denial Rate": round_half_up(ratio("_den_in", "_dec_in"), 4),
             "Out-of-Network Denial Rate": round_half_up(ratio("_den_out", "_dec_out"), 4),
             "KPI Network Context": F.concat(F.lit("vs "), pct_text(ratio("_den_in", "_dec_in"), 1), F.lit(" in-network")),
         })
-    if ms & peer_ms:
+    if ms & PEER_MS:
         exprs.update({
             "Peer Denial Rate": round_half_up(F.col("_peer"), 4),
             "Excess Denial (pts)": round_half_up(excess, 2),
             "Excess Flag": excess >= F.lit(flag_pts),
         })
-    if ms & {"Excess Rank", "Top 10 Excess (pts)"}:
+    if ms & RANK_MS:
         exprs["Excess Rank"] = F.col("_rank")
         exprs["Top 10 Excess (pts)"] = F.when(F.col("_rank") <= 10, round_half_up(excess, 2))
     if "Paid YTD" in ms:
@@ -499,7 +601,7 @@ def evaluate(model: DataFrame, measures: list[str], group_by: list[str] | tuple
         exprs["Denial Rate (trend)"] = F.when(F.col("_last") < F.lit(cfg.cutoff_date).cast("date"), round_half_up(rate, 4))
     if cfg.reason in keys:
         exprs["Reason Flag"] = F.col(cfg.reason) == F.lit(cfg.focus_reason)
-    if ms & {"Flagged Providers", "Flagged Denied $", "Flagged Coding Share", "KPI Flagged $ Context"}:
+    if ms & FLAGGED_MS:
         exprs.update({
             "Flagged Providers": F.when(F.col("_fl_n") > 0, F.col("_fl_n")),
             "Flagged Denied $": money("_fl_billed", 2),

@@ -9,7 +9,8 @@ from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import age_band, count_if, money, pct, round_half_up
 from claimwise.functions.numeric import safe_avg
 from claimwise.operators.kpis import decided, denied, paid_status
-from claimwise.operators.ranking import ntile
+from claimwise.operators.ranking import ntile_groups
+from claimwise.session import materialize
 
 # Labels of the reference's member groups.
 GROUP_LABELS = ("Top 1%", "Top 2-5%", "Top 6-20%", "Bottom 80%")
@@ -19,17 +20,13 @@ def spend_concentration(w: DataFrame, cfg: ClaimsConfig = DEFAULT, buckets: int
                         cuts: tuple = (1, 5, 20), labels: tuple = GROUP_LABELS) -> DataFrame:
     """q10: paid per member, NTILE(buckets) by paid desc (ties by member id),
     grouped into top 1 / 2-5 / 6-20 / rest with member counts, paid and
-    share of all paid. The NTILE is the distributed exact one from
-    ``ranking``; the share's denominator is a window over the <= 4 groups."""
-    spend = w.groupBy(cfg.patient_id).agg(F.sum(cfg.paid).alias("_paid"))
-    b = ntile(spend, [F.col("_paid").desc(), F.col(cfg.patient_id).asc()], buckets, "_bucket")
-    grp = F.when(F.col("_bucket") <= cuts[0], F.lit(labels[0]))
-    for c, lab in zip(cuts[1:], labels[1:-1]):
-        grp = grp.when(F.col("_bucket") <= c, F.lit(lab))
-    grp = grp.otherwise(F.lit(labels[-1]))
-    g = b.groupBy(grp.alias("member_group")).agg(
-        F.count(F.lit(1)).alias("members"), F.sum("_paid").alias("_paid"), F.min("_bucket").alias("_first")
-    )
+    share of all paid. Members are not sorted: counts per range of paid find the
+    three cuts, and only members near them are ordered (``ranking.ntile_groups``).
+    The share's denominator is a window over the <= 4 groups."""
+    spend = materialize(w.groupBy(cfg.patient_id).agg(F.sum(cfg.paid).alias("_paid")))  # a row a member, read by each step
+    b = ntile_groups(spend, "_paid", cfg.patient_id, buckets, cuts, "_first")
+    g = b.groupBy("_first").agg(F.count(F.lit(1)).alias("members"), F.sum("_paid").alias("_paid"))
+    g = g.withColumn("member_group", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("_first") + 1))
     return g.select(
         "member_group",
         "members",

@@ -117,3 +117,71 @@ def same_keys(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & rows[k].eqNullSafe(other[f"_r_{k}"])
     return rows.join(other, on).drop(*(f"_r_{k}" for k in keys))
+
+
+CUT_BINS = 1024
+CUT_ROUNDS = 2
+NEAR_ROWS = 100_000  # so few rows are ordered in one window; more by a distributed index
+
+
+def cut_rows(df: DataFrame, value: str, key: str, positions: list[int]) -> list[tuple | None]:
+    """The (value, key) of the row at each 1-based position by ``value`` descending
+    (null last), then ``key``; None for position 0. ``df`` is read several times, so it
+    should be a table; ``key`` is unique.
+
+    Counts per bin of the value's range say in which bin a position falls; after
+    CUT_ROUNDS only the rows in those bins are ordered, however many others there are."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        low = high = 0
+    v = F.coalesce(F.col(value), F.lit(low - 1))
+    rows = df.select(v.alias("v"), F.col(key).alias("k"))
+    cuts = {p: (low - 1, high, 0) for p in positions if p}  # position -> range of values, rows above it
+    for _ in range(CUT_ROUNDS):
+        parts = []
+        for p, (lo, hi, _) in cuts.items():
+            at = F.try_divide((F.col("v") - F.lit(lo)).cast("double") * F.lit(float(CUT_BINS)), F.lit(float(hi - lo)))
+            inside = F.col("v").between(F.lit(lo), F.lit(hi))
+            parts.append(F.when(inside, F.struct(F.lit(p).alias("p"), F.floor(F.coalesce(at, F.lit(0.0))).alias("bin"))))
+        binned = rows.select("v", F.explode(F.array_compact(F.array(*parts))).alias("c")) if parts else None
+        counts = binned.groupBy("c.p", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect() if parts else []
+        for p in cuts:  # at most CUT_BINS + 1 rows a cut
+            above = cuts[p][2]
+            for r in sorted((r for r in counts if r["p"] == p), key=lambda r: -r["bin"]):
+                if above + r["n"] >= p:
+                    cuts[p] = (r["lo"], r["hi"], above)
+                    break
+                above += r["n"]
+    if not cuts:
+        return [None for _ in positions]
+    hit = [F.when(F.col("v").between(F.lit(lo), F.lit(hi)), F.lit(p)) for p, (lo, hi, _) in cuts.items()]
+    near = materialize(rows.select("v", "k", F.explode(F.array_compact(F.array(*hit))).alias("p")))
+    size = {r["p"]: r["n"] for r in near.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(size.values()) <= NEAR_ROWS:
+        at = near.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("v"), F.asc("k"))))
+        start = {p: 0 for p in cuts}
+    else:
+        at = global_index(near, [F.asc("p"), F.desc("v"), F.asc("k")], "i").withColumn("i", F.col("i") + 1)
+        start = {p: sum(n for q, n in size.items() if q < p) for p in cuts}
+    wanted = F.lit(False)
+    for p, (_, _, above) in cuts.items():
+        wanted = wanted | ((F.col("p") == p) & (F.col("i") == start[p] + p - above))
+    found = {r["p"]: (r["v"], r["k"]) for r in at.where(wanted).collect()}  # one row a cut
+    return [found.get(p) for p in positions]
+
+
+def ntile_groups(df: DataFrame, value: str, key: str, buckets: int, cuts: tuple, name: str = "group") -> DataFrame:
+    """Which span of ``NTILE(buckets) OVER (ORDER BY value DESC, key)`` each row is in:
+    0 up to bucket ``cuts[0]``, 1 up to ``cuts[1]``, and so on. Only rows near the cuts
+    are ordered; the others compare their value with the cuts' rows."""
+    total = df.count()
+    ends = [c * (total // buckets) + min(c, total % buckets) for c in cuts]
+    rows = cut_rows(df, value, key, ends)
+    low = df.agg(F.min(value)).first()[0]
+    v = F.coalesce(F.col(value), F.lit((low or 0) - 1))
+    out = F.lit(len(cuts))
+    for i in range(len(cuts) - 1, -1, -1):
+        if rows[i] is not None:
+            cv, ck = rows[i]
+            out = F.when((v > F.lit(cv)) | ((v == F.lit(cv)) & (F.col(key) <= F.lit(ck))), F.lit(i)).otherwise(out)
+    return df.withColumn(name, out)

@@ -75,3 +75,9 @@ def provider_table(model: DataFrame, cfg: ClaimsConfig = DEFAULT, filters=()) ->
 def kpi_cards(model: DataFrame, page: str, cfg: ClaimsConfig = DEFAULT, filters=()) -> DataFrame:
     """r10: one row with the KPI cards of a page."""
     return evaluate(model, KPI_PAGES[page], [], filters, cfg, drop_blank=False)
+
+
+def all_cards(model: DataFrame, cfg: ClaimsConfig = DEFAULT, filters=()) -> DataFrame:
+    """r10: the cards of all pages in one row, from one scan of the model."""
+    cards = list(dict.fromkeys(m for page in KPI_PAGES.values() for m in page))
+    return evaluate(model, cards, [], filters, cfg, drop_blank=False)

@@ -349,6 +349,8 @@ def oracle_sql() -> dict[str, str]:
     out.update(features())
     out.update(faulty())
     out.update(exports())
+    out["reconcile_figures"] = _reconciled(out)
+    out["sink_query_results"] = _all_results(out)
     return out
 
 
@@ -725,6 +727,39 @@ SELECT plan_type, {CN(DECIDED)} AS decided_claims, {CN(DENIED)} AS denied_claims
        {R(RATIO(CN(f"{DENIED} AND network_status = 'Out-of-Network'"), CN(f"{DECIDED} AND network_status = 'Out-of-Network'")), 4)} AS out_network_denial_rate,
        {R(RATIO(CN(DENIED + ' AND ' + BEFORE), CN(DECIDED + ' AND ' + BEFORE)), 4)} AS denial_rate_complete
 FROM mw GROUP BY plan_type""")
+    totals = f"""
+g AS (
+  SELECT specialty, network_status, GROUPING(specialty, network_status) AS level, COUNT(*) AS n, {CN(DENIED)} AS den, {CN(DECIDED)} AS dec,
+         COUNT(DISTINCT patient_id) AS pats, SUM(paid_amount) AS paid,
+         SUM(CASE WHEN year = (SELECT MAX(year) FROM mw) THEN paid_amount END) AS ytd,
+         {CN(f'{DENIED} AND year = {A}')} AS a, {CN(f'{DENIED} AND year = {B}')} AS b,
+         CASE WHEN MIN(claim_type) = MAX(claim_type) THEN MIN(claim_type) END AS t,
+         CASE WHEN MIN(network_status) = MAX(network_status) THEN MIN(network_status) END AS nw
+  FROM mw GROUP BY GROUPING SETS ((specialty, network_status), (specialty), (network_status), ())),
+peer AS (SELECT claim_type, network_status AS pn, {RATIO(CN(DENIED), CN(DECIDED))} AS peer FROM mw GROUP BY 1, 2)"""
+    peer_join = "FROM g LEFT JOIN peer ON g.t = peer.claim_type AND g.nw = peer.pn"
+    g_rate = RATIO("den", "dec")
+    s["m_totals"] = qm(f"""
+SELECT specialty, network_status, level, n AS total_claims, den AS denied_claims, pats AS unique_patients, {M('paid', 2)} AS total_paid,
+       {M('ytd', 2)} AS paid_ytd, {R(g_rate, 4)} AS denial_rate, {R('peer', 4)} AS peer_denial_rate,
+       {R(f'({g_rate} - peer) * 100.0', 2)} AS excess_pts, {R(RATIO(DIFF('b', 'a'), 'a'), 4)} AS denials_yoy
+{peer_join}""", totals)
+    s["m_one_scan"] = qm(f"""
+SELECT specialty, network_status, pats AS unique_patients, {R('peer', 4)} AS peer_denial_rate, {M('ytd', 2)} AS paid_ytd
+{peer_join} WHERE level = 0""", totals)
+    in_rate = RATIO(CN(f"{DENIED} AND network_status = 'In-Network' AND y"), CN(f"{DECIDED} AND network_status = 'In-Network' AND y"))
+    s["m_year_totals"] = qm(f"""
+SELECT g.year, g.plan_type, g.level, n AS total_claims, pats AS unique_patients, {M('ytd', 2)} AS paid_ytd, den AS denials_compare, {R('inr', 4)} AS in_network_denial_rate
+FROM (SELECT year, plan_type, GROUPING(year, plan_type) AS level, {CN('y')} AS n, COUNT(DISTINCT CASE WHEN y THEN patient_id END) AS pats,
+             CASE WHEN GROUPING(year) = 1 THEN SUM(CASE WHEN year = {B} THEN paid_amount END) ELSE SUM(CASE WHEN y THEN paid_amount END) END AS ytd, {in_rate} AS inr
+      FROM (SELECT *, year IN ({A}, {B}) AS y FROM mw)
+      GROUP BY GROUPING SETS ((year, plan_type), (year), ())) g
+LEFT JOIN (SELECT plan_type, GROUPING(plan_type) AS all_plans, {CN(f'{DENIED} AND year = {B}')} AS den FROM mw GROUP BY GROUPING SETS ((plan_type), ())) d
+  ON g.plan_type IS NOT DISTINCT FROM d.plan_type AND (g.level % 2) = d.all_plans
+WHERE g.year IS NULL OR g.year IN ({A}, {B})""")
+    s["r10_all_cards"] = f"""
+SELECT * FROM ({s['r10_kpi_overview']}) CROSS JOIN (SELECT * EXCLUDE (denied_billed, kpi_denied_context) FROM ({s['r10_kpi_denials']}))
+CROSS JOIN ({s['r10_kpi_providers']})"""
     s["m_monthly_ytd"] = qm(f"""
 SELECT month_sort, month, {M('paid', 2)} AS total_paid,
        {M('SUM(paid) OVER (PARTITION BY month_sort // 100 ORDER BY month_sort)', 2)} AS paid_ytd,
@@ -825,6 +860,25 @@ def faulty() -> dict[str, str]:
             for a, b in names:
                 body = body.replace(a, b)
             out[f"faulty_{key}"] = q(body, ctes)
+    rules = [
+        ("chk_claim_id_unique", "claim_id IS NULL OR COUNT(*) OVER (PARTITION BY claim_id) > 1"),
+        ("chk_billed_present", "billed_amount IS NULL"),
+        ("chk_non_negative", "NOT COALESCE(billed_amount >= 0 AND allowed_amount >= 0 AND paid_amount >= 0, FALSE)"),
+        ("chk_money_order", "NOT COALESCE(paid_amount <= allowed_amount + 0.01 AND allowed_amount <= billed_amount + 0.01, FALSE)"),
+        ("chk_submit_after_service", "NOT COALESCE(submission_date >= service_date, FALSE)"),
+        ("chk_status_domain", "NOT COALESCE(claim_status IN ('Paid', 'Denied', 'Pending'), FALSE)"),
+        ("chk_denied_reason", "claim_status = 'Denied' AND denial_reason = 'Not Applicable'"),
+        ("chk_pending_no_date", "claim_status = 'Pending' AND processed_date IS NOT NULL"),
+        ("chk_patient_match", "plan_type IS NULL"),
+        ("chk_provider_match", "specialty IS NULL"),
+    ]
+    cases = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in rules)
+    told = f"{ctes},\ntold AS (SELECT {', '.join(f.CLAIM_COLUMNS)}, concat_ws(',', {cases}) AS reject_reasons FROM faulty_wide)"
+    out["quarantine_claims"] = q("SELECT * FROM told WHERE reject_reasons <> ''", told)
+    out["quarantine_good"] = q("SELECT * EXCLUDE (reject_reasons) FROM told WHERE reject_reasons = ''", told)
+    out["quarantine_counts"] = q("SELECT check_name, violations, violations = 0 AS passed FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS check_name, {CNT(f'list_contains(string_split(reject_reasons, {chr(39)},{chr(39)}), {chr(39)}{n}{chr(39)})')} AS violations FROM told"
+        for n, _ in rules) + ")", told)
     num = f.CLAIM_FAULT
     typed = RAW.strip() + f""",
 csv_good AS (
@@ -840,20 +894,66 @@ FROM (SELECT *, {num} AS f FROM raw_claims) WHERE f IN (30, 32, 33)""", RAW.stri
     return out
 
 
+def _joined(extra: str = "", more: str = "") -> str:
+    return q(f"""
+SELECT c.* EXCLUDE (_partkey){extra}, pr.provider_name, pr.specialty, pr.state AS provider_state, pr.network_status,
+       pa.gender, pa.date_of_birth, pa.state, pa.plan_type, pa.enrollment_date
+FROM claims_v c {more} LEFT JOIN providers_v pr ON c.provider_id = pr.provider_id LEFT JOIN patients_v pa ON c.patient_id = pa.patient_id""")
+
+
+def _cells() -> str:
+    text = f"""
+t AS (SELECT k, patient_id AS id, CASE k WHEN 3 THEN 'P-' || patient_id ELSE CAST(patient_id AS VARCHAR) END AS patient_id,
+    CASE k WHEN 7 THEN 'NA' ELSE gender END AS gender,
+    CASE k WHEN 2 THEN '1990-13-45' WHEN 4 THEN 'unknown' WHEN 8 THEN '' ELSE CAST(date_of_birth AS VARCHAR) END AS date_of_birth,
+    state, plan_type, CASE k WHEN 4 THEN '05-03-2024' ELSE CAST(enrollment_date AS VARCHAR) END AS enrollment_date
+  FROM (SELECT *, patient_id % 53 AS k FROM patients_v)),
+u AS (SELECT *, CASE k WHEN 5 THEN concat_ws(',', patient_id, gender, date_of_birth, state, plan_type, enrollment_date) || ',surplus'
+                       WHEN 6 THEN concat_ws(',', patient_id, gender) END AS line FROM t)"""
+    return q("""
+SELECT CASE WHEN k <> 3 THEN id END AS patient_id, CASE WHEN k <> 7 THEN gender END AS gender,
+  CASE WHEN k NOT IN (2, 4, 6, 8) THEN CAST(date_of_birth AS DATE) END AS date_of_birth, CASE WHEN k <> 6 THEN state END AS state,
+  CASE WHEN k <> 6 THEN plan_type END AS plan_type, CASE WHEN k NOT IN (4, 6) THEN CAST(enrollment_date AS DATE) END AS enrollment_date,
+  concat_ws('; ', CASE WHEN line IS NOT NULL THEN line || ': too many or too few fields' END,
+    CASE WHEN k = 3 THEN 'patient_id: ' || patient_id || ': not a bigint' END, CASE WHEN k = 7 THEN 'gender: -: missing' END,
+    CASE WHEN k IN (2, 4) THEN 'date_of_birth: ' || date_of_birth || ': not a date' WHEN k IN (6, 8) THEN 'date_of_birth: -: missing' END,
+    CASE WHEN k = 6 THEN 'state: -: missing' END, CASE WHEN k = 6 THEN 'plan_type: -: missing' END,
+    CASE WHEN k = 4 THEN 'enrollment_date: ' || enrollment_date || ': not a date' WHEN k = 6 THEN 'enrollment_date: -: missing' END) AS cell_errors
+FROM u""", text.strip())
+
+
+def _reconciled(sql: dict[str, str]) -> str:
+    from claimwise.operators.reconcile import HEADLINE, SLACK
+
+    focus = f"denial_reason = '{C.focus_reason}'"
+    ctes = {
+        "sql": sql["q01_headline_kpis"], "sheet": sql["x05_kpis"],
+        "cards": f"SELECT * FROM ({sql['r10_kpi_overview']}) CROSS JOIN (SELECT * EXCLUDE (denied_billed, kpi_denied_context) FROM ({sql['r10_kpi_denials']}))",
+        "reasons": f"SELECT denials_{B} AS focus_compare, yoy_change_pct AS focus_yoy FROM ({sql['q04_yoy_by_reason']}) WHERE {focus}",
+        "sheet_reasons": f"SELECT denials_compare AS focus_compare, yoy_change AS focus_yoy FROM ({sql['x02_reasons']}) WHERE {focus}",
+        "outliers": f"SELECT provider_id, provider_name, excess_pts FROM ({sql['q06_provider_outliers']}) ORDER BY excess_pts DESC, provider_id LIMIT 1",
+        "sheet_scorecard": f"SELECT excess_pts FROM ({sql['x04_scorecard']}) WHERE provider_id = (SELECT provider_id FROM outliers)",
+        "measures": f"SELECT excess_pts FROM ({sql['m_provider_rank']}) WHERE provider_name = (SELECT provider_name FROM outliers)",
+    }
+    rows = []
+    for figure, (first, *others) in HEADLINE.items():
+        for f in others:
+            of = lambda x: f"CAST({x.route}.{x.column} AS DOUBLE) * {x.scale}"
+            room = 0.5 * 10.0**-first.digits + 0.5 * 10.0**-f.digits + SLACK
+            rows.append(f"""SELECT '{figure}' AS figure, '{f.route}' AS route, {of(f)} AS value, '{first.route}' AS against, {of(first)} AS expected,
+  {R(f'({of(f)} - {of(first)})', 4)} AS difference,
+  ({of(f)} IS NULL AND {of(first)} IS NULL) OR COALESCE(abs({of(f)} - {of(first)}) <= {room!r}, FALSE) AS equal FROM {f.route}, {first.route}""")
+    return "WITH " + ",\n".join(f"{n} AS ({body})" for n, body in ctes.items()) + "\n" + "\nUNION ALL ".join(rows)
+
+
 def exports() -> dict[str, str]:
-    counts = q("""
-SELECT 'claims' AS table_name, COUNT(*) AS row_count FROM claims_v UNION ALL SELECT 'patients', COUNT(*) FROM patients_v
-UNION ALL SELECT 'providers', COUNT(*) FROM providers_v""")
-    inner = business()
     return {
         "src_csv_raw": qc("SELECT CAST(provider_id AS VARCHAR) AS provider_id, provider_name, specialty, state, network_status FROM raw_providers"),
         "src_csv_typed": qc("SELECT * REPLACE (CAST(provider_id AS VARCHAR) AS provider_id) FROM clean_providers_v"),
+        "src_csv_cells": _cells(),
         "src_csv_dates": qc("SELECT * REPLACE (CAST(patient_id AS VARCHAR) AS patient_id) FROM clean_patients_v"),
-        "sink_clean": counts,
-        "sink_star": counts,
-        "sink_query_results": f"""
-SELECT 'q01_headline_kpis' AS query, COUNT(*) AS row_count FROM ({inner['q01_headline_kpis']})
-UNION ALL SELECT 'q13_age_group', COUNT(*) FROM ({inner['q13_age_group']}) UNION ALL SELECT 'dq1_row_counts', 3""",
+        "sink_clean": _joined(),
+        "sink_star": _joined(", p_type AS diagnosis_category, p_brand AS cpt_code, CAST(year(service_date) AS INTEGER) AS service_year", "JOIN part ON _partkey = p_partkey"),
         "con_default": qc("SELECT patient_id, COALESCE(state, 'Unknown') AS state FROM raw_patients"),
         "x06_ifs": q(f"""
 SELECT network_status, {CNT(DENIED + ' AND billed_amount > 20000')} AS denied_large,
@@ -863,3 +963,11 @@ SELECT network_status, {CNT(DENIED + ' AND billed_amount > 20000')} AS denied_la
 FROM wide_v GROUP BY network_status"""),
         "build_wide": features()["feat_wide_claims"],
     }
+
+
+def _all_results(sql: dict[str, str]) -> str:
+    """Rows of every other query."""
+    from claimwise.plans.results import title
+
+    return "\nUNION ALL ".join(
+        f"SELECT '{k}' AS query, '{title(k)}' AS title, (SELECT COUNT(*) FROM ({body})) AS row_count, CAST(NULL AS VARCHAR) AS error" for k, body in sql.items())

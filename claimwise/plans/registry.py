@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimwise.config import DRIVER as C
 from claimwise.operators import kpis, members, providers, reasons, timing, trends
@@ -95,28 +96,48 @@ def queries() -> dict[str, Query]:
 
 # ---------------------------------------------------------------- raw exports, cleaning, checks
 
-def _claims(spark, d):
+def _claims(spark, d, t=None):
     from claimwise.operators import clean
 
-    return clean.clean_claims(tpch.raw_claims(spark, d), C)
+    return clean.clean_claims(tpch.raw_claims(spark, d, t), C)
 
 
-def _patients(spark, d):
+def _typed(spark, d, t=None):
+    """Deduplicated claims, nothing filled: enough for keys and flags."""
     from claimwise.operators import clean
 
-    return clean.clean_patients(tpch.raw_patients(spark, d), C)
+    return clean.typed_claims(tpch.raw_claims(spark, d, t), C)
 
 
-def _providers(spark, d):
+def _patients(spark, d, t=None):
     from claimwise.operators import clean
 
-    return clean.clean_providers(tpch.raw_providers(spark, d), C)
+    return clean.clean_patients(tpch.raw_patients(spark, d, t), C)
 
 
-def _enriched(c, pa, pr):
+def _providers(spark, d, t=None):
+    from claimwise.operators import clean
+
+    return clean.clean_providers(tpch.raw_providers(spark, d, t), C)
+
+
+def _enriched(c, pa, pr, t):
     from claimwise.operators.features import enrich_patients, enrich_providers
 
-    return enrich_providers(enrich_patients(c, pa, C), pr, C)
+    return enrich_providers(enrich_patients(c, pa, C, t["customer"]), pr, C, t["supplier"])
+
+
+def _chk_claims(spark, d):
+    from claimwise.operators import checks
+
+    t = tpch.Tables(spark, d)
+    c = _claims(spark, d, t)
+    return checks.run_checks(_enriched(c, _patients(spark, d, t), _providers(spark, d, t), t), checks.claim_checks(C), keys=c)
+
+
+def _con_fk(spark, d):
+    t = tpch.Tables(spark, d)
+    return _fk(_typed(spark, d, t), _patients(spark, d, t), _providers(spark, d, t))
 
 
 def _dq_star(spark, d):
@@ -156,19 +177,19 @@ def quality() -> dict[str, Query]:
         "clean_providers": lambda s, d: clean.clean_providers(tpch.raw_providers(s, d), C),
         "clean_claims": _claims,
         "claim_rejects": lambda s, d: clean.claim_rejects(tpch.raw_claims(s, d), C),
-        "chk_claims": lambda s, d: checks.run_checks(_enriched(_claims(s, d), _patients(s, d), _providers(s, d)), checks.claim_checks(C)),
+        "chk_claims": _chk_claims,
         "chk_patients": lambda s, d: checks.run_checks(_patients(s, d), checks.patient_checks(C)),
         "chk_providers": lambda s, d: checks.run_checks(_providers(s, d), checks.provider_checks(C)),
         "con_patients": lambda s, d: _constraints("patients", _patients(s, d)),
         "con_providers": lambda s, d: _constraints("providers", _providers(s, d)),
         "con_claims": lambda s, d: _constraints("claims", _claims(s, d)),
-        "con_foreign_keys": lambda s, d: _fk(_claims(s, d), _patients(s, d), _providers(s, d)),
+        "con_foreign_keys": _con_fk,
         "dq1_row_counts": lambda s, d: checks.dq_row_counts(*_dq_star(s, d)),
         "dq2_orphans": lambda s, d: checks.dq_orphans(*_dq_star(s, d), C),
         "dq3_financial": lambda s, d: checks.dq_financial(_dq_star(s, d)[0], C),
         "dq4_dates": lambda s, d: checks.dq_dates(_dq_star(s, d)[0], C),
         "dq5_denied_no_reason": lambda s, d: checks.dq_denied_without_reason(_dq_star(s, d)[0], C),
-        "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_claims(s, d), C),
+        "dq6_imputed_share": lambda s, d: checks.dq_imputed_share(_typed(s, d), C),
     }
 
 
@@ -212,6 +233,16 @@ def reports() -> dict[str, Query]:
             _model(s, d), ["Total Paid", "Paid YTD", "Denial Rate (trend)"], ["month_sort", "month"], [], C),
         "m_provider_rank": lambda s, d: evaluate(
             _model(s, d), ["Excess Denial (pts)", "Excess Rank", "Excess Flag"], ["provider_name"], [], C),
+        "r10_all_cards": lambda s, d: r.all_cards(_model(s, d), C),
+        "m_totals": lambda s, d: evaluate(
+            _model(s, d), ["Total Claims", "Denied Claims", "Unique Patients", "Total Paid", "Paid YTD", "Denial Rate",
+                           "Peer Denial Rate", "Excess Denial (pts)", "Denials YoY %"], ["specialty", "network_status"], [], C,
+            totals=[("specialty", "network_status"), ("specialty",), ("network_status",), ()]),
+        "m_year_totals": lambda s, d: evaluate(
+            _model(s, d), ["Total Claims", "Unique Patients", "Paid YTD", "Denials Compare", "In-Network Denial Rate"],
+            ["year", "plan_type"], [("year", [C.base_year, C.compare_year])], C, totals=[("year", "plan_type"), ("year",), ()]),
+        "m_one_scan": lambda s, d: evaluate(
+            _model(s, d), ["Unique Patients", "Peer Denial Rate", "Paid YTD"], ["specialty", "network_status"], [], C),
         "m_plan_cards": lambda s, d: evaluate(
             _model(s, d), ["Decided Claims", "Denied Claims", "Unique Patients", "Total Billed", "Paid to Billed %",
                            "Denied Share of Billed", "Avg Days to Process", "Prior Auth Denials", "Other Denials",
@@ -230,7 +261,7 @@ def features() -> dict[str, Query]:
         "dim_date": lambda s, d: dim_date_for(tpch.claims(s, d, claim_type=False), "service_date"),
         "fact_projection": lambda s, d: files.fact_columns(tpch.wide(s, d, codes=True)),
         "model_projection": lambda s, d: files.drop_convenience(tpch.wide(s, d)),
-        "sink_extract": lambda s, d: files.claims_extract(tpch.wide(s, d, codes=True), _prov(s, d)),
+        "sink_extract": lambda s, d: files.claims_extract(tpch.wide(s, d, codes=True, keep_name=True)),
     }
 
 
@@ -243,8 +274,23 @@ def faulty() -> dict[str, Query]:
     def star(s, d):
         return f.claims(s, d), f.patients(s, d), f.providers(s, d)
 
+    def wide(s, d):
+        return _enriched(*star(s, d), tpch.Tables(s, d))
+
+    def rejected(s, d):
+        """Claims that break a rule, with all the rules they break."""
+        q = checks.quarantine(wide(s, d), checks.claim_rules(C))
+        return q.rejected.select(*f.CLAIM_COLUMNS, F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+    def accepted(s, d):
+        q = checks.quarantine(wide(s, d), checks.claim_rules(C))
+        return q.good.select(*f.CLAIM_COLUMNS)
+
     return {
-        "faulty_chk_claims": lambda s, d: checks.run_checks(_enriched(*star(s, d)), checks.claim_checks(C)),
+        "faulty_chk_claims": lambda s, d: checks.run_checks(wide(s, d), checks.claim_checks(C)),
+        "quarantine_claims": rejected,
+        "quarantine_good": accepted,
+        "quarantine_counts": lambda s, d: checks.quarantine(wide(s, d), checks.claim_rules(C)).counts,
         "faulty_chk_patients": lambda s, d: checks.run_checks(f.patients(s, d), checks.patient_checks(C)),
         "faulty_chk_providers": lambda s, d: checks.run_checks(f.providers(s, d), checks.provider_checks(C)),
         "faulty_con_patients": lambda s, d: _constraints("patients", f.patients(s, d)),
@@ -263,14 +309,45 @@ def faulty() -> dict[str, Query]:
 
 # ---------------------------------------------------------------- readers, writers and helpers, through files
 
+def star_lists(cfg) -> dict:
+    """Value lists of the star's CHECK constraints with this data's plan types."""
+    from claimwise.operators import checks
+
+    return checks.IN_LIST | {"patients": checks.IN_LIST["patients"] | {"plan_type": cfg.plan_order}}
+
+
+def routes(spark, d) -> dict[str, DataFrame]:
+    """The headline figures by each route, one row each."""
+    from claimwise.operators.measures import evaluate
+    from claimwise.operators.reports import KPI_PAGES
+
+    q = queries()
+    focus = F.col(C.reason) == C.focus_reason
+    cards = list(dict.fromkeys([*KPI_PAGES["overview"], *KPI_PAGES["denials"]]))
+    worst = q["q06_provider_outliers"](spark, d).orderBy(F.desc("excess_pts"), "provider_id").limit(1)
+    name = worst.select(F.col("provider_id").alias("_id"), F.col("provider_name").alias("_name"))
+    only = lambda df, on: df.join(F.broadcast(name), on, "left_semi").select("excess_pts")  # noqa: E731  one row
+    m = _model(spark, d)
+    return {
+        "sql": q["q01_headline_kpis"](spark, d), "sheet": q["x05_kpis"](spark, d),
+        "cards": evaluate(m, cards, [], [], C, drop_blank=False),
+        "reasons": q["q04_yoy_by_reason"](spark, d).where(focus).select(F.col(f"denials_{C.compare_year}").alias("focus_compare"), F.col("yoy_change_pct").alias("focus_yoy")),
+        "sheet_reasons": q["x02_reasons"](spark, d).where(focus).select(F.col("denials_compare").alias("focus_compare"), F.col("yoy_change").alias("focus_yoy")),
+        "outliers": worst.select("excess_pts"),
+        "sheet_scorecard": only(q["x04_scorecard"](spark, d), F.col("provider_id") == F.col("_id")),
+        "measures": only(evaluate(m, ["Excess Denial (pts)"], ["provider_name"], [], C), F.col("provider_name") == F.col("_name")),
+    }
+
+
 def exports() -> dict[str, Query]:
     """Each writes below the scratch folder and returns what it reads back."""
     from claimwise.functions import agg_if
-    from claimwise.operators import checks
+    from claimwise.operators import checks, reconcile
     from claimwise.operators.features import build_wide
+    from claimwise.plans import results
     from claimwise.schema import PATIENTS, PROVIDERS, RAW_PROVIDERS
-    from claimwise.sources import files
-    from claimwise.sources.faults import scratch
+    from claimwise.sources import files, star
+    from claimwise.sources.faults import patients_csv, scratch
 
     def raw_csv(s, d):
         path = scratch(s, "raw")
@@ -283,24 +360,40 @@ def exports() -> dict[str, Query]:
         files.write_clean({name: table(s, d)}, path, fmt="csv")
         return files.read_clean(s, f"{path}/{name}", schema)
 
+    def typed_cells(s, d):
+        schema = T.StructType([T.StructField("patient_id", T.LongType(), False), *PATIENTS.fields[1:]])
+        rows = files.read_typed(s, patients_csv(s, d), schema, header=False)
+        told = F.transform("cell_errors", lambda e: F.concat_ws(": ", e["column"], F.coalesce(e["text"], F.lit("-")), e["problem"]))
+        return rows.withColumn("cell_errors", F.array_join(told, "; "))
+
+    def joined(claims, patients, providers):
+        """What the star's three tables say of each claim."""
+        rows = claims.join(providers.withColumnsRenamed({"provider_id": "_r", "state": "provider_state"}), F.col("provider_id") == F.col("_r"), "left")
+        rows = rows.join(patients.withColumnsRenamed({"patient_id": "_a"}), F.col("patient_id") == F.col("_a"), "left")
+        return rows.drop("_r", "_a")
+
     def sink_clean(s, d):
         path, m = scratch(s, "clean"), tpch.model(s, d)
         files.write_clean({"claims": m.claims, "patients": m.patients, "providers": m.providers}, path)
-        back = {n: s.read.parquet(f"{path}/{n}") for n in ("claims", "patients", "providers")}
-        return checks.dq_row_counts(back["claims"], back["patients"], back["providers"])
+        return joined(*[s.read.parquet(f"{path}/{n}") for n in ("claims", "patients", "providers")])
 
     def sink_star(s, d):
-        path, m = scratch(s, "star"), tpch.model(s, d)
-        tag = path.rsplit("-", 1)[1]
-        tables = {f"star_{tag}_{n}": t for n, t in (("claims", m.claims), ("patients", m.patients), ("providers", m.providers))}
-        counts = files.load_star(s, tables, path=path)
-        return counts.withColumn("table_name", F.element_at(F.split("table_name", "_"), -1))
+        path, m = scratch(s, "star"), tpch.model(s, d, codes=True)
+        fact = m.claims.withColumn("service_year", F.year("service_date"))
+        names = star.load_star(s, {"claims": fact, "patients": m.patients, "providers": m.providers}, prefix=f"star_{path.rsplit('-', 1)[1]}_",
+                               path=path, in_list=star_lists(C))
+        where = {n: s.sql(f"DESCRIBE FORMATTED {t}").where("col_name = 'Location'").first()["data_type"] for n, t in names.items()}
+        star.drop_star(s, names, files=False)  # the files are read below, the catalog keeps nothing
+        return joined(*[s.read.parquet(where[n]) for n in ("claims", "patients", "providers")])
 
     def sink_results(s, d):
-        path, names = scratch(s, "results"), ["q01_headline_kpis", "q13_age_group", "dq1_row_counts"]
-        files.run_all(s, {n: queries()[n] for n in names}, d, path)
-        parts = [s.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("query"), "row_count") for n in names]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        """All other queries, four at a time."""
+        own = {n: q for n, q in queries().items() if n != "sink_query_results"}
+        done = results.run_all(s, own, d, scratch(s, "results"))
+        return done.select("query", "title", "row_count", "error")
+
+    def reconciled(s, d):
+        return reconcile.reconcile(routes(s, d), reconcile.HEADLINE)
 
     def sheet_ifs(s, d):
         is_denied, large = F.col(C.status) == C.status_denied, F.col(C.billed) > 20000
@@ -313,15 +406,17 @@ def exports() -> dict[str, Query]:
 
     def wide_claims(s, d):
         m = tpch.model(s, d)
-        return build_wide(m.claims, m.patients, m.providers, C)
+        return build_wide(m.claims, m.patients, m.providers, C, m.tables["customer"], m.tables["supplier"])
 
     return {
         "src_csv_raw": raw_csv,
         "src_csv_typed": lambda s, d: typed_csv(s, d, "providers", _providers, PROVIDERS),
+        "src_csv_cells": typed_cells,
         "src_csv_dates": lambda s, d: typed_csv(s, d, "patients", _patients, PATIENTS),
         "sink_clean": sink_clean,
         "sink_star": sink_star,
         "sink_query_results": sink_results,
+        "reconcile_figures": reconciled,
         "con_default": lambda s, d: checks.with_default(tpch.raw_patients(s, d), "state", "Unknown").select("patient_id", "state"),
         "x06_ifs": sheet_ifs,
         "build_wide": wide_claims,

@@ -111,3 +111,26 @@ def typed(clean: DataFrame) -> DataFrame:
     """Keys of a cleaned CSV as the driver's tables have them."""
     money = {c: F.col(c).cast("decimal(18,2)") for c in CLAIM_MONEY}
     return clean.withColumns({c: F.col(c).cast("bigint") for c in ("patient_id", "provider_id")} | money)
+
+
+#: Faults of the patient export, by ``patient_id % 53``.
+CELL_RULES = {
+    "patient_id": {3: "'P-' || patient_id"},
+    "gender": {7: "'NA'"},
+    "date_of_birth": {2: "'1990-13-45'", 4: "'unknown'", 8: "''"},
+    "enrollment_date": {4: "'05-03-2024'"},
+}
+TOO_MANY, TOO_FEW = 5, 6
+
+
+def patients_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The patients written as a CSV without header, with bad cells, missing cells, and
+    lines of too many or too few fields; returns its folder."""
+    rows = tpch.patients(spark, sf_dir)
+    text = rows.select((F.col("patient_id") % 53).alias("f"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
+    cells = text.selectExpr("f", *projection(rows.columns, CELL_RULES))
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in rows.columns])
+    line = F.when(F.col("f") == TOO_MANY, F.concat(line, F.lit(",surplus"))).when(F.col("f") == TOO_FEW, F.concat_ws(",", "patient_id", "gender")).otherwise(line)
+    path = scratch(spark, "cells")
+    cells.select(line.alias("value")).write.text(path)
+    return path

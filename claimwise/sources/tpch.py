@@ -32,6 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The base tables of one query: each is listed once, when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._read = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._read:
+            self._read[name] = table(self.spark, self.sf_dir, name)
+        return self._read[name]
+
+
 def status_expr(returnflag, linestatus):
     return (
         F.when((returnflag == "R") & (linestatus == "F"), F.lit("Denied"))
@@ -40,13 +52,14 @@ def status_expr(returnflag, linestatus):
     )
 
 
-def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def providers(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
     """provider_id, provider_name, specialty, state, network_status, claim_type."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = n.join(checked_broadcast(r), n.n_regionkey == r.r_regionkey)
-    geo = checked_broadcast(geo, n)
+    t = t or Tables(spark, sf_dir)
+    s = t["supplier"].select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    n = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    r = t["region"].select("r_regionkey", "r_name")
+    geo = n.join(checked_broadcast(r, t["region"]), n.n_regionkey == r.r_regionkey)
+    geo = checked_broadcast(geo, t["nation"])
     return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey").alias("provider_id"),
         F.col("s_name").alias("provider_name"),
@@ -59,12 +72,12 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+def patients(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
     """patient_id, gender, date_of_birth, state, plan_type, enrollment_date."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    t = t or Tables(spark, sf_dir)
+    c = t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = checked_broadcast(t["nation"].select("n_nationkey", "n_name"), t["nation"])
     k = F.col("c_custkey")
-    n = checked_broadcast(n)
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         k.alias("patient_id"),
         F.when(k % 2 == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
@@ -75,15 +88,15 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw_fact(spark: SparkSession, sf_dir: str, codes: bool) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+def _raw_fact(t: Tables, codes: bool) -> DataFrame:
+    li = t["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     f = li.join(o, li.l_orderkey == o.o_orderkey)
     if codes:
-        p = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"))
+        p = checked_broadcast(t["part"].select("p_partkey", "p_brand", "p_type"))
         f = f.join(p, f.l_partkey == p.p_partkey)
     return f
 
@@ -128,15 +141,15 @@ def fact_exprs(codes: bool) -> dict:
     return out
 
 
-def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True) -> DataFrame:
+def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bool = True, t: Tables | None = None) -> DataFrame:
     """The claims fact (15 columns of the reference's fact table, minus
     ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
     comes from the provider and needs the provider join)."""
-    f = _raw_fact(spark, sf_dir, codes)
+    t = t or Tables(spark, sf_dir)
+    f = _raw_fact(t, codes)
     exprs = fact_exprs(codes)
     if claim_type:
-        pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
-                               table(spark, sf_dir, "supplier"))
+        pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
         f = f.join(pr, f.l_suppkey == pr._pid, "left")
         exprs = {**{k: v for k, v in exprs.items() if k in ("claim_id", "patient_id", "provider_id", "service_date",
                                                              "submission_date", "processed_date")},
@@ -148,27 +161,30 @@ def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bo
 
 def model(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
           with_providers: bool = True) -> "Star":
+    t = Tables(spark, sf_dir)
     return Star(
-        claims=claims(spark, sf_dir, codes=codes, claim_type=with_providers),
-        patients=patients(spark, sf_dir) if with_patients else None,
-        providers=providers(spark, sf_dir).drop("claim_type") if with_providers else None,
+        claims=claims(spark, sf_dir, codes=codes, claim_type=with_providers, t=t),
+        patients=patients(spark, sf_dir, t) if with_patients else None,
+        providers=providers(spark, sf_dir, t).drop("claim_type") if with_providers else None,
+        tables=t,
     )
 
 
 def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
-         with_providers: bool = True, keep_name: bool = False) -> DataFrame:
+         with_providers: bool = True, keep_name: bool = False, t: Tables | None = None) -> DataFrame:
     """Wide claims in one pass: the provider join that supplies ``claim_type``
     also supplies specialty/network (and the name when ``keep_name``), so the
     fact meets the supplier dimension once."""
-    f = claims(spark, sf_dir, codes=codes, claim_type=False)
+    t = t or Tables(spark, sf_dir)
+    f = claims(spark, sf_dir, codes=codes, claim_type=False, t=t)
     if with_providers:
-        pr = providers(spark, sf_dir)
+        pr = providers(spark, sf_dir, t)
         keep = ["claim_type", "specialty", "network_status"] + (["provider_name"] if keep_name else [])
-        pr = checked_broadcast(pr.select(F.col("provider_id").alias("_pid"), *keep), table(spark, sf_dir, "supplier"))
+        pr = checked_broadcast(pr.select(F.col("provider_id").alias("_pid"), *keep), t["supplier"])
         f = f.join(pr, f.provider_id == pr._pid, "left").drop("_pid")
     if with_patients:
-        pa = patients(spark, sf_dir).select(F.col("patient_id").alias("_cid"), "date_of_birth", "plan_type")
-        pa = checked_broadcast(pa, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+        pa = patients(spark, sf_dir, t).select(F.col("patient_id").alias("_cid"), "date_of_birth", "plan_type")
+        pa = checked_broadcast(pa, t["customer"].select("c_custkey", "c_mktsegment"))
         f = f.join(pa, f.patient_id == pa._cid, "left").drop("_cid")
     from claimwise.operators.features import derive_features
 
@@ -176,12 +192,13 @@ def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: b
 
 
 class Star:
-    """Fact plus the two dimensions."""
+    """Fact plus the two dimensions, and the tables they are made from."""
 
-    def __init__(self, claims: DataFrame, patients: DataFrame | None, providers: DataFrame | None):
+    def __init__(self, claims: DataFrame, patients: DataFrame | None, providers: DataFrame | None, tables: Tables | None = None):
         self.claims = claims
         self.patients = patients
         self.providers = providers
+        self.tables = tables
 
 
 # ---------------------------------------------------------------- raw (dirty) exports
@@ -191,10 +208,10 @@ class Star:
 # coded genders, missing states and padded upper-case specialties. Dates are
 # text, as a CSV export would carry them.
 
-def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _raw_fact(spark, sf_dir, codes=True)
-    pr = checked_broadcast(providers(spark, sf_dir).select(F.col("provider_id").alias("_pid"), "claim_type"),
-                               table(spark, sf_dir, "supplier"))
+def raw_claims(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    t = t or Tables(spark, sf_dir)
+    f = _raw_fact(t, codes=True)
+    pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
     f = f.join(pr, f.l_suppkey == pr._pid, "left")
     status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
     service = F.col("o_orderdate").cast("date")
@@ -239,9 +256,10 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("_copy")
 
 
-def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+def raw_patients(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    t = t or Tables(spark, sf_dir)
+    c = t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = t["nation"].select("n_nationkey", "n_name")
     k = F.col("c_custkey")
     codes = F.array(*[F.lit(v) for v in ("F", "M", "Female", "female", " f", "M ")])
     n = checked_broadcast(n)
@@ -255,7 +273,7 @@ def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = providers(spark, sf_dir)
+def raw_providers(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    p = providers(spark, sf_dir, t)
     padded = F.when(F.col("provider_id") % 8 == 0, F.concat(F.lit(" "), F.col("specialty"), F.lit(" "))).otherwise(F.col("specialty"))
     return p.select("provider_id", "provider_name", padded.alias("specialty"), "state", "network_status")

@@ -160,10 +160,8 @@ def test_status_domain_requires_every_value(spark):
     assert r["violations"] == 1 and r["passed"] is False
 
 
-def test_quarantine_and_assert(spark):
+def test_assert_checks(spark):
     df = spark.createDataFrame([(1,), (-1,), (None,)], "x int")
-    good, bad = checks.quarantine(df, {"negative": F.col("x") < 0})
-    assert good.count() == 2 and bad.first()["reject_reason"] == "negative"
     res = checks.run_checks(df, {"neg": F.sum(F.when(F.col("x") < 0, 1).otherwise(0))})
     with pytest.raises(checks.CheckFailed):
         checks.assert_checks(res)
