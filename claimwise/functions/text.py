@@ -10,10 +10,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The white space that a pattern's \\s stands for.
+WHITE = " \t\n\x0b\f\r"
+
+
 def strip_ws(c) -> Column:
     """Remove leading/trailing whitespace including tabs and newlines
     (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def title_case(c) -> Column:

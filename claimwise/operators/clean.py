@@ -98,16 +98,21 @@ def _date_cols(cfg: ClaimsConfig) -> list[str]:
 
 def _parsed(df: DataFrame, cfg: ClaimsConfig) -> tuple[dict, Column, Column]:
     """(typed dates and amounts, bad date, bad amount): bad is a non-null text
-    that is neither accepted date spelling, or no number."""
-    cols, bad_date, bad_money = {}, F.lit(False), F.lit(False)
+    that is neither accepted date spelling, or no number. The two flags are sums, not
+    short-circuit conditions, so each text is parsed once for its value and its flag."""
+    cols, bad_date, bad_money = {}, F.lit(0), F.lit(0)
+
+    def lost(c):
+        return F.col(c).isNotNull().cast("int") * cols[c].isNull().cast("int")
+
     for c in _date_cols(cfg):
         cols[c] = parse_mixed_dates(c)
-        bad_date = bad_date | (F.col(c).isNotNull() & cols[c].isNull())
+        bad_date = bad_date + lost(c)
     for c in (cfg.billed, cfg.allowed, cfg.paid):
         if df.schema[c].dataType.typeName() == "string":
             cols[c] = strip_ws(c).try_cast(MONEY)
-            bad_money = bad_money | (F.col(c).isNotNull() & cols[c].isNull())
-    return cols, bad_date, bad_money
+            bad_money = bad_money + lost(c)
+    return cols, bad_date > 0, bad_money > 0
 
 
 def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: bool = False) -> DataFrame:
@@ -118,13 +123,13 @@ def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: b
     written with another date spelling survives; ``after_normalise`` drops
     duplicates of the normalised rows instead."""
     cols, bad_date, bad_money = _parsed(raw, cfg)
-    d = raw.where(~(bad_date | bad_money))
-
-    def normalised(d: DataFrame) -> DataFrame:
-        d = d.withColumns(cols)
-        return d.withColumn(cfg.status, title_case(cfg.status))
-
-    d = drop_exact_duplicates(normalised(d)) if after_normalise else normalised(drop_exact_duplicates(d))
+    cols[cfg.status] = title_case(cfg.status)
+    typed = {c: f"_typed_{c}" for c in cols}
+    d = raw.withColumns({n: cols[c] for c, n in typed.items()} | {"_rejected": bad_date.cast("int") + bad_money.cast("int") > 0})
+    # parsed in the same pass that writes the rows to tell apart, so later passes read values
+    same = [typed.get(c, c) for c in raw.columns] if after_normalise else raw.columns
+    d = drop_exact_duplicates(d, same).where(~F.col("_rejected"))
+    d = d.select(*[F.col(typed.get(c, c)).alias(c) for c in raw.columns])
     d = fix_negative(d, cfg.billed)
     return flag_missing(d, cfg.billed, cfg.billed_imputed)
 

@@ -85,24 +85,25 @@ MEDIAN_BINS = 1024
 def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact interpolated median of ``value`` per ``keys`` (nulls skipped).
 
-    Rows are first counted per (keys, value), which a hot group combines in
-    each task, and only these counts are kept as a table. Each group's range is
-    cut into MEDIAN_BINS bins; their counts say which bins hold the one or
-    two middle positions, and only the values in those bins are ordered."""
-    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    spans = counts.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("_all"))
+    Keys and values are written once as a narrow table. Each group's range is cut into
+    MEDIAN_BINS bins; rows per bin, which a hot group combines in each task, say which
+    bins hold the one or two middle positions, and only the values in those bins are
+    counted and ordered. So next to nothing is shuffled, however many values differ."""
+    rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, value))
+    spans = materialize(rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(F.lit(1)).alias("_all")))
     at = F.try_divide((F.col(value) - F.col("_min")).cast("double") * F.lit(float(MEDIAN_BINS)), (F.col("_max") - F.col("_min")).cast("double"))
-    binned = same_keys(counts, spans, keys).withColumn("_bin", F.floor(F.coalesce(at, F.lit(0.0))))
-    bins = binned.groupBy(*keys, "_all", "_bin").agg(F.sum("_n").alias("_here"))
+    bin_of = F.floor(F.coalesce(at, F.lit(0.0)))
+    binned = same_keys(rows, spans, keys).withColumn("_bin", bin_of)
+    bins = binned.groupBy(*keys, "_all", "_bin").agg(F.count(F.lit(1)).alias("_here"))
     bins = bins.withColumn("_upto", F.sum("_here").over(Window.partitionBy(*keys).orderBy("_bin")))
     lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # 0-based middle positions
     before = F.col("_upto") - F.col("_here")
     holds = ((lo >= before) & (lo < F.col("_upto"))) | ((hi >= before) & (hi < F.col("_upto")))
-    middle = bins.where(holds).select(*keys, "_bin", before.alias("_before"))
-    rows = same_keys(binned, middle, [*keys, "_bin"])
+    middle = materialize(bins.where(holds).select(*keys, "_bin", before.alias("_before")))
+    inner = same_keys(binned, middle, [*keys, "_bin"]).groupBy(*keys, "_all", "_bin", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
     run = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy(value))
-    rows = rows.withColumn("_end", run).withColumn("_start", F.col("_end") - F.col("_n"))
-    some = rows.where(((lo >= F.col("_start")) & (lo < F.col("_end"))) | ((hi >= F.col("_start")) & (hi < F.col("_end"))))
+    inner = inner.withColumn("_end", run).withColumn("_start", F.col("_end") - F.col("_n"))
+    some = inner.where(((lo >= F.col("_start")) & (lo < F.col("_end"))) | ((hi >= F.col("_start")) & (hi < F.col("_end"))))
     # decimals stay exact: avg of one or two decimals is a decimal
     return some.groupBy(*keys).agg(F.avg(F.col(value)).alias(name))
 

@@ -12,7 +12,7 @@ dimensions are broadcast only if their files are small enough
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwise.sources.joins import checked_broadcast
@@ -101,41 +101,60 @@ def _raw_fact(t: Tables, codes: bool) -> DataFrame:
     return f
 
 
-def fact_exprs(codes: bool) -> dict:
-    """The fact columns as expressions over lineitem x orders (x part): one
-    projection, no intermediate columns (Catalyst eliminates the repeated
-    sub-expressions)."""
-    status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
-    service = F.col("o_orderdate").cast("date")
+def _figures(f: DataFrame) -> DataFrame:
+    """Add what several columns need: status, service and submission day, billed and
+    allowed amount. As columns of their own they are computed once a row; inlined, the
+    branches of each CASE would convert the same doubles to decimals again."""
+    f = f.withColumns({
+        "_status": status_expr(F.col("l_returnflag"), F.col("l_linestatus")),
+        "_service": F.col("o_orderdate").cast("date"),
+        "_billed": F.col("l_extendedprice").cast(MONEY),
+    })
     mult = F.when(F.col("l_linenumber") == 7, F.lit(3)).otherwise(F.lit(1))
-    submission = F.date_add(service, F.col("l_quantity").cast("int") * mult)
-    billed = F.col("l_extendedprice").cast(MONEY)
-    one = F.lit(1).cast(RATE)
+    kept = F.lit(1).cast(RATE) - F.col("l_discount").cast(RATE)
     zero = F.lit(0).cast(MONEY)
-    allowed = F.when(status == "Denied", zero).otherwise(
-        F.round(billed * (one - F.col("l_discount").cast(RATE)), 2).cast(MONEY))
-    paid = F.when(status == "Paid", F.round(allowed * (one - F.col("l_tax").cast(RATE)), 2).cast(MONEY)).otherwise(zero)
+    return f.withColumns({
+        "_submission": F.date_add("_service", F.col("l_quantity").cast("int") * mult),
+        "_allowed": F.when(F.col("_status") == "Denied", zero).otherwise(F.round(F.col("_billed") * kept, 2).cast(MONEY)),
+    })
+
+
+def _claim_id() -> Column:
+    return F.concat_ws(
+        "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+        F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+        F.col("l_shipdate").cast("date").cast("string"),
+    )
+
+
+def _processed() -> Column:
+    return F.when(F.col("_status") != "Pending", F.date_add("_submission", (F.col("l_partkey") % 60).cast("int") + 1))
+
+
+def _paid() -> Column:
+    kept = F.lit(1).cast(RATE) - F.col("l_tax").cast(RATE)
+    return F.when(F.col("_status") == "Paid", F.round(F.col("_allowed") * kept, 2).cast(MONEY)).otherwise(F.lit(0).cast(MONEY))
+
+
+def fact_exprs(codes: bool) -> dict:
+    """The fact columns as expressions over lineitem x orders (x part) with ``_figures``."""
     out = {
-        "claim_id": F.concat_ws(
-            "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-            F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-            F.col("l_shipdate").cast("date").cast("string"),
-        ),
+        "claim_id": _claim_id(),
         "patient_id": F.col("o_custkey"),
         "provider_id": F.col("l_suppkey"),
-        "service_date": service,
-        "submission_date": submission,
-        "processed_date": F.when(status != "Pending", F.date_add(submission, (F.col("l_partkey") % 60).cast("int") + 1)),
+        "service_date": F.col("_service"),
+        "submission_date": F.col("_submission"),
+        "processed_date": _processed(),
     }
     if codes:
         out["diagnosis_category"] = F.col("p_type")
         out["cpt_code"] = F.col("p_brand")
     out.update({
-        "billed_amount": billed,
-        "allowed_amount": allowed,
-        "paid_amount": paid,
-        "claim_status": status,
-        "denial_reason": F.when(status == "Denied", F.col("o_orderpriority")).otherwise(F.lit("Not Applicable")),
+        "billed_amount": F.col("_billed"),
+        "allowed_amount": F.col("_allowed"),
+        "paid_amount": _paid(),
+        "claim_status": F.col("_status"),
+        "denial_reason": F.when(F.col("_status") == "Denied", F.col("o_orderpriority")).otherwise(F.lit("Not Applicable")),
         "billed_imputed": F.lit(False),
     })
     return out
@@ -146,7 +165,7 @@ def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bo
     ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
     comes from the provider and needs the provider join)."""
     t = t or Tables(spark, sf_dir)
-    f = _raw_fact(t, codes)
+    f = _figures(_raw_fact(t, codes))
     exprs = fact_exprs(codes)
     if claim_type:
         pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
@@ -213,16 +232,8 @@ def raw_claims(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> Dat
     f = _raw_fact(t, codes=True)
     pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
     f = f.join(pr, f.l_suppkey == pr._pid, "left")
-    status = status_expr(F.col("l_returnflag"), F.col("l_linestatus"))
-    service = F.col("o_orderdate").cast("date")
-    mult = F.when(F.col("l_linenumber") == 7, F.lit(3)).otherwise(F.lit(1))
-    submission = F.date_add(service, F.col("l_quantity").cast("int") * mult)
-    processed = F.when(status != "Pending", F.date_add(submission, (F.col("l_partkey") % 60).cast("int") + 1))
-    billed = F.col("l_extendedprice").cast(MONEY)
-    one = F.lit(1).cast(RATE)
-    zero = F.lit(0).cast(MONEY)
-    allowed = F.when(status == "Denied", zero).otherwise(F.round(billed * (one - F.col("l_discount").cast(RATE)), 2).cast(MONEY))
-    paid = F.when(status == "Paid", F.round(allowed * (one - F.col("l_tax").cast(RATE)), 2).cast(MONEY)).otherwise(zero)
+    f = _figures(f)
+    status, service, billed = F.col("_status"), F.col("_service"), F.col("_billed")
     pk = F.col("l_partkey")
     raw_status = (
         F.when(F.col("l_linenumber") == 3, F.upper(status))
@@ -232,22 +243,18 @@ def raw_claims(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> Dat
     raw_service = F.when(pk % 20 == 0, F.date_format(service, "MM/dd/yyyy")).otherwise(F.date_format(service, "yyyy-MM-dd"))
     raw_billed = F.when(pk % 400 == 7, F.lit(None).cast(MONEY)).when(pk % 1000 == 11, (-billed).cast(MONEY)).otherwise(billed)
     out = f.select(
-        F.concat_ws(
-            "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-            F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-            F.col("l_shipdate").cast("date").cast("string"),
-        ).alias("claim_id"),
+        _claim_id().alias("claim_id"),
         F.col("o_custkey").alias("patient_id"),
         F.col("l_suppkey").alias("provider_id"),
         raw_service.alias("service_date"),
-        F.date_format(submission, "yyyy-MM-dd").alias("submission_date"),
-        F.date_format(processed, "yyyy-MM-dd").alias("processed_date"),
+        F.date_format("_submission", "yyyy-MM-dd").alias("submission_date"),
+        F.date_format(_processed(), "yyyy-MM-dd").alias("processed_date"),
         F.col("claim_type"),
         F.col("p_type").alias("diagnosis_category"),
         F.col("p_brand").alias("cpt_code"),
         raw_billed.alias("billed_amount"),
-        allowed.alias("allowed_amount"),
-        paid.alias("paid_amount"),
+        F.col("_allowed").alias("allowed_amount"),
+        _paid().alias("paid_amount"),
         raw_status.alias("claim_status"),
         F.when(status == "Denied", F.col("o_orderpriority")).alias("denial_reason"),
         # every row once, rows of every 67th supplier twice (exact duplicates)
