@@ -15,7 +15,6 @@ observed while they are written.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import count_if, round_half_up
-from claimwise.session import ensure_checkpoint_dir, materialize
+from claimwise.session import materialize, scratch
 from claimwise.sources.joins import checked_broadcast
 
 MONEY_TOLERANCE = 0.01
@@ -178,7 +177,7 @@ def quarantine(df: DataFrame, rules: dict[str, Check], path: str | None = None,
     are read back from ``path`` (default: a folder below the checkpoint folder)."""
     spark = df.sparkSession
     names, reasons, apart = list(rules), "reject_reasons", "_rejected"
-    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise-quarantine-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "quarantine")
     rows = tagged(df, rules, reasons, keys).withColumn(apart, F.size(reasons) > 0)
     seen = Observation()
     counts = [count_if(F.array_contains(reasons, n)).alias(f"_c{i}") for i, n in enumerate(names)]

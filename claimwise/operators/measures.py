@@ -62,6 +62,7 @@ NETWORK_MS = {"In-Network Denial Rate", "Out-of-Network Denial Rate", "KPI Netwo
 RANK_MS = {"Excess Rank", "Top 10 Excess (pts)"}
 PEER_MS = {"Peer Denial Rate", "Excess Denial (pts)", "Excess Flag"} | RANK_MS
 PATIENT_MS = {"Unique Patients", "KPI Claims Context"}
+DAY_MS = {"Paid YTD", "Denial Rate (trend)"}
 
 # The catalog's measure names and their output columns.
 MEASURES = {
@@ -327,13 +328,13 @@ class _Scan:
     ``rows``: group keys (with claim type and network for peers, and the provider for
     flags); ``days``: keys that are no dates, and the service day; ``members``: keys and
     patient. A slicer that some measure replaces is a predicate inside the
-    aggregates of the others instead of a filter; so are date slicers if the
-    year-to-date is asked for. ``names``: the additive columns of ``rows``."""
+    aggregates of the others instead of a filter; so are date slicers if a
+    measure looks at days. ``names``: the additive columns of ``rows``."""
 
     def __init__(self, model: DataFrame, ctx: Context, ms: set[str], cfg: ClaimsConfig):
-        self.ctx, self.ms, self.cfg = ctx, ms, cfg
+        self.model, self.ctx, self.cfg = model, ctx, cfg
         self.families = [(col, fam, builder) for col, fam, builder in (("year", YEAR_MS, "year_aggs"), (cfg.network, NETWORK_MS, "network_aggs")) if ms & fam]
-        replaced = {col for col, _, _ in self.families} | (set(DATE_COLS) if "Paid YTD" in ms else set())
+        replaced = {col for col, _, _ in self.families} | (set(DATE_COLS) if ms & DAY_MS else set())
         self.fold = [col for col, _ in ctx.filters if col in replaced]
         compiled = lambda scope: _Compiler(model, ctx, cfg, scope=scope)
         own = compiled(self._scope())
@@ -350,7 +351,7 @@ class _Scan:
             grain += [cfg.provider_name] if cfg.provider_name not in grain else []
         self.names = list(aggs)
         sets = {"rows": grain}
-        if "Paid YTD" in ms:
+        if ms & DAY_MS:
             sets["days"] = [k for k in keys if k not in DATE_COLS] + [cfg.service_date]
             other = self._scope(lambda c: c not in DATE_COLS)
             aggs["_dp"] = F.sum(F.col(cfg.paid) if other is None else F.when(other, F.col(cfg.paid))).alias("_dp")
@@ -364,6 +365,7 @@ class _Scan:
             seen = got["members"].where(F.col(cfg.patient_id).isNotNull() & (F.col("_n") > 0))
             self.members = seen.select(*sets["members"])
         self.bits: DataFrame | None = None
+        self.span: DataFrame | None = None
 
     def _scope(self, keep=lambda col: True) -> Column | None:
         pred = None
@@ -404,9 +406,14 @@ class _Scan:
         merged = self.bits.groupBy(*keys, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_pat"))
         return _join_back(main, _grouped(merged, keys, F.sum("_pat").alias("_pat")), keys)
 
-    def all_days(self) -> DataFrame | None:
-        """The service dates of all claims, if no filter has left out any."""
-        return self.days if all(col in self.fold for col, _ in self.ctx.filters) else None
+    def all_days(self) -> DataFrame:
+        """Service dates with the first and the last of all claims: the days of the scan,
+        or where a filter has left out claims, two rows from a pass of its own."""
+        if self.span is None:
+            whole = self.days is not None and all(col in self.fold for col, _ in self.ctx.filters)
+            c = self.cfg.service_date
+            self.span = self.days if whole else materialize(self.model.agg(F.array(F.min(c), F.max(c)).alias("a")).select(F.explode("a").alias(c)))
+        return self.span
 
     def per_day(self, keys: list[str]) -> DataFrame | None:
         return None if self.days is None else _grouped(self.days, [k for k in keys if k not in DATE_COLS] + [self.cfg.service_date], F.sum("_dp").alias("_dp"))
@@ -518,7 +525,7 @@ def _finish(main: DataFrame, comp: _Compiler, measures: list[str], cfg: ClaimsCo
     ms, keys = set(measures), comp.keys
     if ms & PEER_MS:
         main = comp.peer(main, fine)
-    if ms & {"Paid YTD", "Denial Rate (trend)"}:
+    if ms & DAY_MS:
         main = comp.last_dates(main, scan and scan.all_days())
     if "Paid YTD" in ms:
         main = comp.ytd(main, scan and scan.per_day(comp.keys))

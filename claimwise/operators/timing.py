@@ -53,19 +53,23 @@ def processing_histogram(w: DataFrame, cfg: ClaimsConfig = DEFAULT, width: int =
     statuses = statuses or (cfg.status_paid, cfg.status_denied)
     days = days_between(cfg.processed_date, cfg.submission_date)
     d = w.where(F.col(cfg.status).isin(*statuses)).withColumn("_days", days).where(F.col("_days").isNotNull())
-    med = d.groupBy(cfg.status).agg(F.median("_days").alias("median_days"))
+    # one pass: claims per status and day (a few hundred rows) give both the bins and the medians
+    c = d.groupBy(cfg.status, "_days").agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(cfg.status)
+    upto, total = F.sum("_n").over(every.orderBy("_days")), F.sum("_n").over(every)
+    c = c.select("*", upto.alias("_upto"), total.alias("_all"))
+    at = lambda place: F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col("_days"))).over(every)
+    middle = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))).cast("double") / F.lit(2.0)
+    c = c.withColumn("median_days", middle).where((F.col("_days") >= 0) & (F.col("_days") <= upper))
     last = upper // width - 1
-    inside = d.where((F.col("_days") >= 0) & (F.col("_days") <= upper))
     b = F.least(F.floor(F.col("_days") / width), F.lit(last)).cast("int")
-    h = inside.groupBy(cfg.status, b.alias("_bin")).agg(F.count(F.lit(1)).alias("claims"))
-    per_status = Window.partitionBy(cfg.status)
-    h = h.select(
+    h = c.groupBy(cfg.status, "median_days", b.alias("_bin")).agg(F.sum("_n").alias("claims"))
+    inside = F.sum("claims").over(every).cast("double") * F.lit(float(width))
+    return h.select(
         cfg.status,
         (F.col("_bin") * width).cast("int").alias("bin_start"),
         ((F.col("_bin") + 1) * width).cast("int").alias("bin_end"),
         "claims",
-        round_half_up(
-            F.col("claims").cast("double") / (F.sum("claims").over(per_status).cast("double") * F.lit(float(width))), 6
-        ).alias("density"),
-    )
-    return h.join(med, cfg.status, "left").orderBy(cfg.status, "bin_start")
+        round_half_up(F.col("claims").cast("double") / inside, 6).alias("density"),
+        "median_days",
+    ).orderBy(cfg.status, "bin_start")

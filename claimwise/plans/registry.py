@@ -347,7 +347,8 @@ def exports() -> dict[str, Query]:
     from claimwise.plans import results
     from claimwise.schema import PATIENTS, PROVIDERS, RAW_PROVIDERS
     from claimwise.sources import files, star
-    from claimwise.sources.faults import patients_csv, scratch
+    from claimwise.session import scratch
+    from claimwise.sources.faults import patients_csv
 
     def raw_csv(s, d):
         path = scratch(s, "raw")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint folder, which ``release`` deletes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df):
     """Cut lineage by writing ``df`` as a Parquet table under
     ``spark.checkpoint.dir`` (shared storage on a cluster) and reading it
@@ -54,13 +62,9 @@ def materialize(df):
     and later reads get column pruning and filter pushdown (which an RDD
     checkpoint cannot offer). One job; the table lives under the
     checkpoint folder until ``release`` or the cluster's housekeeping deletes it."""
-    import uuid
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/claimwise-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.mode("error").parquet(path)
-    _written.append(path)
     return spark.read.parquet(path)
 
 
@@ -68,13 +72,16 @@ _written: list[str] = []
 
 
 def release() -> int:
-    """Delete the tables that ``materialize`` has written in this process; call
-    it when their readers are done (the end of a job). Returns how many."""
+    """Delete the tables and folders that ``materialize`` and ``scratch`` have named in
+    this process; call it when their readers are done (the end of a job). Returns how
+    many there were."""
     from pyarrow import fs
 
-    done = len(_written)
+    done = 0
     while _written:
         path = _written.pop()
         system, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
-        system.delete_dir(name)
+        if system.get_file_info(name).type == fs.FileType.Directory:
+            system.delete_dir(name)
+            done += 1
     return done

@@ -8,14 +8,12 @@ faulty rows; what is checked on them is written separately for each.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwise.operators.clean import CLAIM_MONEY
 from claimwise.schema import RAW_CLAIMS
-from claimwise.session import ensure_checkpoint_dir
+from claimwise.session import scratch
 from claimwise.sources import files, tpch
 
 CLAIM_FAULT = "CAST(split_part(claim_id, '-', 1) AS BIGINT) % 97"
@@ -92,10 +90,6 @@ CSV_RULES = {
 }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise-{name}-{uuid.uuid4().hex}"
-
-
 def claims_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw claims written as a CSV export with faults and read back as
     text."""

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from claimwise.session import ensure_checkpoint_dir
+    from claimwise.session import ensure_checkpoint_dir, release
 
     scratch = tempfile.mkdtemp(prefix="claimwise-test-")
     s = (
@@ -27,6 +27,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
+    release()
     s.stop()
 
 
