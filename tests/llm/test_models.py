@@ -134,48 +134,83 @@ def tokens_of(t):
     return [w.translate(low) for w in (t or "").encode().split()] + ["end"]
 
 
-def brute_model(rows):
+def brute_model(rows, order=2):
+    """(scores of a text, P(word | context), word counts), each n-gram in dictionaries."""
     train = [t for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2]
-    uni, bi = Counter(), Counter()
+    uni, grams = Counter(), [Counter() for _ in range(order + 1)]
     for t in train:
-        ws = tokens_of(t)
-        uni.update(ws)
-        bi.update(zip(["end", *ws[:-1]], ws))
+        ws = ["end"] * (order - 1) + tokens_of(t)
+        uni.update(ws[order - 1 :])
+        for i in range(order - 1, len(ws)):
+            for k in range(1, order + 1):
+                grams[k][tuple(ws[i - k + 1 : i + 1])] += 1
+    for k in range(1, order):  # below the highest order: how many words come before
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
     n, v = sum(uni.values()), len(uni)
     counts = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
-    before = Counter(b for _, b in bi)
-    d, low = language_model.discounts(counts(bi)), language_model.discounts(counts(before))
-    left = sum(low[min(c, 3) - 1] for c in before.values()) / len(bi) if bi else 1.0
-    total, freed = Counter(), Counter()
-    for (a, _), c in bi.items():
-        total[a] += c
-        freed[a] += d[min(c, 3) - 1]
-    off = lambda c, by: max(0, c - by[min(c, 3) - 1]) if c else 0
-
-    def p1(w):
-        return off(before[w], low) / max(1, len(bi)) + left / (v + 1)
-
-    def p2(a, w):
-        return (off(bi[a, w], d) / total[a] + freed[a] / total[a] * p1(w)) if total[a] else p1(w)
+    d = [language_model.discounts(counts(c)) for c in grams]
+    total, freed = defaultdict(int), defaultdict(float)
+    for k in range(1, order + 1):
+        for g, c in grams[k].items():
+            total[k, g[:-1]] += c
+            freed[k, g[:-1]] += d[k][min(c, 3) - 1]
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[k, context]:
+            return lower
+        c = grams[k][context + (w,)]
+        return (max(0, c - d[k][min(c, 3) - 1]) if c else 0) / total[k, context] + freed[k, context] / total[k, context] * lower
 
     def score(t):
         ws = tokens_of(t)
-        return (len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws), sum(math.log10(p2(a, w)) for a, w in zip(["end", *ws[:-1]], ws)))
+        padded = ["end"] * (order - 1) + ws
+        model = sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(ws))
+        return (len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws), model)
 
-    return score, p2, uni
+    return score, p, uni
 
 
-def test_language_model(spark, make_docs, monkeypatch):
+@pytest.mark.parametrize("order,pairs", [(2, 1 << 64), (2, 1), (3, 1 << 64), (3, 1), (5, 1 << 64), (5, 5000)])
+def test_language_model(spark, make_docs, monkeypatch, order, pairs):
+    """Also with keys that are hashes (more than ``pairs`` pairs of ids)."""
     monkeypatch.setattr(language_model, "HELD", 200)
-    rows = random_docs(150, 9) + [(None, "W1 w1 É é"), (7, "w1 w2"), (7, "w1 w2")]
-    got = language_model.train_and_score(make_docs(rows, CLASH).repartition(3)).collect()
-    score, p2, uni = brute_model(rows)
-    assert abs(sum(p2("end", w) for w in uni) + p2("end", "never") - 1) < 1e-9
+    monkeypatch.setattr(language_model, "PAIRS", pairs)
+    rows = random_docs(150, 9) + [(None, "W1 w1 É é"), (7, "w1 w2"), (7, "w1 w2"), (8, "w1 w2 w3 " * 9000)]
+    got = language_model.train_and_score(make_docs(rows, CLASH).repartition(3), order=order).collect()
+    score, p, uni = brute_model(rows, order)
+    for context in [("end",) * (order - 1), ("w1",) * (order - 1)]:
+        assert abs(sum(p(context, w) for w in uni) + p(context, "never") - 1) < 1e-9
     want = sorted((k or -1, *score(t)) for k, t in rows)
     for g, w in zip(sorted((g.doc_id or -1, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got), want):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
 
 
+def test_counts_are_as_wide_as_needed():
+    for high in (0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**63):
+        a = np.array([0, high], np.uint64)
+        assert (language_model._narrow(a) == a).all()
+    assert [language_model._narrow(np.array([x], np.uint64)).itemsize for x in (255, 256, 65_536, 2**32)] == [1, 2, 4, 8]
+
+
+def test_query_op9(spark):
+    """The registered query against a model in dictionaries."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    score, _, _ = brute_model(rows)
+    got = {r.doc_id: r for r in registry.op9_lm_scoring(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        g, w = got[k], score(t)
+        assert g.held_out == (zlib.crc32(str(k).encode()) % 7 == 2) and (g.n_tokens, g.n_known, g.train_tokens) == w[:3]
+        assert (g.base_score, g.score) == pytest.approx(w[3:], rel=1e-9)
+
+
+def test_order_must_be_two_or_more(make_docs):
+    with pytest.raises(ValueError):
+        language_model.train(make_docs([(1, "a")]), order=1)
+
+
 def test_language_model_without_training_rows(spark, make_docs):
     held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
     rows = language_model.train_and_score(make_docs([(k, "a b") for k in held])).collect()
