@@ -1,14 +1,18 @@
 """Token ids of whole texts with a public tokenizer.
 
-The vocabulary's pre-tokenizer never joins characters across white space, so
-a text's ids are those of its words (runs without ASCII white space) one after
-another. Each Python worker remembers the ids of the words it has met, by
+Any file of the tokenizer library may be given; the ids are the library's. Where the
+file has the normaliser and pre-tokenizer of ``NORMALIZER`` and ``PRE_TOKENIZER``,
+which never join characters across white space, a text's ids are those of its words
+(runs without ASCII white space) one after another; with any other file whole texts go
+to the library, some megabytes at a time. Truncation and padding that a file may ask for
+are left out. For the word-wise files, each Python worker remembers the ids of the words it has met, by
 64-bit hash in a bounded sorted table (when it is full, words met in one
 slice of texts only are forgotten); documents are put together from it in
 numpy, a slice of texts at a time."""
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -22,6 +26,18 @@ LATIN_END, DOTTED_I = "\u0180", "\u0130"  # below LATIN_END lower case is one le
 #: Byte-level vocabularies write byte b as chr(b) if that can be seen, else as the next character from 256 on.
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_CHAR = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SEEN}))}
+#: The settings under which words can be encoded one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 LETTER = np.zeros(256, bool)
 LETTER[ord("A") : ord("Z") + 1] = LETTER[ord("a") : ord("z") + 1] = True
 
@@ -32,6 +48,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer file's ids can be put together from those of words: known
+    splitting, a byte-pair model without chance, and no added token that could join
+    words or lie in a run of letters."""
+    added = settings.get("added_tokens") or []
+    apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].strip(".,").isalpha() or any(map(str.isspace, t["content"]))) for t in added)
+    model = settings["model"]
+    return apart and settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+
+
+class WholeTokenizer:
+    """``encode`` as that of :class:`WordTokenizer`, by the library on whole texts."""
+
+    def __init__(self, tokenizer, end_id: int | None = END_ID):
+        self.tokenizer, self.end = tokenizer, [] if end_id is None else [end_id]
+
+    def encode(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = raw.tobytes()
+        texts = [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        ids = [e.ids + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
+
 class WordTokenizer:
     """``encode(offsets, raw)``: the ids of a slice's texts (u32, ``end_id``
     appended to each if given) and the ids per text; equal to the library's own
@@ -41,13 +81,8 @@ class WordTokenizer:
     is looked up in lower case without its tail: to the pre-tokenizer letters are
     one piece and the tail is another, so that many words share an entry."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+    def __init__(self, tokenizer, end_id: int | None = END_ID):
+        self.tokenizer, self.end_id = tokenizer, end_id
         self.tail = np.full(256, -1, np.int64)
         for t in ".,":
             one = self.tokenizer.encode(t, add_special_tokens=False).ids
@@ -146,11 +181,21 @@ class WordTokenizer:
         return out, np.diff(total, prepend=0)
 
 
-_known: dict[tuple, WordTokenizer] = {}
+_known: dict[tuple, WordTokenizer | WholeTokenizer] = {}
 
 
-def tokenizer(path: str, end_id: int | None = END_ID) -> WordTokenizer:
+def tokenizer(path: str, end_id: int | None = END_ID) -> WordTokenizer | WholeTokenizer:
     """One tokenizer per worker, kept between tasks."""
     if (path, end_id) not in _known:
-        _known[path, end_id] = WordTokenizer(path, end_id)
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            kind = WordTokenizer if by_words(json.load(f)) else WholeTokenizer
+        _known[path, end_id] = kind(library, end_id)
     return _known[path, end_id]

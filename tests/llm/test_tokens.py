@@ -1,6 +1,7 @@
 """Token ids, packing and token files against the tokenizer library itself."""
 
 import io
+import json
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ def crc(ids):
 
 def test_ids_equal_the_library():
     texts = ODD + [t for _, t in random_docs(60, 1)]
-    tk = tokens.WordTokenizer(tokens.default_tokenizer())
+    tk = tokens.WordTokenizer(Tokenizer.from_file(tokens.default_tokenizer()))
     for _ in range(2):  # the second time from the table
         ids, n = tk.encode(*arrow.buffers(pa.array(texts)))
         assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == [2]
@@ -34,12 +35,62 @@ def test_ids_equal_the_library():
 
 def test_table_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_WORDS", 50)
-    tk = tokens.WordTokenizer(tokens.default_tokenizer())
+    tk = tokens.WordTokenizer(Tokenizer.from_file(tokens.default_tokenizer()))
     for _, t in random_docs(40, 2):
         ids, _ = tk.encode(*arrow.buffers(pa.array([t or "", "again and again"])))
         assert ids.tolist() == ids_of(t) + ids_of("again and again")
 
 
+def other_tokenizers(tmp_path):
+    """Files whose words cannot be encoded one by one, and the default one."""
+    import public_tokenizers
+
+    default = json.loads(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    out = {"default": tokens.default_tokenizer(), "bytes": public_tokenizers.path("byte_bpe_50k.json")}
+    for name, change in {
+        "cased": {"normalizer": None},
+        "added": {"added_tokens": default["added_tokens"] + [{"id": 49408, "content": "the", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}]},
+        "padded": {"truncation": {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}, "padding": {"strategy": {"Fixed": 8}, "direction": "Right", "pad_to_multiple_of": None, "pad_id": 0, "pad_type_id": 0, "pad_token": "x"}},
+    }.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(default | change), encoding="utf-8")
+        out[name] = str(path)
+    return out
+
+
+def test_other_tokenizers_give_their_own_ids(tmp_path):
+    texts = ["The other the. bathe", "Two  spaces\n and\tCASE", "b"] + ODD + [t or "" for _, t in random_docs(30, 7)]
+    kinds = {}
+    for name, path in other_tokenizers(tmp_path).items():
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        for end in (2, None):
+            tk = tokens.tokenizer(path, end)
+            ids, n = tk.encode(*arrow.buffers(pa.array(texts)))
+            want = [library.encode(t, add_special_tokens=False).ids + [2] * (end is not None) for t in texts]
+            assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want], name
+            assert tk.encode(*arrow.buffers(pa.array([], pa.string())))[0].tolist() == []
+        kinds[name] = type(tk).__name__
+    assert [k for k, v in kinds.items() if v == "WordTokenizer"] == ["default", "padded"]
+
+
+def test_packing_and_files_with_another_tokenizer(spark, make_docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = [(k, t) for k, t in random_docs(20, 8) if k is not None]
+    want = {k: crc(library.encode(t or "", add_special_tokens=False).ids + [2]) for k, t in docs}
+    rows = token_files.read_token_files(token_files.write_token_files(make_docs(docs), tokenizer=path)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == want
+    pieces = packing.pack_documents(make_docs(docs), tokenizer=path, with_ids=True).orderBy("doc_id", "start").collect()
+    ids = {}
+    for r in pieces:
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    assert {k: crc(v) for k, v in ids.items()} == want
+
+
 def check_packing(rows, texts, capacity=4096):
     pieces, seqs = {}, {}
     for r in rows:
