@@ -15,7 +15,9 @@ curves: several Hilbert orderings of projected vectors.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows with a null id. Vectors of each length are searched among themselves,
-one length after another. Rows that repeat an id and vector count once. With fewer
+one length after another. Rows that repeat an id and vector count once; an id is
+taken to have one vector (several are several candidates, and as a query its own other
+vectors take places among those it finds, so it may miss some). With fewer
 candidates all are returned. An empty table gives an empty result. Other columns are
 ignored."""
 

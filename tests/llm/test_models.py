@@ -1,6 +1,7 @@
 """Neighbours, classifier and language model."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimwise.llm import classifier, language_model, neighbours, registry
+from claimwise.llm import classifier, language_model, neighbours, registry, words
 
 from .conftest import CLASH, SF, random_docs
 
@@ -110,6 +111,65 @@ def test_classifier_on_held_out_rows(spark):
     assert auc > 0.95 and np.mean([(s >= 0.5) == y for s, y in held]) > 0.93
 
 
+def plain_terms(text):
+    """[(place of the word, place of its shape)], one word at a time."""
+    def place(b):
+        return int(words.hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) * classifier.TERMS >> 64
+
+    def shape(b):
+        return b"".join(re.findall(rb"(?s)(.)(?!\1)", re.sub(rb"[0-9]", b"9", re.sub(rb"[a-z\x80-\xff]", b"x", re.sub(rb"[A-Z]", b"X", b)))))
+
+    return [(place(w), place(shape(w)) + classifier.TERMS) for w in (text or "").encode().split()]
+
+
+def plain_vectors(texts):
+    sums = np.zeros((2 * classifier.TERMS, classifier.DIM))
+    for t in texts:
+        found = plain_terms(t)
+        for one, two in zip(found, found[1:]):
+            for mine, other in [(one, two), (two, one)]:
+                for m in mine:
+                    for o in other:
+                        for d, sign in zip(classifier.INDEX_DIM[o], classifier.INDEX_SIGN[o]):
+                            sums[m, d] += sign
+    size = np.sqrt((sums * sums).sum(1))
+    return sums / np.where(size > 0, size, 1)[:, None]
+
+
+def plain_features(text, vectors):
+    found = plain_terms(text)
+    if not found:
+        return [0.0] * classifier.FEATURES
+    out, n = [], len(found)
+    for a in range(2):
+        v = [vectors[t[a]] for t in found]
+        out += [sum(x[d] for x in v) / n for d in range(classifier.DIM)]
+        out += [sum(x[d] ** 2 for x in v) / n for d in range(classifier.DIM)]
+    for a in range(2):
+        out.append(sum(float(vectors[x[a]] @ vectors[y[a]]) for x, y in zip(found, found[1:])) / n)
+    return [*out, sum(x[0] == y[0] for x, y in zip(found, found[1:])) / n, math.log(1 + n)]
+
+
+def test_word_vectors_and_pooling_word_by_word(spark, make_docs):
+    """Vectors summed over tasks, features and scores against plain loops."""
+    docs = [(k, t) for k, t in random_docs(60, 12)] + [(800, "Then, THE Éa 12a a1 w1 w1"), (801, None), (802, ""), (803, "one"), (803, "one")]
+    vectors = classifier.context_vectors(make_docs(docs, CLASH).repartition(5))
+    want = plain_vectors([t for _, t in docs])
+    assert np.abs(want).sum() > 0 and np.allclose(vectors, want, atol=1e-6)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, classifier.FEATURES))
+    net = classifier.fit(x, (x[:, 0] > 0).astype(float), np.arange(80) % 5 == 0)
+    rows = classifier.features(make_docs(docs, CLASH).repartition(3), vectors).collect()
+    texts = {k: t for k, t in docs}
+    assert len(rows) == len(docs)
+    for r in rows:
+        got, plain = np.frombuffer(r.features, "<f4"), np.array(plain_features(texts[r.doc_id], want))
+        assert np.allclose(got, plain, atol=1e-5)
+        hidden = [math.tanh(sum((f - m) / s * w for f, m, s, w in zip(got, net.mean, net.scale, col)) + b) for col, b in zip(net.w1.T, net.b1)]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert net.score(got[None])[0] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, logit)))), abs=1e-6)
+
+
 def test_classifier_odd_rows(spark, make_docs):
     docs = make_docs([(1, "Good text here."), (2, None), (3, ""), (3, ""), (None, "x " * 50_000)], CLASH)
     none = spark.createDataFrame([(1, None)], "doc_id long, quality int")
