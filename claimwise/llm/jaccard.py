@@ -16,7 +16,7 @@ similarity of at least ``threshold``, by MinHash banding and exact verification.
 
 A document with 1 to n - 1 words has one n-gram, all its words. One without
 words (or a null text) is similar to none and is a class by itself. A null key is
-kept as null. Repeated rows are copies. An empty table gives an empty result.
+kept as null. Repeated rows are copies. Very long texts are taken whole. An empty table gives an empty result.
 Other columns of the input are ignored."""
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ after they have been counted.
 
 Nulls: a null text has no words (and fails the base rules); a null host is a
 host of its own; a null key is kept. Repeated rows count as one document and are
-judged alike. An empty table gives an empty result. Other columns are ignored."""
+judged alike. Very long texts and lines are read whole. An empty table gives an empty result. Other columns are ignored."""
 
 from __future__ import annotations
 

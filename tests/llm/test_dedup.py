@@ -121,3 +121,19 @@ def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9, 1.0):
         bands, rows = jaccard.choose_bands(t, 0.999)
         assert 1 - (1 - t**rows) ** bands >= 0.999 and bands * rows <= jaccard.HASHES
+
+
+def test_very_long_texts(spark, make_docs):
+    """Whole texts of 40,000 words count, to their last word."""
+    r = random.Random(7)
+    long = [f"w{r.randrange(10**6)}" for _ in range(40_000)]
+    near, far = list(long), [f"v{r.randrange(10**6)}" for _ in range(40_000)]
+    near[100] = near[-1] = "other"
+    far[-30:] = long[-30:]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 400_000), (5, "a short text")]
+    got = {g.doc_id: (g.class_id, g.n_links, g.n_grams) for g in jaccard.jaccard_join(make_docs(rows)).collect()}
+    assert got == brute_join(rows) and got[2][:2] == (1, 1) and got[3][:2] == (3, 0)
+    want = brute_repeats(rows)
+    for g in substrings.remove_repeats(make_docs(rows)).collect():
+        assert (g.n_words, g.n_removed, g.kept_sha256) == want[g.doc_id][:3]
+    assert want[3][1] == 30

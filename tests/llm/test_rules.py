@@ -82,6 +82,17 @@ def test_limit_of_a_large_host_and_copies(spark):
     assert lost(max_docs=12, copies=True) == footer  # repeated rows are one document
 
 
+def test_line_rules_very_long_texts(spark):
+    """A line of 60,000 words and a text of 60,000 lines are judged whole."""
+    wide, tall = " ".join(f"w{i}" for i in range(60_000)), "\n".join(f"a{i} b{i} c{i}" for i in range(60_000))
+    rows = [(k, f"{wide}\nmine {k}" if k < 7 else f"{tall}\nmine {k}" if k < 9 else f"own text {k}", "h") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.quality_rules(docs, min_docs=5, share=0, copies=True).collect()
+    want = brute_rules(rows, 5, 0)
+    assert {g.doc_id: (*(g[c] for c in line_rules.COUNTS), g.n_frequent_words, g.base_failed, g.kept) for g in got} == want
+    assert {g.doc_id for g in got if g.n_frequent_words} == set(range(7)) and all(g.kept == (g.doc_id in (7, 8)) for g in got)
+
+
 def test_line_rules_empty(spark, make_docs):
     assert line_rules.quality_rules(make_docs([])).count() == 0
 
