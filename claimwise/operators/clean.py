@@ -139,8 +139,12 @@ def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: boo
     """Clean claims: ``typed_claims`` with missing billed amounts and blank reasons
     filled (see ``claim_rejects`` for the rows left out). The medians and the rows to
     fill both read the table that the removal of duplicates leaves."""
-    d = typed_claims(raw, cfg, after_normalise)
-    d = impute_with_floor(d, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
+    return fill_claims(typed_claims(raw, cfg, after_normalise), cfg, approx_median)
+
+
+def fill_claims(typed: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False) -> DataFrame:
+    """The filling of ``clean_claims``, over what ``typed_claims`` returns."""
+    d = impute_with_floor(typed, cfg.billed, cfg.cpt_code, cfg.allowed, approx=approx_median)
     return d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimwise.session import prepared
 from claimwise.sources.joins import checked_broadcast
 
 MONEY = "decimal(18,2)"
@@ -165,17 +166,16 @@ def claims(spark: SparkSession, sf_dir: str, codes: bool = False, claim_type: bo
     ``cpt_code``/``diagnosis_category`` unless ``codes``; ``claim_type``
     comes from the provider and needs the provider join)."""
     t = t or Tables(spark, sf_dir)
-    f = _figures(_raw_fact(t, codes))
-    exprs = fact_exprs(codes)
-    if claim_type:
-        pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
-        f = f.join(pr, f.l_suppkey == pr._pid, "left")
-        exprs = {**{k: v for k, v in exprs.items() if k in ("claim_id", "patient_id", "provider_id", "service_date",
-                                                             "submission_date", "processed_date")},
-                 "claim_type": F.col("claim_type"),
-                 **{k: v for k, v in exprs.items() if k not in ("claim_id", "patient_id", "provider_id", "service_date",
-                                                                 "submission_date", "processed_date")}}
-    return f.select(*[v.alias(k) for k, v in exprs.items()])
+
+    def fact():
+        return _figures(_raw_fact(t, codes)).select(*[v.alias(k) for k, v in fact_exprs(codes).items()])
+
+    f = prepared(sf_dir, f"claims, codes {codes}", fact)
+    if not claim_type:
+        return f
+    pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
+    after = f.columns.index("processed_date") + 1
+    return f.join(pr, f.provider_id == pr._pid, "left").select(*f.columns[:after], "claim_type", *f.columns[after:])
 
 
 def model(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: bool = True,
@@ -228,7 +228,10 @@ class Star:
 # text, as a CSV export would carry them.
 
 def raw_claims(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
-    t = t or Tables(spark, sf_dir)
+    return prepared(sf_dir, "raw claims", lambda: _raw_claims(spark, sf_dir, t or Tables(spark, sf_dir)))
+
+
+def _raw_claims(spark: SparkSession, sf_dir: str, t: Tables) -> DataFrame:
     f = _raw_fact(t, codes=True)
     pr = checked_broadcast(providers(spark, sf_dir, t).select(F.col("provider_id").alias("_pid"), "claim_type"), t["supplier"])
     f = f.join(pr, f.l_suppkey == pr._pid, "left")

@@ -63,3 +63,37 @@ def test_headline_figures_agree_until_one_is_changed(spark, route):
     assert all(r.equal for r in reconcile.reconcile(routes, figures).collect())
     routes[route] = routes[route].withColumn("denied_billed", F.col("denied_billed") * 1.01)
     assert [(r.figure, r.route) for r in reconcile.reconcile(routes, figures).where("NOT equal").collect()] == [("denied_billed", route)]
+
+
+@pytest.fixture
+def facts_made(monkeypatch):
+    """How often the claims are made from their tables."""
+    from claimwise.sources import tpch
+
+    calls, make = [], tpch._raw_fact
+    monkeypatch.setattr(tpch, "_raw_fact", lambda *a, **k: calls.append(a) or make(*a, **k))
+    return calls
+
+
+def test_a_run_of_queries_makes_common_tables_once(spark, tmp_path, facts_made):
+    import __spark_entry__ as E
+    from claimwise.session import Prepared
+
+    names = ["q01_headline_kpis", "q06_provider_outliers", "dq6_imputed_share", "clean_claims", "chk_claims", "quarantine_good", "quarantine_counts",
+             "csv_clean_claims", "csv_claim_rejects", "faulty_con_claims", "feat_wide_claims", "sink_extract"]
+    queries = {n: E.queries()[n] for n in names}
+    shared = {r.query: r for r in results.run_all(spark, queries, Prepared(SF_SMALL), str(tmp_path / "a")).collect()}
+    assert len(facts_made) == 3 and not [r.error for r in shared.values() if r.error]  # claims without and with codes, raw claims
+    alone = {r.query: r for r in results.run_all(spark, queries, SF_SMALL, str(tmp_path / "b")).collect()}
+    assert {n: (r.row_count, r.content_hash) for n, r in shared.items()} == {n: (r.row_count, r.content_hash) for n, r in alone.items()}
+
+
+def test_a_table_that_failed_is_made_again(spark):
+    from claimwise.session import Prepared, prepared
+
+    d = Prepared(SF_SMALL)
+    with pytest.raises(ZeroDivisionError):
+        prepared(d, "x", lambda: spark.range(1 // 0))
+    first = prepared(d, "x", lambda: spark.range(3))
+    assert prepared(d, "x", lambda: spark.range(9)) is first and first.count() == 3 and d == SF_SMALL
+    assert prepared(SF_SMALL, "x", lambda: 7) == 7
