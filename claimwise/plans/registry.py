@@ -321,11 +321,13 @@ def star_lists(cfg) -> dict:
 
 
 def routes(spark, d) -> dict[str, DataFrame]:
-    """The headline figures by each route, one row each."""
+    """The headline figures by each route, one row each. All routes start from the claims,
+    which are made once."""
     from claimwise.operators.measures import evaluate
     from claimwise.operators.reports import KPI_PAGES
 
     q = queries()
+    d = d if isinstance(d, Prepared) else Prepared(d)
     focus = F.col(C.reason) == C.focus_reason
     cards = list(dict.fromkeys([*KPI_PAGES["overview"], *KPI_PAGES["denials"]]))
     worst = q["q06_provider_outliers"](spark, d).orderBy(F.desc("excess_pts"), "provider_id").limit(1)

@@ -75,6 +75,13 @@ def facts_made(monkeypatch):
     return calls
 
 
+def test_routes_share_the_claims(spark, facts_made):
+    from claimwise.plans.registry import routes as all_routes
+
+    assert all(r.equal for r in reconcile.reconcile(all_routes(spark, SF_SMALL), reconcile.HEADLINE).collect())
+    assert len(facts_made) == 1
+
+
 def test_a_run_of_queries_makes_common_tables_once(spark, tmp_path, facts_made):
     import __spark_entry__ as E
     from claimwise.session import Prepared
