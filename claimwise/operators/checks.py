@@ -8,8 +8,8 @@ violations, passed)``. Null handling follows the reference's pandas checks: a nu
 compares as False, so nulls fail the non-negative, money-order and
 submit-after-service checks but pass the denied-reason check.
 
-``quarantine`` reads a table once: each row is tagged with all the rules it breaks,
-the rows are written apart by whether there are any, and the counters are
+``quarantine`` runs a table's plan once: each row is tagged with all the rules it
+breaks, the rows are written apart by whether there are any, and the counters are
 observed while they are written.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import count_if, round_half_up
-from claimwise.session import materialize, scratch
+from claimwise.session import PACKED, materialize, scratch
 from claimwise.sources.joins import checked_broadcast
 
 MONEY_TOLERANCE = 0.01
@@ -99,8 +99,32 @@ def provider_checks(cfg: ClaimsConfig = DEFAULT) -> dict[str, Check]:
     return {"chk_provider_id_unique": Unique(cfg.provider_id)}
 
 
-def _extra_rows(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """One row: how many rows are beyond the first of their key, or without one."""
+def _hash(key: str) -> Column:
+    """Of a key, 8 bytes; null without one."""
+    return F.when(F.col(key).isNotNull(), F.xxhash64(key))
+
+
+def _shared_hashes(rows: DataFrame, key: str) -> DataFrame:
+    """Hashes (``_h``) of more rows than one, a table of its own. Only they need to be
+    told by their keys: a hash of one row is a key of one row."""
+    return materialize(rows.select(_hash(key).alias("_h")).where("_h IS NOT NULL").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
+
+
+def _keys_sharing(rows: DataFrame, key: str, hashes: DataFrame) -> DataFrame:
+    """(_k, _n): the keys with one of ``hashes``, and their rows."""
+    near = rows.select(F.col(key).alias("_k"), _hash(key).alias("_h")).join(checked_broadcast(hashes), "_h", "left_semi")
+    return near.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _extra_rows(keys: DataFrame, key: str, name: str, stored: bool = False) -> DataFrame:
+    """One row: how many rows are beyond the first of their key, or without one. Of a
+    ``stored`` table, which may be read twice, the hashes of all keys are counted and then
+    the keys of repeated hashes, so few keys are shuffled; else the keys are."""
+    if stored:
+        again = _keys_sharing(keys, key, _shared_hashes(keys, key))
+        none = keys.agg(count_if(F.col(key).isNull()).alias("_none"))
+        extra = again.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_extra"))
+        return none.crossJoin(F.broadcast(extra)).select((F.col("_none") + F.col("_extra")).cast("bigint").alias(name))  # one row each
     sizes = keys.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     extra = F.col("_n") - F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.lit(1))
     return sizes.agg(F.coalesce(F.sum(extra), F.lit(0)).cast("bigint").alias(name))
@@ -112,18 +136,19 @@ def _results(counts: DataFrame, names: list[str]) -> DataFrame:
     return counts.select(F.inline(rows)).withColumn("passed", F.col("violations") == 0)
 
 
-def run_checks(df: DataFrame, checks: dict[str, Check], keys: DataFrame | None = None) -> DataFrame:
+def run_checks(df: DataFrame, checks: dict[str, Check], keys: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Evaluate a suite -> (check_name, violations, passed). All counters come
     from one plain aggregate; each uniqueness check counts its key alone, so
     counters do not travel with the keys. The one-row results are joined.
     ``keys``: a table with the same rows that uniqueness may read instead, where
-    ``df`` has joins that a key does not need."""
+    ``df`` has joins that a key does not need. ``stored``: what uniqueness reads is a
+    table, not a plan that each reading runs again."""
     names = list(checks)
     plain = {n: c for n, c in checks.items() if not isinstance(c, Unique)}
     a = df.agg(F.count(F.lit(1)).alias("_rows"), *[c.cast("bigint").alias(f"_c{names.index(n)}") for n, c in plain.items()])
     for n, c in checks.items():
         if isinstance(c, Unique):
-            one = _extra_rows(df if keys is None else keys, c.key, f"_c{names.index(n)}")
+            one = _extra_rows(df if keys is None else keys, c.key, f"_c{names.index(n)}", stored)
             a = a.crossJoin(F.broadcast(one))  # one row each
     return _results(a, names)
 
@@ -149,45 +174,55 @@ class Quarantine:
     rejected_rows: int
 
 
-def _repeated(df: DataFrame, key: str) -> DataFrame:
-    """Keys of several rows, a table of its own."""
-    return materialize(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
-
-
-def tagged(df: DataFrame, rules: dict[str, Check], name: str = "reject_reasons", keys: DataFrame | None = None) -> DataFrame:
+def tagged(df: DataFrame, rules: dict[str, Check], name: str = "reject_reasons", keys: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Every row with the names of the rules it breaks (an array, in their order).
     Of rows that share a ``Unique`` key none can be trusted, so all are tagged, and
-    so are rows without a key; the keys of several rows come from a count of the key
-    alone (of ``keys`` where given)."""
-    predicates = {}
+    so are rows without a key.
+
+    For such rules the rows are written once as a table (unless they are ``stored`` in one)
+    and read again. 8 bytes a row,
+    hashes of the key (from ``keys`` where given), are counted; the rows of repeated hashes
+    are then looked up by the hash, so that the rows themselves need not be dealt out by
+    key, and keys that only share a hash with another (next to none) are taken out again:
+    the hash filters, it never decides."""
+    if not stored and any(isinstance(r, Unique) for r in rules.values()):
+        df = materialize(df)
+    predicates, own = {}, []
     for i, (n, rule) in enumerate(rules.items()):
         if isinstance(rule, Unique):
-            again = checked_broadcast(_repeated(df if keys is None else keys, rule.key).select(F.col("_k").alias(f"_k{i}")))
-            df = df.join(again, F.col(rule.key) == F.col(f"_k{i}"), "left")
-            predicates[n] = F.col(rule.key).isNull() | F.col(f"_k{i}").isNotNull()
+            h, k, all_keys = f"_h{i}", f"_k{i}", df if keys is None else keys
+            hashes = _shared_hashes(all_keys, rule.key)
+            alone = materialize(_keys_sharing(all_keys, rule.key, hashes).where("_n = 1").select(F.col("_k").alias(k)))
+            df = df.join(checked_broadcast(hashes.select(F.col("_h").alias(h))), _hash(rule.key) == F.col(h), "left")
+            df = df.join(checked_broadcast(alone), F.col(rule.key) == F.col(k), "left")
+            predicates[n] = F.col(rule.key).isNull() | (F.col(h).isNotNull() & F.col(k).isNull())
+            own += [h, k]
         else:
             predicates[n] = rule
     reasons = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))
-    return df.withColumn(name, reasons).drop(*[f"_k{i}" for i in range(len(rules))])
+    return df.withColumn(name, reasons).drop(*own)
 
 
 def quarantine(df: DataFrame, rules: dict[str, Check], path: str | None = None, keys: DataFrame | None = None) -> Quarantine:
-    """Write ``df`` once, good and rejected rows apart, and count violations on the
+    """Write the rows of ``df``, good and rejected ones apart, and count violations on the
     way (``observe`` in the writing stage, whose tasks count once each). Both parts
-    are read back from ``path`` (default: a folder below the checkpoint folder)."""
+    are read back from ``path`` (default: a folder below the checkpoint folder). Each part
+    is a write of its own over a table of ``df``: one write of both has to sort all rows."""
     spark = df.sparkSession
     names, reasons, apart = list(rules), "reject_reasons", "_rejected"
     path = path or scratch(spark, "quarantine")
-    rows = tagged(df, rules, reasons, keys).withColumn(apart, F.size(reasons) > 0)
-    seen = Observation()
+    rows = tagged(materialize(df), rules, reasons, keys, stored=True)
     counts = [count_if(F.array_contains(reasons, n)).alias(f"_c{i}") for i, n in enumerate(names)]
-    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), count_if(F.col(apart)).alias("rejected"), *counts)
-    rows.write.partitionBy(apart).parquet(path)
-    got = seen.get
+    places, got = {}, []
+    for bad in (False, True):
+        places[bad], seen = f"{path}/{apart}={str(bad).lower()}", Observation()
+        part = rows.where((F.size(reasons) > 0) == F.lit(bad)).observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+        part.write.option("compression", PACKED).parquet(places[bad])
+        got.append(seen.get)
     schema = ", ".join(f"_c{i} long" for i in range(len(names)))
-    table = _results(spark.createDataFrame([tuple(got[f"_c{i}"] for i in range(len(names)))], schema), names)
-    back = spark.read.schema(rows.schema).parquet(path)
-    return Quarantine(back.where(f"NOT {apart}").drop(apart, reasons), back.where(apart).drop(apart), table, got["rows"], got["rejected"])
+    table = _results(spark.createDataFrame([tuple(sum(g[f"_c{i}"] or 0 for g in got) for i in range(len(names)))], schema), names)
+    good, rejected = (spark.read.schema(rows.schema).parquet(places[bad]) for bad in (False, True))
+    return Quarantine(good.drop(reasons), rejected, table, sum(g["rows"] for g in got), got[1]["rows"])
 
 
 # ---------------------------------------------------------------- declared constraints

@@ -47,3 +47,29 @@ def test_rules_count_as_the_checks_do(spark):
     assert by_rule["chk_claim_id_unique"] > by_check["chk_claim_id_unique"] > 0
     rows = E.queries()["quarantine_claims"](spark, SF_SMALL)
     assert rows.where("reject_reasons LIKE '%,%'").count() > 0
+
+
+def test_keys_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(checks, "_hash", lambda key: F.when(F.col(key).isNotNull(), F.pmod(F.col(key), F.lit(2)).cast("long")))
+    test_all_reasons_are_told(spark)
+    for stored in (False, True):
+        res = checks.run_checks(frame(spark), {"id": Unique("id"), "rows": F.count(F.lit(1))}, stored=stored).collect()
+        assert [(r.check_name, r.violations) for r in res] == [("id", 2), ("rows", 8)]
+    none = checks.run_checks(frame(spark).limit(0), {"id": Unique("id")}, stored=True).first()
+    assert (none.violations, none.passed) == (0, True)
+
+
+def test_rows_are_not_dealt_out_by_a_long_key(spark):
+    """Repeated keys beyond the broadcast bound, whose hashes are within it."""
+    rows = spark.range(6000).select(F.sha2(F.pmod("id", F.lit(3000)).cast("string"), 512).alias("id"), F.lit(1).alias("x"))
+    conf = {"claimwise.broadcastMaxBytes": "100000", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = checks.tagged(rows, {"id_unique": Unique("id")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.where("size(reject_reasons) = 1").count() == 6000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
