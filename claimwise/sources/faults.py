@@ -90,6 +90,10 @@ CSV_RULES = {
 }
 
 
+#: Rows of one compressed file, which one task has to read.
+CSV_ROWS = 200_000
+
+
 def claims_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw claims written as a CSV export with faults and read back as
     text."""
@@ -101,7 +105,7 @@ def _claims_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = raw.select("f", *[F.col(c).cast("string").alias(c) for c in RAW_CLAIMS.names])
     path = scratch(spark, "csv")
     text.selectExpr(*projection(RAW_CLAIMS.names, CSV_RULES)).write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
-        .option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
+        .option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("compression", "gzip").option("maxRecordsPerFile", CSV_ROWS).csv(path)
     return files.split_corrupt(files.read_raw(spark, path, RAW_CLAIMS))[0]
 
 

@@ -84,3 +84,13 @@ def test_tables_see_added_rows(spark, tmp_path):
     (tmp_path / "sf" / "all").rename(tmp_path / "sf" / "lineitem.parquet")
     after = {r.table_name: r.row_count for r in E.queries()["dq1_row_counts"](spark, copy).collect()}
     assert after["claims"] == before["claims"] + 500
+
+
+def test_csv_export_is_packed_in_files_of_bounded_rows(spark, monkeypatch):
+    from claimwise.sources import faults, tpch
+
+    monkeypatch.setattr(faults, "CSV_ROWS", 2000)
+    back = faults.claims_csv(spark, SF_SMALL)
+    assert back.count() == tpch.raw_claims(spark, SF_SMALL).count()
+    files_of = [p for p in back.inputFiles() if p.endswith(".csv.gz")]
+    assert len(files_of) == len(back.inputFiles()) and len(files_of) >= back.count() / 2000
