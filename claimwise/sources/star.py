@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwise.operators import checks
-from claimwise.session import ensure_checkpoint_dir
+from claimwise.session import PACKED, ensure_checkpoint_dir
 
 
 class ConstraintViolated(ValueError):
@@ -43,12 +43,13 @@ FOREIGN_KEYS = {"claims": {"patient_id": "patients", "provider_id": "providers"}
 
 
 def violations(tables: Mapping[str, DataFrame], in_list: dict | None = None, foreign_keys: dict | None = None) -> DataFrame:
-    """(check_name, violations, passed) of the declared constraints of all tables."""
+    """(check_name, violations, passed) of the declared constraints of all tables, which
+    are stored ones."""
     foreign_keys = FOREIGN_KEYS if foreign_keys is None else foreign_keys
     out = None
     for name, df in tables.items():
         own = checks.constraint_checks(name, df.columns, in_list=(in_list or {}).get(name))
-        part = checks.run_checks(df, own).withColumn("check_name", F.concat(F.lit(f"{name}."), "check_name")) if own else None
+        part = checks.run_checks(df, own, stored=True).withColumn("check_name", F.concat(F.lit(f"{name}."), "check_name")) if own else None
         for fk, dim in foreign_keys.get(name, {}).items():
             if dim in tables and fk in df.columns:
                 lost = checks.foreign_key_violations(df, tables[dim], fk, fk, "violations")
@@ -66,7 +67,7 @@ def _write(df: DataFrame, table: str, path: str, layout: Layout) -> None:
         own = "_bucket"
         df = df.withColumn(own, F.pmod(F.hash(layout.bucket_by), F.lit(layout.buckets)))
         df = df.hint("rebalance", own, *layout.partition_by).drop(own)
-    writer = df.write.mode("error").option("path", path)
+    writer = df.write.mode("error").option("path", path).option("compression", PACKED)
     if layout.bucket_by:
         writer = writer.bucketBy(layout.buckets, layout.bucket_by).sortBy(layout.bucket_by)
     if layout.partition_by:
