@@ -129,11 +129,13 @@ def _enriched(c, pa, pr, t):
 
 
 def _chk_claims(spark, d):
-    from claimwise.operators import checks
+    from claimwise.operators import checks, clean
 
     t = tpch.Tables(spark, d)
-    c = _claims(spark, d, t)
-    return checks.run_checks(_enriched(c, _patients(spark, d, t), _providers(spark, d, t), t), checks.claim_checks(C), keys=c)
+    typed = _typed(spark, d, t)  # has the keys, read back from a table
+    c = prepared(d, "clean claims", lambda: clean.fill_claims(typed, C))
+    wide = _enriched(c, _patients(spark, d, t), _providers(spark, d, t), t)
+    return checks.run_checks(wide, checks.claim_checks(C), keys=typed, stored=True)
 
 
 def _con_fk(spark, d):

@@ -243,15 +243,15 @@ def _raw_claims(spark: SparkSession, sf_dir: str, t: Tables) -> DataFrame:
         .when(F.col("l_linenumber") == 5, F.concat(F.lit(" "), F.lower(status), F.lit(" ")))
         .otherwise(status)
     )
-    raw_service = F.when(pk % 20 == 0, F.date_format(service, "MM/dd/yyyy")).otherwise(F.date_format(service, "yyyy-MM-dd"))
+    raw_service = F.when(pk % 20 == 0, F.date_format(service, "MM/dd/yyyy")).otherwise(service.cast("string"))  # ISO, as all casts of dates
     raw_billed = F.when(pk % 400 == 7, F.lit(None).cast(MONEY)).when(pk % 1000 == 11, (-billed).cast(MONEY)).otherwise(billed)
     out = f.select(
         _claim_id().alias("claim_id"),
         F.col("o_custkey").alias("patient_id"),
         F.col("l_suppkey").alias("provider_id"),
         raw_service.alias("service_date"),
-        F.date_format("_submission", "yyyy-MM-dd").alias("submission_date"),
-        F.date_format(_processed(), "yyyy-MM-dd").alias("processed_date"),
+        F.col("_submission").cast("string").alias("submission_date"),
+        _processed().cast("string").alias("processed_date"),
         F.col("claim_type"),
         F.col("p_type").alias("diagnosis_category"),
         F.col("p_brand").alias("cpt_code"),

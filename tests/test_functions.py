@@ -61,3 +61,11 @@ def test_division_by_zero_is_null(spark):
 def test_money_stays_exact(spark):
     df = spark.createDataFrame([(Decimal("0.10"),)] * 3, "m decimal(18,2)")
     assert df.agg(F.sum("m")).first()[0] == Decimal("0.30")
+
+
+def test_dates_of_a_known_shape_need_no_formatter(spark):
+    texts = ["2024-02-29", " 2024-02-29 ", "02/29/2024", "2023-02-29", "02/30/2024", "13/01/2024", "0000-01-01", "01/01/0000", "2024-1-1", "2024-01-01T",
+             "2024-01-01\u0085", "05-03-2024", "2024-01-01 10:00", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), parse_mixed_dates("t").alias("d"))
+    assert [str(r.d) for r in df.collect()] == ["2024-02-29"] * 3 + ["None"] * (len(texts) - 3)
+    assert "gettimestamp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
