@@ -6,7 +6,9 @@ two-layer network whose probabilities are calibrated by a temperature.
    each. Each term has a fixed sparse random index vector; its word vector is the
    sum of the index vectors met just before and after it anywhere in the
    corpus, of unit length. Each task adds up its documents' sums and sends
-   them in compressed blocks; the result has a fixed size of a few MB.
+   them in compressed blocks; the result has a fixed size of a few MB. Texts
+   are taken SLICE_BYTES at a time and word vectors PART words at a time, within
+   long documents too, so that a worker holds little beside its input.
 2. A document's features are means and mean squares of its terms' vectors, how
    alike neighbours are, and its length.
 3. A network with one hidden layer is fitted on the driver, on labelled rows:
@@ -39,6 +41,8 @@ TERMS = 1 << 14  # places for words, and as many for shapes
 DIM = 32
 SPARSE = 2  # nonzero entries of an index vector
 BLOCKS = 32  # parts of the table of sums in the shuffle
+SLICE_BYTES = 1 << 20  # of texts taken at a time
+PART = 1 << 13  # words whose vectors are held at a time
 MAX_ROWS = 20_000  # labelled rows fitted at most
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 FEATURES = 4 * DIM + 4
@@ -49,7 +53,7 @@ CLASS[ord("a") : ord("z") + 1] = ord("x")
 CLASS[0x80:] = ord("x")
 CLASS[ord("0") : ord("9") + 1] = ord("9")
 _rng = np.random.default_rng(23)
-INDEX_DIM = np.argsort(_rng.random((2 * TERMS, DIM)), axis=1)[:, :SPARSE]
+INDEX_DIM = np.argsort(_rng.random((2 * TERMS, DIM)), axis=1)[:, :SPARSE].copy()
 INDEX_SIGN = _rng.choice(np.array([-1.0, 1.0]), (2 * TERMS, SPARSE))
 
 
@@ -60,8 +64,9 @@ def terms(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keep = words.WORD[raw]
     keep[1:] &= cls[1:] != cls[:-1]
     keep[w.start] = True
-    at = np.concatenate([[0], np.cumsum(keep)])
-    shape = words.hashes(cls[keep], at[w.start], at[w.end])
+    at = np.zeros(len(raw) + 1, np.int32 if len(raw) < 1 << 31 else np.int64)
+    np.cumsum(keep, out=at[1:])
+    shape = words.hashes(cls[keep], at[w.start].astype(np.int64), at[w.end].astype(np.int64))
     bits = np.uint64(64 - (TERMS.bit_length() - 1))
     return np.stack([w.hash >> bits, (shape >> bits) + np.uint64(TERMS)], axis=1).astype(np.int64), w.first
 
@@ -70,14 +75,16 @@ def _add_contexts(sums: np.ndarray, t: np.ndarray, first: np.ndarray) -> None:
     """Add each word's neighbours' index vectors to its terms."""
     new = np.zeros(len(t) + 1, bool)
     new[first] = True
-    pair = np.flatnonzero(~new[1 : len(t)])  # i and i + 1 lie in one document
-    for mine, other in ((pair, pair + 1), (pair + 1, pair)):
-        for a in range(2):
-            row = t[mine, a] * DIM
-            for b in range(2):
-                source = t[other, b]
-                for k in range(SPARSE):
-                    sums += np.bincount(row + INDEX_DIM[source, k], INDEX_SIGN[source, k], sums.size)
+    pairs = np.flatnonzero(~new[1 : len(t)])  # i and i + 1 lie in one document
+    for lo in range(0, len(pairs), PART):
+        pair = pairs[lo : lo + PART]
+        for mine, other in ((pair, pair + 1), (pair + 1, pair)):
+            for a in range(2):
+                row = t[mine, a] * DIM
+                for b in range(2):
+                    source = t[other, b]
+                    for k in range(SPARSE):
+                        np.add.at(sums, row + INDEX_DIM[source, k], INDEX_SIGN[source, k])
 
 
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -92,7 +99,7 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2 * TERMS * DIM)
-        for b in arrow.slices(batches, text):
+        for b in arrow.slices(batches, text, SLICE_BYTES):
             _add_contexts(sums, *terms(*arrow.buffers(b.column(text))))
         yield cells(sums)
 
@@ -125,17 +132,21 @@ def pool(offsets: np.ndarray, raw: np.ndarray, vectors: np.ndarray) -> np.ndarra
     new[first] = True
     joined = ~new[:-1]  # a word that has one before it in its document
     start = first[:-1][some]
-    div = n[some][:, None].astype(np.float32)
+    div = n[some].astype(np.float32)
+    columns = np.ascontiguousarray(vectors.T)
     for a in range(2):
-        v = vectors[t[:, a]]
-        out[some, 2 * a * DIM : (2 * a + 1) * DIM] = np.add.reduceat(v, start) / div
-        out[some, (2 * a + 1) * DIM : (2 * a + 2) * DIM] = np.add.reduceat(v * v, start) / div
-        alike = np.zeros(len(t), np.float32)
-        alike[1:] = np.einsum("ij,ij->i", v[1:], v[:-1]) * joined[1:]
-        out[some, 4 * DIM + a] = np.add.reduceat(alike, start) / div[:, 0]
+        place, alike = np.ascontiguousarray(t[:, a]), np.zeros(len(t), np.float32)
+        for d in range(DIM):  # one number a word at a time, not all DIM
+            x = columns[d].take(place)
+            out[some, 2 * a * DIM + d] = np.add.reduceat(x, start) / div
+            out[some, (2 * a + 1) * DIM + d] = np.add.reduceat(x * x, start) / div
+        for lo in range(1, len(t), PART):
+            v = vectors[place[lo - 1 : lo + PART]]
+            alike[lo : lo + PART] = np.einsum("ij,ij->i", v[1:], v[:-1])
+        out[some, 4 * DIM + a] = np.add.reduceat(alike * joined, start) / div
     same = np.zeros(len(t), np.float32)
     same[1:] = (t[1:, 0] == t[:-1, 0]) & joined[1:]
-    out[some, 4 * DIM + 2] = np.add.reduceat(same, start) / div[:, 0]
+    out[some, 4 * DIM + 2] = np.add.reduceat(same, start) / div
     out[:, 4 * DIM + 3] = np.log1p(n)
     return out
 
@@ -147,7 +158,7 @@ def features(docs: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: st
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow.slices(batches, text):
+        for b in arrow.slices(batches, text, SLICE_BYTES):
             x = pool(*arrow.buffers(b.column(text)), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=schema.names)
 
@@ -266,7 +277,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow.slices(batches, text):
+        for b in arrow.slices(batches, text, SLICE_BYTES):
             yield b.filter(pa.array(net.score(pool(*arrow.buffers(b.column(text)), shared.value)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

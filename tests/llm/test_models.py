@@ -170,6 +170,42 @@ def test_word_vectors_and_pooling_word_by_word(spark, make_docs):
         assert net.score(got[None])[0] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, logit)))), abs=1e-6)
 
 
+def peak_mb(f, *args):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        f(*args)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("documents", [1, 1000])
+def test_classifier_worker_memory(documents):
+    """Word vectors of a whole slice are never held at once, in one long document or many."""
+    word = np.random.default_rng(4).choice(list("abcdefghij"), 300_000)
+    raw = np.frombuffer(" ".join(word).encode() + b" ", np.uint8)
+    offsets = np.linspace(0, len(raw), documents + 1).astype(np.int64)
+    vectors, sums = np.ones((2 * classifier.TERMS, classifier.DIM), np.float32), np.zeros(2 * classifier.TERMS * classifier.DIM)
+    t, first = classifier.terms(offsets, raw)  # tables of powers are made here
+    assert len(t) == 300_000
+    assert peak_mb(classifier.pool, offsets, raw, vectors) < 60
+    assert peak_mb(classifier._add_contexts, sums, t, first) < 8
+
+
+def test_classifier_parts_do_not_matter(monkeypatch):
+    docs = [(t or "").encode() for _, t in random_docs(60, 12)] + [b"one", b"", "Then, THE \u00c9a 12a a1 w1 w1".encode()]
+    raw, offsets = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    out = []
+    for part in (1, 7, 1 << 30):
+        monkeypatch.setattr(classifier, "PART", part)
+        sums = np.zeros(2 * classifier.TERMS * classifier.DIM)
+        classifier._add_contexts(sums, *classifier.terms(offsets, raw))
+        out.append((sums.tobytes(), classifier.pool(offsets, raw, sums.reshape(-1, classifier.DIM).astype(np.float32)).tobytes()))
+    assert len(set(out)) == 1
+
+
 def test_classifier_odd_rows(spark, make_docs):
     docs = make_docs([(1, "Good text here."), (2, None), (3, ""), (3, ""), (None, "x " * 50_000)], CLASH)
     none = spark.createDataFrame([(1, None)], "doc_id long, quality int")
