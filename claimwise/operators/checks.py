@@ -8,9 +8,9 @@ violations, passed)``. Null handling follows the reference's pandas checks: a nu
 compares as False, so nulls fail the non-negative, money-order and
 submit-after-service checks but pass the denied-reason check.
 
-``quarantine`` runs a table's plan once: each row is tagged with all the rules it
-breaks, the rows are written apart by whether there are any, and the counters are
-observed while they are written.
+``quarantine`` runs a table's plan once: the rows are written apart by whether they
+break a rule, those that do tagged with all the rules they break, and the counters are
+observed while these are written.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import count_if, round_half_up
-from claimwise.session import PACKED, materialize, scratch
-from claimwise.sources.joins import checked_broadcast
+from claimwise.session import PACKED, forget_shuffles, materialize, scratch
+from claimwise.sources.joins import checked_broadcast, estimated_bytes, max_bytes
 
 MONEY_TOLERANCE = 0.01
 
@@ -174,6 +174,22 @@ class Quarantine:
     rejected_rows: int
 
 
+def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table with a number for each row, and that column's name."""
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    return materialize(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _marks(rows: DataFrame, key: str, hashes: DataFrame, row: str) -> DataFrame:
+    """(_w, _b): a bit for each row that has one of ``hashes``, in words of 64 rows by
+    their numbers, a table of its own. Hashes and numbers are all that is dealt out."""
+    near = rows.select(_hash(key).alias("_h"), F.col(row).alias("_r")).join(checked_broadcast(hashes), "_h", "left_semi")
+    words = near.groupBy(F.shiftright("_r", 6).alias("_w"))
+    return materialize(words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_r & 63 AS INT))")).alias("_b")))
+
+
 def tagged(df: DataFrame, rules: dict[str, Check], name: str = "reject_reasons", keys: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Every row with the names of the rules it breaks (an array, in their order).
     Of rows that share a ``Unique`` key none can be trusted, so all are tagged, and
@@ -184,23 +200,46 @@ def tagged(df: DataFrame, rules: dict[str, Check], name: str = "reject_reasons",
     hashes of the key (from ``keys`` where given), are counted; the rows of repeated hashes
     are then looked up by the hash, so that the rows themselves need not be dealt out by
     key, and keys that only share a hash with another (next to none) are taken out again:
-    the hash filters, it never decides."""
+    the hash filters, it never decides. Where the repeated hashes are too many to broadcast,
+    hashes and row numbers are dealt out instead of the rows, and come back as one bit a row."""
+    row = None
     if not stored and any(isinstance(r, Unique) for r in rules.values()):
-        df = materialize(df)
-    predicates, own = {}, []
+        df, row = _numbered(df)
+    df, predicates, own = _looked_up(df, rules, keys, row)
+    return df.withColumn(name, _reasons(predicates)).drop(*own)
+
+
+def _reasons(predicates: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))
+
+
+def _looked_up(df: DataFrame, rules: dict[str, Check], keys: DataFrame | None, row: str | None) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """A table (with row numbers in ``row``, or without any) with columns that tell of
+    its keys; all rules as predicates over it; and the names of these columns."""
+    table, predicates, own = df, {}, [] if row is None else [row]
     for i, (n, rule) in enumerate(rules.items()):
         if isinstance(rule, Unique):
-            h, k, all_keys = f"_h{i}", f"_k{i}", df if keys is None else keys
+            h, k, w, b, all_keys = f"_h{i}", f"_k{i}", f"_w{i}", f"_b{i}", table if keys is None else keys
             hashes = _shared_hashes(all_keys, rule.key)
-            alone = materialize(_keys_sharing(all_keys, rule.key, hashes).where("_n = 1").select(F.col("_k").alias(k)))
-            df = df.join(checked_broadcast(hashes.select(F.col("_h").alias(h))), _hash(rule.key) == F.col(h), "left")
+            if keys is None and row is not None and estimated_bytes(hashes) > max_bytes(hashes):
+                marks = checked_broadcast(_marks(table, rule.key, hashes, row).select(F.col("_w").alias(w), F.col("_b").alias(b)))
+                marked = lambda rows: rows.join(marks, F.shiftright(row, 6) == F.col(w), "left")  # noqa: B023, E731
+                near = F.coalesce(F.getbit(F.col(b), F.expr(f"CAST(`{row}` & 63 AS INT)")), F.lit(0)) == 1
+                sizes = marked(table.select(rule.key, row)).where(near).groupBy(F.col(rule.key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+                df = marked(df)
+                own += [w, b]
+            else:
+                sizes = _keys_sharing(all_keys, rule.key, hashes)
+                df = df.join(checked_broadcast(hashes.select(F.col("_h").alias(h))), _hash(rule.key) == F.col(h), "left")
+                near = F.col(h).isNotNull()
+                own.append(h)
+            alone = materialize(sizes.where("_n = 1").select(F.col("_k").alias(k)))
             df = df.join(checked_broadcast(alone), F.col(rule.key) == F.col(k), "left")
-            predicates[n] = F.col(rule.key).isNull() | (F.col(h).isNotNull() & F.col(k).isNull())
-            own += [h, k]
+            predicates[n] = F.col(rule.key).isNull() | (near & F.col(k).isNull())
+            own.append(k)
         else:
             predicates[n] = rule
-    reasons = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))
-    return df.withColumn(name, reasons).drop(*own)
+    return df, predicates, own
 
 
 def quarantine(df: DataFrame, rules: dict[str, Check], path: str | None = None, keys: DataFrame | None = None) -> Quarantine:
@@ -211,17 +250,25 @@ def quarantine(df: DataFrame, rules: dict[str, Check], path: str | None = None,
     spark = df.sparkSession
     names, reasons, apart = list(rules), "reject_reasons", "_rejected"
     path = path or scratch(spark, "quarantine")
-    rows = tagged(materialize(df), rules, reasons, keys, stored=True)
+    table, row = _numbered(df)
+    forget_shuffles(spark)  # of the joins behind df
+    rows, predicates, own = _looked_up(table, rules, keys, row)
+    forget_shuffles(spark)  # of the keys
+    broken = F.lit(False)
+    for p in predicates.values():
+        broken = broken | F.coalesce(p, F.lit(False))
+    said = {False: F.array().cast("array<string>"), True: _reasons(predicates)}  # only rows that are rejected need more than a yes or no
     counts = [count_if(F.array_contains(reasons, n)).alias(f"_c{i}") for i, n in enumerate(names)]
     places, got = {}, []
     for bad in (False, True):
         places[bad], seen = f"{path}/{apart}={str(bad).lower()}", Observation()
-        part = rows.where((F.size(reasons) > 0) == F.lit(bad)).observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+        part = rows.where(broken == F.lit(bad)).withColumn(reasons, said[bad]).drop(*own)
+        part = part.observe(seen, F.count(F.lit(1)).alias("rows"), *(counts if bad else ()))
         part.write.option("compression", PACKED).parquet(places[bad])
         got.append(seen.get)
     schema = ", ".join(f"_c{i} long" for i in range(len(names)))
-    table = _results(spark.createDataFrame([tuple(sum(g[f"_c{i}"] or 0 for g in got) for i in range(len(names)))], schema), names)
-    good, rejected = (spark.read.schema(rows.schema).parquet(places[bad]) for bad in (False, True))
+    table = _results(spark.createDataFrame([tuple(got[1][f"_c{i}"] or 0 for i in range(len(names)))], schema), names)
+    good, rejected = (spark.read.schema(part.schema).parquet(places[bad]) for bad in (False, True))
     return Quarantine(good.drop(reasons), rejected, table, sum(g["rows"] for g in got), got[1]["rows"])
 
 

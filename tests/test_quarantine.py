@@ -73,3 +73,34 @@ def test_rows_are_not_dealt_out_by_a_long_key(spark):
         for k in conf:
             spark.conf.unset(k)
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def small_bound(monkeypatch, most):
+    from claimwise.sources import joins
+
+    monkeypatch.setattr(joins, "DEFAULT_MAX_BYTES", most)
+
+
+def test_rows_are_not_dealt_out_for_many_repeated_keys(spark, monkeypatch):
+    """Hashes of repeated keys beyond the broadcast bound: a bit a row comes back."""
+    rows = spark.range(70000).select(
+        F.when(F.col("id") < 60000, F.sha2(F.pmod("id", F.lit(30000)).cast("string"), 256)).when(F.col("id") < 69990, F.col("id").cast("string")).alias("id"),
+        F.col("id").alias("_row"))
+    small_bound(monkeypatch, 100000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = checks.tagged(rows, {"id_unique": Unique("id")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {bool(r.reject_reasons): r["count"] for r in out.groupBy("reject_reasons").count().collect()}
+        again = out.where("size(reject_reasons) = 1").agg(F.count_if(F.col("_row") < 60000), F.count_if(F.col("id").isNull()), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == ["id", "_row", "reject_reasons"] and got == {True: 60010, False: 9990} and tuple(again) == (60000, 10, 60010)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_repeated_keys_that_share_hashes(spark, monkeypatch):
+    small_bound(monkeypatch, 1)
+    test_all_reasons_are_told(spark)
+    test_nothing_wrong_everything_wrong_and_empty(spark)
+    test_keys_that_share_a_hash_are_told_apart(spark, monkeypatch)
