@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimwise.config import DEFAULT, ClaimsConfig
 from claimwise.functions import normalise_code, parse_date, parse_mixed_dates, strip_ws, title_case
-from claimwise.operators.dedup import drop_exact_duplicates
+from claimwise.operators.dedup import drop_exact_duplicates, row_hash
 from claimwise.operators.ranking import group_median
 from claimwise.session import materialize
 from claimwise.sources.joins import checked_broadcast
@@ -115,13 +115,28 @@ def _parsed(df: DataFrame, cfg: ClaimsConfig) -> tuple[dict, Column, Column]:
     return cols, bad_date > 0, bad_money > 0
 
 
-def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: bool = False) -> DataFrame:
+HASH, BAD_DATE, BAD_MONEY = "_hash", "_bad_date", "_bad_money"
+
+
+def parsed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
+    """Raw claims as a table, with their parsed values, what is wrong with them and a hash of
+    each raw row, for ``typed_claims`` and ``claim_rejects`` to read where both are asked for."""
+    cols, bad_date, bad_money = _parsed(raw, cfg)
+    cols[cfg.status] = title_case(cfg.status)
+    extra = {BAD_DATE: bad_date, BAD_MONEY: bad_money, HASH: row_hash(raw.columns)}
+    return materialize(raw.withColumns({f"_typed_{c}": v for c, v in cols.items()} | extra))
+
+
+def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: bool = False, parsed: DataFrame | None = None) -> DataFrame:
     """Claims that parse, each once, with typed columns, a normal status, billed
     amounts of the right sign and a flag on the missing ones; nothing is filled yet,
     so keys and flags can be counted without the medians. By default exact
     duplicates are dropped before normalising (as the reference does), so a copy
     written with another date spelling survives; ``after_normalise`` drops
-    duplicates of the normalised rows instead."""
+    duplicates of the normalised rows instead. ``parsed``: ``parsed_claims`` of ``raw``."""
+    if parsed is not None and not after_normalise:
+        d = drop_exact_duplicates(parsed, raw.columns, hashed=HASH).where(~(F.col(BAD_DATE) | F.col(BAD_MONEY)))
+        return _signed(d.select(*[F.col(t if (t := f"_typed_{c}") in d.columns else c).alias(c) for c in raw.columns]), cfg)
     cols, bad_date, bad_money = _parsed(raw, cfg)
     cols[cfg.status] = title_case(cfg.status)
     typed = {c: f"_typed_{c}" for c in cols}
@@ -129,17 +144,19 @@ def typed_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, after_normalise: b
     # parsed in the same pass that writes the rows to tell apart, so later passes read values
     same = [typed.get(c, c) for c in raw.columns] if after_normalise else raw.columns
     d = drop_exact_duplicates(d, same).where(~F.col("_rejected"))
-    d = d.select(*[F.col(typed.get(c, c)).alias(c) for c in raw.columns])
-    d = fix_negative(d, cfg.billed)
-    return flag_missing(d, cfg.billed, cfg.billed_imputed)
+    return _signed(d.select(*[F.col(typed.get(c, c)).alias(c) for c in raw.columns]), cfg)
+
+
+def _signed(d: DataFrame, cfg: ClaimsConfig) -> DataFrame:
+    return flag_missing(fix_negative(d, cfg.billed), cfg.billed, cfg.billed_imputed)
 
 
 def clean_claims(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False,
-                 after_normalise: bool = False) -> DataFrame:
+                 after_normalise: bool = False, parsed: DataFrame | None = None) -> DataFrame:
     """Clean claims: ``typed_claims`` with missing billed amounts and blank reasons
     filled (see ``claim_rejects`` for the rows left out). The medians and the rows to
     fill both read the table that the removal of duplicates leaves."""
-    return fill_claims(typed_claims(raw, cfg, after_normalise), cfg, approx_median)
+    return fill_claims(typed_claims(raw, cfg, after_normalise, parsed), cfg, approx_median)
 
 
 def fill_claims(typed: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bool = False) -> DataFrame:
@@ -148,9 +165,14 @@ def fill_claims(typed: DataFrame, cfg: ClaimsConfig = DEFAULT, approx_median: bo
     return d.withColumn(cfg.reason, F.coalesce(F.col(cfg.reason), F.lit(cfg.no_reason)))
 
 
-def claim_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT) -> DataFrame:
+def claim_rejects(raw: DataFrame, cfg: ClaimsConfig = DEFAULT, parsed: DataFrame | None = None) -> DataFrame:
     """Distinct raw rows with a date of no accepted spelling or an amount
-    that is no number, and which it is. Only these are de-duplicated."""
-    _, bad_date, bad_money = _parsed(raw, cfg)
+    that is no number, and which it is. Only these are de-duplicated. ``parsed``:
+    ``parsed_claims`` of ``raw``."""
+    if parsed is None:
+        rows, (_, bad_date, bad_money) = raw, _parsed(raw, cfg)
+    else:
+        rows, bad_date, bad_money = parsed, F.col(BAD_DATE), F.col(BAD_MONEY)
     reason = F.when(bad_date, F.lit("unparseable date")).otherwise(F.lit("unparseable amount"))
-    return raw.where(bad_date | bad_money).dropDuplicates().withColumn("reject_reason", reason)
+    found = rows.where(bad_date | bad_money).withColumn("reject_reason", reason)  # the reason follows from the row
+    return found.select(*raw.columns, "reject_reason").dropDuplicates()

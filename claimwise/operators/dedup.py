@@ -24,21 +24,24 @@ def row_hash(columns: list[str]) -> Column:
 
 
 def drop_exact_duplicates(df: DataFrame, columns: list[str] | None = None, hash_of: Callable[[list[str]], Column] = row_hash,
-                          stored: bool = False) -> DataFrame:
+                          stored: bool = False, hashed: str | None = None) -> DataFrame:
     """One row of each group of rows that agree in ``columns`` (default: all).
 
     The input is read three times (hashes, single rows, rows of repeated hashes), so
-    it is written once as a table unless it is one already (``stored``). Repeated
+    it is written once as a table unless it is one already (``stored``; ``hashed``: a table
+    whose column of that name, which is left out, has the hashes). Repeated
     hashes are broadcast if their table is within the broadcast bound. Beyond it, so
     many rows have copies that all of them are compared in one shuffle, as
     ``dropDuplicates`` does."""
     columns = list(columns or df.columns)
-    name = "_row_hash"
-    while name in df.columns:
+    columns = [c for c in columns if c != hashed]
+    name = hashed or "_row_hash"
+    while name in df.columns and not hashed:
         name += "_"
-    rows = df if stored else materialize(df.withColumn(name, hash_of(columns)))
-    if stored:
-        rows = rows.withColumn(name, hash_of(columns))
+    rows = df
+    if not hashed:
+        rows = df.withColumn(name, hash_of(columns))
+        rows = rows if stored else materialize(rows)
     repeated = materialize(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name))
     if estimated_bytes(repeated) > max_bytes(repeated):
         return rows.dropDuplicates(columns).drop(name)

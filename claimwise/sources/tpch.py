@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwise.session import prepared
+from claimwise.session import PreparedForMany, materialize, prepared
 from claimwise.sources.joins import checked_broadcast
 
 MONEY = "decimal(18,2)"
@@ -193,8 +193,28 @@ def wide(spark: SparkSession, sf_dir: str, codes: bool = False, with_patients: b
          with_providers: bool = True, keep_name: bool = False, t: Tables | None = None) -> DataFrame:
     """Wide claims in one pass: the provider join that supplies ``claim_type``
     also supplies specialty/network (and the name when ``keep_name``), so the
-    fact meets the supplier dimension once."""
+    fact meets the supplier dimension once. In a run of many queries all of it is joined
+    once, and each query reads the columns that it asks for."""
     t = t or Tables(spark, sf_dir)
+    if isinstance(sf_dir, PreparedForMany) and not codes:
+        stored = prepared(sf_dir, "wide claims", lambda: _stored_wide(spark, sf_dir, t), write=False)
+        if stored is not None:
+            unasked = [] if with_providers else ["claim_type", "specialty", "network_status"]
+            unasked += [] if with_providers and keep_name else ["provider_name"]
+            unasked += [] if with_patients else ["plan_type", "age_at_service", "age_group"]
+            return stored.drop(*unasked)
+    return _joined(spark, sf_dir, codes, with_patients, with_providers, keep_name, t)
+
+
+def _stored_wide(spark: SparkSession, sf_dir: str, t: Tables) -> DataFrame | None:
+    """Claims with all columns that ``wide`` may be asked for, as a table; none if a claim is
+    in it more than once (a key of a dimension repeats), since a query that does not ask
+    for that dimension has each claim once. A left join loses no claim, so counts tell."""
+    stored = materialize(_joined(spark, sf_dir, False, True, True, True, t))
+    return stored if stored.count() == claims(spark, sf_dir, claim_type=False, t=t).count() else None
+
+
+def _joined(spark: SparkSession, sf_dir: str, codes: bool, with_patients: bool, with_providers: bool, keep_name: bool, t: Tables) -> DataFrame:
     f = claims(spark, sf_dir, codes=codes, claim_type=False, t=t)
     if with_providers:
         pr = providers(spark, sf_dir, t)

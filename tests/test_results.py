@@ -104,3 +104,35 @@ def test_a_table_that_failed_is_made_again(spark):
     first = prepared(d, "x", lambda: spark.range(3))
     assert prepared(d, "x", lambda: spark.range(9)) is first and first.count() == 3 and d == SF_SMALL
     assert prepared(SF_SMALL, "x", lambda: 7) == 7
+
+
+def test_many_queries_parse_and_join_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from claimwise.operators import clean
+    from claimwise.session import PreparedForMany
+    from claimwise.sources import tpch
+
+    parses, joins, parse, join = [], [], clean._parsed, tpch._joined
+    monkeypatch.setattr(clean, "_parsed", lambda *a: parses.append(a) or parse(*a))
+    monkeypatch.setattr(tpch, "_joined", lambda *a: joins.append(a) or join(*a))
+    names = ["q01_headline_kpis", "q06_provider_outliers", "r08_provider_table", "feat_wide_claims", "clean_claims", "claim_rejects", "csv_clean_claims", "csv_claim_rejects"]
+    queries = {n: E.queries()[n] for n in names}
+    told = lambda d, out: {r.query: (r.row_count, r.content_hash, r.error) for r in results.run_all(spark, queries, d, str(tmp_path / out)).collect()}
+    shared = told(PreparedForMany(SF_SMALL), "a")
+    assert (len(parses), len(joins)) == (2, 1)  # raw claims and those of the CSV
+    assert shared == told(SF_SMALL, "b")
+
+
+def test_wide_claims_are_not_shared_where_a_dimension_repeats_a_key(spark, tmp_path):
+    import __spark_entry__ as E
+    from claimwise.session import PreparedForMany
+    from claimwise.sources import tpch
+
+    for n in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
+        rows = tpch.table(spark, SF_SMALL, n)
+        (rows.union(rows.where("s_suppkey = 3")) if n == "supplier" else rows).write.parquet(str(tmp_path / f"{n}.parquet"))
+    d = PreparedForMany(str(tmp_path))
+    for n in ("q01_headline_kpis", "e03_trend_by_type"):
+        one, many = (E.queries()[n](spark, where) for where in (str(tmp_path), d))
+        assert tuple(one.agg(*results.content(one)).first()) == tuple(many.agg(*results.content(many)).first())
+    assert tpch.wide(spark, d).count() > tpch.wide(spark, d, with_patients=False, with_providers=False).count()
